@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from corvane.llm import bpe
+from corvane.llm import bpe, mixing
+from corvane.llm._common import materialize, word_count
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -19,9 +21,48 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(_read(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
 
 
+def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Sizes are counted once and written: the sums, the choice at the cut and the rest read them.
+    sized = materialize(_read(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("size")))
+    mixed = mixing.mix(sized, F.array("source"), F.col("size"))
+    return mixed.select("doc_id", "size", F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), F.col("_taken").alias("taken"))
+
+
+OP3_SQL = r"""
+WITH RECURSIVE sized AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, md5('mix|' || coalesce(doc_id::VARCHAR, 'null')) AS h
+  FROM documents
+), per_source AS (
+  SELECT source, sum(size)::BIGINT AS source_size, [1, 2, 3][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w
+  FROM sized GROUP BY source
+), rounds AS (
+  SELECT 0 AS r, source, source_size, w, false AS full_, (sum(source_size) OVER ())::DOUBLE / sum(w) OVER () AS level FROM per_source
+  UNION ALL
+  SELECT r + 1, source, source_size, w, now_full,
+    (sum(source_size) OVER () - coalesce(sum(3 * source_size) FILTER (now_full) OVER (), 0))::DOUBLE / nullif(sum(w) FILTER (NOT now_full) OVER (), 0)
+  FROM (SELECT *, full_ OR level * w > 3 * source_size AS now_full, bool_or(NOT full_ AND level * w > 3 * source_size) OVER () AS changed FROM rounds)
+  WHERE changed
+), quota AS (
+  SELECT source, source_size, CASE WHEN full_ THEN (3 * source_size)::DOUBLE ELSE level * w END AS target
+  FROM rounds WHERE r = (SELECT max(r) FROM rounds)
+), plan AS (
+  SELECT *, least(3 * source_size, floor(target + 0.5)::BIGINT) AS words FROM quota
+), cut AS (
+  SELECT *, CASE WHEN source_size > 0 THEN words // source_size ELSE 0 END AS whole FROM plan
+), placed AS (
+  SELECT d.doc_id, d.size, c.source_size, c.target, c.whole, c.words - c.whole * c.source_size AS rest,
+    sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h, d.doc_id, d.size ROWS UNBOUNDED PRECEDING) - d.size AS before_
+  FROM sized d JOIN cut c ON d.source IS NOT DISTINCT FROM c.source
+)
+SELECT doc_id, size, source_size, target,
+  ((whole + CASE WHEN rest > 0 AND 2 * before_ + size <= 2 * rest THEN 1 ELSE 0 END) * size)::BIGINT AS taken
+FROM placed
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_byte_bpe": op1_byte_bpe}
+    return {"op1_byte_bpe": op1_byte_bpe, "op3_source_mix": op3_source_mix}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_source_mix": OP3_SQL}
