@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import bpe, mixing
+from corvane.llm import bpe, minhash, mixing
 from corvane.llm._common import materialize, word_count
 
 
@@ -60,9 +60,45 @@ FROM placed
 """
 
 
+def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_read(spark, sf_dir, "documents"), words=4, percent=80)
+
+
+OP5_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), shingled AS (
+  SELECT doc_id, CASE WHEN w IS NULL OR len(w) = 0 THEN []
+    WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] FOR i IN range(1, len(w) - 2)]) END AS s
+  FROM words
+), flat AS (
+  SELECT doc_id, unnest(s) AS shingle FROM shingled
+), common AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS n FROM flat a JOIN flat b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY 1, 2
+), links AS (
+  SELECT x, y FROM common JOIN shingled p ON p.doc_id = x JOIN shingled q ON q.doc_id = y
+  WHERE 100 * n >= 80 * (len(p.s) + len(q.s) - n)
+), both_ways AS (
+  SELECT x, y FROM links UNION ALL SELECT y, x FROM links
+), reach AS (
+  SELECT doc_id AS x, doc_id AS y FROM documents
+  UNION
+  SELECT r.x, b.y FROM reach r JOIN both_ways b ON r.y = b.x
+)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, min(y) AS component_id, doc_id = min(y) AS kept
+FROM shingled JOIN reach ON x = doc_id GROUP BY doc_id, s
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_byte_bpe": op1_byte_bpe, "op3_source_mix": op3_source_mix}
+    return {
+        "op1_byte_bpe": op1_byte_bpe,
+        "op3_source_mix": op3_source_mix,
+        "op5_minhash_dedup": op5_minhash_dedup,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_source_mix": OP3_SQL}
+    return {"op3_source_mix": OP3_SQL, "op5_minhash_dedup": OP5_SQL}
