@@ -1,11 +1,11 @@
 """Byte-level BPE encoding and decoding by a global shuffle of distinct words.
 
-Plan: each task splits its documents into pre-tokens, keeps their order as positions into the
-distinct words of a block of documents, and sends each distinct word to the shard of its hash.
-There every word of the corpus is encoded once; the ids join back to the blocks that asked, and
-a block lays its documents out again by position. A frequent word travels once a block, never
-once an occurrence, so no key is hot. Rows carry packed words, which keeps the shuffle below the
-size of the texts.
+Plan: one scan splits the documents of a block into pre-tokens and sends each distinct word to
+the shard of its hash. There every word of the corpus is encoded once, and the ids join back to
+the blocks that asked. A second scan sends the positions of a block's words straight to that
+join, where the documents are laid out again; so positions are shuffled once. A frequent word
+travels once a block, never once an occurrence, so no key is hot. Rows carry packed words, which
+keeps the shuffle below the size of the texts.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm._common import blocks, expand, pack, ragged, shuffle_partitions, squeeze, unpack
+from corvane.llm._common import blocks, expand, materialize, pack, ragged, shuffle_partitions, squeeze, unpack
 
 #: UTF-8 bytes of text in a block.
 BLOCK_BYTES = 8 << 20
@@ -90,10 +90,13 @@ def _merge_long(parts: list[bytes], ranks: dict[bytes, int]) -> list[bytes]:
     return [p for p, a in zip(parts, alive) if a]
 
 
-_ROWS = "block long, shard long, words binary, stream binary, homes binary, counts binary, ids array<long>"
+_WORDS = "block long, shard long, words binary, sizes binary"
+_STREAM = "block long, stream binary, homes binary, counts binary, ids array<long>"
 
 
-def _splitter(pattern: str, shards: int, block_bytes: int):
+def _splitter(pattern: str, shards: int, block_bytes: int, positions: bool):
+    """Rows of _STREAM, one a block, or of _WORDS, one for each shard that a block has words for."""
+
     def split(batches):
         find = regex.compile(pattern).findall
         for block, table in blocks(batches, "text", block_bytes):
@@ -114,19 +117,20 @@ def _splitter(pattern: str, shards: int, block_bytes: int):
             home = np.fromiter((zlib.crc32(w) % shards for w in words), np.int64, len(words))
             by_home = np.argsort(home, kind="stable")
             cuts = np.flatnonzero(np.diff(home[by_home])) + 1
-            rows = [(block, -1 - block, None, pack(rank[stream]), pack(home), pack(np.array(counts, np.int64)), table["doc_id"].to_pylist())]
-            for own in np.split(by_home, cuts) if len(words) else []:
-                mine = [words[i] for i in own.tolist()]
-                rows.append((block, int(home[own[0]]), _pack_words(mine), None, None, None, None))
-            yield _batch(rows)
+            if positions:
+                yield _batch(_STREAM, [(block, pack(rank[stream]), pack(home), pack(np.array(counts, np.int64)), table["doc_id"].to_pylist())])
+            elif words:
+                yield _batch(_WORDS, [(block, int(home[own[0]]), _pack_words([words[i] for i in own.tolist()]), None) for own in np.split(by_home, cuts)])
 
     return split
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
-    names = ["block", "shard", "words", "stream", "homes", "counts", "ids"]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+_KINDS = {"long": pa.int64(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
+
+
+def _batch(schema: str, rows: list[tuple]) -> pa.RecordBatch:
+    fields = [f.split() for f in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, _KINDS[k]) for c, (_, k) in zip(zip(*rows), fields)], [n for n, _ in fields])
 
 
 def _pack_words(words: list[bytes]) -> bytes:
@@ -144,8 +148,6 @@ def _unpack_words(data: bytes) -> list[bytes]:
 
 def _shard_encoder(ranks):
     def encode(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        if key[0].as_py() < 0:  # the order of a block's pre-tokens passes through
-            return table
         own, known, rows = ranks.value, {}, []
         for block, data in zip(table["block"].to_pylist(), table["words"].to_pylist()):
             found = []
@@ -155,23 +157,24 @@ def _shard_encoder(ranks):
                 found.append(ids)
             sizes = np.fromiter(map(len, found), np.int64, len(found))
             flat = np.fromiter(chain.from_iterable(found), np.int64, int(sizes.sum()))
-            rows.append((block, key[0].as_py(), pack(flat), None, None, pack(sizes), None))
-        return pa.Table.from_batches([_batch(rows)])
+            rows.append((block, key[0].as_py(), pack(flat), pack(sizes)))
+        return pa.Table.from_batches([_batch(_WORDS, rows)])
 
     return encode
 
 
-def _assemble(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    rows = sorted(table.to_pylist(), key=lambda r: r["shard"])
-    head, parts = rows[0], rows[1:]
-    ids, starts, sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    if parts:
-        grouped = np.concatenate([unpack(r["counts"]) for r in parts]).astype(np.int64)
-        ids = np.concatenate([unpack(r["words"]) for r in parts])
-        # Shards list their words in order of rank: the stable sort that sent them finds them again.
-        order = np.argsort(unpack(head["homes"]), kind="stable")
-        starts, sizes = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
-        starts[order], sizes[order] = np.cumsum(grouped) - grouped, grouped
+def _assemble(key: tuple[pa.Scalar, ...], streams: pa.Table, encoded: pa.Table) -> pa.Table:
+    """A block's documents from its positions and the ids of its words."""
+    (head,) = streams.to_pylist()
+    parts = sorted(encoded.to_pylist(), key=lambda r: r["shard"])
+    # Shards list their words in order of rank: the stable sort that sent them finds them again.
+    order = np.argsort(unpack(head["homes"]), kind="stable")
+    grouped = np.concatenate([unpack(r["sizes"]) for r in parts] or [np.zeros(0, np.uint32)]).astype(np.int64)
+    if len(order) != len(grouped):
+        raise ValueError("the two scans disagree: the input changes between reads; pass replayable=False")
+    ids = np.concatenate([unpack(r["words"]) for r in parts] or [np.zeros(0, np.uint32)])
+    starts, sizes = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
+    starts[order], sizes[order] = np.cumsum(grouped) - grouped, grouped
     stream, counts = unpack(head["stream"]), unpack(head["counts"]).astype(np.int64)
     out, at = [], 0
     for n in counts.tolist():
@@ -181,17 +184,24 @@ def _assemble(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     return pa.table({"doc_id": pa.array(head["ids"], pa.int64()), "token_ids": pa.array(out, pa.binary())})
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, shards: int | None = None) -> DataFrame:
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, shards: int | None = None, replayable: bool = True) -> DataFrame:
     """Token ids of every document: doc_id, token_ids (little-endian unsigned 32-bit integers).
 
     One row comes out for each row that goes in, also for repeated rows and null ids. A null or
     empty text has no ids. Other columns are ignored. Every single byte must have a rank.
+    replayable: docs reads files, so that two scans see the same rows in the same tasks; anything
+    else (a shuffle's output) is written to the shared folder first with replayable=False.
     """
     spark = docs.sparkSession
     shards = shards or 4 * shuffle_partitions(spark)
     table = spark.sparkContext.broadcast(ranks)
-    split = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_splitter(pattern, shards, block_bytes), _ROWS)
-    return split.groupBy("shard").applyInArrow(_shard_encoder(table), _ROWS).groupBy("block").applyInArrow(_assemble, "doc_id long, token_ids binary")
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    if not replayable:
+        source = materialize(source)
+    words = source.mapInArrow(_splitter(pattern, shards, block_bytes, False), _WORDS)
+    encoded = words.groupBy("shard").applyInArrow(_shard_encoder(table), _WORDS)
+    streams = source.mapInArrow(_splitter(pattern, shards, block_bytes, True), _STREAM)
+    return streams.groupBy("block").cogroup(encoded.groupBy("block")).applyInArrow(_assemble, "doc_id long, token_ids binary")
 
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int], ids_col: str = "token_ids", out_col: str = "decoded") -> DataFrame:
