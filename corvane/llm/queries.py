@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import bpe, minhash, mixing
+from corvane.llm import bpe, langid, minhash, mixing, secrets
 from corvane.llm._common import materialize, word_count
 
 
@@ -92,11 +92,21 @@ FROM shingled JOIN reach ON x = doc_id GROUP BY doc_id, s
 """
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.evaluate(_read(spark, sf_dir, "documents"))
+
+
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(_read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_byte_bpe": op1_byte_bpe,
         "op3_source_mix": op3_source_mix,
         "op5_minhash_dedup": op5_minhash_dedup,
+        "op6_language": op6_language,
+        "op8_secrets": op8_secrets,
     }
 
 
