@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import bpe, langid, minhash, mixing, secrets
+from corvane.llm import bpe, langid, lm, minhash, mixing, secrets
 from corvane.llm._common import materialize, word_count
 
 
@@ -100,6 +100,10 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(_read(spark, sf_dir, "documents"))
 
 
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(_read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_byte_bpe": op1_byte_bpe,
@@ -107,6 +111,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_minhash_dedup": op5_minhash_dedup,
         "op6_language": op6_language,
         "op8_secrets": op8_secrets,
+        "op10_lm_score": op10_lm_score,
     }
 
 
