@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import bpe, langid, lm, minhash, mixing, secrets
+from corvane.llm import ann, bpe, embdedup, langid, lm, minhash, mixing, secrets
 from corvane.llm._common import materialize, word_count
 
 
@@ -104,16 +104,57 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(_read(spark, sf_dir, "documents"))
 
 
+def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
+_GOOD = "embedding IS NOT NULL AND len(embedding) > 0 AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0 AND len([x FOR x IN embedding IF x <> 0]) > 0"
+
+OP4_SQL = f"""
+WITH good AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE {_GOOD}),
+pairs AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_distance(q.v, c.v) AS score
+  FROM good q JOIN good c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
+), ranked AS (
+  SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id))::INTEGER AS rank, vec_id, score FROM pairs
+)
+SELECT * FROM ranked WHERE rank <= 10
+"""
+
+
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embdedup.near_duplicates(_read(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
+OP9_SQL = f"""
+WITH RECURSIVE good AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings WHERE label IS NOT NULL AND {_GOOD}
+), links AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM good a JOIN good b
+  ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+    AND list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v)) >= 0.98
+), reach AS (
+  SELECT vec_id AS x, vec_id AS y FROM embeddings
+  UNION
+  SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x
+)
+SELECT vec_id, (SELECT count(*) FROM links WHERE x = vec_id) AS n_links, min(y) AS component_id, vec_id = min(y) AS kept
+FROM embeddings JOIN reach ON x = vec_id GROUP BY vec_id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_byte_bpe": op1_byte_bpe,
         "op3_source_mix": op3_source_mix,
+        "op4_nearest": op4_nearest,
         "op5_minhash_dedup": op5_minhash_dedup,
         "op6_language": op6_language,
         "op8_secrets": op8_secrets,
+        "op9_embedding_dedup": op9_embedding_dedup,
         "op10_lm_score": op10_lm_score,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_source_mix": OP3_SQL, "op5_minhash_dedup": OP5_SQL}
+    return {"op3_source_mix": OP3_SQL, "op4_nearest": OP4_SQL, "op5_minhash_dedup": OP5_SQL, "op9_embedding_dedup": OP9_SQL}
