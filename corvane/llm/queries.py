@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import ann, bpe, embdedup, langid, lm, minhash, mixing, secrets
+from corvane.llm import ann, bpe, embdedup, langid, lm, minhash, mixing, secrets, toxicity, wordpiece
 from corvane.llm._common import materialize, word_count
 
 
@@ -143,13 +143,26 @@ FROM embeddings JOIN reach ON x = vec_id GROUP BY vec_id
 """
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = bpe.load_ranks(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return wordpiece.count_tokens(_read(spark, sf_dir, "documents"), wordpiece.Automaton(*wordpiece.vocabulary(ranks)))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    chain = toxicity.train(docs, _read(spark, sf_dir, "labels"), toxicity.default_categories())
+    return toxicity.classify(docs.select("doc_id", "text"), chain).select("doc_id", "p_low_quality", "p_toxic", (F.col("p_toxic") >= 0.5).alias("toxic"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_byte_bpe": op1_byte_bpe,
+        "op2_token_counts": op2_token_counts,
         "op3_source_mix": op3_source_mix,
         "op4_nearest": op4_nearest,
         "op5_minhash_dedup": op5_minhash_dedup,
         "op6_language": op6_language,
+        "op7_toxicity": op7_toxicity,
         "op8_secrets": op8_secrets,
         "op9_embedding_dedup": op9_embedding_dedup,
         "op10_lm_score": op10_lm_score,
