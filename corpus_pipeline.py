@@ -1,14 +1,70 @@
-"""A corpus pipeline of five stages over documents (the stages follow as their operators do)."""
+"""A corpus pipeline of five stages over documents.
+
+toxicity -> MinHash near-dedup -> secret scans -> mixing sources -> byte-level BPE. Each stage
+takes (spark, docs, sf_dir) and returns a DataFrame; run() writes it as Parquet to the shared
+folder and reads it again as the next stage's docs, so a lost executor costs one stage at most.
+All stages but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corvane.llm import bpe, minhash, mixing, secrets, toxicity
+from corvane.llm._common import materialize, word_count
+
+
+def _toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose probability of being toxic is at least one half go."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    chain = toxicity.train(docs, labels, toxicity.default_categories())
+    return toxicity.classify(docs, chain).where("p_toxic < 0.5").select(*docs.columns)
+
+
+def _near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays: the one with the smallest id.
+
+    Repeated rows of one id are copies as well. Rows without id stay.
+    """
+    kept = minhash.near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    named = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return named.select(*docs.columns).union(docs.where("doc_id IS NULL"))
+
+
+def _secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are replaced in the text; every document stays."""
+    clean = secrets.redact(docs)
+    return clean.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else clean
+
+
+def _mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it: none to three times."""
+    sized = docs.withColumn("_words", word_count(F.col("text")))
+    mixed = mixing.mix(materialize(sized.select("doc_id", "source", "_words")), F.array("source"), F.col("_words"))
+    # Repeated rows of an id have one order in the mix: rows meet their decision by id, source and size.
+    taken = mixed.groupBy("doc_id", "source", "_words").agg(F.max("_repeats").alias("_repeats"))
+    same = [sized[c].eqNullSafe(taken[c]) for c in ("doc_id", "source", "_words")]
+    out = sized.join(taken, same).where("_repeats > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_repeats"))))
+    return out.select(*[sized[c] for c in docs.columns])
+
+
+def _bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of what is left, checked by decoding."""
+    ranks = bpe.load_ranks(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return bpe.digest(docs, ranks, public_tokenizers.PATTERN)
+
+
+STAGES = [("toxicity", _toxicity), ("near_dedup", _near_dedup), ("secrets", _secrets), ("mix", _mix), ("byte_bpe", _bpe)]
+
+#: Learned models, flows and token ids are beyond SQL; tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to the documents of sf_dir."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+        docs = materialize(stage(spark, docs, sf_dir), spark)
     return docs
