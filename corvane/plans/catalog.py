@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from corvane.plans import conversations, ingestion, relational, retrieval, usage
+from corvane.plans.registry import QUERIES, SQL, Query
 
-from pyspark.sql import DataFrame, SparkSession
+_MODULES = (retrieval, relational, ingestion, conversations, usage)
 
 #: Name of the query that entry() runs.
 FLAGSHIP = "retrieval_hybrid"
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
