@@ -11,6 +11,7 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corvane.operators.retrieval import tokens
 
@@ -80,14 +81,13 @@ def stem(w: str) -> str:
     return w
 
 
-@F.pandas_udf("array<string>")
 def _stems(column: pd.Series) -> pd.Series:
     return column.map(lambda words: None if words is None else [stem(w) for w in words if w not in STOP_WORDS])
 
 
 def stems(text: Column) -> Column:
     """Stems of a text's tokens in order, without stop words."""
-    return _stems(tokens(text))
+    return F.pandas_udf(_stems, T.ArrayType(T.StringType()))(tokens(text))
 
 
 def stem_tokens(df: DataFrame, text: str, out: str) -> DataFrame:
