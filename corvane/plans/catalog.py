@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from corvane.plans import conversations, ingestion, relational, retrieval, usage
+from corvane.plans import conversations, ingestion, relational, retrieval, streams, usage
 from corvane.plans.registry import QUERIES, SQL, Query
 
-_MODULES = (retrieval, relational, ingestion, conversations, usage)
+_MODULES = (retrieval, relational, ingestion, conversations, usage, streams)
 
 #: Name of the query that entry() runs.
 FLAGSHIP = "retrieval_hybrid"
