@@ -21,7 +21,7 @@ ENCODINGS = ("utf-8", "utf-8-sig", "utf-16", "utf-16-le", "utf-16-be", "cp1252",
 
 
 def binary(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """path, name, content and file_type of every file below a path."""
+    """path, name, content and file_type of every file below a path. The reader gives no row for an empty file."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
     return files.withColumn("name", F.regexp_extract("path", "([^/]+)$", 1)).withColumn("file_type", file_type(F.col("name"), F.lit("")))
 
