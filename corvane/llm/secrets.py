@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corvane.llm._common import blocks
 
@@ -177,8 +178,9 @@ def scan(docs: DataFrame, keep: list[str], text_col: str = "text", rules: tuple[
     the rules. Matches of a rule are the leftmost that don't overlap; those of different rules may.
     Null and empty texts have no spans. Repeated rows each come out.
     """
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    return docs.select(*keep, F.col(text_col).cast("string").alias("_scan")).mapInArrow(_scanner(rules, segment_bytes), f"{fields}, spans array<struct<kind:string,start:int,end:int>>")
+    span = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
+    out = T.StructType([*docs.select(*keep).schema.fields, T.StructField("spans", T.ArrayType(span))])
+    return docs.select(*keep, F.col(text_col).cast("string").alias("_scan")).mapInArrow(_scanner(rules, segment_bytes), out)
 
 
 def joined(spans: Column) -> Column:
@@ -197,9 +199,10 @@ def report(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The rows with each secret's characters replaced by one [SECRET]; overlapping spans count as one."""
-    names = docs.columns
-    found = scan(docs, [F.col(f"`{c}`") for c in names], text_col, rules)
-    text = F.col(f"`{text_col}`")
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text_col}`").alias("text"))
+    # The row travels as one structure, so none of its columns can clash.
+    found = scan(whole, ["row"], "text", rules)
+    text = F.col(f"row.`{text_col}`")
     # Spans come sorted by start: fold them into (text so far, end of what is written).
     first = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
 
@@ -211,4 +214,4 @@ def redact(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RU
         return F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text) - acc["at"]))
 
     clean = F.when(F.size("spans") > 0, F.aggregate("spans", first, step, finish)).otherwise(text)
-    return found.withColumn(text_col, clean).select(*[F.col(f"`{c}`") for c in names])
+    return found.select(*[(clean if c == text_col else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
