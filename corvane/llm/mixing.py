@@ -23,18 +23,21 @@ MAX_REPEATS = 3
 WEIGHTS = (1, 2, 3)
 #: Hex digits of the seeded hash that name a bucket: 4,096 buckets a pattern.
 BUCKET_DIGITS = 3
+#: The plan has a row a pattern; up to so many it is sent to all tasks, so that no pattern is a hot key.
+BROADCAST_PATTERNS = 20_000
 
 
-def targets(sizes: dict[str | None, int], weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS) -> dict[str | None, float]:
+def targets(sizes: dict[str | None, int], weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS, total: int | None = None) -> dict[str | None, float]:
     """Share of all words that each source should get.
 
     Shares follow the weights; a target stops at max_repeats times its source's size, and the
-    excess goes to the others by weight until none is above. Empty sources get 0.
+    excess goes to the others by weight until none is above. Empty sources get 0. total: all
+    words, where documents belong to several sources; else the sum of the sizes.
     """
     names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode("utf-32-be")) + [None] * (None in sizes)
     weight = {s: weights[i % len(weights)] for i, s in enumerate(names)}
     cap = {s: max_repeats * sizes[s] for s in names}
-    total, free, full = sum(sizes.values()), list(names), []
+    total, free, full = sum(sizes.values()) if total is None else total, list(names), []
     while free:
         level = (total - sum(cap[s] for s in full)) / sum(weight[s] for s in free)
         above = [s for s in free if level * weight[s] > cap[s]]
@@ -130,7 +133,7 @@ def mix(docs: DataFrame, members: Column, size: Column, key: str = "doc_id", see
     for own_sources, words in patterns:
         for s in own_sources:
             sizes[s] = sizes.get(s, 0) + words
-    scale = targets(sizes, weights, max_repeats)
+    scale = targets(sizes, weights, max_repeats, sum(words for _, words in patterns))
     flows = route(patterns, {s: int(t + 0.5) for s, t in scale.items()}, max_repeats)
     plan = []
     for r, (own_sources, words), flow in zip(totals, patterns, flows):
@@ -147,7 +150,7 @@ def mix(docs: DataFrame, members: Column, size: Column, key: str = "doc_id", see
         .agg(F.max(F.struct("_bucket", (F.col("_rest") - F.col("_upto") + F.col("_words")).alias("_left"))).alias("_cut"))
     )
     plan_df = plan_df.join(edges, "_pattern", "left").select("_pattern", "_source_size", "_target", "_whole", F.col("_cut._bucket").alias("_edge"), F.col("_cut._left").alias("_left"))
-    placed = named.join(plan_df, "_pattern").withColumn("_bucket", bucket)
+    placed = named.join(F.broadcast(plan_df) if len(plan) <= BROADCAST_PATTERNS else plan_df, "_pattern").withColumn("_bucket", bucket)
     inside = F.col("_bucket") == F.col("_edge")
     at_edge = placed.where(inside)
     before = F.sum("_size").over(Window.partitionBy("_pattern").orderBy("_hash", F.col(key), "_size").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_size")
