@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Labelled rows of each class of the last category that are fitted at most, and characters of such a text.
@@ -103,8 +103,10 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], sam
     """
     names = list(categories)
     marked = labels.select("doc_id", *[c.cast("int").alias(n) for n, c in categories.items()]).dropna()
-    order = Window.partitionBy(names[-1]).orderBy(F.md5(F.concat_ws("|", "doc_id", *names)))
-    drawn = marked.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= sample).drop("_r")
+    # A top-k for each class: every task keeps `sample` rows at most, so no class is a hot key.
+    order = [F.md5(F.concat_ws("|", "doc_id", *names)), F.col("doc_id")]
+    first, second = (marked.where(F.col(names[-1]) == c).orderBy(*order).limit(sample) for c in (0, 1))
+    drawn = first.union(second)
     total = {r[names[-1]]: r["count"] for r in marked.groupBy(names[-1]).count().collect()}
     # At most 2 * sample rows: a bounded broadcast.
     texts = docs.where((F.length("text") > 0) & (F.length("text") <= SAMPLE_CHARS)).select("doc_id", "text").join(F.broadcast(drawn), "doc_id").dropDuplicates()
