@@ -7,11 +7,12 @@ Plan, in terms of texts with different shingle sets ("classes"; exact copies sha
 2. Classes by fingerprint; each sends its band keys. Inside a bucket of equal keys, sorted and
    streamed, a class goes to the first leader that its sketch puts well above the threshold.
 3. These leader pairs are confirmed on full sets, and components formed of the links.
-4. A second pass over the buckets emits only pairs across different components that sizes and
-   sketches cannot rule out. They are confirmed too; the components of all links are final.
+4. A second pass over the buckets finds clusters of texts in different components that sizes and
+   sketches cannot rule out. Clusters are compared exactly in tiles of bounded size; chunks of one
+   large component never meet. The components of all links are final.
 
-So a group of n copies that link to each other costs about n pairs, not n squared, and no link
-between components is lost to a cap.
+So a group of n copies that link to each other costs about n pairs, not n squared; only copies
+that hover below the threshold meet the rest of their cluster. No link is lost to a cap.
 """
 
 from __future__ import annotations
@@ -34,8 +35,6 @@ HASHES = BANDS * ROWS + EXTRA
 SEED = 20240
 #: Standard deviations that a sketch may fall below the threshold before it rules a pair out.
 MARGIN = 4.5
-#: Rows of a bucket compared at a time.
-CHUNK = 1024
 
 
 def _family(n: int, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
@@ -206,30 +205,34 @@ def _apart(bits: np.ndarray, own: np.ndarray) -> np.ndarray:
     return np.bitwise_count(bits ^ own).sum(axis=-1, dtype=np.int64)
 
 
-def _cross_pairs(percent: int):
-    """Pairs of a bucket in different components that may link: the second pass.
+def _open_forest(percent: int):
+    """Second pass: a spanning forest of the pairs in different components that may link.
 
-    Members outside the bucket's largest component are compared with all members of other
-    components, in chunks; a bucket inside one component costs nothing.
+    Two members of a bucket may link if their components differ and sizes and sketches cannot
+    rule them out. Only which members hang together is emitted, at most one row a member; a
+    bucket inside one component costs nothing.
     """
 
     def run(batches):
         most, _ = _limits(percent)
         for _, pieces in _groups(batches):
             ids, size, comp, bits = (np.concatenate(c) for c in zip(*pieces))
-            names, where, counts = np.unique(comp, return_inverse=True, return_counts=True)
-            if len(names) < 2:
+            if (comp == comp[0]).all():
                 continue
-            rest = np.flatnonzero(where != counts.argmax())
             a, b = [], []
-            for at in range(0, len(rest), 64):
-                own = rest[at : at + 64]
-                for low in range(0, len(ids), 16 * CHUNK):
-                    other = slice(low, low + 16 * CHUNK)
-                    x, y = np.nonzero((comp[own, None] != comp[other]) & (100 * np.minimum(size[own, None], size[other]) >= percent * np.maximum(size[own, None], size[other])))
-                    keep = _apart(bits[own[x]], bits[low + y]) <= most
-                    a.append(ids[own[x[keep]]])
-                    b.append(ids[low + y[keep]])
+            left = np.arange(len(ids))
+            queue: list[int] = []
+            while len(left):
+                if not queue:
+                    queue, left = [int(left[0])], left[1:]
+                i = queue.pop()
+                fits = (_apart(bits[left], bits[i]) <= most) & (comp[left] != comp[i]) & (100 * np.minimum(size[left], size[i]) >= percent * np.maximum(size[left], size[i]))
+                if fits.any():
+                    found = left[fits]
+                    left = left[~fits]
+                    queue += found.tolist()
+                    a.append(np.full(len(found), ids[i]))
+                    b.append(ids[found])
             if a:
                 yield _pairs(a, b)
 
@@ -275,11 +278,62 @@ def _verifier(words: int, percent: int):
 
 def _confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """Pairs whose full sets are similar enough. Texts travel compressed; a's set is built once a run of a."""
-    left = pairs.join(texts.select(F.col("id").alias("b"), F.col("packed").alias("right")), "b")
-    both = left.join(texts.select(F.col("id").alias("a"), F.col("packed").alias("left")), "a")
+    left = pairs.join(texts.select(F.col("id").alias("b"), F.col("packed").alias("right")).hint("merge"), "b")
+    both = left.join(texts.select(F.col("id").alias("a"), F.col("packed").alias("left")).hint("merge"), "a")
     return both.select("a", "b", "left", "right").sortWithinPartitions("a").mapInArrow(_verifier(words, percent), "a long, b long")
 
 
+#: Documents of a cluster that meet in one half of a tile.
+TILE = 128
+#: Shingles laid out at a time while a tile counts what its documents share.
+COLUMNS = 1 << 15
+
+
+def _tile_links(words: int, percent: int):
+    """Links between documents of different components in a tile, by exact counts of shared shingles."""
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        shingle = Shingler(words)
+        side, comp, ids = table["side"].to_numpy(), table["component"].to_numpy(), table["id"].to_numpy()
+        sets = [shingle(expand(t).decode()) for t in table["packed"].to_pylist()]
+        left = np.flatnonzero(side == 0)
+        right = np.flatnonzero(side == 1) if (side == 1).any() else left
+        sizes = np.array([len(x) for x in sets])
+        names, where = np.unique(np.concatenate(sets), return_inverse=True)
+        owner = np.repeat(np.arange(len(sets)), sizes)
+        order = np.argsort(where, kind="stable")
+        where, owner = where[order], owner[order]
+        common = np.zeros((len(left), len(right)), np.float64)
+        for low in range(0, len(names), COLUMNS):
+            i, j = np.searchsorted(where, [low, low + COLUMNS])
+            has = np.zeros((len(sets), min(COLUMNS, len(names) - low)), np.float32)
+            has[owner[i:j], where[i:j] - low] = 1
+            common += has[left] @ has[right].T
+        union = sizes[left, None] + sizes[right][None, :] - common
+        x, y = np.nonzero((100 * common >= percent * union) & (comp[left, None] != comp[right][None, :]))
+        return pa.table({"a": pa.array(ids[left[x]], pa.int64()), "b": pa.array(ids[right[y]], pa.int64())})
+
+    return run
+
+
+def _tiles(clusters: DataFrame) -> DataFrame:
+    """(cluster, t1, t2, side, id, component): each pair of chunks of a cluster is a tile.
+
+    clusters: id, cluster, component. A chunk holds about TILE documents: of one component, where
+    that has as many, or of several small ones. Two chunks of the same large component make no tile.
+    """
+    sizes = clusters.groupBy("cluster", "component").agg(F.count("*").alias("n"))
+    large = F.col("n") >= TILE
+    pooled = sizes.groupBy("cluster").agg(F.sum(F.when(~large, F.col("n")).otherwise(0)).alias("rest"))
+    own = clusters.join(sizes, ["cluster", "component"]).join(pooled, "cluster")
+    part = F.when(large, F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / TILE))).otherwise(F.pmod(F.xxhash64("component"), F.greatest(F.lit(1), F.ceil(F.col("rest") / TILE))))
+    own = own.select("id", "cluster", "component", F.struct(F.when(large, F.col("component")).otherwise(F.lit(None)).alias("home"), part.cast("long").alias("part")).alias("chunk"))
+    chunks = own.groupBy("cluster").agg(F.collect_set("chunk").alias("chunks"))
+    met = own.join(chunks, "cluster").withColumn("other", F.explode(F.filter("chunks", lambda c: c["home"].isNull() | ~c["home"].eqNullSafe(F.col("chunk.home")))))
+    mine, other = F.to_json("chunk"), F.to_json("other")
+    return met.select("cluster", F.least(mine, other).alias("t1"), F.greatest(mine, other).alias("t2"), (mine > other).cast("int").alias("side"), "id", "component")
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row.
 
@@ -306,10 +360,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
 
     open_rows = found.where("key IS NOT NULL").select("key", F.col("a").alias("id"), "size", "sketch")
     known = open_rows.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    second = _in_buckets(known, _cross_pairs(percent), parts).select("a", "b").distinct().join(first, ["a", "b"], "left_anti")
-    second = materialize(second)
-    texts = texts.union(_texts(source, _ends(second).join(_ends(first), "id", "left_anti")))
-    more = materialize(_confirm(second, texts, words, percent))
+    forest = _in_buckets(known, _open_forest(percent), parts).select("a", "b").distinct()
+    clusters = connected_components(forest).toDF("id", "cluster").join(labels.withColumnRenamed("node", "id"), "id", "left")
+    clusters = materialize(clusters.withColumn("component", F.coalesce("component", "id")))
+    texts = texts.union(_texts(source, clusters.select("id").join(_ends(first), "id", "left_anti")))
+    tiles = _tiles(clusters).join(texts.hint("merge"), "id").groupBy("cluster", "t1", "t2")
+    more = materialize(tiles.applyInArrow(_tile_links(words, percent), "a long, b long"))
     final = connected_components(labels.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
     out = rows.select("doc_id", "n_shingles").join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     component = F.coalesce("component", "doc_id")
@@ -322,4 +378,5 @@ def _ends(pairs: DataFrame) -> DataFrame:
 
 def _texts(source: DataFrame, ids: DataFrame) -> DataFrame:
     """(id, packed): the compressed texts of documents that are in a pair, written once."""
-    return materialize(source.join(ids, source["doc_id"] == ids["id"], "left_semi").select(F.col("doc_id").alias("id"), "text").mapInArrow(_compressor, "id long, packed binary"))
+    # Always by a shuffle: the ids grow with the corpus.
+    return materialize(source.join(ids.hint("merge"), source["doc_id"] == ids["id"], "left_semi").select(F.col("doc_id").alias("id"), "text").mapInArrow(_compressor, "id long, packed binary"))
