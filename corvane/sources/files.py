@@ -6,7 +6,6 @@ import io
 import re
 import zipfile
 from collections.abc import Iterator
-from pathlib import PurePosixPath
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -156,6 +155,3 @@ def slides(files: DataFrame) -> DataFrame:
 
     return files.where("file_type = 'pptx'").select("path", "content").mapInPandas(run, "path string, slide int, paragraph int, text string, is_note boolean")
 
-
-def stem(path: str) -> str:
-    return PurePosixPath(path).stem
