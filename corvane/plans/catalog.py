@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from corvane.plans import conversations, ingestion, relational, retrieval, streams, study, usage
+from corvane.plans import conversations, ingestion, layout, relational, retrieval, streams, study, usage
 from corvane.plans.registry import QUERIES, SQL, Query
 
-_MODULES = (retrieval, relational, ingestion, conversations, usage, streams, study)
+_MODULES = (retrieval, relational, ingestion, layout, conversations, usage, streams, study)
 
 #: Name of the query that entry() runs.
 FLAGSHIP = "retrieval_hybrid"
