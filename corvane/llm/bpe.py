@@ -21,10 +21,10 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm._common import blocks, expand, materialize, pack, ragged, shuffle_partitions, squeeze, unpack
+from corvane.llm._common import blocks, bound_batches, expand, materialize, pack, ragged, shuffle_partitions, squeeze, unpack
 
 #: UTF-8 bytes of text in a block.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 #: Words up to this many bytes are merged by scanning; longer ones by a heap.
 SCAN_BYTES = 64
 #: The token-byte table goes to every task, so its size is checked.
@@ -193,6 +193,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
     else (a shuffle's output) is written to the shared folder first with replayable=False.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     shards = shards or 4 * shuffle_partitions(spark)
     table = spark.sparkContext.broadcast(ranks)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
