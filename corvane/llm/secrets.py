@@ -48,9 +48,20 @@ BASE_RULES = (
     Rule("access", r"AKIA[A-Z0-9]+", 0, 20),
     Rule("hex", r"[0-9a-f]+", 0, 24),
 )
+#: A line's end, as such or escaped as in JSON, with what quotes or indents the next line.
+_NEXT = r"[ \t]*(?:[\r\n]|\\[rn])(?:[\s>]|\\[nrt])*"
+#: The line is base64 as a whole, or begins with a long piece of it.
+_LINE = _NEXT + r"""(?:[A-Za-z0-9+/=]{24,}|[A-Za-z0-9+/=]+(?=[ \t]*(?:[\r\n\\"']|\Z)))"""
+#: What follows a key's first line: all up to END where no other block comes before; or else its
+#: base64 lines, after headers if any; or else pieces as long as lines and one more, on one line.
+_KEY_BODY = (
+    r"[^-]*+(?:-{1,4}+(?!-)[^-]*+)*+-----END [A-Z ]{0,32}PRIVATE KEY-----"
+    rf"|(?:{_NEXT}[A-Z][A-Za-z-]*:[^\r\n\\]*)*(?:{_LINE})+"
+    r"|(?:[ \t]*[A-Za-z0-9+/=]{40,})+(?:[ \t]+[A-Za-z0-9+/=]+)?"
+)
 #: Further kinds of well-known form.
 MORE_RULES = (
-    Rule("private_key", r"-----BEGIN [A-Z ]{0,32}PRIVATE KEY-----"),
+    Rule("private_key", rf"-----BEGIN [A-Z ]{{0,32}}PRIVATE KEY-----(?:{_KEY_BODY})?"),
     Rule("signed_token", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+"),
     Rule("forge_token", r"gh[opusr]_[A-Za-z0-9]{36,}"),
     Rule("chat_token", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
