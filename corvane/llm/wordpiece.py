@@ -25,10 +25,15 @@ MEMORY = 300_000
 def vocabulary(ranks: dict[bytes, int]) -> tuple[set[bytes], set[bytes]]:
     """(pieces that start a word, pieces that continue one) from byte-level tokens.
 
-    Tokens with a leading space start words, without it; those without continue them.
+    Tokens with a leading space start words, without it; those without continue them. Where no
+    token with a space fits a word's beginning, the longest of the others starts it: so any word
+    is spelled out, in scripts too that have no token with a space.
     """
-    first = {t[1:] for t in ranks if t[:1] == b" " and len(t) > 1}
-    return first, {t for t in ranks if t[:1] != b" "}
+    spaced = {t[1:] for t in ranks if t[:1] == b" " and len(t) > 1}
+    inside = {t for t in ranks if t[:1] != b" "}
+    # A piece that begins with a spaced one never starts a word: the spaced one fits there.
+    others = {t for t in inside if not any(t[:n] in spaced for n in range(1, len(t) + 1))}
+    return spaced | others, inside
 
 
 class Automaton:

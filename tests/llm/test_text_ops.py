@@ -93,6 +93,24 @@ def test_word_piece_unknown():
     assert [automaton.count(w) for w in (b"a", b"ab", b"abb", b"abc", b"ax", b"x", b"abbc")] == [1, 1, 2, 1, 1, 1, 2]
 
 
+def test_word_pieces_of_scripts_without_spaced_tokens(ranks):
+    spaced = {t[1:] for t in ranks if t[:1] == b" " and len(t) > 1}
+    inside = {t for t in ranks if t[:1] != b" "}
+    automaton = wordpiece.Automaton(*wordpiece.vocabulary(ranks))
+    rng = random.Random(4)
+    scripts = ["рстуфхцчшщэюя", "абвгд", "กขคงจสวัดี", "Աբգդ", "ƀƁƂɏ", "가각뷁힣한국", "龘靐日本", "\x00\x01\x7f", "the"]
+    words = ["русский", "язык", "สวัสดีชาวโลก", "뷁", "한국어", "Հայերեն"] + ["".join(rng.choice(own) for _ in range(rng.randint(1, 40))) for own in scripts for _ in range(100)]
+
+    def spell(word):
+        # Only where no spaced piece fits do the others start the word.
+        fits = any(word[:n] in spaced for n in range(1, len(word) + 1))
+        return greedy(word, spaced if fits else inside, inside)
+
+    assert [automaton.count(w.encode()) for w in words] == [spell(w.encode()) for w in words]
+    assert automaton.count("русский".encode()) > 1 and automaton.count(("สวัสดี" * 100).encode()) >= 100
+    assert all(automaton.count(bytes([b]) * 9) >= 2 for b in (0xD1, 0xE0, 0xD5, 0x00))
+
+
 def test_token_counts_rows(docs, empty, ranks):
     first, inside = wordpiece.vocabulary(ranks)
     automaton = wordpiece.Automaton(first, inside)
