@@ -105,3 +105,36 @@ def evidence_line(index: Column, name: Column, page: Column, text: Column, limit
     """[1] name (p. 3): text, cut to `limit` characters."""
     place = F.when(page.isNotNull(), F.concat(F.lit(" (p. "), page.cast("string"), F.lit(")"))).otherwise("")
     return F.left(F.concat(F.lit("["), index.cast("string"), F.lit("] "), name, place, F.lit(": "), text), F.lit(limit))
+
+
+#: Characters of the piece that keys an item of few words.
+GRAM = 8
+
+
+def containment(items: DataFrame, docs: DataFrame) -> DataFrame:
+    """item_id, doc_id of each row of items (item_id, text) and of docs (doc_id, text) that contains its whole text.
+
+    Hash joins instead of all pairs. The longest pair of neighbouring words inside an item stands
+    whole in any text that contains it and keys both sides. An item of fewer than four words has
+    no pair that is sure to be whole: characters from its middle key it, against those of every
+    text. contains() confirms. Texts join only candidates; every pair of rows comes out once.
+    """
+    held = items.where("text IS NOT NULL").select(F.monotonically_increasing_id().alias("_item"), "item_id", F.col("text").alias("_held"))
+    own = docs.where("text IS NOT NULL").select("doc_id", "text")
+    worded = held.withColumn("_w", F.split("_held", r"\s+"))
+    pairs_of = lambda w: F.zip_with(w, F.slice(w, F.lit(2), F.size(w)), lambda x, y: F.concat_ws(" ", x, y))
+    # The first and last word of an item may be parts of longer words, so pairs are taken from between.
+    pairs = F.slice(pairs_of(F.col("_w")), F.lit(2), F.greatest(F.size("_w") - 3, F.lit(0)))
+    longest = F.array_max(F.transform(pairs, lambda p: F.struct(F.length(p).alias("n"), p.alias("p"))))["p"]
+    keyed = worded.where(F.size("_w") >= 4).select("_item", "item_id", "_held", longest.alias("_key"))
+    words = own.select("doc_id", F.split("text", r"\s+").alias("_w")).where(F.size("_w") > 1)
+    found = words.select("doc_id", F.explode(F.array_distinct(pairs_of(F.col("_w")))).alias("_key")).join(keyed, "_key").select("doc_id", "_item", "item_id", "_held")
+    n = F.least(F.length("_held"), F.lit(GRAM))
+    short = worded.where(F.size("_w") < 4).select("_item", "item_id", "_held", n.alias("_n"), F.substring(F.col("_held"), F.floor((F.length("_held") - n) / 2).cast("int") + 1, n).alias("_key"))
+    for (size,) in short.select("_n").distinct().collect():
+        # A lookahead finds the pieces that begin at every character in one pass.
+        pieces = F.array_distinct(F.regexp_extract_all("text", F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1))) if size else F.array(F.lit(""))
+        at = own.select("doc_id", F.explode(pieces).alias("_key")).join(short.where(F.col("_n") == size), "_key")
+        found = found.union(at.select("doc_id", "_item", "item_id", "_held"))
+    found = found.distinct().withColumnRenamed("doc_id", "_doc")
+    return found.join(own, F.col("_doc").eqNullSafe(F.col("doc_id"))).where(F.contains("text", F.col("_held"))).select("item_id", "doc_id")

@@ -149,20 +149,16 @@ def citation_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH d AS (SELECT item_id, text FROM benchmark), x AS (SELECT item_id, left(text, 60) AS head FROM d)
 SELECT item_id, doc_id FROM x JOIN documents ON contains(documents.text, head)""")
 def citation_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that contain the beginning of a benchmark item.
-
-    A hash join instead of all pairs: the second and third word of the beginning, which stand
-    whole in any text that contains it, key both sides; contains() confirms. Texts join only
-    candidates.
-    """
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.left("text", F.lit(60)).alias("head")).withColumn("_w", F.split("head", r"\s+"))
-    # Beginnings of fewer than four words have no word pair that is sure to be whole.
-    keyed = items.where(F.size("_w") >= 4).select("item_id", "head", F.concat_ws(" ", F.get("_w", F.lit(1)), F.get("_w", F.lit(2))).alias("key"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    words = docs.select("doc_id", F.split("text", r"\s+").alias("w")).where(F.size("w") > 1)
-    pairs = words.select("doc_id", F.explode(F.array_distinct(F.zip_with("w", F.slice("w", F.lit(2), F.size("w")), lambda x, y: F.concat_ws(" ", x, y)))).alias("key"))
-    found = pairs.join(keyed, "key").select("doc_id", "item_id", "head").distinct()
-    return found.join(docs, "doc_id").where(F.contains("text", F.col("head"))).select("item_id", "doc_id")
+    """Documents that contain the beginning of a benchmark item."""
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.left("text", F.lit(60)).alias("text"))
+    return C.containment(items, table(spark, sf_dir, "documents"))
+
+
+@query("citation_containment_whole", """
+SELECT item_id, doc_id FROM benchmark JOIN documents ON contains(documents.text, benchmark.text)""")
+def citation_containment_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that contain the whole text of a benchmark item."""
+    return C.containment(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"))
 
 
 @query("evidence_lines", """

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import io
 import zipfile
+from collections import Counter
 from datetime import datetime, timedelta
 
 import pandas as pd
@@ -217,3 +218,11 @@ def test_empty_inputs(spark):
     assert structure.section_paths(lines.withColumns({"level": F.lit(None).cast("int")}), "doc_id", "reading_order", "level", "text").count() == 0
     assert folds.merge_continuations(spark.createDataFrame([], SEGMENT)).count() == 0
     assert joins.positions(lines, [F.asc("doc_id")], "n").count() == 0
+
+
+def test_containment_of_whole_items(spark):
+    items = [(1, "short"), (2, "two words"), (3, "日本語の文章を引用する"), (4, "x"), (5, ""), (6, None), (7, "é💡"), (8, "a b  c d\ne the end of it"), (9, "ends with blank "), (9, "ends with blank "), (10, "Extraordinarilylongwords acknowledgement"), (None, "one two three")]
+    texts = [(1, "a shortage"), (2, "my two words"), (3, "これは日本語の文章を引用するものです。"), (4, "日本語の文章"), (5, ""), (6, None), (7, "an é💡 x"), (8, "za b  c d\ne the end of items"), (8, "za b c d e the end of items"), (9, "it ends with blank s"), (None, "none two three"), (10, "extraordinarilylongwords"), (11, "one two three" * 2)]
+    expected = Counter((i, d) for i, x in items for d, t in texts if x is not None and t is not None and x in t)
+    df = spark.createDataFrame(items, "item_id long, text string")
+    assert Counter(map(tuple, conversation.containment(df, spark.createDataFrame(texts, "doc_id long, text string")).collect())) == expected
