@@ -87,7 +87,7 @@ def intro_text(documents: Column, summary: Column, points: Column) -> Column:
     )
 
 
-def skipped_files(names: Column) -> Column:
-    """The warning about files of unsupported kind: two by name, the rest as a number."""
-    rest = F.size(names) - 2
+def skipped_files(names: Column, total: Column | None = None) -> Column:
+    """The warning about files of unsupported kind: two by name, the rest as a number. total: where names holds only the first two."""
+    rest = (F.size(names) if total is None else total) - 2
     return F.concat(F.lit("Some files were skipped due to unsupported format: "), F.array_join(F.slice(names, 1, 2), ", "), F.when(rest > 0, F.concat(F.lit(" and "), rest.cast("string"), F.lit(" more"))).otherwise(""), F.lit("."))

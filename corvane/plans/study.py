@@ -76,8 +76,16 @@ WITH f AS (SELECT source, list(doc_id || '.bin' ORDER BY doc_id) FILTER (doc_id
 SELECT source, 'Some files were skipped due to unsupported format: ' || array_to_string(names[1:2], ', ') || CASE WHEN len(names) > 2 THEN ' and ' || (len(names) - 2) || ' more' ELSE '' END || '.' AS warning FROM f WHERE names IS NOT NULL""")
 def upload_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Valid and invalid uploads by extension; the warning names the invalid ones."""
-    bad = table(spark, sf_dir, "documents").where("doc_id % 5 = 0").groupBy("source").agg(F.array_sort(F.collect_list("doc_id")).alias("ids"))
-    return bad.select("source", study.skipped_files(F.transform("ids", lambda i: F.concat(i.cast("string"), F.lit(".bin")))).alias("warning"))
+    return _skipped(table(spark, sf_dir, "documents").where("doc_id % 5 = 0"))
+
+
+def _skipped(bad: DataFrame) -> DataFrame:
+    """source and warning: two names and a count a source, never all of its ids in one place."""
+    first = bad.select("source", "doc_id").withColumn("_n", F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))).where("_n <= 2")
+    ids = first.groupBy("source").agg(F.array_sort(F.collect_list("doc_id")).alias("ids"))
+    totals = bad.groupBy(F.col("source").alias("_source")).agg(F.count("*").alias("total"))
+    names = F.transform("ids", lambda i: F.concat(i.cast("string"), F.lit(".bin")))
+    return ids.join(totals, F.col("source").eqNullSafe(F.col("_source"))).select("source", study.skipped_files(names, F.col("total")).alias("warning"))
 
 
 @query("review_diff", """

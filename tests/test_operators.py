@@ -10,9 +10,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from corvane.operators import conversation, folds, html, jobs, joins, quota, retrieval, structure
-from corvane.plans import models
+from corvane.plans import ingestion, models, study
 from corvane.sources import files, sinks
 from corvane.streaming import usage
+from tests.conftest import DATA
 
 SEGMENT = "doc_id string, segment_id string, page_index int, order_index int, role string, text string, bbox array<double>, section_path array<string>"
 
@@ -226,3 +227,18 @@ def test_containment_of_whole_items(spark):
     expected = Counter((i, d) for i, x in items for d, t in texts if x is not None and t is not None and x in t)
     df = spark.createDataFrame(items, "item_id long, text string")
     assert Counter(map(tuple, conversation.containment(df, spark.createDataFrame(texts, "doc_id long, text string")).collect())) == expected
+
+
+def test_every_order_is_linearised(spark):
+    orders = spark.read.parquet(f"{DATA}/lineitem.parquet").groupBy("l_orderkey").count()
+    got = ingestion.table_linearise_all(spark, DATA).select("l_orderkey", "n_rows")
+    assert Counter(map(tuple, got.collect())) == Counter(map(tuple, orders.collect()))
+
+
+def test_skipped_files_are_counted_not_collected(spark):
+    df = spark.createDataFrame([("a", 10), ("a", 5), ("a", 5), ("a", 40), (None, 5), (None, 20), ("b", 0)], "source string, doc_id long")
+    out = study._skipped(df)
+    said = "Some files were skipped due to unsupported format: "
+    assert dict(map(tuple, out.collect())) == {"a": said + "5.bin, 5.bin and 2 more.", None: said + "5.bin, 20.bin.", "b": said + "0.bin."}
+    # At most two rows a source leave a task.
+    assert "WindowGroupLimit" in out._jdf.queryExecution().executedPlan().toString()
