@@ -8,10 +8,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.functions.vectors import clamp01, cosine, similarity
+from corvane.functions.vectors import clamp01, cosine, similarity, valid
 
 # Defaults of the ranking.
 DEFAULT_K, MAX_K = 5, 20
@@ -77,8 +79,68 @@ def dense_topk(blocks: DataFrame, query: list[float], k: int, vector: str = "emb
     return top.withColumn("dense_rank", F.row_number().over(Window.orderBy(F.desc_nulls_last("vector_score"), key)))
 
 
-def dense_topk_per_query(blocks: DataFrame, queries: DataFrame, k: int, scope: str) -> DataFrame:
-    """Top k for each row of queries (query_id, query_vector, scope) among blocks of its scope; a query never finds itself."""
+#: Rows of queries and of blocks in a tile, and scores computed at a time.
+TILE, CELLS = 4096, 1 << 20
+
+
+def _tile(k: int):
+    def run(key: tuple[pa.Scalar, ...], queries: pa.Table, blocks: pa.Table) -> pa.Table:
+        out = []
+        if len(queries) and len(blocks):
+            q, b = (np.array(t["v"].combine_chunks().flatten(), np.float64).reshape(len(t), -1) for t in (queries, blocks))
+            (q_row, q_id), b_id = (queries[c].to_numpy() for c in ("row", "id")), blocks["id"].to_numpy()
+            # Squares and products are added in order of the components, as expressions add them.
+            length = lambda m: np.sqrt(sum(m[:, c] * m[:, c] for c in range(m.shape[1])))
+            q_len, b_len = length(q), length(b)
+            near = (b / b_len[:, None]).T
+            step = max(1, CELLS // len(b))
+            for at in range(0, len(q), step):
+                own = slice(at, at + step)
+                rough = (q[own] / q_len[own, None]) @ near
+                rough[q_id[own, None] == b_id[None, :]] = -np.inf
+                limit = np.partition(rough, -k, axis=1)[:, -k] if len(b) >= k else np.full(len(rough), -np.inf)
+                # Rounding of the product is far below 1e-9: nothing that belongs to the k is left out.
+                i, j = np.nonzero((rough >= limit[:, None] - 1e-9) & (rough > -np.inf))
+                i += at
+                cos = sum(q[i, c] * b[j, c] for c in range(q.shape[1])) / (b_len[j] * q_len[i])
+                score = np.clip((cos + 1.0) / 2.0, 0.0, 1.0)
+                order = np.lexsort((b_id[j], -score, i))
+                i, j, score = i[order], j[order], score[order]
+                first = np.arange(len(i)) - np.searchsorted(i, i) < k
+                out.append(pa.table([q_row[i[first]], q_id[i[first]], b_id[j[first]], score[first]], names=["_row", "query_id", "block_id", "vector_score"]))
+        return pa.concat_tables(out) if out else pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.float64())], names=["_row", "query_id", "block_id", "vector_score"])
+
+    return run
+
+
+def _topk_of_all(blocks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """An equal block join: every tile of queries meets every tile of blocks, and leaves k rows a query."""
+
+    def usable(rows: DataFrame, key: str, vector: str) -> DataFrame:
+        v = F.col(vector)
+        good = rows.where(F.col(key).isNotNull() & valid(v)).where(F.exists(v, lambda x: x != 0))
+        return good.select(F.monotonically_increasing_id().alias("row"), F.col(key).cast("long").alias("id"), v.cast("array<double>").alias("v"), F.size(v).alias("dim"))
+
+    def dealt(rows: DataFrame, own: str, n: int, other: str, m: int) -> DataFrame:
+        return rows.select("*", F.pmod(F.xxhash64("row"), F.lit(n)).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias(other))
+
+    asked, held = usable(queries, "query_id", "query_vector"), usable(blocks, "block_id", "embedding")
+    n, m = (-(-rows.count() // TILE) or 1 for rows in (asked, held))
+    keys = ("dim", "_q", "_b")
+    found = dealt(asked, "_q", n, "_b", m).groupBy(*keys).cogroup(dealt(held, "_b", m, "_q", n).groupBy(*keys)).applyInArrow(_tile(k), "_row long, query_id long, block_id long, vector_score double")
+    rank = F.row_number().over(Window.partitionBy("_row").orderBy(F.desc("vector_score"), "block_id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).drop("_row")
+
+
+def dense_topk_per_query(blocks: DataFrame, queries: DataFrame, k: int, scope: str | None = None) -> DataFrame:
+    """Top k for each row of queries (query_id, query_vector); a query never finds itself.
+
+    scope: a column of both, to search only blocks of the query's scope. Without it all blocks
+    are searched; vectors that are null, zero or not finite take no part, and those of different
+    length are never compared.
+    """
+    if scope is None:
+        return _topk_of_all(blocks, queries, k)
     pairs = blocks.join(queries, scope).where(F.col("block_id") != F.col("query_id"))
     scored = pairs.withColumn("vector_score", similarity(F.col("embedding"), F.col("query_vector")))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("vector_score"), "block_id"))

@@ -74,6 +74,18 @@ def dense_topk_per_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.dense_topk_per_query(vectors, asked, 5, "label").select("query_id", "block_id", "rank", F.round("vector_score", 6).alias("vector_score"))
 
 
+@query("dense_topk_per_query_all", f"""
+WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE embedding IS NOT NULL),
+scored AS (SELECT q.vec_id AS query_id, b.vec_id AS block_id, {_SIM.format(a='b.v', b='q.v')} AS s FROM e b JOIN e q ON q.vec_id % 20 = 0 AND b.vec_id <> q.vec_id),
+ranked AS (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY s DESC, block_id))::INTEGER AS rank FROM scored)
+SELECT query_id, block_id, rank, round(s, 6) AS vector_score FROM ranked WHERE rank <= 5""")
+def dense_topk_per_query_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """More queries than dense_topk_per_query, each among all rows instead of those of its label."""
+    vectors = table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "block_id")
+    asked = vectors.where(F.col("block_id") % 20 == 0).select(F.col("block_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    return R.dense_topk_per_query(vectors, asked, 5).select("query_id", "block_id", "rank", F.round("vector_score", 6).alias("vector_score"))
+
+
 # Keyword lane: covers of the two words, found by the last position of each word at every hit.
 _KEYWORD = """
 toks AS (

@@ -1,6 +1,8 @@
 from __future__ import annotations
 
 import io
+import math
+import random
 import zipfile
 from collections import Counter
 from datetime import datetime, timedelta
@@ -242,3 +244,22 @@ def test_skipped_files_are_counted_not_collected(spark):
     assert dict(map(tuple, out.collect())) == {"a": said + "5.bin, 5.bin and 2 more.", None: said + "5.bin, 20.bin.", "b": said + "0.bin."}
     # At most two rows a source leave a task.
     assert "WindowGroupLimit" in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_dense_search_of_all_labels(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "TILE", 7)
+    rng = random.Random(8)
+    rows = [(i, [float(rng.randint(-3, 3)), float(rng.randint(-3, 3)), 1.0], None if i % 4 == 0 else i % 3) for i in range(60)] + [(60, None, 1), (61, [0.0, 0.0, 0.0], 1), (62, [1.0], 1), (63, [float("nan"), 1.0, 1.0], 1)]
+    df = spark.createDataFrame(rows, "block_id long, embedding array<double>, label int").repartition(3)
+    asked = df.where("block_id % 20 = 0").select(F.col("block_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+
+    def score(a, b):
+        dot = lambda x, y: sum(p * q for p, q in zip(x, y))
+        return min(1.0, max(0.0, (dot(a, b) / (math.sqrt(dot(b, b)) * math.sqrt(dot(a, a))) + 1) / 2))
+
+    expected = set()
+    for q in (0, 20, 40):
+        best = sorted((-score(rows[q][1], v), i) for i, v, _ in rows[:60] if i != q)[:5]
+        expected |= {(q, i, n + 1, round(-s, 9)) for n, (s, i) in enumerate(best)}
+    got = retrieval.dense_topk_per_query(df, asked, 5).collect()
+    assert {(r["query_id"], r["block_id"], r["rank"], round(r["vector_score"], 9)) for r in got} == expected and len(got) == 15
