@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +15,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Words as the contracts define them: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -32,16 +36,22 @@ def word_count(text: Column) -> Column:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below the one that driver and executors share.
 
-    The cluster names it in spark.checkpoint.dir. Only where that is unset (tests on one
-    machine) a temporary folder takes its place.
+    The cluster names it in spark.checkpoint.dir; without it a cluster gets an error. Only where
+    driver and tasks are one process (tests) a temporary folder takes its place.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="corvane-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/corvane-{uuid.uuid4().hex}"
 
 
+#: Folders that materialize() wrote since the innermost scratch() began.
+_WRITTEN: ContextVar[list[str] | None] = ContextVar("written", default=None)
+
+
 def materialize(df: DataFrame, spark: SparkSession | None = None) -> DataFrame:
     """Write a table to the shared folder and read it back: later steps restart from the files.
 
@@ -50,33 +60,81 @@ def materialize(df: DataFrame, spark: SparkSession | None = None) -> DataFrame:
     spark = spark or df.sparkSession
     path = shared_dir(spark)
     df.write.parquet(path)
+    if (written := _WRITTEN.get()) is not None:
+        written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Remove the tables that materialize() writes inside, once their last reader is done."""
+    outer = _WRITTEN.set([])
+    try:
+        yield
+    finally:
+        for path in _WRITTEN.get():
+            _remove(spark, path)
+        _WRITTEN.reset(outer)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def discard(df: DataFrame) -> None:
     """Remove the files of a materialized table that nothing reads any more."""
-    spark = df.sparkSession
     for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         if "/corvane-" in name:
-            path = spark._jvm.org.apache.hadoop.fs.Path(name)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            _remove(df.sparkSession, name)
+
 
+def quoted(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")
 
-#: Texts and token ids are wide rows: so many of them travel to and from Python at a time.
-BATCH_ROWS = 1000
 
+def packed_row(docs: DataFrame, added: list[str] | tuple[str, ...] = ()) -> Column:
+    """A row as one structure, so that no name of its columns can clash with those of an operator.
+
+    Columns that bear the name of an added one (in any case) are left out: the added one replaces them.
+    """
+    taken = {n.lower() for n in added}
+    return F.struct(*[quoted(c) for c in docs.columns if c.lower() not in taken]).alias("row")
 
-def bound_batches(spark: SparkSession) -> None:
-    """Hold the session's Arrow batches at BATCH_ROWS rows, so that a worker's memory is a few MB a batch."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
-        spark.conf.set(name, str(BATCH_ROWS))
+
+def extend(docs: DataFrame, used: dict[str, Column], added: str, body: Callable) -> DataFrame:
+    """The rows of docs with further columns (added, as DDL) that body makes from Arrow batches.
+
+    body gets batches of row and the used columns, and gives row and the added ones. An input
+    column of an added name is replaced. Spark bounds the bytes of a batch
+    (spark.sql.execution.arrow.maxBytesPerBatch), so rows of any length fit.
+    """
+    fields = T.StructType.fromDDL(added).fields
+    names = [f.name for f in fields]
+    if not [c for c in docs.columns if c.lower() not in {n.lower() for n in names}]:
+        return docs.select(*[c.alias(n) for n, c in used.items()]).mapInArrow(_without_row(body), T.StructType(fields))
+    wide = docs.select(packed_row(docs, names), *[c.alias(n) for n, c in used.items()])
+    return wide.mapInArrow(body, T.StructType([wide.schema["row"], *fields])).select("row.*", *names)
+
+
+def _without_row(body: Callable) -> Callable:
+    def run(batches):
+        wide = (pa.RecordBatch.from_arrays([pa.nulls(len(b)), *b.columns], ["row", *b.schema.names]) for b in batches)
+        for out in body(wide):
+            yield out.drop_columns(["row"])
+
+    return run
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def scan_parts(df: DataFrame) -> int:
+    """Tasks that a scan is cut into: it grows with the bytes of the input."""
+    return max(1, df.rdd.getNumPartitions())
+
+
 def blocks(batches: Iterator[pa.RecordBatch], text: str, max_chars: int) -> Iterator[tuple[int, pa.Table]]:
     """Regroup a partition's rows into blocks of whole rows, each with a number that no other block has.
 

@@ -21,12 +21,17 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm._common import blocks, bound_batches, expand, materialize, pack, ragged, shuffle_partitions, squeeze, unpack
+from corvane.llm._common import blocks, expand, extend, materialize, pack, ragged, scan_parts, squeeze, unpack
 
 #: UTF-8 bytes of text in a block.
 BLOCK_BYTES = 4 << 20
 #: Words up to this many bytes are merged by scanning; longer ones by a heap.
 SCAN_BYTES = 64
+#: Shuffle partitions a task of the scan, and shards a partition: both follow the input's bytes, so
+#: that a task's and a group's share of the words stay the same at every size.
+PARTS, SHARDS = 2, 2
+#: Rows decoded at a time.
+ROWS = 500
 #: The token-byte table goes to every task, so its size is checked.
 MAX_TOKENS = 2_000_000
 
@@ -188,28 +193,31 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
     """Token ids of every document: doc_id, token_ids (little-endian unsigned 32-bit integers).
 
     One row comes out for each row that goes in, also for repeated rows and null ids. A null or
-    empty text has no ids. Other columns are ignored. Every single byte must have a rank.
-    replayable: docs reads files, so that two scans see the same rows in the same tasks; anything
-    else (a shuffle's output) is written to the shared folder first with replayable=False.
+    empty text has no ids. Other columns are ignored, whatever their names. Ids are integers: a
+    text id that is none is an error. Every single byte must have a rank. replayable: docs reads
+    files, so that two scans see the same rows in the same tasks; anything else (a shuffle's
+    output) is written to the shared folder first with replayable=False.
     """
     spark = docs.sparkSession
-    bound_batches(spark)
-    shards = shards or 4 * shuffle_partitions(spark)
     table = spark.sparkContext.broadcast(ranks)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     if not replayable:
         source = materialize(source)
+    parts = PARTS * scan_parts(source)
+    shards = shards or SHARDS * parts
     words = source.mapInArrow(_splitter(pattern, shards, block_bytes, False), _WORDS)
-    encoded = words.groupBy("shard").applyInArrow(_shard_encoder(table), _WORDS)
+    encoded = words.repartition(parts, "shard").groupBy("shard").applyInArrow(_shard_encoder(table), _WORDS)
     streams = source.mapInArrow(_splitter(pattern, shards, block_bytes, True), _STREAM)
-    return streams.groupBy("block").cogroup(encoded.groupBy("block")).applyInArrow(_assemble, "doc_id long, token_ids binary")
+    both = streams.repartition(parts, "block").groupBy("block").cogroup(encoded.repartition(parts, "block").groupBy("block"))
+    return both.applyInArrow(_assemble, "doc_id long, token_ids binary")
 
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int], ids_col: str = "token_ids", out_col: str = "decoded") -> DataFrame:
     """Add the bytes that a row's ids stand for: a map-side join with the token-byte table.
 
     The table holds one entry a token of the vocabulary, at most MAX_TOKENS, whatever the corpus.
-    Null ids give null; an id outside the table is an error.
+    Null ids give null, no ids no bytes; an id outside the table is an error. Repeated rows each
+    come out; an input column of the added name is replaced.
     """
     if len(ranks) > MAX_TOKENS:
         raise ValueError(f"{len(ranks)} tokens; at most {MAX_TOKENS} are broadcast")
@@ -217,25 +225,35 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int], ids_col: str = "token_id
 
     def run(batches):
         piece = table.value.__getitem__
-        for batch in batches:
-            out = [None if x is None else b"".join(map(piece, np.frombuffer(x, "<u4").tolist())) for x in batch.column(ids_col).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*batch.schema.names, out_col])
+        for batch in _slices(batches):
+            out = [None if x is None else b"".join(map(piece, np.frombuffer(x, "<u4").tolist())) for x in batch.column("ids").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(out, pa.binary())], ["row", out_col])
 
-    return encoded.mapInArrow(run, f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in encoded.schema)}, `{out_col}` binary")
+    return extend(encoded, {"ids": F.col(ids_col)}, f"`{out_col}` binary", run)
+
+
+def _slices(batches):
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
 
 
 def ids_array(encoded: DataFrame, ids_col: str = "token_ids", out_col: str = "ids") -> DataFrame:
-    """Add the ids as array<int>, for readers that want numbers."""
+    """Add the ids as array<int>, for readers that want numbers; null for null. An input column of the name is replaced."""
 
     def run(batches):
-        for batch in batches:
-            out = [None if x is None else np.frombuffer(x, "<u4").astype(np.int32) for x in batch.column(ids_col).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.list_(pa.int32()))], [*batch.schema.names, out_col])
+        for batch in _slices(batches):
+            out = [None if x is None else np.frombuffer(x, "<u4").astype(np.int32) for x in batch.column("packed").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(out, pa.list_(pa.int32()))], ["row", out_col])
 
-    return encoded.mapInArrow(run, f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in encoded.schema)}, `{out_col}` array<int>")
+    return extend(encoded, {"packed": F.col(ids_col)}, f"`{out_col}` array<int>", run)
 
 
 def digest(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
-    """Per document: number of ids, SHA-256 of the ids, SHA-256 of the bytes decoded from them."""
+    """Per row: doc_id, number of ids, SHA-256 of the ids, SHA-256 of the bytes decoded from them.
+
+    Null and empty texts have no ids and the digests of nothing; repeated rows and null ids each
+    come out, one row for one.
+    """
     both = decode(encode(docs, ranks, pattern), ranks)
     return both.select("doc_id", (F.length("token_ids") / 4).cast("long").alias("n_tokens"), F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

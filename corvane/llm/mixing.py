@@ -4,19 +4,20 @@ Documents may belong to several sources. They are summed by membership pattern (
 sources) and by a seeded hash bucket; the flow routes the capacity of patterns to the quotas of
 sources, where each further repetition of a pattern costs more (convex), so that the mix repeats
 as little as it can. Only these sums reach the driver: their number depends on the patterns, not
-on the documents. Documents are then taken whole in seeded order; inside a pattern only the
+on the documents, and is checked (MAX_PATTERNS). Documents are then taken whole in seeded order; inside a pattern only the
 bucket at the cut is sorted, so a source with a third of all rows meets in no single task.
 """
 
 from __future__ import annotations
 
-import heapq
 import json
-from dataclasses import dataclass
+from collections import deque
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.llm._common import packed_row
+
 #: Times that a document can be taken at most.
 MAX_REPEATS = 3
 #: Weights of the sources in order of their code points, null last; repeated as often as needed.
@@ -25,6 +26,8 @@ WEIGHTS = (1, 2, 3)
 BUCKET_DIGITS = 3
 #: The plan has a row a pattern; up to so many it is sent to all tasks, so that no pattern is a hot key.
 BROADCAST_PATTERNS = 20_000
+#: Patterns that the flow takes; more are an error, as the driver holds one sum for each.
+MAX_PATTERNS = 1_000_000
 
 
 def targets(sizes: dict[str | None, int], weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS, total: int | None = None) -> dict[str | None, float]:
@@ -48,64 +51,90 @@ def targets(sizes: dict[str | None, int], weights: tuple[int, ...] = WEIGHTS, ma
     return {s: float(cap[s]) for s in full}
 
 
-@dataclass
-class _Edge:
-    to: int
-    room: int
-    cost: int
-    back: int
+class _Net:
+    """Arcs in pairs (i, i ^ 1): an arc and its way back."""
+
+    def __init__(self, nodes: int):
+        self.out: list[list[int]] = [[] for _ in range(nodes)]
+        self.to: list[int] = []
+        self.room: list[int] = []
+
+    def join(self, a: int, b: int, room: int) -> int:
+        self.out[a].append(len(self.to))
+        self.out[b].append(len(self.to) + 1)
+        self.to += [b, a]
+        self.room += [room, 0]
+        return len(self.to) - 2
+
+    def _levels(self, sink: int) -> list[int]:
+        level = [-1] * len(self.out)
+        level[0] = 0
+        queue = deque([0])
+        while queue:
+            u = queue.popleft()
+            for e in self.out[u]:
+                if self.room[e] and level[self.to[e]] < 0:
+                    level[self.to[e]] = level[u] + 1
+                    queue.append(self.to[e])
+        return level if level[sink] >= 0 else []
+
+    def fill(self, sink: int) -> None:
+        """Push as much as fits from node 0 to the sink, shortest paths first."""
+        while level := self._levels(sink):
+            tried = [0] * len(self.out)
+            path: list[int] = []
+            u = 0
+            while True:
+                if u == sink:
+                    step = min(self.room[e] for e in path)
+                    for e in path:
+                        self.room[e] -= step
+                        self.room[e ^ 1] += step
+                    # Go back to before the first arc that is full now.
+                    full = next(i for i, e in enumerate(path) if not self.room[e])
+                    u = self.to[path[full] ^ 1]
+                    del path[full:]
+                    continue
+                while tried[u] < len(self.out[u]):
+                    e = self.out[u][tried[u]]
+                    if self.room[e] and level[self.to[e]] == level[u] + 1:
+                        break
+                    tried[u] += 1
+                else:
+                    if not path:
+                        break
+                    u = self.to[path.pop() ^ 1]
+                    tried[u] += 1
+                    continue
+                path.append(e)
+                u = self.to[e]
 
 
 def route(patterns: list[tuple[tuple[str | None, ...], int]], quotas: dict[str | None, int], max_repeats: int = MAX_REPEATS) -> list[dict[str | None, int]]:
     """Words of each pattern that go to each source, at least cost; one dict a pattern.
 
-    Successive shortest paths with potentials. The k-th taking of a pattern costs 2k - 2 a word,
-    so a pattern is repeated only once all others that can help have been used as often.
+    The k-th taking of a pattern costs 2k - 2 a word, so a pattern is repeated only once all others
+    that can help have been used as often. Only the arc into a pattern costs anything, so a
+    cheapest path is one whose pattern has been taken least: the flow is filled up one taking at a
+    time, and no filled arc is ever given back.
     """
     sources = list(quotas)
     node = {s: 1 + len(patterns) + i for i, s in enumerate(sources)}
     sink = 1 + len(patterns) + len(sources)
-    graph: list[list[_Edge]] = [[] for _ in range(sink + 1)]
+    net = _Net(sink + 1)
+    entry = [net.join(0, 1 + i, 0) for i in range(len(patterns))]
+    way = [{s: net.join(1 + i, node[s], max_repeats * size) for s in members} for i, (members, size) in enumerate(patterns)]
+    for s in sources:
+        net.join(node[s], sink, quotas[s])
+    for _ in range(max_repeats):
+        for e, (_, size) in zip(entry, patterns):
+            net.room[e] += size
+        net.fill(sink)
+    return [{s: net.room[e ^ 1] for s, e in own.items()} for own in way]
 
-    def join(a: int, b: int, room: int, cost: int) -> None:
-        graph[a].append(_Edge(b, room, cost, len(graph[b])))
-        graph[b].append(_Edge(a, 0, -cost, len(graph[a]) - 1))
 
-    for i, (members, size) in enumerate(patterns):
-        for k in range(max_repeats):
-            join(0, 1 + i, size, 2 * k)
-        for s in members:
-            join(1 + i, node[s], max_repeats * size, 0)
-    for s in sources:
-        join(node[s], sink, quotas[s], 0)
-    potential = [0] * (sink + 1)
-    while True:
-        far = {0: 0}
-        via: dict[int, tuple[int, _Edge]] = {}
-        heap = [(0, 0)]
-        while heap:
-            d, u = heapq.heappop(heap)
-            if d > far[u]:
-                continue
-            for e in graph[u]:
-                if e.room > 0 and d + e.cost + potential[u] - potential[e.to] < far.get(e.to, 1 << 62):
-                    far[e.to] = d + e.cost + potential[u] - potential[e.to]
-                    via[e.to] = (u, e)
-                    heapq.heappush(heap, (far[e.to], e.to))
-        if sink not in far:
-            break
-        reach = max(far.values())
-        potential = [p + far.get(v, reach) for v, p in enumerate(potential)]
-        path, v = [], sink
-        while v:
-            u, e = via[v]
-            path.append(e)
-            v = u
-        step = min(e.room for e in path)
-        for e in path:
-            e.room -= step
-            graph[e.to][e.back].room += step
-    return [{s: graph[e.to][e.back].room for e in graph[1 + i] if e.cost == 0 and e.to >= 1 + len(patterns) for s in [sources[e.to - 1 - len(patterns)]]} for i in range(len(patterns))]
+#: Columns that mix() adds.
+ADDED = ("_size", "_source_size", "_target", "_repeats", "_taken")
 
 
 def mix(docs: DataFrame, members: Column, size: Column, key: str = "doc_id", seed: str = "mix", weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS) -> DataFrame:
@@ -114,21 +143,25 @@ def mix(docs: DataFrame, members: Column, size: Column, key: str = "doc_id", see
     members: array<string> of the sources of a row; a null or empty array counts as the null
     source. size: its words (null: 0). _source_size and _target sum over its sources. Rows of size
     0 take part but carry no words. Repeated rows are separate documents. Reruns agree: the order
-    hangs on the seed and the key alone, then on the size. Every row comes out once.
+    hangs on the seed and the key alone, then on the size. Every row comes out once; input columns
+    of the five names are replaced, all others may bear any name. Keys may be of any type.
     """
     spark = docs.sparkSession
     own = F.array_sort(F.array_distinct(F.when(F.coalesce(F.size(members), F.lit(0)) > 0, members).otherwise(F.array(F.lit(None).cast("string")))))
     # Null keys and null members must meet in joins, so a pattern is named by its JSON.
     named = docs.select(
-        "*",
+        packed_row(docs, ADDED),
         F.coalesce(size, F.lit(0)).cast("long").alias("_size"),
-        F.to_json(F.struct(own.alias("p")), {"ignoreNullFields": "false"}).alias("_pattern"),
-        F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col(key).cast("string"), F.lit("null")))).alias("_hash"),
+        F.to_json(F.struct(own.alias("p")), {"ignoreNullFields": "false"}).alias("pattern"),
+        F.col(key).alias("key"),
+        F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col(key).cast("string"), F.lit("null")))).alias("hash"),
     )
-    bucket = F.conv(F.substring("_hash", 1, BUCKET_DIGITS), 16, 10).cast("int")
-    sums = named.groupBy("_pattern", bucket.alias("_bucket")).agg(F.sum("_size").alias("_words"))
-    totals = sums.groupBy("_pattern").agg(F.sum("_words").alias("words")).orderBy("_pattern").collect()
-    patterns = [(tuple(json.loads(r["_pattern"])["p"]), r["words"]) for r in totals]
+    bucket = F.conv(F.substring("hash", 1, BUCKET_DIGITS), 16, 10).cast("int")
+    sums = named.groupBy("pattern", bucket.alias("bucket")).agg(F.sum("_size").alias("words"))
+    totals = sums.groupBy("pattern").agg(F.sum("words").alias("words")).orderBy("pattern").limit(MAX_PATTERNS + 1).collect()
+    if len(totals) > MAX_PATTERNS:
+        raise ValueError(f"more than {MAX_PATTERNS} patterns of sources")
+    patterns = [(tuple(json.loads(r["pattern"])["p"]), r["words"]) for r in totals]
     sizes: dict[str | None, int] = {}
     for own_sources, words in patterns:
         for s in own_sources:
@@ -139,22 +172,23 @@ def mix(docs: DataFrame, members: Column, size: Column, key: str = "doc_id", see
     for r, (own_sources, words), flow in zip(totals, patterns, flows):
         taken = sum(flow.values())
         whole = min(max_repeats, taken // words) if words else 0
-        plan.append((r["_pattern"], sum(sizes[s] for s in own_sources), float(sum(scale[s] for s in own_sources)), whole, taken - whole * words))
-    plan_df = spark.createDataFrame(plan, "_pattern string, _source_size long, _target double, _whole int, _rest long")
-    order = Window.partitionBy("_pattern").orderBy("_bucket")
+        plan.append((r["pattern"], sum(sizes[s] for s in own_sources), float(sum(scale[s] for s in own_sources)), whole, taken - whole * words))
+    plan_df = spark.createDataFrame(plan, "pattern string, _source_size long, _target double, whole int, rest long")
+    order = Window.partitionBy("pattern").orderBy("bucket")
     edges = (
-        sums.withColumn("_upto", F.sum("_words").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-        .join(plan_df, "_pattern")
-        .where((F.col("_upto") - F.col("_words") <= F.col("_rest")) & (F.col("_rest") > 0))
-        .groupBy("_pattern")
-        .agg(F.max(F.struct("_bucket", (F.col("_rest") - F.col("_upto") + F.col("_words")).alias("_left"))).alias("_cut"))
+        sums.withColumn("upto", F.sum("words").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+        .join(plan_df, "pattern")
+        .where((F.col("upto") - F.col("words") <= F.col("rest")) & (F.col("rest") > 0))
+        .groupBy("pattern")
+        .agg(F.max(F.struct("bucket", (F.col("rest") - F.col("upto") + F.col("words")).alias("left"))).alias("cut"))
     )
-    plan_df = plan_df.join(edges, "_pattern", "left").select("_pattern", "_source_size", "_target", "_whole", F.col("_cut._bucket").alias("_edge"), F.col("_cut._left").alias("_left"))
-    placed = named.join(F.broadcast(plan_df) if len(plan) <= BROADCAST_PATTERNS else plan_df, "_pattern").withColumn("_bucket", bucket)
-    inside = F.col("_bucket") == F.col("_edge")
+    plan_df = plan_df.join(edges, "pattern", "left").select("pattern", "_source_size", "_target", "whole", F.col("cut.bucket").alias("edge"), F.col("cut.left").alias("left"))
+    placed = named.join(F.broadcast(plan_df) if len(plan) <= BROADCAST_PATTERNS else plan_df, "pattern").withColumn("bucket", bucket)
+    inside = F.col("bucket") == F.col("edge")
     at_edge = placed.where(inside)
-    before = F.sum("_size").over(Window.partitionBy("_pattern").orderBy("_hash", F.col(key), "_size").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_size")
-    chosen = placed.where(~F.coalesce(inside, F.lit(False))).withColumn("_more", F.coalesce(F.col("_bucket") < F.col("_edge"), F.lit(False)))
+    before = F.sum("_size").over(Window.partitionBy("pattern").orderBy("hash", "key", "_size").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_size")
+    chosen = placed.where(~F.coalesce(inside, F.lit(False))).withColumn("more", F.coalesce(F.col("bucket") < F.col("edge"), F.lit(False)))
     # The document at the cut is taken if that brings the source nearer to its target.
-    chosen = chosen.unionByName(at_edge.withColumn("_more", 2 * before + F.col("_size") <= 2 * F.col("_left")))
-    return chosen.withColumn("_repeats", F.col("_whole") + F.col("_more").cast("int")).withColumn("_taken", F.col("_repeats") * F.col("_size")).drop("_pattern", "_hash", "_whole", "_edge", "_left", "_bucket", "_more")
+    chosen = chosen.unionByName(at_edge.withColumn("more", 2 * before + F.col("_size") <= 2 * F.col("left")))
+    repeats = F.col("whole") + F.col("more").cast("int")
+    return chosen.select("row.*", "_size", "_source_size", "_target", repeats.alias("_repeats"), (repeats * F.col("_size")).alias("_taken"))
