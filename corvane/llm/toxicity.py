@@ -4,7 +4,8 @@ Categories are predicted one after the other by linear models over the words of
 model also sees the probabilities that the chain gave to the earlier categories; in training
 these come from out-of-fold predictions, so that later models learn how far they can be trusted.
 Models are fitted on a bounded sample of labelled documents (SAMPLE rows of each class, drawn by
-hash, weighted back to the share of their class); every document is scored whole.
+hash, weighted back to the share of their class), each with its whole text, as numbers of the
+VOCABULARY most frequent words; every document is scored whole.
 """
 
 from __future__ import annotations
@@ -18,8 +19,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Labelled rows of each class of the last category that are fitted at most, and characters of such a text.
-SAMPLE, SAMPLE_CHARS = 2500, 40_000
+from corvane.llm._common import extend, materialize
+
+#: Labelled rows of each class of the last category that are fitted at most.
+SAMPLE = 2500
+#: Words that a chain knows at most: the most frequent of the sample, equals by code point.
+VOCABULARY = 65_536
 #: A word is a feature if so many sampled texts have it.
 MIN_TEXTS = 5
 FOLDS, STEPS, RATE, PENALTY = 3, 100, 0.15, 0.5
@@ -65,63 +70,85 @@ def _fit(rows: np.ndarray, cols: np.ndarray, n: int, width: int, dense: np.ndarr
     return theta[:width], theta[width:-1], float(theta[-1])
 
 
-def fit_chain(texts: list[set[str]], labels: np.ndarray, weight: np.ndarray, fold: np.ndarray, categories: tuple[str, ...]) -> Chain:
-    """labels: [row, category] of 0 and 1. A category of one class only gets a constant model."""
-    counts: dict[str, int] = {}
-    for own in texts:
-        for w in own:
-            counts[w] = counts.get(w, 0) + 1
-    vocabulary = {w: i for i, w in enumerate(sorted(w for w, c in counts.items() if c >= MIN_TEXTS))}
-    pairs = [(r, vocabulary[w]) for r, own in enumerate(texts) for w in own if w in vocabulary]
-    rows, cols = np.array(pairs, np.int64).reshape(-1, 2).T
-    earlier = np.zeros((len(texts), 0))
+def fit_chain(features: list[np.ndarray], vocabulary: dict[str, int], labels: np.ndarray, weight: np.ndarray, fold: np.ndarray, categories: tuple[str, ...]) -> Chain:
+    """features: the numbers of each row's words; labels: [row, category] of 0 and 1.
+
+    A category of one class only gets a constant model.
+    """
+    n, width = len(features), len(vocabulary)
+    rows = np.repeat(np.arange(n), [len(own) for own in features])
+    cols = np.concatenate([*features, np.zeros(0, np.int64)]).astype(np.int64)
+    earlier = np.zeros((n, 0))
     links = []
     for k in range(len(categories)):
         y = labels[:, k].astype(float)
         if len(y) == 0 or y.min() == y.max():
-            links.append((np.zeros(len(vocabulary)), np.zeros(k), 40.0 if len(y) and y[0] else -40.0))
+            links.append((np.zeros(width), np.zeros(k), 40.0 if len(y) and y[0] else -40.0))
             out_of_fold = y
         else:
-            links.append(_fit(rows, cols, len(texts), len(vocabulary), earlier, y, weight))
+            links.append(_fit(rows, cols, n, width, earlier, y, weight))
             out_of_fold = np.zeros(len(y))
             for f in range(FOLDS):
                 other = fold != f
                 if not other.any() or other.all():
                     continue
-                w, d, b = _fit(rows, cols, len(texts), len(vocabulary), earlier, y, np.where(other, weight, 0.0))
-                z = np.bincount(rows, w[cols], len(texts)) + earlier @ d + b
+                w, d, b = _fit(rows, cols, n, width, earlier, y, np.where(other, weight, 0.0))
+                z = np.bincount(rows, w[cols], n) + earlier @ d + b
                 out_of_fold[~other] = 1 / (1 + np.exp(-np.clip(z[~other], -40, 40)))
         earlier = np.column_stack([earlier, out_of_fold])
     return Chain(categories, vocabulary, links)
 
 
+def _word_sets(batches):
+    for batch in batches:
+        words = [sorted(words_of(t)) for t in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(words, pa.list_(pa.string()))], ["row", "words"])
+
+
 def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], sample: int = SAMPLE) -> Chain:
     """Fit the chain. categories: name to 0/1 column over labels, in the chain's order; labels has doc_id.
 
-    Rows with a null id or a null category are left out. The sample is drawn by a hash of id and
-    labels, so reruns agree.
+    Rows with a null id or a null category, and documents with null or empty text, are left out;
+    repeated rows count once. The sample is drawn by a hash of id and labels, so reruns agree; ties
+    go to the smaller id. The words of the sampled documents, however long, are counted in the
+    cluster; the driver gets the vocabulary and the numbers of each sampled row's words. Without
+    labelled documents every probability is that of the constant model, 0.
     """
+    spark = docs.sparkSession
     names = list(categories)
-    marked = labels.select("doc_id", *[c.cast("int").alias(n) for n, c in categories.items()]).dropna()
+    marked = labels.select("doc_id", *[c.cast("int").alias(f"y{i}") for i, c in enumerate(categories.values())]).dropna()
+    last = f"y{len(names) - 1}"
     # A top-k for each class: every task keeps `sample` rows at most, so no class is a hot key.
-    order = [F.md5(F.concat_ws("|", "doc_id", *names)), F.col("doc_id")]
-    first, second = (marked.where(F.col(names[-1]) == c).orderBy(*order).limit(sample) for c in (0, 1))
-    drawn = first.union(second)
-    total = {r[names[-1]]: r["count"] for r in marked.groupBy(names[-1]).count().collect()}
+    order = [F.md5(F.concat_ws("|", *marked.columns)), F.col("doc_id")]
+    first, second = (marked.where(F.col(last) == c).orderBy(*order).limit(sample) for c in (0, 1))
+    total = {r[last]: r["count"] for r in marked.groupBy(last).count().collect()}
     # At most 2 * sample rows: a bounded broadcast.
-    texts = docs.where((F.length("text") > 0) & (F.length("text") <= SAMPLE_CHARS)).select("doc_id", "text").join(F.broadcast(drawn), "doc_id").dropDuplicates()
-    rows = sorted(texts.collect(), key=lambda r: (r["doc_id"], r["text"]))
-    y = np.array([[r[n] for n in names] for r in rows], np.int64).reshape(-1, len(names))
-    last = y[:, -1] if len(y) else np.zeros(0, np.int64)
-    weight = np.array([total[c] / (last == c).sum() for c in last.tolist()])
+    texts = docs.where(F.length("text") > 0).select("doc_id", "text").join(F.broadcast(first.union(second)), "doc_id").select(*marked.columns, F.col("text").alias("_t"))
+    drawn = materialize(extend(texts, {"text": F.col("_t")}, "words array<string>", _word_sets).drop("_t").dropDuplicates())
+    counts = drawn.select(F.explode("words").alias("word")).groupBy("word").count().where(F.col("count") >= MIN_TEXTS)
+    vocabulary = {w: i for i, w in enumerate(sorted(r["word"] for r in counts.orderBy(F.desc("count"), "word").limit(VOCABULARY).collect()))}
+    known = spark.sparkContext.broadcast(vocabulary)
+
+    def number(batches):
+        get = known.value.get
+        for batch in batches:
+            own = [[i for w in words if (i := get(w)) is not None] for words in batch.column("words").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(own, pa.list_(pa.int32()))], ["row", "own"])
+
+    rows = extend(drawn, {"words": F.col("words")}, "own array<int>", number).drop("words").collect()
+    rows = sorted(rows, key=lambda r: (r["doc_id"], r["own"], *[r[c] for c in marked.columns[1:]]))
+    y = np.array([[r[c] for c in marked.columns[1:]] for r in rows], np.int64).reshape(-1, len(names))
+    decisive = y[:, -1]
+    weight = np.array([total[c] / (decisive == c).sum() for c in decisive.tolist()])
     fold = np.array([zlib.crc32(str(r["doc_id"]).encode()) % FOLDS for r in rows])
-    return fit_chain([words_of(r["text"]) for r in rows], y, weight, fold, tuple(names))
+    return fit_chain([np.array(r["own"], np.int64) for r in rows], vocabulary, y, weight, fold, tuple(names))
 
 
 def classify(docs: DataFrame, chain: Chain, text_col: str = "text", prefix: str = "p_") -> DataFrame:
     """Add p_<category> for each category. Texts that are null or without letters get probability 0.
 
-    Repeated rows each come out; the input's columns stay as they are.
+    Repeated rows each come out; the input's columns stay as they are, but those of the added
+    names are replaced.
     """
     held = docs.sparkSession.sparkContext.broadcast(chain)
     names = [f"{prefix}{c}" for c in chain.categories]
@@ -129,12 +156,11 @@ def classify(docs: DataFrame, chain: Chain, text_col: str = "text", prefix: str
     def run(batches):
         own = held.value
         for batch in batches:
-            rows = [own.predict(w) if (w := words_of(t)) else [0.0] * len(names) for t in batch.column(text_col).to_pylist()]
+            rows = [own.predict(w) if (w := words_of(t)) else [0.0] * len(names) for t in batch.column("text").to_pylist()]
             columns = np.array(rows, float).reshape(-1, len(names)).T
-            yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, columns)], [*batch.schema.names, *names])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), *map(pa.array, columns)], ["row", *names])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, ", ".join([schema, *(f"`{n}` double" for n in names)]))
+    return extend(docs, {"text": F.col(text_col).cast("string")}, ", ".join(f"`{n}` double" for n in names), run)
 
 
 def default_categories() -> dict[str, Column]:
