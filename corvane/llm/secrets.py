@@ -1,10 +1,11 @@
 """Secret scans with a trigram inverted index.
 
 From each rule's pattern a Boolean query over trigrams is derived that every match must satisfy.
-Documents are indexed in segments (bounded blocks of a partition): postings of the trigrams that
-any rule asks for. A rule intersects and unites postings as its query says and runs its pattern
-only over the candidates; a rule without mandatory trigrams scans every document. Segments are
-independent, so nothing is shuffled and memory is bounded by a segment.
+Documents are indexed in segments (bounded blocks of a partition): one pass over the bytes of a
+segment gives sorted postings (documents by trigram) of all trigrams that any rule asks for. A
+rule intersects and unites postings as its query says and runs its pattern only over the
+candidates; a rule without mandatory trigrams scans every document. Segments are independent, so
+nothing is shuffled and memory is bounded by a segment and its longest document.
 """
 
 from __future__ import annotations
@@ -18,9 +19,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from corvane.llm._common import blocks
+from corvane.llm._common import blocks, extend, quoted
 
 #: UTF-8 bytes of text in a segment of the index.
 SEGMENT_BYTES = 4 << 20
@@ -46,7 +46,8 @@ class Rule:
 BASE_RULES = (
     Rule("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6, True),
     Rule("access", r"AKIA[A-Z0-9]+", 0, 20),
-    Rule("hex", r"[0-9a-f]+", 0, 24),
+    # The runs [0-9a-f]+ of 24 characters and more, without stopping at each shorter one.
+    Rule("hex", r"[0-9a-f]{24,}", 0, 24),
 )
 #: A line's end, as such or escaped as in JSON, with what quotes or indents the next line.
 _NEXT = r"[ \t]*(?:[\r\n]|\\[rn])(?:[\s>]|\\[nrt])*"
@@ -155,43 +156,73 @@ def candidates(query: Query, index: dict[bytes, np.ndarray], everything: np.ndar
     return out
 
 
-def _segment(texts: list[str], rules: tuple[Rule, ...], compiled, queries) -> list[list[tuple[str, int, int]]]:
-    low = [t.encode().lower() for t in texts]
-    wanted = set().union(*map(trigrams, queries))
-    index = {g: np.array([i for i, t in enumerate(low) if g in t], np.int64) for g in wanted}
-    everything = np.arange(len(texts))
-    found: list[list[tuple[int, int, str, int]]] = [[] for _ in texts]
-    for k, (rule, pattern, query) in enumerate(zip(rules, compiled, queries)):
-        for i in candidates(query, index, everything).tolist():
-            for m in pattern.finditer(texts[i]):
-                if m.end(rule.group) - m.start(rule.group) >= rule.length:
-                    found[i].append((m.start(), k, rule.kind, m.end()))
-    return [[(kind, start, end) for start, _, kind, end in sorted(f)] for f in found]
+def _code(trigram: bytes) -> int:
+    return trigram[0] << 16 | trigram[1] << 8 | trigram[2]
 
 
-def _scanner(rules: tuple[Rule, ...], bytes_: int):
+class Index:
+    """Sorted postings of the wanted trigrams over the lower-cased bytes of a segment's documents."""
+
+    def __init__(self, wanted: set[bytes]):
+        self.wanted = sorted(wanted)
+        self.flag = np.zeros(1 << 24, bool)
+        self.flag[[_code(g) for g in self.wanted]] = True
+
+    def postings(self, texts: list[str]) -> dict[bytes, np.ndarray]:
+        # 0xFF is in no UTF-8 text, so no wanted trigram reaches over a document's end.
+        parts = [t.encode().lower() for t in texts]
+        data = np.frombuffer(b"\xff".join([*parts, b"\xff"]), np.uint8).astype(np.int32)
+        codes = data[:-2] << 16 | data[1:-1] << 8 | data[2:]
+        at = np.flatnonzero(self.flag[codes])
+        ends = np.cumsum(np.fromiter((len(p) + 1 for p in parts), np.int64, len(parts)))
+        pairs = np.unique(codes[at].astype(np.int64) * (len(texts) + 1) + np.searchsorted(ends, at, side="right"))
+        keys = np.array([_code(g) for g in self.wanted], np.int64) * (len(texts) + 1)
+        low, high = np.searchsorted(pairs, keys), np.searchsorted(pairs, keys + len(texts) + 1)
+        return {g: pairs[i:j] - k for g, i, j, k in zip(self.wanted, low, high, keys)}
+
+
+class Scanner:
+    """The rules' patterns, their trigram queries and the index that answers them."""
+
+    def __init__(self, rules: tuple[Rule, ...]):
+        self.rules = [(k, r, r.compile(), trigram_query(r.pattern)) for k, r in enumerate(rules)]
+        self.index = Index(set().union(*(trigrams(q) for *_, q in self.rules)))
+
+    def spans(self, texts: list[str]) -> list[list[tuple[str, int, int]]]:
+        """(kind, start, end) of each text, by start, then by the order of the rules."""
+        postings = self.index.postings(texts)
+        everything = np.arange(len(texts))
+        found: list[list[tuple[int, int, str, int]]] = [[] for _ in texts]
+        for k, rule, pattern, query in self.rules:
+            for i in candidates(query, postings, everything).tolist():
+                for m in pattern.finditer(texts[i]):
+                    if m.end(rule.group) - m.start(rule.group) >= rule.length:
+                        found[i].append((m.start(), k, rule.kind, m.end()))
+        return [[(kind, start, end) for start, _, kind, end in sorted(f)] for f in found]
+
+
+def _finder(rules: tuple[Rule, ...], bytes_: int, out: str):
     def run(batches):
-        compiled = [r.compile() for r in rules]
-        queries = [trigram_query(r.pattern) for r in rules]
+        scanner = Scanner(rules)
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
-        for _, table in blocks(batches, "_scan", bytes_):
-            spans = _segment([t or "" for t in table["_scan"].to_pylist()], rules, compiled, queries)
+        for _, table in blocks(batches, "text", bytes_):
+            spans = scanner.spans([t or "" for t in table["text"].to_pylist()])
             rows = [[{"kind": a, "start": b, "end": c} for a, b, c in s] for s in spans]
-            yield from table.drop_columns("_scan").append_column("spans", pa.array(rows, kind)).combine_chunks().to_batches()
+            yield from table.select(["row"]).append_column(out, pa.array(rows, kind)).combine_chunks().to_batches()
 
     return run
 
 
-def scan(docs: DataFrame, keep: list[str], text_col: str = "text", rules: tuple[Rule, ...] = RULES, segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
-    """The columns `keep` and spans: array<struct<kind, start, end>> of every row's whole text.
+def scan(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES, segment_bytes: int = SEGMENT_BYTES, spans_out: str = "spans") -> DataFrame:
+    """Add spans: array<struct<kind, start, end>> of every row's whole text.
 
     Positions are code points, the end exclusive; spans are sorted by start, then by the order of
     the rules. Matches of a rule are the leftmost that don't overlap; those of different rules may.
-    Null and empty texts have no spans. Repeated rows each come out.
+    Null and empty texts have no spans. Repeated rows each come out; an input column of the added
+    name is replaced.
     """
-    span = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
-    out = T.StructType([*docs.select(*keep).schema.fields, T.StructField("spans", T.ArrayType(span))])
-    return docs.select(*keep, F.col(text_col).cast("string").alias("_scan")).mapInArrow(_scanner(rules, segment_bytes), out)
+    added = f"`{spans_out}` array<struct<kind: string, start: int, end: int>>"
+    return extend(docs, {"text": F.col(text_col).cast("string")}, added, _finder(rules, segment_bytes, spans_out))
 
 
 def joined(spans: Column) -> Column:
@@ -200,29 +231,41 @@ def joined(spans: Column) -> Column:
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256 and spans of every document."""
-    found = scan(docs, ["doc_id"])
+    """doc_id, n_assign, n_access, n_hex, base_sha256 and spans of every row.
+
+    Null and empty texts have none, and the digest of nothing; repeated rows each come out, and ids
+    may be null or of any type.
+    """
+    found = scan(docs.select("doc_id", "text"))
     kinds = [r.kind for r in BASE_RULES]
     count = [F.size(F.expr(f"filter(spans, s -> s.kind = '{k}')")).cast("long").alias(f"n_{k}") for k in kinds]
     base = F.filter("spans", lambda s: s["kind"].isin(kinds))
     return found.select("doc_id", *count, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
-def redact(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The rows with each secret's characters replaced by one [SECRET]; overlapping spans count as one."""
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text_col}`").alias("text"))
-    # The row travels as one structure, so none of its columns can clash.
-    found = scan(whole, ["row"], "text", rules)
-    text = F.col(f"row.`{text_col}`")
-    # Spans come sorted by start: fold them into (text so far, end of what is written).
-    first = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
+def redacted(text: str, spans: list[tuple[str, int, int]]) -> str:
+    """The text with one [SECRET] for each span; overlapping spans count as one."""
+    out, at = [], 0
+    for _, start, end in spans:
+        if start >= at:
+            out += [text[at:start], "[SECRET]"]
+        at = max(at, end)
+    return "".join([*out, text[at:]])
 
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.when(s["start"] >= acc["at"], F.concat(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit("[SECRET]"))).otherwise(F.lit(""))
-        return F.struct(F.concat(acc["out"], gap).alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
 
-    def finish(acc: Column) -> Column:
-        return F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text) - acc["at"]))
+def redact(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES, segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
+    """The rows with each secret's characters replaced by one [SECRET]; overlapping spans count as one.
 
-    clean = F.when(F.size("spans") > 0, F.aggregate("spans", first, step, finish)).otherwise(text)
-    return found.select(*[(clean if c == text_col else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+    Every row comes out, repeated ones too, with its columns in their order; null and empty texts
+    stay as they are. The work is linear in the length of a text.
+    """
+
+    def run(batches):
+        scanner = Scanner(rules)
+        for _, table in blocks(batches, "text", segment_bytes):
+            texts = table["text"].to_pylist()
+            spans = scanner.spans([t or "" for t in texts])
+            clean = [redacted(t, s) if s else t for t, s in zip(texts, spans)]
+            yield from table.select(["row"]).append_column(text_col, pa.array(clean, pa.string())).combine_chunks().to_batches()
+
+    return extend(docs, {"text": F.col(f"`{text_col}`").cast("string")}, f"`{text_col}` string", run).select(*[quoted(c) for c in docs.columns])
