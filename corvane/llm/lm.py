@@ -9,7 +9,7 @@ Plan: blocks of documents send their distinct words and word pairs, with counts,
 hash; a shard sums them over the corpus and answers each block in the block's own order. A second
 scan sends the order of a block's tokens straight to that join. What results, a block's token
 order with corpus counts, is written once: the held-out statistics and the scores both read it.
-Held-out tokens reach the driver only as a histogram over a fixed grid of probabilities. A
+Held-out tokens reach the driver only as sums over a fixed grid of probabilities. A
 frequent word travels once a block, so no key is hot.
 """
 
@@ -24,10 +24,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm._common import ASCII_LOWER, WORD, blocks, expand, materialize, pack, shuffle_partitions, squeeze, unpack
+from corvane.llm._common import ASCII_LOWER, WORD, blocks, expand, materialize, pack, scan_parts, squeeze, unpack
 
 #: UTF-8 bytes of text in a block.
 BLOCK_BYTES = 8 << 20
+#: Shuffle partitions a task of the scan, and shards a partition: both follow the input's bytes, so
+#: that a task's and a group's share of the counts stay the same at every size.
+PARTS, SHARDS = 2, 2
 #: Buckets of context frequency: powers of two.
 BUCKETS = 40
 #: Steps of the histogram in an octave of probability, and its width on either axis.
@@ -38,7 +41,7 @@ END, BEGIN = xxhash.xxh64_intdigest(b"\n</s>"), xxhash.xxh64_intdigest(b"\n<s>")
 
 _KEYS = "block long, shard long, level int, keys binary, total binary, held binary, fresh long"
 _STREAM = "block long, words binary, stream binary, counts binary, ids array<long>"
-_BOTH = "block long, stream binary, counts binary, ids array<long>, ones binary, twos binary, train_tokens long, held_tokens long, fresh long, cells array<long>, cell_counts array<long>"
+_BOTH = "block long, stream binary, counts binary, ids array<long>, ones binary, twos binary, train_tokens long, held_tokens long, fresh long, cells array<long>, cell_counts array<long>, cell_shares array<double>, cell_words array<double>"
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -128,7 +131,7 @@ def _rows(block: int, level: int, keys: np.ndarray, counts: list[np.ndarray], sh
     return [(block, int(shard[i]), level, _pack_keys(keys[i:j]), pack(counts[0][order[i:j]]), pack(counts[1][order[i:j]]), 0) for i, j in zip(cuts, cuts[1:])]
 
 
-_KINDS = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
+_KINDS = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64()), "array<double>": pa.list_(pa.float64())}
 
 
 def _batch(schema: str, rows: list[tuple]) -> pa.RecordBatch:
@@ -190,10 +193,11 @@ def _join_block(key: tuple[pa.Scalar, ...], streams: pa.Table, answers: pa.Table
     context, word = codes[seen] // len(words), codes[seen] % len(words)
     rest_c, rest_w = (ones - ones_held)[context], (ones - ones_held)[word]
     share = np.divide((twos - twos_held)[seen], rest_c, out=np.zeros(len(seen)), where=rest_c > 0)
-    # Shares are at most 1 and counts at least 1: each fills its half of the grid twice as finely as needed.
+    # Shares are at most 1 and counts at least 1. A cell keeps sums, so that its mean stands for its tokens.
     cell = (_bucket(rest_c) * WIDTH + _step(share)) * WIDTH + _step(rest_w.astype(float) / 2**16)
     cells, at = np.unique(cell, return_inverse=True)
-    out = (head["block"], head["stream"], head["counts"], head["ids"], pack(ones), pack(twos), int(counts[roles > 0].sum()), int(counts[roles == 2].sum()), sum(r["fresh"] for r in rows), cells, np.bincount(at, times[seen], len(cells)).astype(np.int64))
+    n = times[seen]
+    out = (head["block"], head["stream"], head["counts"], head["ids"], pack(ones), pack(twos), int(counts[roles > 0].sum()), int(counts[roles == 2].sum()), sum(r["fresh"] for r in rows), cells, np.bincount(at, n, len(cells)).astype(np.int64), np.bincount(at, n * share, len(cells)), np.bincount(at, n * rest_w, len(cells)))
     return pa.Table.from_batches([_batch(_BOTH, [out])])
 
 
@@ -202,15 +206,14 @@ def _bucket(context: np.ndarray) -> np.ndarray:
     return np.where(context > 0, np.minimum(np.log2(np.maximum(context, 1)).astype(np.int64) + 1, BUCKETS - 1), 0)
 
 
-def learn_weights(cells: np.ndarray, counts: np.ndarray, tokens: int, distinct: int, rounds: int = EM_ROUNDS) -> np.ndarray:
-    """[bucket, (pair, word, uniform)] weights by expectation-maximisation on the held-out histogram.
+def learn_weights(bucket: np.ndarray, share: np.ndarray, word: np.ndarray, counts: np.ndarray, distinct: int, rounds: int = EM_ROUNDS) -> np.ndarray:
+    """[bucket, (pair, word, uniform)] weights by expectation-maximisation on held-out tokens.
 
-    Buckets without held-out tokens take the weights of all tokens together; the uniform part
-    never vanishes, so every text has a probability.
+    counts tokens of a bucket have the probabilities share (of the pair) and word. Buckets without
+    held-out tokens take the weights of all tokens together; the uniform part never vanishes, so
+    every text has a probability.
     """
-    bucket, share, word = cells // (WIDTH * WIDTH), cells // WIDTH % WIDTH, cells % WIDTH
-    back = lambda s: np.where(s > 0, 2.0 ** ((s - WIDTH // 2) / STEPS), 0.0)
-    p = np.stack([np.minimum(back(share), 1.0), back(word) * 2**16 / max(tokens, 1), np.full(len(cells), 1.0 / (distinct + 1))], axis=1)
+    p = np.stack([share, word, np.full(len(share), 1.0 / (distinct + 1))], axis=1)
 
     def fit(p: np.ndarray, n: np.ndarray) -> np.ndarray:
         weight = np.array([0.5, 0.4, 0.1])
@@ -254,19 +257,26 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block
 
     Tokens are A-Z-lower-cased words and one end; a null text has only the end. base_score is the
     add-one unigram log10 probability, score that of the interpolated model. Repeated rows each
-    count and come out; a null id trains. replayable as in bpe.encode. Without training documents
-    all probability is uniform.
+    count and come out; a null id trains; ids are integers. Other columns are ignored, whatever
+    their names. replayable as in bpe.encode. Without training documents all probability is uniform.
     """
     spark = docs.sparkSession
-    shards = shards or 4 * shuffle_partitions(spark)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     if not replayable:
         source = materialize(source)
-    answers = source.mapInArrow(_split(shards, block_bytes, False), _KEYS).groupBy("level", "shard").applyInArrow(_sum_shard, _KEYS)
+    parts = PARTS * scan_parts(source)
+    shards = shards or SHARDS * parts
+    keys = source.mapInArrow(_split(shards, block_bytes, False), _KEYS)
+    answers = keys.repartition(parts, "level", "shard").groupBy("level", "shard").applyInArrow(_sum_shard, _KEYS)
     streams = source.mapInArrow(_split(shards, block_bytes, True), _STREAM)
-    joined = materialize(streams.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_join_block, _BOTH))
+    both = streams.repartition(parts, "block").groupBy("block").cogroup(answers.repartition(parts, "block").groupBy("block"))
+    joined = materialize(both.applyInArrow(_join_block, _BOTH))
     totals = joined.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("train_tokens", "held_tokens", "fresh")]).first()
-    grid = joined.select(F.explode(F.arrays_zip("cells", "cell_counts")).alias("c")).groupBy("c.cells").agg(F.sum("c.cell_counts").alias("n")).toPandas()
-    weights = learn_weights(grid["cells"].to_numpy(np.int64), grid["n"].to_numpy(np.float64), totals["train_tokens"] - totals["held_tokens"], totals["fresh"])
+    names = ("cell_counts", "cell_shares", "cell_words")
+    grid = joined.select(F.explode(F.arrays_zip("cells", *names)).alias("c")).groupBy("c.cells").agg(*[F.sum(f"c.{n}").alias(n) for n in names]).orderBy("cells").toPandas()
+    n = grid["cell_counts"].to_numpy(np.float64)
+    rest = max(totals["train_tokens"] - totals["held_tokens"], 1)
+    bucket = grid["cells"].to_numpy(np.int64) // (WIDTH * WIDTH)
+    weights = learn_weights(bucket, grid["cell_shares"].to_numpy(np.float64) / n, grid["cell_words"].to_numpy(np.float64) / n / rest, n, totals["fresh"])
     held = spark.sparkContext.broadcast(weights)
     return joined.select("stream", "counts", "ids", "ones", "twos").mapInArrow(_scorer(held, totals["train_tokens"], totals["fresh"]), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
