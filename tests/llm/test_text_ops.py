@@ -27,7 +27,8 @@ ROWS = [(i if i != 3 else None, t, "en", "s") for i, t in enumerate(TEXTS)] + [(
 def docs(spark):
     """Extra columns bear names that operators use inside."""
     df = spark.createDataFrame(ROWS, "doc_id long, text string, lang string, source string")
-    return df.withColumns({"block": F.lit(1), "shard": F.lit("x"), "_h": F.lit(2), "spans": F.lit("y"), "id": F.lit(7)}).repartition(3).cache()
+    clash = {n: F.lit("y") for n in ("block", "shard", "_h", "spans", "id", "row", "decoded", "ids", "words", "own", "P_Toxic", "p_low_quality", "score", "lang_pred", "h", "piece", "share", "used")}
+    return df.withColumns(clash).repartition(3).cache()
 
 
 @pytest.fixture(scope="module")
@@ -55,6 +56,26 @@ def test_bpe_equals_the_library(docs, ranks):
     assert bag(both.collect()) == Counter(expected)
 
 
+def test_added_columns_replace_those_of_their_name(docs, ranks):
+    chain = toxicity.Chain(("low_quality", "toxic"), {}, [(np.zeros(0), np.zeros(0), -40.0), (np.zeros(0), np.zeros(1), -40.0)])
+    for out, names in (
+        (toxicity.classify(docs, chain), ("p_low_quality", "p_toxic")),
+        (langid.predict(docs, langid.Model({"en": ["hello"]})), ("lang_pred", "score")),
+        (secrets.scan(docs), ("spans",)),
+        (bpe.ids_array(bpe.decode(docs.withColumn("token_ids", F.lit(None).cast("binary")), ranks)), ("decoded", "ids")),
+    ):
+        lower = [c.lower() for c in out.columns]
+        assert len(set(lower)) == len(lower) and set(names) <= set(out.columns) and out.count() == len(ROWS)
+        assert {"row", "block", "doc_id"} <= set(lower) and bag(out.select("doc_id", "text", "row", "block").collect()) == Counter((i, t, "y", "y") for i, t, *_ in ROWS)
+
+
+def test_text_ids_are_an_error_where_ids_are_packed(spark, ranks):
+    df = spark.createDataFrame([("x1", "a b")], "doc_id string, text string")
+    with pytest.raises(Exception, match="x1"):
+        bpe.encode(df, ranks, public_tokenizers.PATTERN, replayable=False).collect()
+    assert [r["doc_id"] for r in langid.evaluate(df.withColumn("lang", F.lit("en"))).collect()] == ["x1"]
+
+
 def test_bpe_ids_array(docs, ranks):
     rows = bpe.ids_array(bpe.encode(docs.where("doc_id = 8"), ranks, public_tokenizers.PATTERN, replayable=False)).collect()
     assert [r["ids"] for r in rows] == [[31373, 23748, 995]] * 2
@@ -115,9 +136,8 @@ def test_token_counts_rows(docs, empty, ranks):
     first, inside = wordpiece.vocabulary(ranks)
     automaton = wordpiece.Automaton(first, inside)
     own = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for _, t, *_ in ROWS]
-    expected = Counter((i, len(w), sum(greedy(x.encode(), first, inside) for x in w)) for (i, *_), w in zip(ROWS, own) if max(map(len, w), default=0) < 100)
-    got = bag(wordpiece.count_tokens(docs, automaton).collect())
-    assert all(got[k] == n for k, n in expected.items()) and sum(got.values()) == len(ROWS)
+    expected = Counter((i, len(w), sum(greedy(x.encode(), first, inside) for x in w)) for (i, *_), w in zip(ROWS, own) )
+    assert bag(wordpiece.count_tokens(docs, automaton).collect()) == expected
     assert wordpiece.count_tokens(empty, automaton).count() == 0
 
 
@@ -128,7 +148,7 @@ def brute_spans(text):
     return ",".join(f"{kind}:{a}:{b}" for a, _, kind, b in sorted(out))
 
 
-SECRETS = ["api_key = 'abcdef12'", "PassWord:short secret: token: abcdefgh", "AKIA" + "A" * 16, "AKIA" + "A" * 15, "é" * 9 + "deadbeef" * 3, "deadbee" * 3, "toKen=secret=abcdef", "-----BEGIN RSA PRIVATE KEY-----", None, "", "ghp_" + "a1" * 18]
+SECRETS = ["api_key = 'abcdef12'", "PassWord:short secret: token: abcdefgh", "AKIA" + "A" * 16, "AKIA" + "A" * 15, "é" * 9 + "deadbeef" * 3, "deadbee" * 3, "toKen=secret=abcdef", "-----BEGIN RSA PRIVATE KEY-----", None, "", "ghp_" + "a1" * 18, "a eyJhbGciOiJI.eyJzdWIiOiI.abcD", "xoxb-123456789012", "k: AIza" + "Z" * 35]
 
 
 def test_secrets_equal_brute_force(spark):
@@ -139,6 +159,28 @@ def test_secrets_equal_brute_force(spark):
         assert [r["n_assign"], r["n_access"], r["n_hex"]] == [expected.count(k) for k in ("assign:", "access:", "hex:")]
     kinds = {r["doc_id"]: r["spans"] for r in secrets.report(df).collect()}
     assert kinds[7].startswith("private_key:0:") and "forge_token:0:40" in kinds[10]
+    assert kinds[11] == "signed_token:2:31" and kinds[12] == "chat_token:0:17" and kinds[13] == "cloud_key:3:42"
+
+
+def test_postings_equal_a_search_for_each_trigram():
+    rng = random.Random(11)
+    wanted = {g for r in secrets.RULES for g in secrets.trigrams(secrets.trigram_query(r.pattern))}
+    pieces = [*(g.decode() for g in sorted(wanted)), "password", "AKIA", "é日", "x", " ", "\x00", "toK", "GHP_"]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randint(0, 60))) for _ in range(80)] + ["", "", "ab"]
+    got = secrets.Index(wanted).postings(texts)
+    assert {g: own.tolist() for g, own in got.items()} == {g: [i for i, t in enumerate(texts) if g in t.encode().lower()] for g in wanted}
+    assert all(own.size == 0 for own in secrets.Index(wanted).postings([]).values())
+    compiled = [(k, r, r.compile()) for k, r in enumerate(secrets.RULES)]
+    for text, found in zip(texts, secrets.Scanner(secrets.RULES).spans(texts)):
+        plain = sorted((m.start(), k, r.kind, m.end()) for k, r, c in compiled for m in c.finditer(text) if len(m.group(r.group)) >= r.length)
+        assert found == [(kind, a, b) for a, _, kind, b in plain]
+
+
+def test_hex_rule_equals_the_runs_of_the_contract():
+    rng = random.Random(12)
+    text = "".join(rng.choice("0123456789abcdef" * 3 + "gG ") for _ in range(60_000))
+    literal = [m.span() for m in re.finditer("[0-9a-f]+", text) if m.end() - m.start() >= 24]
+    assert literal == [m.span() for m in secrets.BASE_RULES[2].compile().finditer(text)] and literal
 
 
 def test_trigram_queries():
@@ -181,26 +223,81 @@ def test_redaction_removes_the_body_of_keys(spark):
     everything = " ".join(r["text"] for r in secrets.redact(df).collect())
     assert not any(line in everything for line in KEY_LINES)
     many = (BEGIN + "\n\r\n" * 50 + "- -- ") * 3000
-    assert [len(s) for s in secrets._segment([many], secrets.MORE_RULES, [r.compile() for r in secrets.MORE_RULES], [True] * len(secrets.MORE_RULES))] == [3000]
+    assert [len(s) for s in secrets.Scanner(secrets.MORE_RULES).spans([many])] == [3000]
     assert secrets.trigram_query(secrets.MORE_RULES[0].pattern) is not True
 
 
-def test_cross_parsing_equals_brute_force():
+@pytest.mark.parametrize("table_bytes", [1 << 25, 0])
+def test_cross_parsing_equals_brute_force(table_bytes):
+    """One greedy pass over the whole text, by full tables and by search."""
     rng = random.Random(3)
-    sample = "".join(rng.choice("abc ") for _ in range(400))
-    parser, fold = langid.Parser(langid.Model({"x": [sample]})), langid._fold()
-    known = "".join(map(chr, langid.normalise(sample, fold)))
-    for _ in range(40):
-        codes = langid.normalise("".join(rng.choice("abcd ") for _ in range(rng.randint(1, 600))), fold)
-        text, n = "".join(map(chr, codes)), 0
-        for lane in range(0, len(text), langid.LANE):
-            n, cur = n + 1, ""
-            for c in text[lane : lane + langid.LANE]:
-                if cur + c in known:
+    sample = "".join(rng.choice("abc ") for _ in range(400)) + "ab" * 90
+    parser, fold = langid.Parser(langid.Model({"x": [sample], "y": ["日本語 abc" * 9]}), table_bytes), langid._fold()
+    known = ["".join(map(chr, langid.normalise(t, fold))) for t in (sample, "日本語 abc" * 9)]
+    texts = ["".join(rng.choice("abcd 日") for _ in range(rng.randint(1, 1500))) for _ in range(40)] + ["ab" * 2000, "a" * 1500, "日本語 abc" * 300, "é"]
+    codes = [langid.normalise(t, fold) for t in texts]
+    got, lacking = parser.phrases(codes)
+    for own, row, absent in zip(codes, got.tolist(), lacking.tolist()):
+        for k, text in enumerate(known):
+            assert absent[k] == sum(c not in text for c in map(chr, own))
+            n, cur = 1, ""
+            for c in map(chr, own):
+                if cur + c in text:
                     cur += c
                 else:
-                    n, cur = n + 1, c if c in known else ""
-        assert parser.phrases([codes])[0, 0] == n
+                    n, cur = n + 1, c if c in text else ""
+            assert row[k] == n
+
+
+def test_prediction_equals_brute_force(spark):
+    rng = random.Random(6)
+    samples = {k: ["".join(rng.choice(letters) for _ in range(300))] for k, letters in (("p", "abcde "), ("q", "cdefg "), ("r", "aegh "))}
+    model, fold = langid.Model(samples), langid._fold()
+    known = {k: "".join(map(chr, langid.normalise(t[0], fold))) for k, t in samples.items()}
+    texts = ["".join(rng.choice("abcdefgh ") for _ in range(rng.randint(1, 700))) for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in langid.predict(df, model).collect():
+        text = "".join(map(chr, langid.normalise(r["text"], fold)))
+        if not text.strip():
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+            continue
+        bits = {}
+        for k, own in known.items():
+            n, cur = 1, ""
+            for c in text:
+                n, cur = (n, cur + c) if cur + c in own else (n + 1, c if c in own else "")
+            bits[k] = n * math.log2(len(own)) + 20.0874628 * sum(c not in own for c in text)
+        first, second = sorted(bits.values())[:2]
+        assert bits[r["lang_pred"]] == first and math.isclose(r["score"], 1 - first / second, abs_tol=1e-6)
+
+
+def test_language_sample(spark, monkeypatch):
+    """Long documents teach, and short ones fill the sample: no cap on either."""
+    rng = random.Random(7)
+    words = {"en": "the and with that for this house tree".split(), "de": "der und mit dass dieses haus baum".split()}
+    text = lambda lang, n: " ".join(rng.choice(words[lang]) for _ in range(n))
+    rows = [(i, text("de", 6000), "de") for i in range(8)] + [(100 + i, text("en", 2), "en") for i in range(3000)] + [(7, "x", "one"), (None, text("en", 30), "en")] * 5
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    got = langid.sample_pieces(df, 6000)
+    size = {lang: sum(map(len, own)) for lang, own in got.items()}
+    assert 6000 <= size["de"] < 6000 + langid.PIECE and 6000 <= size["en"] < 6300 and got["one"] == ["x"]
+    assert got == langid.sample_pieces(df.repartition(3), 6000)
+    # The pieces with the smallest hashes, whatever share was drawn first.
+    everything = langid.sample_pieces(df, 10**9)
+    assert all(everything[lang][: len(own)] == own for lang, own in got.items())
+    assert sum(map(len, everything["de"])) == sum(len(t) for _, t, lang in rows if lang == "de")
+    model = langid.train(df, 6000)
+    tests = spark.createDataFrame([(1, text("de", 40)), (2, text("en", 40))], "doc_id long, text string")
+    assert [r["lang_pred"] for r in langid.predict(tests, model).orderBy("doc_id").collect()] == ["de", "en"]
+    monkeypatch.setattr(langid, "MAX_LANGUAGES", 2)
+    with pytest.raises(ValueError):
+        langid.train(df)
+
+
+def test_large_alphabets_stay_small():
+    rng = random.Random(8)
+    model = langid.Model({"wide": ["".join(chr(0x4E00 + rng.randrange(5000)) for _ in range(40_000))]})
+    assert sum(k.nbytes + a.nbytes for k, a in model.ways) < 8 << 20 and len(model.alphabets[0]) > 4900
 
 
 def test_language(spark, empty):
@@ -237,6 +334,70 @@ def test_toxicity_on_held_out_rows(spark, docs, empty):
     assert toxicity.classify(docs, nothing).where("p_toxic >= 0.5").count() == 0
 
 
+def plain_chain(texts, y, weight, fold):
+    """The chain written out: dense features, one gradient step after the other."""
+    counts = Counter(w for t in texts for w in toxicity.words_of(t))
+    words = sorted(w for w, c in counts.items() if c >= toxicity.MIN_TEXTS)
+    x = np.array([[float(w in toxicity.words_of(t)) for w in words] for t in texts])
+    sigmoid = lambda z: 1 / (1 + np.exp(-z))
+
+    def fit(x, y, weight):
+        x = np.column_stack([x, np.ones(len(x))])
+        theta, m, v = (np.zeros(x.shape[1]) for _ in range(3))
+        for t in range(1, toxicity.STEPS + 1):
+            grad = x.T @ ((sigmoid(x @ theta) - y) * weight / weight.sum())
+            grad[:-1] += toxicity.PENALTY / len(y) * theta[:-1]
+            m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
+            theta = theta - toxicity.RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
+        return theta
+
+    thetas = []
+    for k in range(y.shape[1]):
+        thetas.append(fit(x, y[:, k], weight))
+        held = np.zeros(len(x))
+        for f in range(toxicity.FOLDS):
+            theta = fit(x, y[:, k], np.where(fold == f, 0.0, weight))
+            held[fold == f] = sigmoid(x[fold == f] @ theta[:-1] + theta[-1])
+        x = np.column_stack([x, held])
+
+    def predict(text):
+        row = [float(w in toxicity.words_of(text)) for w in words]
+        out = []
+        for theta in thetas:
+            out.append(float(sigmoid(np.dot(row, theta[:-1]) + theta[-1])))
+            row.append(out[-1])
+        return out
+
+    return predict
+
+
+def test_toxicity_equals_a_plain_chain(spark):
+    rng = random.Random(13)
+    plain = [f"word{i}" for i in "abcdefghijklmnopqrstuvwxyz"]
+    rows = []
+    for i in range(150):
+        toxic, low = i % 4 == 0, i % 3 == 0
+        own = [rng.choice(plain).replace(str(0), "") for _ in range(20)] + ["nasty"] * (toxic and i % 8 > 0) + ["spam"] * (low and i % 5 > 0)
+        rows.append((i, " ".join(own) * (400 if i == 12 else 1), int(not low), int(toxic)))  # one text of 50,000 characters
+    df = spark.createDataFrame(rows, "doc_id long, text string, quality int, toxic int").repartition(3)
+    chain = toxicity.train(df.select("doc_id", "text"), df.select("doc_id", "quality", "toxic"), toxicity.default_categories())
+    y = np.array([[1 - q, t] for *_, q, t in rows], float)
+    fold = np.array([zlib.crc32(str(i).encode()) % toxicity.FOLDS for i, *_ in rows])
+    predict = plain_chain([t for _, t, *_ in rows], y, np.ones(len(rows)), fold)
+    got = {r["doc_id"]: (r["p_low_quality"], r["p_toxic"]) for r in toxicity.classify(df, chain).collect()}
+    assert all(np.allclose(got[i], predict(t), atol=1e-6) for i, t, *_ in rows)
+
+
+def test_long_texts_teach_toxicity(spark):
+    """A class that has long texts only is learned."""
+    filler = " ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}" for i in range(20_000))
+    rows = [(i, filler + (" nasty" if i % 2 else " fine"), 1, i % 2) for i in range(24)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, quality int, toxic int")
+    chain = toxicity.train(df.select("doc_id", "text"), df.select("doc_id", "quality", "toxic"), toxicity.default_categories())
+    got = toxicity.classify(df, chain).collect()
+    assert len(rows[0][1]) > 40_000 and all((r["p_toxic"] >= 0.5) == (r["toxic"] == 1) for r in got)
+
+
 def tokens(text):
     return [*re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(lm.ASCII_LOWER)), "\n</s>"]
 
@@ -254,15 +415,65 @@ def test_language_model(spark):
     # Any block size and shard count gives the same model.
     again = lm.score(df, replayable=False).collect()
     assert Counter((r["doc_id"], round(r["score"], 6)) for r in got) == Counter((r["doc_id"], round(r["score"], 6)) for r in again)
-    pairs = Counter(p for (i, text), r in zip(rows, seen) if r for p in zip(["<s>", *tokens(text)], tokens(text)))
-    # The model is a distribution: over all words after a context it sums to at most 1.
-    assert pairs and all(math.isfinite(r["score"]) and r["score"] < 0 for r in got)
+    # The interpolated score against a model written out, with weights from exact probabilities.
+    chance = plain_model([(t, lm.role(i)) for i, t in rows])
+    scores = {(r["doc_id"], r["n_tokens"], round(r["base_score"], 6)): r["score"] for r in got}
+    for i, t in rows:
+        base = round(sum(math.log10((c[x] + 1) / (total + distinct + 1)) for x in tokens(t)), 6)
+        own = sum(math.log10(chance(v, w)) for v, w in zip(["<s>", *tokens(t)], tokens(t)))
+        assert math.isclose(scores[i, len(tokens(t)), base], own, rel_tol=0.03, abs_tol=0.02)
+    # It is a distribution: over all known words and one unknown, a context's chances sum to 1 at most.
+    for v in ["<s>", "a", "ff.", "never"]:
+        assert sum(chance(v, w) for w in [*c, "unknown"]) <= 1 + 1e-9
+
+
+def plain_model(rows):
+    """P(w | v) by the formula of the module, with expectation-maximisation on every held-out token."""
+
+    def count(wanted):
+        ones, twos = Counter(), Counter()
+        for text, r in rows:
+            if r in wanted:
+                own = tokens(text)
+                ones.update(own)
+                ones["<s>"] += 1
+                twos.update(zip(["<s>", *own], own))
+        return ones, twos, sum(n for w, n in ones.items() if w != "<s>")
+
+    bucket = lambda n: min(int(math.log2(n)) + 1, lm.BUCKETS - 1) if n else 0
+    ones, twos, total = count((1, 2))
+    distinct = len(ones) - 1
+    rest, pairs, rest_total = count((1,))
+    held = [p for text, r in rows if r == 2 for p in zip(["<s>", *tokens(text)], tokens(text))]
+    part = {}
+    for v, w in held:
+        row = (pairs[v, w] / rest[v] if rest[v] else 0.0, rest[w] / rest_total, 1 / (distinct + 1))
+        part.setdefault(bucket(rest[v]), []).append(row)
+
+    def learn(p):
+        weight = np.array([0.5, 0.4, 0.1])
+        for _ in range(lm.EM_ROUNDS if len(p) else 0):
+            own = p * weight
+            weight = (own / own.sum(axis=1, keepdims=True)).mean(axis=0)
+        weight = np.maximum(weight, 1e-6)
+        return weight / weight.sum()
+
+    shared = learn(np.array([r for own in part.values() for r in own]).reshape(-1, 3))
+    weights = {b: learn(np.array(own)) for b, own in part.items()}
+
+    def chance(v, w):
+        b = bucket(ones[v])
+        weight = weights.get(b, shared)
+        if b == 0:
+            weight = np.array([0, *(weight[1:] / weight[1:].sum())])
+        return weight[0] * (twos[v, w] / ones[v] if ones[v] else 0.0) + weight[1] * (ones[w] if w != "<s>" else 0) / total + weight[2] / (distinct + 1)
+
+    return chance
 
 
 def test_em_finds_the_better_source():
-    grid = lambda share, count: (np.array([5]) * lm.WIDTH + lm._step(np.array([share]))) * lm.WIDTH + lm._step(np.array([count / 2**16]))
-    sure = lm.learn_weights(grid(0.9, 5.0), np.array([100.0]), 10_000, 1000)[5]
-    none = lm.learn_weights(grid(0.0, 5000.0), np.array([100.0]), 10_000, 1000)[5]
+    learn = lambda share, word: lm.learn_weights(np.array([5]), np.array([share]), np.array([word]), np.array([100.0]), 1000)[5]
+    sure, none = learn(0.9, 5e-4), learn(0.0, 0.5)
     assert sure[0] > 0.9 and none[1] > 0.9 and np.isclose(sure.sum(), 1)
 
 
