@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,22 +12,53 @@ from corvane.llm._common import discard, materialize
 MAX_ROUNDS = 60
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    """Connect each larger neighbour of a node to the smallest of the node and its neighbours.
+class Forest:
+    """Components of a task's rows 0..n-1 under links that come in pieces; keeps one number a row."""
+
+    def __init__(self, n: int):
+        self.root = np.arange(n)
+
+    def link(self, i: np.ndarray, j: np.ndarray) -> None:
+        while True:
+            a, b = self.root[i], self.root[j]
+            apart = a != b
+            if not apart.any():
+                return
+            i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+            low = np.minimum(a, b)
+            np.minimum.at(self.root, a, low)
+            np.minimum.at(self.root, b, low)
+            while (self.root != (up := self.root[self.root])).any():
+                self.root = up
+
+    def edges(self) -> tuple[np.ndarray, np.ndarray]:
+        """Rows that are not their component's first, and that first."""
+        own = np.flatnonzero(self.root != np.arange(len(self.root)))
+        return own, self.root[own]
+
 
-    The smallest comes from an aggregate that combines before its shuffle and joins back on the
-    node, so no neighbourhood is gathered in one place; a hot node is a skewed join that Spark
-    can split.
+def _met(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """Edges with the smallest neighbour of their end a.
+
+    The smallest come from an aggregate that combines before its shuffle; its key gets another name
+    by an expression, so that both sides of the join are dealt for it alone and a hot node is a
+    skewed join that Spark splits, and no neighbourhood is gathered in one place.
     """
+    smallest = least.select(F.col("a").bitwiseXOR(F.lit(0)).alias("node"), "m")
+    return edges.join(smallest, F.col("a") == F.col("node")).drop("node")
+
+
+def _large_star(edges: DataFrame) -> DataFrame:
+    """Connect each larger neighbour of a node to the smallest of the node and its neighbours."""
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return _met(both.where("b > a"), least).select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Connect a node's smaller neighbours, and the node, to the smallest of them (edges have a > b)."""
     least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    moved = edges.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    moved = _met(edges, least).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return least.select("a", F.col("m").alias("b")).union(moved)
 
 
@@ -38,18 +70,17 @@ def connected_components(edges: DataFrame) -> DataFrame:
     and the loop ends when a round changes nothing. Nothing but counts reaches the driver.
     """
     now = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    nodes = now
     mark = _fingerprint(now)
     for _ in range(MAX_ROUNDS):
+        if not mark[0]:
+            break
         after = materialize(_small_star(_large_star(now).distinct()).distinct())
-        if now is not nodes:
-            discard(now)
+        discard(now)
         seen, mark, now = mark, _fingerprint(after), after
         if mark == seen:
             break
     else:
         raise RuntimeError("components did not settle")
-    discard(nodes) if nodes is not now else None
     roots = now.select(F.col("b").alias("node")).distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots.select("node", F.col("node").alias("component")))
 
