@@ -5,11 +5,14 @@ Plan, in terms of texts with different shingle sets ("classes"; exact copies sha
 1. One pass over the documents gives each row's set size, a 128-bit set fingerprint, band keys
    and a one-bit sketch from many universal hash minima.
 2. Classes by fingerprint; each sends its band keys. Inside a bucket of equal keys, sorted and
-   streamed, a class goes to the first leader that its sketch puts well above the threshold.
+   streamed, a class goes to the first leader that its sketch puts well above the threshold. A
+   bucket of more than SLICE classes is dealt to slices that find leaders of their own; only
+   these leaders meet in the next round.
 3. These leader pairs are confirmed on full sets, and components formed of the links.
 4. A second pass over the buckets finds clusters of texts in different components that sizes and
-   sketches cannot rule out. Clusters are compared exactly in tiles of bounded size; chunks of one
-   large component never meet. The components of all links are final.
+   sketches cannot rule out. Buckets and clusters are cut into chunks, and pairs of chunks are
+   tiles of bounded size; chunks of one large component never meet. Clusters are compared exactly.
+   The components of all links are final; copies take that of their class.
 
 So a group of n copies that link to each other costs about n pairs, not n squared; only copies
 that hover below the threshold meet the rest of their cluster. No link is lost to a cap.
@@ -27,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm._common import ASCII_LOWER, WORD, expand, materialize, shuffle_partitions, squeeze
-from corvane.llm.components import connected_components
+from corvane.llm.components import Forest, connected_components
 
 #: Minima for the bands, and further ones that only sharpen the sketch.
 BANDS, ROWS, EXTRA = 32, 5, 32
@@ -35,6 +38,10 @@ HASHES = BANDS * ROWS + EXTRA
 SEED = 20240
 #: Standard deviations that a sketch may fall below the threshold before it rules a pair out.
 MARGIN = 4.5
+#: Classes of a bucket that meet in one group.
+SLICE = 2048
+#: Slices' leaders meet in a further round while it leaves at most this share of them.
+SHRINK = 0.5
 
 
 def _family(n: int, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
@@ -124,24 +131,41 @@ def _bits(batch: pa.RecordBatch) -> np.ndarray:
     return np.frombuffer(b"".join(flat.to_pylist()), np.uint8).reshape(len(batch), -1).copy().view(np.uint64)
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple[np.ndarray, ...]]]]:
-    """Runs of equal key in sorted batches, as pieces (id, size, component, bits)."""
-    held: list[tuple[np.ndarray, ...]] = []
-    last = None
+def _groups(batches: Iterator[pa.RecordBatch], *more: str, alone: str | None = None) -> Iterator[list[np.ndarray]]:
+    """Runs of equal (key, part) in sorted batches: key, part, ids, sizes, bits and further columns.
+
+    Runs of one row are left out, but where the column `alone` says that they count.
+    """
+    held: list[list[np.ndarray]] = []
+    names = ("key", "part", "id", "size", *more)
+
+    def whole():
+        run = held[0] if len(held) == 1 else [np.concatenate(c) for c in zip(*held)]
+        if len(run[0]) > 1 or alone and run[-1][0]:
+            yield run
+
     for batch in batches:
-        if not len(batch):
+        if not batch.num_rows:
             continue
-        key = batch.column("key").to_numpy()
-        columns = [batch.column("id").to_numpy(), batch.column("size").to_numpy(), batch.column("component").to_numpy(), _bits(batch)]
-        cuts = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
-        for i, j in zip(cuts, cuts[1:]):
-            if held and key[i] != last:
-                yield last, held
+        columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
+        columns.insert(4, _bits(batch))
+        if alone:
+            columns.append(batch.column(alone).to_numpy(zero_copy_only=False))
+        key, part = columns[:2]
+        cuts = np.concatenate([[0], np.flatnonzero((key[1:] != key[:-1]) | (part[1:] != part[:-1])) + 1, [len(key)]])
+        # The first and last run may go on in other batches.
+        wanted = np.diff(cuts) > 1
+        wanted[[0, -1]] = True
+        if alone:
+            wanted |= columns[-1][cuts[:-1]]
+        for k in np.flatnonzero(wanted).tolist():
+            i, j = cuts[k], cuts[k + 1]
+            if held and (held[0][0][0], held[0][1][0]) != (key[i], part[i]):
+                yield from whole()
                 held = []
-            last = key[i]
-            held.append(tuple(c[i:j] for c in columns))
+            held.append([c[i:j] for c in columns])
     if held:
-        yield last, held
+        yield from whole()
 
 
 def _limits(percent: int) -> tuple[int, int]:
@@ -150,55 +174,65 @@ def _limits(percent: int) -> tuple[int, int]:
     return int(HASHES * p + MARGIN * (HASHES * p * (1 - p)) ** 0.5), int(HASHES * p * 0.8)
 
 
-_FOUND = "a long, b long, key long, size long, sketch binary"
+_FOUND = "a long, b long, key long, size long, sketch binary, leads boolean"
 
 
 def _leader_pairs(percent: int):
-    """First pass over the buckets. Memory: a bucket's leaders and one batch.
+    """First pass over slices of buckets.
 
     Gives pairs (a, b), and the members of buckets of three and more once again (key, id as a,
-    size, sketch), for the second pass to look at what the leaders leave open.
+    size, sketch, and whether they lead), for the second pass to look at what the leaders leave open.
     """
 
     def run(batches):
         most, near = _limits(percent)
-        for key, pieces in _groups(batches):
-            total = sum(len(p[0]) for p in pieces)
-            if total < 2:
-                continue
-            if total == 2:
-                (i, j), (n, m), _, bits = (np.concatenate(c) for c in zip(*pieces))
-                if 100 * min(n, m) >= percent * max(n, m) and _apart(bits[0], bits[1]) <= most:
-                    yield _pairs([np.array([i])], [np.array([j])])
+        out = _Out()
+        for key, _, ids, size, bits, sliced in _groups(batches, alone="sliced"):
+            if len(ids) < 3 and not sliced[0]:
+                if 100 * size.min() >= percent * size.max() and _apart(bits[0], bits[1]) <= most:
+                    out.pair(ids[:1], ids[1:])
                 continue
-            a, b = [], []
-            leaders: list[tuple[int, int, np.ndarray]] = []
-            for ids, size, _, bits in pieces:
-                left = np.arange(len(ids))
-                k = 0
-                while len(left):
-                    if k == len(leaders):
-                        leaders.append((int(ids[left[0]]), int(size[left[0]]), bits[left[0]]))
-                        left = left[1:]
-                    leader, n, own = leaders[k]
-                    k += 1
-                    fits = (_apart(bits[left], own) <= near) & (100 * np.minimum(size[left], n) >= percent * np.maximum(size[left], n))
-                    if fits.any():
-                        found = ids[left[fits]]
-                        a.append(np.full(len(found), leader))
-                        b.append(found)
-                        left = left[~fits]
-                sketches = [x.tobytes() for x in bits]
-                yield _found(ids, np.full(len(ids), None), np.full(len(ids), key), size, sketches)
-            if a:
-                yield _pairs(a, b)
+            leads = np.zeros(len(ids), bool)
+            left = np.arange(len(ids))
+            while len(left):
+                k, left = left[0], left[1:]
+                leads[k] = True
+                fits = (_apart(bits[left], bits[k]) <= near) & (100 * np.minimum(size[left], size[k]) >= percent * np.maximum(size[left], size[k]))
+                if fits.any():
+                    out.pair(np.full(int(fits.sum()), ids[k]), ids[left[fits]])
+                    left = left[~fits]
+            out.members.append((ids, key, size, bits, leads))
+            out.rows += len(ids)
+            if out.rows > 4096:
+                yield from out.flush()
+        yield from out.flush()
 
     return run
 
 
-def _found(a, b, key, size, sketch) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip((a, b, key, size, sketch), kinds)], ["a", "b", "key", "size", "sketch"])
+class _Out:
+    """Pairs and members that wait to be sent together."""
+
+    def __init__(self):
+        self.a, self.b, self.members, self.rows = [], [], [], 0
+
+    def pair(self, a: np.ndarray, b: np.ndarray) -> None:
+        self.a.append(a)
+        self.b.append(b)
+        self.rows += len(a)
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        if self.a:
+            yield _pairs(self.a, self.b)
+        if self.members:
+            ids, key, size, bits, leads = map(np.concatenate, zip(*self.members))
+            yield _found(ids, np.full(len(ids), None), key, size, [x.tobytes() for x in bits], leads)
+        self.__init__()
+
+
+def _found(a, b, key, size, sketch, leads) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.bool_())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip((a, b, key, size, sketch, leads), kinds)], ["a", "b", "key", "size", "sketch", "leads"])
 
 
 def _apart(bits: np.ndarray, own: np.ndarray) -> np.ndarray:
@@ -206,35 +240,28 @@ def _apart(bits: np.ndarray, own: np.ndarray) -> np.ndarray:
 
 
 def _open_forest(percent: int):
-    """Second pass: a spanning forest of the pairs in different components that may link.
+    """Second pass over tiles: a spanning forest of the pairs in different components that may link.
 
     Two members of a bucket may link if their components differ and sizes and sketches cannot
-    rule them out. Only which members hang together is emitted, at most one row a member; a
-    bucket inside one component costs nothing.
+    rule them out. Only which members hang together is emitted, at most one row a member.
     """
 
     def run(batches):
         most, _ = _limits(percent)
-        for _, pieces in _groups(batches):
-            ids, size, comp, bits = (np.concatenate(c) for c in zip(*pieces))
-            if (comp == comp[0]).all():
-                continue
-            a, b = [], []
-            left = np.arange(len(ids))
-            queue: list[int] = []
-            while len(left):
-                if not queue:
-                    queue, left = [int(left[0])], left[1:]
-                i = queue.pop()
-                fits = (_apart(bits[left], bits[i]) <= most) & (comp[left] != comp[i]) & (100 * np.minimum(size[left], size[i]) >= percent * np.maximum(size[left], size[i]))
-                if fits.any():
-                    found = left[fits]
-                    left = left[~fits]
-                    queue += found.tolist()
-                    a.append(np.full(len(found), ids[i]))
-                    b.append(ids[found])
-            if a:
-                yield _pairs(a, b)
+        for _, _, ids, size, bits, comp, side in _groups(batches, "component", "side"):
+            left = np.flatnonzero(side == 0)
+            right = np.flatnonzero(side == 1) if (side == 1).any() else left
+            forest = Forest(len(ids))
+            for at in range(0, len(left), 256):
+                own = left[at : at + 256, None]
+                fits = (comp[own] != comp[right]) & (100 * np.minimum(size[own], size[right]) >= percent * np.maximum(size[own], size[right]))
+                i, j = np.nonzero(fits)
+                i, j = left[at + i], right[j]
+                may = np.concatenate([_apart(bits[i[k : k + (1 << 18)]], bits[j[k : k + (1 << 18)]]) <= most for k in range(0, len(i), 1 << 18)] or [np.zeros(0, bool)])
+                forest.link(i[may], j[may])
+            member, root = forest.edges()
+            if len(member):
+                yield _pairs([ids[member]], [ids[root]])
 
     return run
 
@@ -244,12 +271,48 @@ def _pairs(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
     x, y = np.concatenate(a), np.concatenate(b)
     pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
     none = np.full(pairs.shape[1], None)
-    return _found(pairs[0], pairs[1], none, none, none)
-
-
-def _in_buckets(rows: DataFrame, body, parts: int) -> DataFrame:
-    """Apply body to rows (key, id, size, component, sketch), dealt and sorted by band key."""
-    return rows.repartition(parts, "key").sortWithinPartitions("key", "id").mapInArrow(body, _FOUND)
+    return _found(pairs[0], pairs[1], none, none, none, none)
+
+
+def _in_groups(rows: DataFrame, body) -> DataFrame:
+    """Apply body to rows (key, part, id, size, sketch, ...), dealt and sorted by key and part."""
+    parts = shuffle_partitions(rows.sparkSession)
+    return rows.repartition(parts, "key", "part").sortWithinPartitions("key", "part", "id").mapInArrow(body, _FOUND)
+
+
+def _led(rows: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(pairs of leader and member, members of buckets of three and more) of rows (key, id, size, sketch)."""
+    crowded = lambda df: materialize(df.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > SLICE))
+    large = crowded(rows)
+    some = large.count()
+    none = [F.lit(0).cast("long").alias("part"), F.lit(False).alias("sliced")]
+    # Few buckets are large: those rows alone are dealt to slices.
+    here = rows.join(large, "key", "left_anti") if some else rows
+    dealt = here.select("key", *none, "id", "size", "sketch")
+    if some:
+        dealt = dealt.union(_sliced(rows, large, 0))
+    found = materialize(_in_groups(dealt, _leader_pairs(percent)))
+    pairs, members, last = found.where("key IS NULL").select("a", "b"), found.where("key IS NOT NULL"), found
+    turn = 0
+    while some:
+        turn += 1
+        # Leaders of slices meet again, as long as that leaves clearly fewer of them.
+        leaders = last.where("leads").join(large.select("key"), "key", "left_semi").select("key", F.col("a").alias("id"), "size", "sketch")
+        before = large.withColumnRenamed("n", "before")
+        counts = materialize(leaders.groupBy("key").agg(F.count("*").alias("n")).join(before, "key").where(F.col("n") <= SHRINK * F.col("before")).select("key", "n"))
+        some = counts.count()
+        if some:
+            leaders = leaders.join(counts.select("key"), "key", "left_semi")
+            last = materialize(_in_groups(_sliced(leaders, counts, turn), _leader_pairs(percent)))
+            pairs = pairs.union(last.where("key IS NULL").select("a", "b"))
+            large = counts.where(F.col("n") > SLICE)
+            some = large.count()
+    return pairs, members
+
+
+def _sliced(rows: DataFrame, counts: DataFrame, turn: int) -> DataFrame:
+    slices = F.ceil(F.col("n") / SLICE)
+    return rows.join(counts, "key").select("key", F.pmod(F.xxhash64("id", F.lit(turn)), slices).alias("part"), (slices > 1).alias("sliced"), "id", "size", "sketch")
 
 
 def _compressor(batches):
@@ -316,22 +379,33 @@ def _tile_links(words: int, percent: int):
     return run
 
 
-def _tiles(clusters: DataFrame) -> DataFrame:
-    """(cluster, t1, t2, side, id, component): each pair of chunks of a cluster is a tile.
+def _tiles(rows: DataFrame, group: str, chunk: int) -> DataFrame:
+    """rows (group, id, component, ...) by tile: the columns key (the tile), side and those of rows.
 
-    clusters: id, cluster, component. A chunk holds about TILE documents: of one component, where
-    that has as many, or of several small ones. Two chunks of the same large component make no tile.
+    Rows of a group are cut into chunks of about `chunk`: of one component, where that has as many,
+    or of several small ones. Each pair of chunks is a tile, with side 0 and 1, and a chunk of
+    several components is one with itself; two chunks of the same component make none, and a group
+    of one component none at all. A row comes once for each tile of its chunk.
     """
-    sizes = clusters.groupBy("cluster", "component").agg(F.count("*").alias("n"))
-    large = F.col("n") >= TILE
-    pooled = sizes.groupBy("cluster").agg(F.sum(F.when(~large, F.col("n")).otherwise(0)).alias("rest"))
-    own = clusters.join(sizes, ["cluster", "component"]).join(pooled, "cluster")
-    part = F.when(large, F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / TILE))).otherwise(F.pmod(F.xxhash64("component"), F.greatest(F.lit(1), F.ceil(F.col("rest") / TILE))))
-    own = own.select("id", "cluster", "component", F.struct(F.when(large, F.col("component")).otherwise(F.lit(None)).alias("home"), part.cast("long").alias("part")).alias("chunk"))
-    chunks = own.groupBy("cluster").agg(F.collect_set("chunk").alias("chunks"))
-    met = own.join(chunks, "cluster").withColumn("other", F.explode(F.filter("chunks", lambda c: c["home"].isNull() | ~c["home"].eqNullSafe(F.col("chunk.home")))))
-    mine, other = F.to_json("chunk"), F.to_json("other")
-    return met.select("cluster", F.least(mine, other).alias("t1"), F.greatest(mine, other).alias("t2"), (mine > other).cast("int").alias("side"), "id", "component")
+    sizes = rows.groupBy(group, "component").agg(F.count("*").alias("n"))
+    large = F.col("n") >= chunk
+    small = F.sum(F.when(large, 0).otherwise(F.col("n")))
+    pooled = sizes.groupBy(group).agg(F.greatest(F.lit(1), F.ceil(small / chunk)).alias("pool"), (F.min("component") < F.max("component")).alias("mixed")).where("mixed")
+    plan = sizes.join(pooled.select(group, "pool"), group).select(group, "component", large.alias("own"), F.when(large, F.ceil(F.col("n") / chunk)).otherwise(F.col("pool")).alias("parts"))
+    plan = plan.withColumn("home", F.when(F.col("own"), F.col("component")).otherwise(F.lit(0)))
+    chunks = plan.select(group, "own", "home", "parts").distinct().withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
+    names = ("own", "home", "part")
+    a, b = (chunks.select(group, *[F.col(c).alias(f"{c}{k}") for c in names]) for k in (1, 2))
+    order = [F.struct(*[F.col(f"{c}{k}") for c in names]) for k in (1, 2)]
+    apart = ~(F.col("own1") & F.col("own2") & (F.col("home1") == F.col("home2")))
+    met = materialize(a.join(b, group).where((order[0] <= order[1]) & apart).withColumn("key", F.monotonically_increasing_id()))
+    salt = F.when(F.col("own"), F.xxhash64("id")).otherwise(F.xxhash64("component"))
+    placed = rows.join(plan, [group, "component"]).withColumn("part", F.pmod(salt, F.col("parts")))
+    sides = []
+    for k in (1, 2):
+        tiles = met.where(order[0] < order[1]) if k == 2 else met
+        sides.append(placed.join(tiles.select(group, "key", *[F.col(f"{c}{k}").alias(c) for c in names]), [group, *names]).select("key", F.lit(k - 1).alias("side"), *[c for c in rows.columns if c != group]))
+    return sides[0].union(sides[1])
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -340,35 +414,42 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     Words are runs of non-white-space, A-Z lower-cased; shingles are `words` words, or the whole
     sequence of a shorter text. Documents with 100 * intersection >= percent * union are linked.
     Rows without text or words have n_shingles 0 and are their own component. Rows that share an
-    id are one node. A null id links with nothing: its component is null and kept is true.
+    id are one node. A null id links with nothing: its component is null and kept is true. Ids are
+    integers; other columns are ignored, whatever their names.
     """
-    spark = docs.sparkSession
-    parts = shuffle_partitions(spark)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = materialize(signatures(source, words))
     worded = rows.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    # A class is named by the smallest id that has its set.
+    # A class is named by the smallest id that has its set. Two sets of one id can be two classes of one name.
     classes = materialize(worded.groupBy("f1", "f2").agg(F.min("doc_id").alias("id"), F.min("n_shingles").alias("size"), F.min_by("bands", "doc_id").alias("bands"), F.min_by("sketch", "doc_id").alias("sketch")))
-    member = worded.select("doc_id", "f1", "f2").distinct().join(classes.select("f1", "f2", "id"), ["f1", "f2"])
-    same = member.where("doc_id <> id").select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
+    # Copies take the component of their class; classes that hold texts of one id are linked by it.
+    several = worded.groupBy("doc_id").agg(*[f(c).alias(f"{n}{c}") for c in ("f1", "f2") for n, f in (("low", F.min), ("high", F.max))]).where("lowf1 < highf1 OR lowf2 < highf2")
+    member = worded.join(several.select("doc_id"), "doc_id", "left_semi").join(classes.select("f1", "f2", "id"), ["f1", "f2"])
+    same = member.groupBy("doc_id").agg(F.min("id").alias("low")).join(member.select("doc_id", "id"), "doc_id").where("id > low").select(F.col("id").alias("a"), F.col("low").alias("b"))
 
-    found = materialize(_in_buckets(classes.select(F.explode("bands").alias("key"), "id", "size", F.col("id").alias("component"), "sketch"), _leader_pairs(percent), parts))
-    first = materialize(found.where("key IS NULL").select("a", "b").distinct())
+    led, open_rows = _led(classes.select(F.explode("bands").alias("key"), "id", "size", "sketch"), percent)
+    first = materialize(led.distinct())
     texts = _texts(source, _ends(first))
     links = materialize(_confirm(first, texts, words, percent))
     labels = materialize(connected_components(links.union(same)))
 
-    open_rows = found.where("key IS NOT NULL").select("key", F.col("a").alias("id"), "size", "sketch")
-    known = open_rows.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    forest = _in_buckets(known, _open_forest(percent), parts).select("a", "b").distinct()
+    known = open_rows.select("key", F.col("a").alias("id"), "size", "sketch").join(labels.withColumnRenamed("node", "id"), "id", "left")
+    known = materialize(known.withColumn("component", F.coalesce("component", "id")).withColumnRenamed("key", "bucket"))
+    tiles = _tiles(known, "bucket", SLICE).withColumn("part", F.lit(0).cast("long"))
+    forest = _in_groups(tiles, _open_forest(percent)).select("a", "b").distinct()
     clusters = connected_components(forest).toDF("id", "cluster").join(labels.withColumnRenamed("node", "id"), "id", "left")
     clusters = materialize(clusters.withColumn("component", F.coalesce("component", "id")))
     texts = texts.union(_texts(source, clusters.select("id").join(_ends(first), "id", "left_anti")))
-    tiles = _tiles(clusters).join(texts.hint("merge"), "id").groupBy("cluster", "t1", "t2")
+    tiles = _tiles(clusters, "cluster", TILE).join(texts.hint("merge"), "id").groupBy("key")
     more = materialize(tiles.applyInArrow(_tile_links(words, percent), "a long, b long"))
     final = connected_components(labels.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
-    out = rows.select("doc_id", "n_shingles").join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    # One class a row: by the fingerprint, or by the id for rows without words whose id has texts.
+    named = classes.select("f1", "f2", "id").join(final.withColumnRenamed("node", "id"), "id", "left").select("f1", "f2", F.coalesce("component", "id").alias("component"))
+    some = rows.where("n_shingles > 0 AND doc_id IS NOT NULL").join(named, ["f1", "f2"]).select("doc_id", "n_shingles", "component")
+    bare = rows.where("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles")
+    bare = bare.join(some.groupBy("doc_id").agg(F.min("component").alias("component")), "doc_id", "left")
     component = F.coalesce("component", "doc_id")
+    out = some.union(bare.select("doc_id", "n_shingles", "component"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
