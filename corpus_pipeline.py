@@ -3,7 +3,8 @@
 toxicity -> MinHash near-dedup -> secret scans -> mixing sources -> byte-level BPE. Each stage
 takes (spark, docs, sf_dir) and returns a DataFrame; run() writes it as Parquet to the shared
 folder and reads it again as the next stage's docs, so a lost executor costs one stage at most.
-All stages but the last return the columns of documents.
+What a stage wrote for itself, and the docs before, are removed then. All stages but the last
+return the columns of documents, whatever further ones there are and however they are named.
 """
 
 from __future__ import annotations
@@ -13,41 +14,46 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.llm import bpe, minhash, mixing, secrets, toxicity
-from corvane.llm._common import materialize, word_count
+from corvane.llm._common import discard, materialize, packed_row, quoted, scratch, word_count
 
 
 def _toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose probability of being toxic is at least one half go."""
+    """Documents whose probability of being toxic is at least one half go; null and empty texts stay."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     chain = toxicity.train(docs, labels, toxicity.default_categories())
-    return toxicity.classify(docs, chain).where("p_toxic < 0.5").select(*docs.columns)
+    # The row travels as one structure, so that its columns may bear the names of probabilities.
+    wide = docs.select(packed_row(docs).alias("whole"), "text")
+    return toxicity.classify(wide, chain, keep=["whole"]).where("p_toxic < 0.5").select("whole.*")
 
 
 def _near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: the one with the smallest id.
 
-    Repeated rows of one id are copies as well. Rows without id stay.
+    Rows that share an id are one document, which stays or goes as a whole: each of its different
+    texts comes out once, with the smallest of the other columns that come with it. Rows without id stay.
     """
     kept = minhash.near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    named = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(*docs.columns).union(docs.where("doc_id IS NULL"))
+    named = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi")
+    rest = [quoted(c) for c in docs.columns if c not in ("doc_id", "text")]
+    if rest:
+        once = named.groupBy("doc_id", "text").agg(F.min(F.struct(*rest)).alias("rest")).select("doc_id", "text", "rest.*")
+    else:
+        once = named.distinct()
+    columns = [quoted(c) for c in docs.columns]
+    return once.select(*columns).union(docs.where("doc_id IS NULL").select(*columns))
 
 
 def _secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced in the text; every document stays."""
+    """Secrets are replaced in the text; every document stays. n_chars follows where there is one."""
     clean = secrets.redact(docs)
     return clean.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else clean
 
 
 def _mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: none to three times."""
-    sized = docs.withColumn("_words", word_count(F.col("text")))
-    mixed = mixing.mix(materialize(sized.select("doc_id", "source", "_words")), F.array("source"), F.col("_words"))
-    # Repeated rows of an id have one order in the mix: rows meet their decision by id, source and size.
-    taken = mixed.groupBy("doc_id", "source", "_words").agg(F.max("_repeats").alias("_repeats"))
-    same = [sized[c].eqNullSafe(taken[c]) for c in ("doc_id", "source", "_words")]
-    out = sized.join(taken, same).where("_repeats > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_repeats"))))
-    return out.select(*[sized[c] for c in docs.columns])
+    """Each document as often as the mix takes it: none to three times. Texts are not shuffled."""
+    wide = docs.select(packed_row(docs).alias("whole"), "doc_id", "source", word_count(F.col("text")).alias("words"), F.xxhash64("text").alias("tie"))
+    mixed = mixing.mix(wide, F.array("source"), F.col("words"), tie=F.col("tie")).where("_repeats > 0")
+    return mixed.select("whole", F.explode(F.sequence(F.lit(1), F.col("_repeats")))).select("whole.*")
 
 
 def _bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,8 +69,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to the documents of sf_dir."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """Apply the stages to the documents of sf_dir. The result is a table in the shared folder."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for _, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), spark)
+        with scratch(spark) as written:
+            docs = materialize(stage(spark, docs, sf_dir), spark)
+            written.pop()
+        if before is not None:
+            discard(before)
+        before = docs
     return docs

@@ -66,15 +66,16 @@ def materialize(df: DataFrame, spark: SparkSession | None = None) -> DataFrame:
 
 
 @contextmanager
-def scratch(spark: SparkSession) -> Iterator[None]:
-    """Remove the tables that materialize() writes inside, once their last reader is done."""
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """Remove the tables that materialize() writes inside, but for those taken out of the list."""
     outer = _WRITTEN.set([])
+    written = _WRITTEN.get()
     try:
-        yield
+        yield written
     finally:
-        for path in _WRITTEN.get():
-            _remove(spark, path)
         _WRITTEN.reset(outer)
+        for path in written:
+            _remove(spark, path)
 
 
 def _remove(spark: SparkSession, path: str) -> None:
@@ -102,19 +103,29 @@ def packed_row(docs: DataFrame, added: list[str] | tuple[str, ...] = ()) -> Colu
     return F.struct(*[quoted(c) for c in docs.columns if c.lower() not in taken]).alias("row")
 
 
-def extend(docs: DataFrame, used: dict[str, Column], added: str, body: Callable) -> DataFrame:
+def extend(docs: DataFrame, used: dict[str, str | Column], added: str, body: Callable, keep: list[str] | None = None) -> DataFrame:
     """The rows of docs with further columns (added, as DDL) that body makes from Arrow batches.
 
-    body gets batches of row and the used columns, and gives row and the added ones. An input
-    column of an added name is replaced. Spark bounds the bytes of a batch
+    body gets batches of row and the used columns, and gives row and the added ones. keep names the
+    input columns that come out (all); one of an added name is replaced. A used text column given
+    by name travels once, inside row, if it is kept. Spark bounds the bytes of a batch
     (spark.sql.execution.arrow.maxBytesPerBatch), so rows of any length fit.
     """
     fields = T.StructType.fromDDL(added).fields
     names = [f.name for f in fields]
-    if not [c for c in docs.columns if c.lower() not in {n.lower() for n in names}]:
-        return docs.select(*[c.alias(n) for n, c in used.items()]).mapInArrow(_without_row(body), T.StructType(fields))
-    wide = docs.select(packed_row(docs, names), *[c.alias(n) for n, c in used.items()])
-    return wide.mapInArrow(body, T.StructType([wide.schema["row"], *fields])).select("row.*", *names)
+    taken = {n.lower() for n in names}
+    kept = [c for c in (docs.columns if keep is None else keep) if c.lower() not in taken]
+    inside = {n: kept.index(c) for n, c in used.items() if isinstance(c, str) and c in kept and docs.schema[c].dataType == T.StringType()}
+    apart = [(quoted(c).cast("string") if isinstance(c, str) else c).alias(n) for n, c in used.items() if n not in inside]
+    if not kept:
+        return docs.select(*apart).mapInArrow(_without_row(body), T.StructType(fields))
+    wide = docs.select(F.struct(*[quoted(c) for c in kept]).alias("row"), *apart)
+
+    def run(batches):
+        given = (pa.RecordBatch.from_arrays([*b.columns, *(b.column("row").field(i) for i in inside.values())], [*b.schema.names, *inside]) for b in batches)
+        return body(given)
+
+    return wide.mapInArrow(run if inside else body, T.StructType([wide.schema["row"], *fields])).select("row.*", *names)
 
 
 def _without_row(body: Callable) -> Callable:

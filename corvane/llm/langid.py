@@ -148,7 +148,7 @@ class Parser:
         self.code[self.letters] = np.arange(1, len(self.letters) + 1)
         self.own, self.steps = [], []
         for letters, (keys, after) in zip(model.alphabets, model.ways):
-            own = np.zeros(len(self.letters) + 1, np.int32)
+            own = np.zeros(len(self.letters) + 1, np.uint16 if len(letters) < 1 << 16 else np.int32)
             own[self.code[letters]] = np.arange(1, len(letters) + 1)
             self.own.append(own)
             self.steps.append(_Steps(keys, after, len(letters) + 1, table_bytes))
@@ -157,54 +157,68 @@ class Parser:
         """[text, language] counts of phrases, and of characters that the language's sample lacks."""
         flat = self.code[np.concatenate(texts)]
         sizes = np.array([len(t) for t in texts])
-        begin = np.cumsum(sizes) - sizes
-        lanes = -(-sizes // LANE)
-        owner = np.repeat(np.arange(len(texts)), lanes)
-        nth = np.arange(len(owner)) - np.repeat(np.cumsum(lanes) - lanes, lanes)
-        start = np.repeat(begin, lanes) + nth * LANE
-        length = np.minimum(LANE, np.repeat(sizes, lanes) - nth * LANE)
+        lanes = _Lanes(flat, sizes, int(self.code[32]))
         out, lacking = np.zeros((len(texts), len(self.steps))), np.zeros((len(texts), len(self.steps)))
         for k, (own, step) in enumerate(zip(self.own, self.steps)):
-            codes = own[flat]
-            went = _read(step, codes, start, length, nth, owner)
-            out[:, k] = 1 + np.add.reduceat(went & 1, begin, dtype=np.int64)
-            lacking[:, k] = np.add.reduceat(codes == 0, begin, dtype=np.int64)
+            codes = own[lanes.codes]
+            out[:, k] = 1 + lanes.by_text(lanes.read(step, codes) & 1)
+            lacking[:, k] = lanes.by_text(codes == 0)
         return out, lacking
 
 
-def _read(step: _Steps, codes: np.ndarray, start: np.ndarray, length: np.ndarray, nth: np.ndarray, owner: np.ndarray) -> np.ndarray:
-    """What step() gives at each character, read from the first one of each text."""
-    went = np.zeros(len(codes), np.int32)
-    enter = np.zeros(len(start), np.int32)
-    order = np.argsort(-length, kind="stable")
-    state, at = enter[order], start[order]
-    active = np.searchsorted(-length[order], -np.arange(LANE), side="left")
-    for i in range(int(length.max(initial=0))):
-        n = active[i]
-        new = step(state[:n], codes[at[:n] + i])
-        went[at[:n] + i] = new
-        state[:n] = new >> 1
-    rounds = 0
-    while True:
-        left = went[start + length - 1] >> 1
-        true = np.zeros(len(start), np.int32)
-        true[1:] = np.where(nth[1:] > 0, left[:-1], 0)
-        todo = np.flatnonzero(true != enter)
-        if not len(todo):
-            return went
-        rounds += 1
-        if rounds > 3:
-            # Texts whose ways don't meet (long repetitions) go on lane by lane, each from a true state.
-            todo = todo[np.unique(owner[todo], return_index=True)[1]]
-        enter[todo] = true[todo]
-        state, at, end = true[todo], start[todo], (start + length)[todo]
-        while len(at):
-            new = step(state, codes[at])
-            met = went[at] >> 1 == new >> 1
-            went[at] = new
-            at = at + 1
-            more = ~met & (at < end)
-            state, at, end = (new >> 1)[more], at[more], end[more]
+class _Lanes:
+    """Texts cut into lanes, the longest first: codes [place, lane], padded with spaces."""
+
+    def __init__(self, flat: np.ndarray, sizes: np.ndarray, space: int):
+        count = -(-sizes // LANE)
+        owner = np.repeat(np.arange(len(sizes)), count)
+        nth = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+        length = np.minimum(LANE, np.repeat(sizes, count) - nth * LANE)
+        start = np.repeat(np.cumsum(sizes) - sizes, count) + nth * LANE
+        order = np.argsort(-length, kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        self.owner, self.length, self.texts = owner[order], length[order], len(sizes)
+        #: The lane before in the text, or -1; and how many lanes go on at each place.
+        self.before = np.where(nth > 0, place[np.maximum(np.arange(len(order)) - 1, 0)], -1)[order]
+        self.active = np.searchsorted(-self.length, -np.arange(LANE), side="left")
+        at = start[order] + np.arange(int(self.length[0]))[:, None]
+        inside = np.arange(int(self.length[0]))[:, None] < self.length
+        self.codes = np.where(inside, flat[np.minimum(at, len(flat) - 1)], space)
+
+    def by_text(self, values: np.ndarray) -> np.ndarray:
+        return np.bincount(self.owner, values.sum(axis=0, dtype=np.int64), self.texts)
+
+    def read(self, step: _Steps, codes: np.ndarray) -> np.ndarray:
+        """What step() gives at each place, read from the first one of each text; 0 in the padding."""
+        went = np.zeros(codes.shape, np.int32)
+        lanes = np.arange(codes.shape[1])
+        enter, state = np.zeros(len(lanes), np.int32), np.zeros(len(lanes), np.int32)
+        for i in range(len(codes)):
+            n = self.active[i]
+            went[i, :n] = new = step(state[:n], codes[i, :n])
+            state = new >> 1
+        rounds = 0
+        while True:
+            left = went[self.length - 1, lanes] >> 1
+            true = np.where(self.before >= 0, left[self.before], 0)
+            todo = np.flatnonzero(true != enter)
+            if not len(todo):
+                return went
+            rounds += 1
+            if rounds > 3:
+                # Texts whose ways don't meet (long repetitions) go on lane by lane, each from a true state.
+                settled = (true == enter)[self.before[todo]] | (self.before[todo] < 0)
+                todo = todo[settled]
+            enter[todo] = true[todo]
+            state, lane, i = true[todo], todo, 0
+            while len(lane):
+                new = step(state, codes[i, lane])
+                met = went[i, lane] >> 1 == new >> 1
+                went[i, lane] = new
+                i += 1
+                more = ~met & (i < self.length[lane])
+                state, lane = (new >> 1)[more], lane[more]
 
 
 def _chosen(id_: Column, text: Column, share: Column) -> Column:
@@ -263,13 +277,13 @@ def train(labelled: DataFrame, chars: int = SAMPLE_CHARS) -> Model:
     return Model(sample_pieces(labelled, chars))
 
 
-def predict(docs: DataFrame, model: Model, text_col: str = "text", lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:
+def predict(docs: DataFrame, model: Model, text_col: str = "text", lang_out: str = "lang_pred", score_out: str = "score", keep: list[str] | None = None) -> DataFrame:
     """Add the language with the fewest bits of phrases, and how clearly it wins (0 to 1).
 
     The score is 1 - best / second best bits, and 1 if only one language is known. Texts that are
     null or have no letter, and all texts under a model without languages, get 'und' and 0. Equal
     bits go to the language first by code point. Repeated rows each come out; input columns of the
-    two names are replaced. A task holds some 30 bytes a character of its longest text.
+    two names are replaced; keep names those that come out (all). A task holds some 30 bytes a character of its longest text.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -310,7 +324,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", lang_out: str
             flush()
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["row", lang_out, score_out])
 
-    return extend(docs, {"text": F.col(text_col).cast("string")}, f"`{lang_out}` string, `{score_out}` double", run)
+    return extend(docs, {"text": text_col}, f"`{lang_out}` string, `{score_out}` double", run, keep)
 
 
 def evaluate(docs: DataFrame, chars: int = SAMPLE_CHARS) -> DataFrame:
@@ -323,4 +337,4 @@ def evaluate(docs: DataFrame, chars: int = SAMPLE_CHARS) -> DataFrame:
     out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(0)) % 5 == 0
     model = train(docs.where(~out & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang"), chars)
     marked = docs.select("doc_id", out.alias("held_out"), "text")
-    return predict(marked, model).select("doc_id", "held_out", "lang_pred", "score")
+    return predict(marked, model, keep=["doc_id", "held_out"])

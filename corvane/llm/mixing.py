@@ -137,13 +137,14 @@ def route(patterns: list[tuple[tuple[str | None, ...], int]], quotas: dict[str |
 ADDED = ("_size", "_source_size", "_target", "_repeats", "_taken")
 
 
-def mix(docs: DataFrame, members: Column, size: Column, key: str = "doc_id", seed: str = "mix", weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS) -> DataFrame:
+def mix(docs: DataFrame, members: Column, size: Column, key: str = "doc_id", seed: str = "mix", weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS, tie: Column | None = None) -> DataFrame:
     """Add to each document how often the mix takes it: _size, _source_size, _target, _repeats, _taken.
 
     members: array<string> of the sources of a row; a null or empty array counts as the null
     source. size: its words (null: 0). _source_size and _target sum over its sources. Rows of size
     0 take part but carry no words. Repeated rows are separate documents. Reruns agree: the order
-    hangs on the seed and the key alone, then on the size. Every row comes out once; input columns
+    hangs on the seed and the key alone, then on the size, then on tie (none), which says which of
+    several rows of one key and size comes first. Every row comes out once; input columns
     of the five names are replaced, all others may bear any name. Keys may be of any type.
     """
     spark = docs.sparkSession
@@ -154,6 +155,7 @@ def mix(docs: DataFrame, members: Column, size: Column, key: str = "doc_id", see
         F.coalesce(size, F.lit(0)).cast("long").alias("_size"),
         F.to_json(F.struct(own.alias("p")), {"ignoreNullFields": "false"}).alias("pattern"),
         F.col(key).alias("key"),
+        (F.lit(0) if tie is None else tie).alias("tie"),
         F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col(key).cast("string"), F.lit("null")))).alias("hash"),
     )
     bucket = F.conv(F.substring("hash", 1, BUCKET_DIGITS), 16, 10).cast("int")
@@ -186,7 +188,7 @@ def mix(docs: DataFrame, members: Column, size: Column, key: str = "doc_id", see
     placed = named.join(F.broadcast(plan_df) if len(plan) <= BROADCAST_PATTERNS else plan_df, "pattern").withColumn("bucket", bucket)
     inside = F.col("bucket") == F.col("edge")
     at_edge = placed.where(inside)
-    before = F.sum("_size").over(Window.partitionBy("pattern").orderBy("hash", "key", "_size").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_size")
+    before = F.sum("_size").over(Window.partitionBy("pattern").orderBy("hash", "key", "_size", "tie").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_size")
     chosen = placed.where(~F.coalesce(inside, F.lit(False))).withColumn("more", F.coalesce(F.col("bucket") < F.col("edge"), F.lit(False)))
     # The document at the cut is taken if that brings the source nearer to its target.
     chosen = chosen.unionByName(at_edge.withColumn("more", 2 * before + F.col("_size") <= 2 * F.col("left")))

@@ -151,7 +151,7 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     chain = toxicity.train(docs, _read(spark, sf_dir, "labels"), toxicity.default_categories())
-    return toxicity.classify(docs.select("doc_id", "text"), chain).select("doc_id", "p_low_quality", "p_toxic", (F.col("p_toxic") >= 0.5).alias("toxic"))
+    return toxicity.classify(docs, chain, keep=["doc_id"]).select("doc_id", "p_low_quality", "p_toxic", (F.col("p_toxic") >= 0.5).alias("toxic"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -213,16 +213,16 @@ def _finder(rules: tuple[Rule, ...], bytes_: int, out: str):
     return run
 
 
-def scan(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES, segment_bytes: int = SEGMENT_BYTES, spans_out: str = "spans") -> DataFrame:
+def scan(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES, segment_bytes: int = SEGMENT_BYTES, spans_out: str = "spans", keep: list[str] | None = None) -> DataFrame:
     """Add spans: array<struct<kind, start, end>> of every row's whole text.
 
     Positions are code points, the end exclusive; spans are sorted by start, then by the order of
     the rules. Matches of a rule are the leftmost that don't overlap; those of different rules may.
     Null and empty texts have no spans. Repeated rows each come out; an input column of the added
-    name is replaced.
+    name is replaced; keep names those that come out (all).
     """
     added = f"`{spans_out}` array<struct<kind: string, start: int, end: int>>"
-    return extend(docs, {"text": F.col(text_col).cast("string")}, added, _finder(rules, segment_bytes, spans_out))
+    return extend(docs, {"text": text_col}, added, _finder(rules, segment_bytes, spans_out), keep)
 
 
 def joined(spans: Column) -> Column:
@@ -236,7 +236,7 @@ def report(docs: DataFrame) -> DataFrame:
     Null and empty texts have none, and the digest of nothing; repeated rows each come out, and ids
     may be null or of any type.
     """
-    found = scan(docs.select("doc_id", "text"))
+    found = scan(docs, keep=["doc_id"])
     kinds = [r.kind for r in BASE_RULES]
     count = [F.size(F.expr(f"filter(spans, s -> s.kind = '{k}')")).cast("long").alias(f"n_{k}") for k in kinds]
     base = F.filter("spans", lambda s: s["kind"].isin(kinds))
@@ -268,4 +268,4 @@ def redact(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RU
             clean = [redacted(t, s) if s else t for t, s in zip(texts, spans)]
             yield from table.select(["row"]).append_column(text_col, pa.array(clean, pa.string())).combine_chunks().to_batches()
 
-    return extend(docs, {"text": F.col(f"`{text_col}`").cast("string")}, f"`{text_col}` string", run).select(*[quoted(c) for c in docs.columns])
+    return extend(docs, {"text": text_col}, f"`{text_col}` string", run).select(*[quoted(c) for c in docs.columns])

@@ -54,16 +54,39 @@ class Chain:
         return seen
 
 
-def _fit(rows: np.ndarray, cols: np.ndarray, n: int, width: int, dense: np.ndarray, y: np.ndarray, weight: np.ndarray):
-    """Penalised logistic regression on binary words (rows, cols) and dense columns, by Adam on the whole sample."""
-    w, d, b = np.zeros(width), np.zeros(dense.shape[1]), 0.0
-    theta = np.concatenate([w, d, [b]])
+class _Sums:
+    """Sums of one number a word over rows, and of one number a row over words."""
+
+    def __init__(self, rows: np.ndarray, cols: np.ndarray, n: int, width: int):
+        self.sides = []
+        for into, of, size in ((rows, cols, n), (cols, rows, width)):
+            order = np.argsort(into, kind="stable")
+            some, start = np.unique(into[order], return_index=True)
+            self.sides.append((of[order], some, start, size))
+
+    def _sum(self, values: np.ndarray, side: int) -> np.ndarray:
+        of, some, start, size = self.sides[side]
+        out = np.zeros(size)
+        if len(of):
+            out[some] = np.add.reduceat(values[of], start)
+        return out
+
+    def by_row(self, values: np.ndarray) -> np.ndarray:
+        return self._sum(values, 0)
+
+    def by_word(self, values: np.ndarray) -> np.ndarray:
+        return self._sum(values, 1)
+
+
+def _fit(sums: _Sums, width: int, dense: np.ndarray, y: np.ndarray, weight: np.ndarray):
+    """Penalised logistic regression on binary words and dense columns, by Adam on the whole sample."""
+    theta = np.zeros(width + dense.shape[1] + 1)
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     scale = weight / weight.sum()
     for t in range(1, STEPS + 1):
-        z = np.bincount(rows, theta[cols], n) + dense @ theta[width:-1] + theta[-1]
+        z = sums.by_row(theta[:width]) + dense @ theta[width:-1] + theta[-1]
         error = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y) * scale
-        grad = np.concatenate([np.bincount(cols, error[rows], width), error @ dense, [error.sum()]])
+        grad = np.concatenate([sums.by_word(error), error @ dense, [error.sum()]])
         grad[:-1] += PENALTY / len(y) * theta[:-1]
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         theta = theta - RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
@@ -77,7 +100,7 @@ def fit_chain(features: list[np.ndarray], vocabulary: dict[str, int], labels: np
     """
     n, width = len(features), len(vocabulary)
     rows = np.repeat(np.arange(n), [len(own) for own in features])
-    cols = np.concatenate([*features, np.zeros(0, np.int64)]).astype(np.int64)
+    sums = _Sums(rows, np.concatenate([*features, np.zeros(0, np.int64)]).astype(np.int64), n, width)
     earlier = np.zeros((n, 0))
     links = []
     for k in range(len(categories)):
@@ -86,14 +109,14 @@ def fit_chain(features: list[np.ndarray], vocabulary: dict[str, int], labels: np
             links.append((np.zeros(width), np.zeros(k), 40.0 if len(y) and y[0] else -40.0))
             out_of_fold = y
         else:
-            links.append(_fit(rows, cols, n, width, earlier, y, weight))
+            links.append(_fit(sums, width, earlier, y, weight))
             out_of_fold = np.zeros(len(y))
             for f in range(FOLDS):
                 other = fold != f
                 if not other.any() or other.all():
                     continue
-                w, d, b = _fit(rows, cols, n, width, earlier, y, np.where(other, weight, 0.0))
-                z = np.bincount(rows, w[cols], n) + earlier @ d + b
+                w, d, b = _fit(sums, width, earlier, y, np.where(other, weight, 0.0))
+                z = sums.by_row(w) + earlier @ d + b
                 out_of_fold[~other] = 1 / (1 + np.exp(-np.clip(z[~other], -40, 40)))
         earlier = np.column_stack([earlier, out_of_fold])
     return Chain(categories, vocabulary, links)
@@ -123,8 +146,8 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], sam
     first, second = (marked.where(F.col(last) == c).orderBy(*order).limit(sample) for c in (0, 1))
     total = {r[last]: r["count"] for r in marked.groupBy(last).count().collect()}
     # At most 2 * sample rows: a bounded broadcast.
-    texts = docs.where(F.length("text") > 0).select("doc_id", "text").join(F.broadcast(first.union(second)), "doc_id").select(*marked.columns, F.col("text").alias("_t"))
-    drawn = materialize(extend(texts, {"text": F.col("_t")}, "words array<string>", _word_sets).drop("_t").dropDuplicates())
+    texts = docs.where(F.length("text") > 0).select("doc_id", "text").join(F.broadcast(first.union(second)), "doc_id").select(*marked.columns, "text")
+    drawn = materialize(extend(texts, {"text": "text"}, "words array<string>", _word_sets, marked.columns).dropDuplicates())
     counts = drawn.select(F.explode("words").alias("word")).groupBy("word").count().where(F.col("count") >= MIN_TEXTS)
     vocabulary = {w: i for i, w in enumerate(sorted(r["word"] for r in counts.orderBy(F.desc("count"), "word").limit(VOCABULARY).collect()))}
     known = spark.sparkContext.broadcast(vocabulary)
@@ -144,11 +167,11 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], sam
     return fit_chain([np.array(r["own"], np.int64) for r in rows], vocabulary, y, weight, fold, tuple(names))
 
 
-def classify(docs: DataFrame, chain: Chain, text_col: str = "text", prefix: str = "p_") -> DataFrame:
+def classify(docs: DataFrame, chain: Chain, text_col: str = "text", prefix: str = "p_", keep: list[str] | None = None) -> DataFrame:
     """Add p_<category> for each category. Texts that are null or without letters get probability 0.
 
     Repeated rows each come out; the input's columns stay as they are, but those of the added
-    names are replaced.
+    names are replaced. keep names the columns that come out (all).
     """
     held = docs.sparkSession.sparkContext.broadcast(chain)
     names = [f"{prefix}{c}" for c in chain.categories]
@@ -160,7 +183,7 @@ def classify(docs: DataFrame, chain: Chain, text_col: str = "text", prefix: str
             columns = np.array(rows, float).reshape(-1, len(names)).T
             yield pa.RecordBatch.from_arrays([batch.column("row"), *map(pa.array, columns)], ["row", *names])
 
-    return extend(docs, {"text": F.col(text_col).cast("string")}, ", ".join(f"`{n}` double" for n in names), run)
+    return extend(docs, {"text": text_col}, ", ".join(f"`{n}` double" for n in names), run, keep)
 
 
 def default_categories() -> dict[str, Column]:
