@@ -13,9 +13,9 @@ def normalise_bbox(box: Column, width: Column, height: Column) -> Column:
 
 
 def coordinate_space(box: Column) -> Column:
-    """'unit', 'thousand' or 'points' by the largest coordinate."""
-    top = F.array_max(box)
-    return F.when(top <= 1.5, "unit").when(top <= 1000, "thousand").when(top.isNotNull(), "points")
+    """normalized_0_1 if the lower right corner lies within 1.5, else mineru_page_units; null without four numbers."""
+    near = (F.get(box, F.lit(2)) <= 1.5) & (F.get(box, F.lit(3)) <= 1.5)
+    return F.when(F.size(box) == 4, F.when(near, "normalized_0_1").otherwise("mineru_page_units"))
 
 
 def nearest_rank(values: Column, share: float = 0.95, above: float = 1.5) -> Column:

@@ -118,13 +118,40 @@ def starts_like_continuation(x: Column) -> Column:
     return F.rlike(t, F.lit(r"^[a-z(\[\"'0-9]")) | F.rlike(t, F.lit(rf"(?i)^({CONNECTIVES})\b"))
 
 
+# What marks a line as running (of a journal, a volume), and months as they begin.
+RUNNING = r"\b(?:issn|isbn|volume|vol\.|number|no\.|journal|conference|proceedings|procedia)\b"
+MONTHS = "jan|feb|mar|apr|may|jun|jul|aug|sep|sept|oct|nov|dec"
+#: What changes from page to page in a running line, and what stands for it, in this order.
+CHANGING = (
+    (r"\bissn\s*[:#]?\s*[\d\-x]+\b", "issn <id>"),
+    (r"\bisbn\s*[:#]?\s*[\d\-x]+\b", "isbn <id>"),
+    (r"\bpage\s+\d+\b", "page <n>"),
+    (r"\bpp?\.?\s*\d+(?:\s*-\s*\d+)?\b", "pp <range>"),
+    (r"\bvolume\s+\d+\b", "volume <n>"),
+    (r"\bvol\.?\s*\d+\b", "vol <n>"),
+    (r"\bnumber\s+\d+\b", "number <n>"),
+    (r"\bno\.?\s*\d+\b", "no <n>"),
+    (r"\(\d+\)", "(<n>)"),
+    (r"\b(?:19|20)\d{2}\b", "<year>"),
+    (rf"\b(?:{MONTHS})\w*\s+\d{{4}}\b", "<month-year>"),
+    (r"\b\d{1,5}\s*-\s*\d{1,5}\b", "<range>"),
+    (r"^\s*\d{1,5}\s+", "<n> "),
+    (r"\s+\d{1,5}\s*$", " <n>"),
+)
+
+
 def canonical_running_line(x: Column) -> Column:
-    """A running header or footer with what changes from page to page put as #."""
-    t = F.lower(collapse(F.coalesce(x, F.lit(""))))
-    t = F.regexp_replace(t, r"\b(19|20)\d{2}\b", "#")
-    t = F.regexp_replace(t, r"\b(page|p\.|pg)\s*\d+(\s*(of|/)\s*\d+)?", "page #")
-    t = F.regexp_replace(t, r"\b[ivxlc]{1,6}\b$", "#")
-    return strip(F.regexp_replace(t, r"\d+", "#"))
+    """A running header or footer with marks for what changes from page to page; other lines keep their numbers."""
+    base = F.lower(strip(F.coalesce(x, F.lit(""))))
+    running = F.rlike(base, F.lit(RUNNING)) | F.rlike(base, F.lit(r"^\d{1,5}\b|\b\d{1,5}$")) | F.contains(base, F.lit("/")) | F.contains(base, F.lit("et al"))
+    marked = dashed = F.translate(base, "–—", "--")
+    for pattern, mark in CHANGING:
+        marked = F.regexp_replace(marked, pattern, mark)
+    plain = F.regexp_replace(F.when(running, marked).otherwise(dashed), r"[.,;:|/\\\[\]{}]+", " ")
+    ends = F.regexp_replace(F.regexp_replace(plain, r"^<n>\s+", ""), r"\s+<n>$", "")
+    out = collapse(F.when(strip(plain).isin("<n>", "(<n>)"), plain).otherwise(ends))
+    number = running & F.rlike(base, F.lit(r"\d"))
+    return F.when(base == "", "").when(F.rlike(base, F.lit(r"^\d{1,5}$")), "<n>").when((out == "") & number, "<n>").otherwise(out)
 
 
 def doi(x: Column) -> Column:

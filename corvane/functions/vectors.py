@@ -1,4 +1,4 @@
-"""Vector expressions, all in double precision and inside code generation."""
+"""Vector expressions, all in double precision, by higher-order functions in the JVM."""
 
 from __future__ import annotations
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.shared import written
+
 #: What an answer without supported evidence says, and its prompt version.
 REFUSAL, REFUSAL_VERSION = "The selected documents do not contain enough information to answer this question.", "insufficient-evidence"
 
@@ -45,21 +47,24 @@ def best_children(messages: DataFrame) -> DataFrame:
 
 
 def active_branch(messages: DataFrame) -> DataFrame:
-    """(conversation_id, step, message_id) of the active path of every conversation, by a recursive query.
+    """(conversation_id, step, message_id) of the active path of every conversation.
 
-    Each level is one join on the parent; the recursion is as deep as the longest conversation.
+    Pointers are doubled: each message knows an ancestor and how far up it is, and takes that one's
+    ancestor in each round, so a path of n messages needs log2(n) joins whatever n is. Messages
+    whose way up does not end at a root (a user message without parent) are on no path. Every
+    round is written to the shared folder.
     """
-    best_children(messages).createOrReplaceTempView("_corvane_children")
-    return messages.sparkSession.sql(
-        """
-        WITH RECURSIVE path(conversation_id, step, message_id) MAX RECURSION LEVEL 10000 AS (
-          SELECT conversation_id, 1, child_id FROM _corvane_children WHERE parent_id IS NULL AND role = 'user'
-          UNION ALL
-          SELECT p.conversation_id, p.step + 1, c.child_id FROM path p JOIN _corvane_children c
-            ON c.conversation_id = p.conversation_id AND c.parent_id = p.message_id
-        )
-        SELECT conversation_id, step, message_id FROM path"""
-    )
+    edges = best_children(messages).where("parent_id IS NOT NULL OR role = 'user'")
+    now = written(edges.select("conversation_id", F.col("child_id").alias("message_id"), F.col("parent_id").alias("up"), F.lit(1).cast("long").alias("step")))
+    # A way up that is longer than there are messages is a circle, which no root reaches.
+    rounds = max(1, now.count()).bit_length() + 1
+    for _ in range(rounds):
+        if now.where("up IS NOT NULL").isEmpty():
+            break
+        above = now.select("conversation_id", F.col("message_id").alias("up"), F.col("up").alias("top"), F.col("step").alias("more"))
+        moved = now.where("up IS NOT NULL").join(above, ["conversation_id", "up"]).select("conversation_id", "message_id", F.col("top").alias("up"), (F.col("step") + F.col("more")).alias("step"))
+        now = written(now.where("up IS NULL").union(moved))
+    return now.where("up IS NULL").select("conversation_id", F.col("step").cast("int").alias("step"), "message_id")
 
 
 def latest(rows: DataFrame, group: str, n: int, *newest_first: Column) -> DataFrame:
@@ -75,15 +80,16 @@ def supported(ids: Column, support: Column) -> Column:
 def guardrail(answers: DataFrame) -> DataFrame:
     """Keep supported citations; without any, refuse. answers: citation_block_ids, result_ids, answer_text, confidence, prompt_version.
 
-    A single citation does not lower the confidence.
+    A single citation does not lower the confidence; an unknown or missing one counts as partial.
     """
     kept = supported(F.col("citation_block_ids"), F.col("result_ids"))
     out = answers.withColumn("citation_block_ids", kept)
     none = F.size("citation_block_ids") == 0
+    stated = F.lower(F.trim(F.coalesce("confidence", F.lit(""))))
     return out.withColumns(
         {
             "answer_text": F.when(none, REFUSAL).otherwise(F.col("answer_text")),
-            "confidence": F.when(none, "insufficient").otherwise(F.col("confidence")),
+            "confidence": F.when(none, "insufficient").when(stated.isin("high", "partial", "insufficient"), stated).otherwise("partial"),
             "prompt_version": F.when(none, REFUSAL_VERSION).otherwise(F.col("prompt_version")),
         }
     )

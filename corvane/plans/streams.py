@@ -2,20 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.plans.registry import query, table
+from corvane.shared import folder
 from corvane.streaming import usage
 
 
 def _folder(spark: SparkSession) -> str:
-    """A folder below the one that driver and executors share; a temporary one where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="corvane-stream-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return folder(spark, "stream")
 
 
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,9 +20,9 @@ SETTINGS = {
 
 
 def session(app: str = "corvane", master: str | None = None, **extra: str) -> SparkSession:
-    """A session with the engine's settings. The time zone follows DB_TIMEZONE where that is set."""
+    """A session with the engine's settings. The time zone follows CORVANE_TIMEZONE where that is set."""
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    settings = SETTINGS | ({"spark.sql.session.timeZone": tz} if (tz := os.environ.get("DB_TIMEZONE")) else {}) | extra
+    settings = SETTINGS | ({"spark.sql.session.timeZone": tz} if (tz := os.environ.get("CORVANE_TIMEZONE")) else {}) | extra
     return builder.config(map=settings).getOrCreate()
