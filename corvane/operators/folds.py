@@ -1,92 +1,108 @@
 """Folds over the segments of a document whose steps depend on what came before.
 
-Each fold runs on one document at a time in applyInPandas: its state is the document's length,
-never a corpus-wide group.
+Rows are dealt and sorted by document, and one pass over a task's sorted batches carries the state:
+a few numbers, or the document at hand, never a corpus-wide group.
 """
 
 from __future__ import annotations
 
-import re
-from itertools import pairwise
+from collections.abc import Iterable, Iterator
+from itertools import groupby, pairwise
+from operator import itemgetter
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.functions.text import CONNECTIVES
+from corvane.functions.geometry import column_bucket
+from corvane.functions.text import ends_open, starts_like_continuation, strip
 
 #: Points from which two segments are one paragraph; segments that may stand between.
 MERGE_SCORE, MAX_INTERRUPTORS = 6, 2
 #: Target tokens of a chunk of text, and of a batch of partial results.
 CHUNK_TOKENS, BATCH_TOKENS = 18_000, 12_000
-
-_START = re.compile(r"""[a-z(\["'0-9]""")
-_WORD = re.compile(rf"(?:{CONNECTIVES})\b", re.IGNORECASE)
-_CLOSED = re.compile(r"""[.!?;:)\]"']$""")
-
-
-def _goes_on(text: str) -> bool:
-    return bool(_START.match(text) or _WORD.match(text))
-
-
-def _new_paragraph(before: str, after: str) -> bool:
-    return before[-1:] in set(".?!:") and after[:1].isupper() and not _goes_on(after)
-
-
-def _column(box) -> str:
-    if box is None or len(box) != 4:
-        return "unknown"
-    mid = (box[0] + box[2]) / 2
-    return "full" if box[2] - box[0] >= 0.72 else "left" if mid <= 0.42 else "right" if mid >= 0.58 else "center"
-
-
-def continuation_score(base: dict, nxt: dict, between: list[dict]) -> int:
-    """Points that nxt continues base; -999 if it can't."""
-    a, b = (base["text"] or "").strip(), (nxt["text"] or "").strip()
-    gap = nxt["page_index"] - base["page_index"]
-    roles = {base["role"], nxt["role"]}
-    if not a or not b or gap not in (0, 1) or any(x["role"] == "heading" for x in between) or len(roles) > 1 and roles != {"paragraph", "list_item"}:
-        return -999
-    score = 3 * (a.endswith("-") or not _CLOSED.search(a)) + 3 * _goes_on(b) + (2 if gap == 0 else 1)
-    left, right = _column(base["bbox"]), _column(nxt["bbox"])
-    if gap == 1:
-        score += 2 * (right in ("left", "full", "unknown"))
-    elif (left, right) == ("left", "right"):
-        score += 2
-    elif left == right != "unknown" and nxt["bbox"][1] - base["bbox"][3] <= 0.12:
-        score += 2
-    score += gap == 0 and nxt["order_index"] - base["order_index"] in (1, 2, 3)
-    if between:
-        score += (len(between) <= MAX_INTERRUPTORS) - len(between)
-    sections = [list(x) if x is not None else [] for x in (base["section_path"], nxt["section_path"])]
-    score += not all(sections) or sections[0] == sections[1]
-    return int(score + a.endswith("-") - 4 * _new_paragraph(a, b))
-
-
-def _joined(a: str, b: str) -> str:
-    if a.endswith("-"):
-        return a[:-1] + b
-    return f"{a}\n\n{b}" if _new_paragraph(a, b) else f"{a} {b}"
-
-
-def _next_candidate(rows: list[dict], at: int, base: dict) -> tuple[int, list[dict]] | None:
-    """Place of the next text segment that may continue base, and what stands between."""
-    between: list[dict] = []
-    for i in range(at, len(rows)):
-        row = rows[i]
-        if row["merged"]:
+#: Rows of a batch of results.
+ROWS = 4096
+
+
+def _flows(a: dict, b: dict) -> bool:
+    """Whether the place of b on the page is where a reader goes on after a."""
+    if a["page"] != b["page"]:
+        return b["column"] in ("left", "full", "unknown")
+    if (a["column"], b["column"]) == ("left", "right"):
+        return True
+    return a["column"] == b["column"] != "unknown" and b["top"] - a["bottom"] <= 0.12
+
+
+def _new_paragraph(end: dict, b: dict) -> bool:
+    return end["sentence_end"] and b["capital"] and not b["goes_on"]
+
+
+#: Points for what is seen of a paragraph's first part (a), its last one so far (end), the segment
+#: that may continue it (b), and the number of others between.
+RULES = (
+    (3, lambda a, end, b, between: end["open"]),
+    (1, lambda a, end, b, between: end["hyphen"]),
+    (3, lambda a, end, b, between: b["goes_on"]),
+    (-4, lambda a, end, b, between: _new_paragraph(end, b)),
+    (1, lambda a, end, b, between: True),
+    (1, lambda a, end, b, between: a["page"] == b["page"]),
+    (1, lambda a, end, b, between: a["page"] == b["page"] and b["order_index"] - a["order_index"] in (1, 2, 3)),
+    (2, lambda a, end, b, between: _flows(a, b)),
+    (1, lambda a, end, b, between: not a["path"] or not b["path"] or a["path"] == b["path"]),
+    (-1, lambda a, end, b, between: between > 1),
+)
+
+
+def _parts(rows: list[dict]) -> Iterator[list[int]]:
+    """Places of the parts of every segment of a document that stays, in order."""
+    taken: set[int] = set()
+    for i, a in enumerate(rows):
+        if i in taken:
             continue
-        if row["page_index"] - base["page_index"] > 1 or row["role"] == "heading":
-            return None
-        if row["role"] in ("paragraph", "list_item"):
-            return i, between
-        between.append(row)
-        if len(between) > MAX_INTERRUPTORS:
-            return None
-    return None
+        parts, between = [i], 0
+        for j in range(i + 1, len(rows) if a["flowing"] else 0):
+            b = rows[j]
+            if j in taken:
+                continue
+            if b["page"] - a["page"] > 1 or b["role"] == "heading" or between > MAX_INTERRUPTORS:
+                break
+            if not b["flowing"]:
+                between += 1
+                continue
+            end = rows[parts[-1]]
+            if not a["stripped"] or not b["stripped"] or sum(n for n, seen in RULES if seen(a, end, b, between)) < MERGE_SCORE:
+                break
+            parts.append(j)
+            taken.add(j)
+            between = 0
+        yield parts
+
+
+def _text(parts: list[dict]) -> str:
+    out = parts[0]["stripped"]
+    for end, b in pairwise(parts):
+        out = out[:-1] + b["stripped"] if end["hyphen"] else out + ("\n\n" if _new_paragraph(end, b) else " ") + b["stripped"]
+    return out
 
 
 MERGED = "doc_id string, segment_id string, page_index int, order_index int, role string, text string, merged_from array<string>"
+_MERGED = pa.schema([("doc_id", pa.string()), ("segment_id", pa.string()), ("page_index", pa.int32()), ("order_index", pa.int32()), ("role", pa.string()), ("text", pa.string()), ("merged_from", pa.list_(pa.string()))])
+
+
+def _merge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    out: list[dict] = []
+    for _, document in groupby((row for batch in batches for row in batch.to_pylist()), key=itemgetter("doc_id")):
+        rows = list(document)
+        for places in _parts(rows):
+            parts = [rows[i] for i in places]
+            text = _text(parts) if len(parts) > 1 else parts[0]["text"]
+            out.append({name: parts[0].get(name) for name in _MERGED.names} | {"text": text, "merged_from": [x["segment_id"] for x in parts]})
+        if len(out) >= ROWS:
+            yield pa.RecordBatch.from_pylist(out, schema=_MERGED)
+            out = []
+    if out:
+        yield pa.RecordBatch.from_pylist(out, schema=_MERGED)
 
 
 def merge_continuations(segments: DataFrame) -> DataFrame:
@@ -95,49 +111,53 @@ def merge_continuations(segments: DataFrame) -> DataFrame:
     segments: doc_id, segment_id, page_index, order_index, role, text, bbox, section_path. A merged
     segment keeps the place of its first part. Headings end a paragraph; at most two other
     segments (figures, tables, captions) may stand between its parts. Every other segment stays.
+    What the points hang on are columns; a task holds one document at a time. Blank texts are never
+    merged; without page or order a segment counts as the first.
     """
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values(["page_index", "order_index", "segment_id"]).to_dict("records")
-        for row in rows:
-            row |= {"merged": False, "parts": [row["segment_id"]]}
-        for i, row in enumerate(rows):
-            if row["merged"] or row["role"] not in ("paragraph", "list_item"):
-                continue
-            at = i + 1
-            while found := _next_candidate(rows, at, row):
-                j, between = found
-                if continuation_score(row, rows[j], between) < MERGE_SCORE:
-                    break
-                row["text"] = _joined(row["text"].strip(), rows[j]["text"].strip())
-                row["parts"] = row["parts"] + rows[j]["parts"]
-                rows[j]["merged"] = True
-                at = j + 1
-        kept = [r for r in rows if not r["merged"]]
-        return pd.DataFrame({c: [r[c if c != "merged_from" else "parts"] for r in kept] for c in ("doc_id", "segment_id", "page_index", "order_index", "role", "text", "merged_from")})
-
-    return segments.groupBy("doc_id").applyInPandas(fold, MERGED)
+    t = strip(F.coalesce("text", F.lit("")))
+    box = F.col("bbox")
+    seen = {
+        "page": F.coalesce("page_index", F.lit(0)),
+        "order_index": F.coalesce("order_index", F.lit(0)),
+        "flowing": F.coalesce(F.col("role").isin("paragraph", "list_item"), F.lit(False)),
+        "stripped": t,
+        "hyphen": F.endswith(t, F.lit("-")),
+        "open": ends_open(F.col("text")),
+        "sentence_end": F.rlike(t, F.lit(r"[.?!:]$")),
+        "capital": F.rlike(t, F.lit(r"^\p{Lu}")),
+        "goes_on": starts_like_continuation(F.col("text")),
+        "column": column_bucket(box),
+        "top": F.get(box, F.lit(1)),
+        "bottom": F.get(box, F.lit(3)),
+        "path": F.coalesce("section_path", F.array().cast("array<string>")),
+    }
+    rows = segments.select("doc_id", "segment_id", "page_index", "role", "text", *[c.alias(name) for name, c in seen.items()])
+    return rows.repartition("doc_id").sortWithinPartitions("doc_id", "page", "order_index", "segment_id").mapInArrow(_merge, MERGED)
 
 
 def pack(items: DataFrame, group: str, order: str, tokens: Column, target: int = CHUNK_TOKENS, out: str = "chunk") -> DataFrame:
     """Number greedy chunks (from 0): a chunk closes when the next item would take it over the target.
 
-    One row comes back for each item: group, order, tokens, out. An item over the target is a chunk of its own.
+    One row comes back for each item: group, order, tokens, out. An item over the target is a chunk
+    of its own; unknown tokens count 0. However long a group is, a task holds a batch of it.
     """
     kinds = dict(items.dtypes)
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("o")
-        used, chunk, chunks = 0, 0, []
-        for n in pdf["tokens"]:
-            if used and used + n > target:
-                used, chunk = 0, chunk + 1
-            used += n
-            chunks.append(chunk)
-        return pdf.assign(chunk=chunks)[["g", "o", "tokens", "chunk"]]
-
-    rows = items.select(F.col(group).alias("g"), F.col(order).alias("o"), tokens.cast("long").alias("tokens"))
-    packed = rows.groupBy("g").applyInPandas(fold, f"g {kinds[group]}, o {kinds[order]}, tokens long, chunk int")
+    def number(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, used, chunk = object(), 0, 0
+        for batch in batches:
+            chunks = []
+            for g, n in zip(batch["g"].to_pylist(), batch["tokens"].to_pylist()):
+                if g != own:
+                    own, used, chunk = g, 0, 0
+                elif used and used + n > target:
+                    used, chunk = 0, chunk + 1
+                used += n
+                chunks.append(chunk)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(chunks, pa.int32())], names=["g", "o", "tokens", "chunk"])
+
+    rows = items.select(F.col(group).alias("g"), F.col(order).alias("o"), F.coalesce(tokens.cast("long"), F.lit(0).cast("long")).alias("tokens"))
+    packed = rows.repartition("g").sortWithinPartitions("g", "o").mapInArrow(number, f"g {kinds[group]}, o {kinds[order]}, tokens long, chunk int")
     return packed.toDF(group, order, "tokens", out)
 
 

@@ -36,9 +36,20 @@ def next_local_midnight(ts: Column, zone: str = DAY_ZONE) -> Column:
 
 
 def sliding_counts(usage: DataFrame, key: list[str], ts: str, seconds: int, out: str) -> DataFrame:
-    """Add the number of events of the last `seconds`, the row's own included and the far end excluded."""
-    w = Window.partitionBy(*key).orderBy(F.unix_micros(F.col(ts).cast("timestamp"))).rangeBetween(-seconds * 1_000_000 + 1, 0)
-    return usage.withColumn(out, F.count("*").over(w))
+    """Add the number of events of the last `seconds`, the row's own included and the far end excluded.
+
+    Time is cut into slices of twice the window (an hour at least), each counted on its own: events
+    from which a window of the next slice may begin are counted there as well. Few keys, or one
+    that holds most events, still make many groups. Events without time count among themselves.
+    """
+    window = seconds * 1_000_000
+    width = max(2 * window, 3_600_000_000)
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
+    into = F.pmod(at, F.lit(width))
+    late = into > width - window
+    dealt = usage.withColumns({"_at": at, "_own": at - into}).withColumn("_slice", F.explode(F.when(late, F.array("_own", F.col("_own") + width)).otherwise(F.array("_own"))))
+    w = Window.partitionBy(*key, "_slice").orderBy("_at").rangeBetween(-window + 1, 0)
+    return dealt.withColumn(out, F.count("*").over(w)).where(F.col("_slice").eqNullSafe(F.col("_own"))).drop("_at", "_own", "_slice")
 
 
 def exhausted(used: Column, limit: Column, reset_at: Column, now: Column) -> Column:

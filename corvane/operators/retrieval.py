@@ -152,33 +152,45 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
-def keyword_matches(blocks: DataFrame, terms: list[str], text: str = "text", key: str = "block_id", normal=lambda c: c) -> DataFrame:
+def keyword_matches(blocks: DataFrame, terms: list[str], text: str = "text", normal=lambda c: c) -> DataFrame:
     """keyword_score of every block that has all terms: cover density, at most 1.
 
-    Each shortest stretch of text that holds all terms counts 0.1 / (1 + other words in it). Only
-    the terms' positions are exploded, and only of blocks that have every term. normal maps a
+    Each shortest stretch of text that holds all terms counts 0.1 / (1 + other words in it). A
+    block's places of terms are folded within its row, so nothing is shuffled. normal maps a
     token column to what is compared (a stemmer, say); terms must be mapped already.
     """
     wanted = list(dict.fromkeys(terms))
     if not wanted:
         return blocks.limit(0).withColumn("keyword_score", F.lit(0.0))
-    own = F.transform(tokens(F.col(text)), normal)
-    has_all = blocks.withColumn("_t", own).where(F.size(F.array_intersect("_t", F.array(*map(F.lit, wanted)))) == len(wanted))
-    hits = has_all.select(key, F.posexplode("_t").alias("pos", "term")).where(F.col("term").isin(wanted))
-    upto = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    last = [F.max(F.when(F.col("term") == t, F.col("pos"))).over(upto) for t in wanted]
-    start = F.least(*last) if len(last) > 1 else last[0]
-    seen = last[0].isNotNull()
-    for c in last[1:]:
-        seen = seen & c.isNotNull()
-    covers = hits.select(key, F.when(seen, start).alias("p"), F.col("pos").alias("q")).where("p IS NOT NULL").groupBy(key, "p").agg(F.min("q").alias("q"))
-    scores = covers.groupBy(key).agg(F.least(F.lit(1.0), F.sum(F.lit(0.1) / (1 + F.col("q") - F.col("p") + 1 - len(wanted)))).alias("keyword_score"))
-    return blocks.join(scores, key)
+    n = len(wanted)
+
+    def place(token: Column, i: Column) -> Column:
+        # One number for place and term; null for any other word.
+        t, found = normal(token), F
+        for at, term in enumerate(wanted):
+            found = found.when(t == term, i * n + at)
+        return found
+
+    hits = F.array_compact(F.transform(tokens(F.col(text)), place))
+    start = F.struct(F.array_repeat(F.lit(-1), n).alias("last"), F.lit(-1).alias("p"), F.lit(0.0).alias("total"))
+
+    def step(state: Column, hit: Column) -> Column:
+        # The last place of each term; the stretch from the least of them to here is a cover, and a
+        # new one where that least place moves.
+        q = F.floor(hit / n).cast("int")
+        last = F.transform(state["last"], lambda at, i: F.when(i == hit % n, q).otherwise(at))
+        p = F.array_min(last)
+        more = F.when((p >= 0) & (p != state["p"]), F.lit(0.1) / (q - p + 2 - n)).otherwise(0.0)
+        return F.struct(last.alias("last"), p.alias("p"), (state["total"] + more).alias("total"))
+
+    score = F.aggregate(hits, start, step, lambda state: F.when(state["p"] >= 0, F.least(F.lit(1.0), state["total"])))
+    # As a generator the score is computed once; as a filter's condition it would be twice.
+    return blocks.select("*", F.explode(F.array_compact(F.array(score))).alias("keyword_score"))
 
 
 def keyword_topk(blocks: DataFrame, terms: list[str], k: int, text: str = "text", key: str = "block_id", name: str = "document_name", normal=lambda c: c) -> DataFrame:
     """The k best keyword matches with sparse_rank: by score, document name, key."""
-    return keyword_topk_of(keyword_matches(blocks, terms, text, key, normal), k, key, name)
+    return keyword_topk_of(keyword_matches(blocks, terms, text, normal), k, key, name)
 
 
 def keyword_topk_of(scored: DataFrame, k: int, key: str = "block_id", name: str = "document_name") -> DataFrame:

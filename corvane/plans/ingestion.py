@@ -272,31 +272,14 @@ def retrieval_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", "pos", text.retrieval_text(F.col("section_path"), role, F.col("label")).alias("retrieval_text"))
 
 
-_TABLE_ROWS = "(l_orderkey % 50 = 0)"
-
-
-@query("table_linearise", f"""
-WITH r AS (SELECT l_orderkey, l_linenumber, [l_returnflag, l_linestatus, l_linenumber::VARCHAR, l_suppkey::VARCHAR] AS cells FROM lineitem WHERE {_TABLE_ROWS}),
-m AS (SELECT l_orderkey, list(cells ORDER BY l_linenumber, cells) AS rows_ FROM r GROUP BY 1)
-SELECT l_orderkey, 'Table: Order ' || l_orderkey || '. Headers: flag | status | line. ' || array_to_string(['Row ' || i || ': flag=' || rows_[i][1] || '; status=' || rows_[i][2] || '; line=' || rows_[i][3] || '; Column 4=' || rows_[i][4] || '.' FOR i IN range(1, len(rows_) + 1)], ' ') || ' Footnote: fn.' AS table_text,
-  len(rows_)::INTEGER AS n_rows FROM m""")
-def table_linearise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The orders that the SQL names; table_linearise_all takes every order."""
-    return _order_tables(table(spark, sf_dir, "lineitem").where(F.expr(_TABLE_ROWS)))
-
-
-@query("table_linearise_all", """
+@query("table_linearise", """
 WITH r AS (SELECT l_orderkey, l_linenumber, [l_returnflag, l_linestatus, l_linenumber::VARCHAR, l_suppkey::VARCHAR] AS cells FROM lineitem),
 m AS (SELECT l_orderkey, list(cells ORDER BY l_linenumber, cells) AS rows_ FROM r GROUP BY 1)
 SELECT l_orderkey, 'Table: Order ' || l_orderkey || '. Headers: flag | status | line. ' || array_to_string(['Row ' || i || ': flag=' || rows_[i][1] || '; status=' || rows_[i][2] || '; line=' || rows_[i][3] || '; Column 4=' || rows_[i][4] || '.' FOR i IN range(1, len(rows_) + 1)], ' ') || ' Footnote: fn.' AS table_text,
   len(rows_)::INTEGER AS n_rows FROM m""")
-def table_linearise_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _order_tables(table(spark, sf_dir, "lineitem"))
-
-
-def _order_tables(items: DataFrame) -> DataFrame:
+def table_linearise(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Grouped rows become one table block: order, headers, rows, footnote."""
-    rows = items.select("l_orderkey", F.struct("l_linenumber", F.array("l_returnflag", "l_linestatus", F.col("l_linenumber").cast("string"), F.col("l_suppkey").cast("string")).alias("cells")).alias("r"))
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", F.struct("l_linenumber", F.array("l_returnflag", "l_linestatus", F.col("l_linenumber").cast("string"), F.col("l_suppkey").cast("string")).alias("cells")).alias("r"))
     tables = rows.groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list("r")), lambda x: x["cells"]).alias("rows"))
     headers = F.array(F.lit("flag"), F.lit("status"), F.lit("line"))
     title = F.concat(F.lit("Order "), F.col("l_orderkey").cast("string"))

@@ -20,11 +20,15 @@ _SIM = "least(1.0, greatest(0.0, (" + _COS + " + 1.0) / 2.0))"
 _Q = f"(SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = {QUERY_ID})"
 
 
-def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A block is a document; its document is its source; a unit is a tenth of the ids."""
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("block_id"), F.col("source").alias("document_id"), F.concat(F.col("source"), F.lit(".txt")).alias("document_name"), (F.col("doc_id") % 10).cast("string").alias("unit"), "text", "lang")
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("block_id"), F.col("source").alias("document_id"), F.concat(F.col("source"), F.lit(".txt")).alias("document_name"), (F.col("doc_id") % 10).cast("string").alias("unit"), "text", "lang")
+
+
+def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks with their vectors, null where there is none."""
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("block_id"), "embedding")
-    return docs.join(vectors, "block_id", "left")
+    return _texts(spark, sf_dir).join(vectors, "block_id", "left")
 
 
 _BLOCKS = """
@@ -64,23 +68,12 @@ def dense_topk_index_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("dense_topk_per_query", f"""
-WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
-scored AS (SELECT q.vec_id AS query_id, b.vec_id AS block_id, {_SIM.format(a='b.v', b='q.v')} AS s FROM e b JOIN e q ON b.label = q.label AND q.vec_id % 50 = 0 AND b.vec_id <> q.vec_id),
-ranked AS (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY s DESC, block_id))::INTEGER AS rank FROM scored)
-SELECT query_id, block_id, rank, round(s, 6) AS vector_score FROM ranked WHERE rank <= 5""")
-def dense_topk_per_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "block_id")
-    asked = vectors.where(F.col("block_id") % 50 == 0).select(F.col("block_id").alias("query_id"), F.col("embedding").alias("query_vector"), "label")
-    return R.dense_topk_per_query(vectors, asked, 5, "label").select("query_id", "block_id", "rank", F.round("vector_score", 6).alias("vector_score"))
-
-
-@query("dense_topk_per_query_all", f"""
 WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE embedding IS NOT NULL),
 scored AS (SELECT q.vec_id AS query_id, b.vec_id AS block_id, {_SIM.format(a='b.v', b='q.v')} AS s FROM e b JOIN e q ON q.vec_id % 20 = 0 AND b.vec_id <> q.vec_id),
 ranked AS (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY s DESC, block_id))::INTEGER AS rank FROM scored)
 SELECT query_id, block_id, rank, round(s, 6) AS vector_score FROM ranked WHERE rank <= 5""")
-def dense_topk_per_query_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """More queries than dense_topk_per_query, each among all rows instead of those of its label."""
+def dense_topk_per_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest of all rows for each row whose id is divisible by 20."""
     vectors = table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "block_id")
     asked = vectors.where(F.col("block_id") % 20 == 0).select(F.col("block_id").alias("query_id"), F.col("embedding").alias("query_vector"))
     return R.dense_topk_per_query(vectors, asked, 5).select("query_id", "block_id", "rank", F.round("vector_score", 6).alias("vector_score"))
@@ -107,7 +100,7 @@ toks AS (
 
 def _sparse(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
     # Sums of fractions are rounded before they are ranked: their last bits hang on the order of addition.
-    scored = R.keyword_matches(blocks(spark, sf_dir), TERMS).withColumn("keyword_score", F.round("keyword_score", 9))
+    scored = R.keyword_matches(_texts(spark, sf_dir), TERMS).withColumn("keyword_score", F.round("keyword_score", 9))
     return R.keyword_topk_of(scored, n)
 
 
@@ -129,7 +122,7 @@ def keyword_and_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("keyword_stemmed")
 def keyword_stemmed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stemmed lane: tokens and terms reduced by rule, stop words dropped."""
-    stemmed = stem_tokens(blocks(spark, sf_dir).select("block_id", "document_name", "text"), "text", "stems")
+    stemmed = stem_tokens(_texts(spark, sf_dir).select("block_id", "document_name", "text"), "text", "stems")
     return R.keyword_topk(stemmed.withColumn("text", F.array_join("stems", " ")), ["thing", "stat"], R.SPARSE_N).select("block_id", "keyword_score", "sparse_rank")
 
 

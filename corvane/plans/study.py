@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvane.functions import study
+from corvane.functions.text import file_type
 from corvane.operators import review, structure
 from corvane.plans.registry import query, table
 
@@ -72,11 +73,13 @@ def intro_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("upload_warnings", """
-WITH f AS (SELECT source, list(doc_id || '.bin' ORDER BY doc_id) FILTER (doc_id % 5 = 0) AS names FROM documents GROUP BY 1)
+WITH f AS (SELECT source, list(doc_id || '.bin' ORDER BY doc_id) FILTER (lang IS NULL OR lang NOT IN ('en', 'de')) AS names FROM documents GROUP BY 1)
 SELECT source, 'Some files were skipped due to unsupported format: ' || array_to_string(names[1:2], ', ') || CASE WHEN len(names) > 2 THEN ' and ' || (len(names) - 2) || ' more' ELSE '' END || '.' AS warning FROM f WHERE names IS NOT NULL""")
 def upload_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Valid and invalid uploads by extension; the warning names the invalid ones."""
-    return _skipped(table(spark, sf_dir, "documents").where("doc_id % 5 = 0"))
+    """Uploads are named by the document's language; the warning names those whose extension no parser takes."""
+    docs = table(spark, sf_dir, "documents")
+    end = F.when(F.col("lang") == "en", ".pdf").when(F.col("lang") == "de", ".txt").otherwise(".bin")
+    return _skipped(docs.where(file_type(F.concat(F.col("doc_id").cast("string"), end), F.lit("")) == "unknown"))
 
 
 def _skipped(bad: DataFrame) -> DataFrame:

@@ -233,7 +233,7 @@ def test_containment_of_whole_items(spark):
 
 def test_every_order_is_linearised(spark):
     orders = spark.read.parquet(f"{DATA}/lineitem.parquet").groupBy("l_orderkey").count()
-    got = ingestion.table_linearise_all(spark, DATA).select("l_orderkey", "n_rows")
+    got = ingestion.table_linearise(spark, DATA).select("l_orderkey", "n_rows")
     assert Counter(map(tuple, got.collect())) == Counter(map(tuple, orders.collect()))
 
 
@@ -263,3 +263,65 @@ def test_dense_search_of_all_labels(spark, monkeypatch):
         expected |= {(q, i, n + 1, round(-s, 9)) for n, (s, i) in enumerate(best)}
     got = retrieval.dense_topk_per_query(df, asked, 5).collect()
     assert {(r["query_id"], r["block_id"], r["rank"], round(r["vector_score"], 9)) for r in got} == expected and len(got) == 15
+
+
+def test_sliding_counts_over_slices(spark):
+    rng = random.Random(4)
+    base = datetime(2024, 1, 1, 0, 59)
+    # A hot key, ties, the exact far end of a window, the ends of slices, no time.
+    rows = [(i, "hot" if i % 3 else None, base + timedelta(seconds=rng.choice([0, 59, 60, 3599, 3600, 7200, rng.randint(0, 20_000)]))) for i in range(300)] + [(300, "hot", None), (301, "hot", None)]
+    df = spark.createDataFrame(rows, "i int, k string, ts timestamp")
+    for seconds in (60, 1800, 7200):
+        got = {r["i"]: r["n"] for r in quota.sliding_counts(df, ["k"], "ts", seconds, "n").collect()}
+        within = lambda x, y: x is None and y is None or None not in (x, y) and timedelta(0) <= y - x < timedelta(seconds=seconds)  # noqa: B023, E731
+        assert got == {i: sum(k == q and within(t, ts) for _, q, t in rows) for i, k, ts in rows}
+
+
+def test_packing_goes_on_over_batches(spark):
+    rng = random.Random(5)
+    rows = [(g, i, rng.randint(0, 6)) for g, n in ((None, 40), (1, 3000), (2, 1)) for i in range(n)] + [(3, 0, None)]
+    expected = {}
+    for g in (None, 1, 2, 3):
+        used = chunk = 0
+        for _, i, n in sorted((r for r in rows if r[0] == g), key=lambda r: r[1]):
+            if used and used + (n or 0) > 10:
+                used, chunk = 0, chunk + 1
+            used += n or 0
+            expected[g, i] = chunk
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
+    try:
+        got = folds.pack(spark.createDataFrame(rows, "g int, o int, n int").repartition(5), "g", "o", F.col("n"), 10).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {(r["g"], r["o"]): r["chunk"] for r in got} == expected and len(got) == len(rows)
+
+
+def test_paragraphs_by_place_and_section(spark):
+    def merged(a, b):
+        rows = [("d", str(i), p, i, "paragraph", t, box, path) for i, (p, t, box, path) in enumerate((a, b))]
+        return folds.merge_continuations(spark.createDataFrame(rows, SEGMENT)).count() == 1
+
+    left, right, low = [0.1, 0.5, 0.4, 0.9], [0.6, 0.1, 0.9, 0.3], [0.1, 0.95, 0.4, 0.99]
+    assert merged((0, "The end is", left, ["A"]), (0, "Open", right, ["A"]))
+    assert merged((0, "The end is", left, None), (0, "Open", low, None))
+    assert not merged((0, "The end is", right, ["A"]), (1, "Open", right, ["B"]))
+    assert not merged((0, "The end.", left, ["A"]), (0, "Open", right, ["A"]))
+    assert not merged((0, "The end is", left, None), (2, "open", left, None))
+    assert not merged((0, None, None, None), (0, "open", None, None))
+
+
+def test_covers_against_brute_force(spark):
+    rng = random.Random(6)
+    docs = [(i, " ".join(rng.choice(["a", "b", "c", "x", "y"]) for _ in range(rng.randint(0, 30)))) for i in range(60)] + [(60, None)]
+
+    def covers(ws, terms):
+        stretches = [(p, q) for p in range(len(ws)) for q in range(p, len(ws)) if set(terms) <= set(ws[p : q + 1])]
+        least = [(p, q) for p, q in stretches if not any((p <= r and s <= q and (p, q) != (r, s)) for r, s in stretches)]
+        return round(min(1.0, sum(0.1 / (1 + q - p + 1 - len(terms)) for p, q in least)), 9) if least else None
+
+    df = spark.createDataFrame(docs, "block_id int, text string")
+    for terms in (["a"], ["a", "b"], ["c", "a", "b"], ["zz", "a"]):
+        got = retrieval.keyword_matches(df, terms)
+        assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+        expected = {i: s for i, t in docs if (s := covers((t or "").split(), terms)) is not None}
+        assert {r["block_id"]: round(r["keyword_score"], 9) for r in got.collect()} == expected
