@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import ann, bpe, embdedup, langid, lm, minhash, mixing, secrets, toxicity, wordpiece
+from corvane.llm import ann, bpe, embdedup, langid, lm, minhash, mixing, packing, repeats, secrets, toxicity, whitening, wordpiece
 from corvane.llm._common import materialize, word_count
 
 
@@ -154,6 +155,40 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(docs, chain, keep=["doc_id"]).select("doc_id", "p_low_quality", "p_toxic", (F.col("p_toxic") >= 0.5).alias("toxic"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    white = whitening.whiten(_read(spark, sf_dir, "embeddings"), components=16, scale=64, shift=1_000_000)
+    # The contract's long; null where the exact number has no room in one.
+    return white.withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
+
+
+def planted(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """The contract's words: one document in ten repeats a period from some word on; none without id."""
+    h = 1 if doc_id is None else zlib.crc32(str(doc_id).encode())
+    g, n = h // 10, len(words)
+    if h % 10 or not n:
+        return words
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + (words[a : a + p] * ((n - a) // p + 1))[: n - a]
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.periodic_runs(_read(spark, sf_dir, "documents"), shortest=24, times=3, rewrite=planted)
+    # The greatest exact quotient of two longs: compared by products, which fit a decimal.
+    product = lambda a, b: a.cast("decimal(19,0)") * b.cast("decimal(19,0)")
+    better = lambda a, b: F.coalesce(product(b["length"], a["period"]) > product(a["length"], b["period"]), F.lit(True))
+    # Runs come by start and period, so the first of equals stays.
+    top = F.aggregate("runs", F.lit(None).cast("struct<start:long,length:long,period:long>"), lambda a, b: F.when(better(a, b), b).otherwise(a))
+    lines = F.concat_ws("", F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))))
+    wide = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), top.alias("top"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    return wide.select("doc_id", "n_runs", "top.*", F.expr("(1000 * top.length) div top.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), window=2048, end_id=1)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_byte_bpe": op1_byte_bpe,
@@ -166,6 +201,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_secrets": op8_secrets,
         "op9_embedding_dedup": op9_embedding_dedup,
         "op10_lm_score": op10_lm_score,
+        "op11_whitening": op11_whitening,
+        "op12_periodic_runs": op12_periodic_runs,
+        "op13_packing": op13_packing,
     }
 
 
