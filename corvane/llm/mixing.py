@@ -4,7 +4,10 @@ Documents may belong to several sources. They are summed by membership pattern (
 sources) and by a seeded hash bucket; the flow routes the capacity of patterns to the quotas of
 sources, where each further repetition of a pattern costs more (convex), so that the mix repeats
 as little as it can. Only these sums reach the driver: their number depends on the patterns, not
-on the documents, and is checked (MAX_PATTERNS). Documents are then taken whole in seeded order; inside a pattern only the
+on the documents, and is checked (MAX_PATTERNS). Documents are then taken whole. The long ones of a
+pattern are taken where their hash falls in the share that is wanted; the short ones then fill up
+in seeded order what is missing, so the mix misses a target by half a short document. Which are
+short follows from the sums by length: as few as can still make up for the long ones (_walk). Only the
 bucket at the cut is sorted, so a source with a third of all rows meets in no single task.
 """
 
@@ -16,7 +19,7 @@ from collections import deque
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.llm._common import packed_row
+from corvane.llm._common import materialize, packed_row
 
 #: Times that a document can be taken at most.
 MAX_REPEATS = 3
@@ -24,6 +27,9 @@ MAX_REPEATS = 3
 WEIGHTS = (1, 2, 3)
 #: Hex digits of the seeded hash that name a bucket: 4,096 buckets a pattern.
 BUCKET_DIGITS = 3
+BUCKETS = 16**BUCKET_DIGITS
+#: Bits of the longest document's size.
+LONGEST = 62
 #: The plan has a row a pattern; up to so many it is sent to all tasks, so that no pattern is a hot key.
 BROADCAST_PATTERNS = 20_000
 #: Patterns that the flow takes; more are an error, as the driver holds one sum for each.
@@ -133,6 +139,38 @@ def route(patterns: list[tuple[tuple[str | None, ...], int]], quotas: dict[str |
     return [{s: net.room[e ^ 1] for s, e in own.items()} for own in way]
 
 
+def _walk(lengths: dict[int, int], share: dict[int, int], rest: int) -> tuple[int, int, int, int]:
+    """Which documents make up rest words: (short, left, in the share, all), by bits of their size.
+
+    lengths and share: words of each length, of all documents and of those in the share. From the
+    longest down, a length gives its share, nothing or all, as long as the shorter ones can give
+    what is then missing. Where none of these will do, its documents and the shorter ones are
+    short: they give the words left in order of the hash. A length of few documents may also give
+    nothing or all if that misses by less than a quarter of its documents' size.
+    """
+    in_share = whole = 0
+    below = sum(lengths.values())
+    for bits in range(LONGEST, -1, -1):
+        words, part = lengths.get(bits, 0), share.get(bits, 0)
+        below -= words
+        if 0 <= rest - part <= below:
+            in_share |= 1 << bits
+            rest -= part
+        elif rest <= below:
+            pass
+        elif rest >= words:
+            whole |= 1 << bits
+            rest -= words
+        elif rest - below <= words - rest and 4 * (rest - below) <= 1 << bits:
+            rest = below
+        elif 4 * (words - rest) <= 1 << bits:
+            whole |= 1 << bits
+            rest = 0
+        else:
+            return bits, rest, in_share, whole
+    return -1, 0, in_share, whole
+
+
 #: Columns that mix() adds.
 ADDED = ("_size", "_source_size", "_target", "_repeats", "_taken")
 
@@ -143,8 +181,8 @@ def mix(docs: DataFrame, members: Column, size: Column, key: str = "doc_id", see
     members: array<string> of the sources of a row; a null or empty array counts as the null
     source. size: its words (null: 0). _source_size and _target sum over its sources. Rows of size
     0 take part but carry no words. Repeated rows are separate documents. Reruns agree: the order
-    hangs on the seed and the key alone, then on the size, then on tie (none), which says which of
-    several rows of one key and size comes first. Every row comes out once; input columns
+    hangs on the seed, the key and the size alone, then on tie (none), which says which of several
+    rows of one key and size comes first. The sums are written to the shared folder. Every row comes out once; input columns
     of the five names are replaced, all others may bear any name. Keys may be of any type.
     """
     spark = docs.sparkSession
@@ -156,40 +194,65 @@ def mix(docs: DataFrame, members: Column, size: Column, key: str = "doc_id", see
         F.to_json(F.struct(own.alias("p")), {"ignoreNullFields": "false"}).alias("pattern"),
         F.col(key).alias("key"),
         (F.lit(0) if tie is None else tie).alias("tie"),
-        F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col(key).cast("string"), F.lit("null")))).alias("hash"),
+        F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col(key).cast("string"), F.lit("null")), F.coalesce(size, F.lit(0)).cast("long").cast("string"))).alias("hash"),
     )
+    # Documents by length: the bits of their size, 0 for empty ones.
+    bits = F.when(F.col("_size") > 0, F.length(F.bin("_size"))).otherwise(0)
     bucket = F.conv(F.substring("hash", 1, BUCKET_DIGITS), 16, 10).cast("int")
-    sums = named.groupBy("pattern", bucket.alias("bucket")).agg(F.sum("_size").alias("words"))
-    totals = sums.groupBy("pattern").agg(F.sum("words").alias("words")).orderBy("pattern").limit(MAX_PATTERNS + 1).collect()
-    if len(totals) > MAX_PATTERNS:
-        raise ValueError(f"more than {MAX_PATTERNS} patterns of sources")
-    patterns = [(tuple(json.loads(r["pattern"])["p"]), r["words"]) for r in totals]
+    named = named.withColumns({"bits": bits, "bucket": bucket})
+    # A sum for each pattern, length and bucket: all that is planned reads these.
+    sums = materialize(named.groupBy("pattern", "bits", "bucket").agg(F.sum("_size").alias("words")), spark)
+    if (found := sums.select("pattern").distinct().limit(MAX_PATTERNS + 1).count()) > MAX_PATTERNS:
+        raise ValueError(f"{found} patterns of sources or more; the flow takes {MAX_PATTERNS}")
+    lengths: dict[str, dict[int, int]] = {}
+    for r in sums.groupBy("pattern", "bits").agg(F.sum("words").alias("words")).collect():
+        lengths.setdefault(r["pattern"], {})[r["bits"]] = r["words"]
+    names = sorted(lengths)
+    patterns = [(tuple(json.loads(p)["p"]), sum(lengths[p].values())) for p in names]
     sizes: dict[str | None, int] = {}
     for own_sources, words in patterns:
         for s in own_sources:
             sizes[s] = sizes.get(s, 0) + words
     scale = targets(sizes, weights, max_repeats, sum(words for _, words in patterns))
     flows = route(patterns, {s: int(t + 0.5) for s, t in scale.items()}, max_repeats)
-    plan = []
-    for r, (own_sources, words), flow in zip(totals, patterns, flows):
+    whole, rest = {}, {}
+    for p, (_, words), flow in zip(names, patterns, flows):
         taken = sum(flow.values())
-        whole = min(max_repeats, taken // words) if words else 0
-        plan.append((r["pattern"], sum(sizes[s] for s in own_sources), float(sum(scale[s] for s in own_sources)), whole, taken - whole * words))
-    plan_df = spark.createDataFrame(plan, "pattern string, _source_size long, _target double, whole int, rest long")
+        whole[p] = min(max_repeats, taken // words) if words else 0
+        rest[p] = taken - whole[p] * words
+    share = {p: rest[p] * BUCKETS // words if words else 0 for p, (_, words) in zip(names, patterns)}
+
+    def planned(rows: list[tuple], columns: str) -> DataFrame:
+        made = spark.createDataFrame(rows, columns)
+        return F.broadcast(made) if len(rows) <= BROADCAST_PATTERNS else made
+
+    shares = planned([*share.items()], "pattern string, share int")
+    long: dict[str, dict[int, int]] = {}
+    for r in sums.join(shares, "pattern").where(F.col("bucket") < F.col("share")).groupBy("pattern", "bits").agg(F.sum("words").alias("words")).collect():
+        long.setdefault(r["pattern"], {})[r["bits"]] = r["words"]
+    plan = []
+    for p, (own_sources, _) in zip(names, patterns):
+        plan.append((p, sum(sizes[s] for s in own_sources), float(sum(scale[s] for s in own_sources)), whole[p], share[p], *_walk(lengths[p], long.get(p, {}), rest[p])))
+    columns = "pattern string, _source_size long, _target double, whole int, share int, short int, left long, in_share long, every long"
     order = Window.partitionBy("pattern").orderBy("bucket")
-    edges = (
-        sums.withColumn("upto", F.sum("words").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-        .join(plan_df, "pattern")
-        .where((F.col("upto") - F.col("words") <= F.col("rest")) & (F.col("rest") > 0))
+    cuts = (
+        sums.join(planned([(r[0], r[5], r[6]) for r in plan], "pattern string, short int, left long"), "pattern")
+        .where(F.col("bits") <= F.col("short"))
+        .groupBy("pattern", "bucket", "left")
+        .agg(F.sum("words").alias("words"))
+        .withColumn("before", F.sum("words").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("words"))
+        .where((F.col("before") <= F.col("left")) & (F.col("left") > 0))
         .groupBy("pattern")
-        .agg(F.max(F.struct("bucket", (F.col("rest") - F.col("upto") + F.col("words")).alias("left"))).alias("cut"))
+        .agg(F.max(F.struct("bucket", (F.col("left") - F.col("before")).alias("left"))).alias("cut"))
     )
-    plan_df = plan_df.join(edges, "pattern", "left").select("pattern", "_source_size", "_target", "whole", F.col("cut.bucket").alias("edge"), F.col("cut.left").alias("left"))
-    placed = named.join(F.broadcast(plan_df) if len(plan) <= BROADCAST_PATTERNS else plan_df, "pattern").withColumn("bucket", bucket)
-    inside = F.col("bucket") == F.col("edge")
+    plan_df = spark.createDataFrame(plan, columns).drop("left").join(cuts, "pattern", "left").select("*", F.col("cut.bucket").alias("edge"), F.col("cut.left").alias("left")).drop("cut")
+    placed = named.join(F.broadcast(plan_df) if len(plan) <= BROADCAST_PATTERNS else plan_df, "pattern")
+    inside = (F.col("bits") <= F.col("short")) & F.coalesce(F.col("bucket") == F.col("edge"), F.lit(False))
     at_edge = placed.where(inside)
     before = F.sum("_size").over(Window.partitionBy("pattern").orderBy("hash", "key", "_size", "tie").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_size")
-    chosen = placed.where(~F.coalesce(inside, F.lit(False))).withColumn("more", F.coalesce(F.col("bucket") < F.col("edge"), F.lit(False)))
+    long_ones = (F.getbit("every", F.col("bits")) == 1) | ((F.getbit("in_share", F.col("bits")) == 1) & (F.col("bucket") < F.col("share")))
+    more = F.when(F.col("bits") > F.col("short"), long_ones).otherwise(F.coalesce(F.col("bucket") < F.col("edge"), F.lit(False)))
+    chosen = placed.where(~inside).withColumn("more", more)
     # The document at the cut is taken if that brings the source nearer to its target.
     chosen = chosen.unionByName(at_edge.withColumn("more", 2 * before + F.col("_size") <= 2 * F.col("left")))
     repeats = F.col("whole") + F.col("more").cast("int")

@@ -31,8 +31,9 @@ def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP3_SQL = r"""
 WITH RECURSIVE sized AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, md5('mix|' || coalesce(doc_id::VARCHAR, 'null')) AS h
-  FROM documents
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
+), hashed AS (
+  SELECT *, md5('mix|' || coalesce(doc_id::VARCHAR, 'null') || '|' || size::VARCHAR) AS h, CASE WHEN size > 0 THEN length(bin(size)) ELSE 0 END AS bits FROM sized
 ), per_source AS (
   SELECT source, sum(size)::BIGINT AS source_size, [1, 2, 3][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w
   FROM sized GROUP BY source
@@ -49,14 +50,36 @@ WITH RECURSIVE sized AS (
 ), plan AS (
   SELECT *, least(3 * source_size, floor(target + 0.5)::BIGINT) AS words FROM quota
 ), cut AS (
-  SELECT *, CASE WHEN source_size > 0 THEN words // source_size ELSE 0 END AS whole FROM plan
+  SELECT *, CASE WHEN source_size > 0 THEN words // source_size ELSE 0 END AS whole,
+    CASE WHEN source_size > 0 THEN words % source_size ELSE 0 END AS rest,
+    CASE WHEN source_size > 0 THEN format('{:03x}', (words % source_size) * 4096 // source_size) ELSE '000' END AS share
+  FROM plan
+), lengths AS (
+  SELECT c.source, b.bits, coalesce(sum(d.size) FILTER (d.bits = b.bits), 0)::BIGINT AS words, coalesce(sum(d.size) FILTER (d.bits = b.bits AND h[1:3] < c.share), 0)::BIGINT AS part,
+    coalesce(sum(d.size) FILTER (d.bits < b.bits), 0)::BIGINT AS below
+  FROM cut c CROSS JOIN (SELECT unnest(range(63)) AS bits) b JOIN hashed d ON d.source IS NOT DISTINCT FROM c.source
+  GROUP BY c.source, b.bits
+), walk AS (
+  SELECT source, 63::BIGINT AS bits, rest::BIGINT AS left_, 'start' AS way FROM cut
+  UNION ALL
+  SELECT source, bits, (CASE way WHEN 'share' THEN left_ - part WHEN 'all' THEN greatest(left_ - words, 0) WHEN 'none' THEN least(left_, below) ELSE left_ END)::BIGINT, way
+  FROM (
+    SELECT w.source, l.bits, w.left_, l.words, l.part, l.below,
+      CASE WHEN left_ - part BETWEEN 0 AND below THEN 'share' WHEN left_ <= below THEN 'none' WHEN left_ >= words THEN 'all'
+        WHEN left_ - below <= words - left_ AND 4 * (left_ - below) <= 1::BIGINT << l.bits THEN 'none'
+        WHEN 4 * (words - left_) <= 1::BIGINT << l.bits THEN 'all' ELSE 'short' END AS way
+    FROM walk w JOIN lengths l ON l.source IS NOT DISTINCT FROM w.source AND l.bits = w.bits - 1 WHERE w.way <> 'short'
+  )
+), short AS (
+  SELECT source, coalesce(max(bits) FILTER (way = 'short'), -1) AS short, coalesce(max(left_) FILTER (way = 'short'), 0) AS missing FROM walk GROUP BY source
 ), placed AS (
-  SELECT d.doc_id, d.size, c.source_size, c.target, c.whole, c.words - c.whole * c.source_size AS rest,
-    sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h, d.doc_id, d.size ROWS UNBOUNDED PRECEDING) - d.size AS before_
-  FROM sized d JOIN cut c ON d.source IS NOT DISTINCT FROM c.source
+  SELECT d.doc_id, d.size, c.source_size, c.target, c.whole, d.bits > s.short AS is_long, w.way = 'all' OR w.way = 'share' AND d.h[1:3] < c.share AS is_taken, s.missing,
+    sum(d.size) OVER (PARTITION BY d.source, d.bits > s.short ORDER BY d.h, d.doc_id, d.size ROWS UNBOUNDED PRECEDING) - d.size AS before_
+  FROM hashed d JOIN cut c ON d.source IS NOT DISTINCT FROM c.source JOIN short s ON d.source IS NOT DISTINCT FROM s.source
+    LEFT JOIN walk w ON d.source IS NOT DISTINCT FROM w.source AND w.bits = d.bits
 )
 SELECT doc_id, size, source_size, target,
-  ((whole + CASE WHEN rest > 0 AND 2 * before_ + size <= 2 * rest THEN 1 ELSE 0 END) * size)::BIGINT AS taken
+  ((whole + CASE WHEN is_long THEN is_taken::INT WHEN missing > 0 AND 2 * before_ + size <= 2 * missing THEN 1 ELSE 0 END) * size)::BIGINT AS taken
 FROM placed
 """
 

@@ -10,6 +10,7 @@ import re
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -159,6 +160,26 @@ def test_mix_hits_targets(spark):
         assert abs(r["t"] - r["want"]) <= 40
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_mix_passes_long_documents_at_the_cut(spark, tmp_path, seed):
+    """A document of most of a source's words does not keep the short ones after it out; the SQL agrees."""
+    rng = random.Random(seed)
+    rows = [(i, f"s{i % 3}", "w " * rng.randint(100, 300)) for i in range(900)]
+    rows += [(1000 + i, f"s{i % 3}", "w " * n) for i, n in enumerate([200_000, 90_000, 30_000, 50_000, 3_000, 30_000])]
+    rows += [(None, "s0", "w " * 200)] * 40 + [(2000, None, None), (2001, None, ""), (2002, "empty", None)]
+    spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    out = queries.op3_source_mix(spark, str(tmp_path))
+    got = spark.read.parquet(f"{tmp_path}/documents.parquet").select("doc_id", "source").dropna().dropDuplicates(["doc_id"]).join(out, "doc_id")
+    sources = {r["source_size"]: r["source"] for r in got.dropDuplicates(["source"]).collect()}
+    for r in out.groupBy("source_size", "target").agg(F.sum("taken").alias("t")).collect():
+        # s0 has 250,000 of its 318,000 words in two documents: 200,000 alone come nearest to 196,000.
+        assert abs(r["t"] - r["target"]) <= (4500 if sources.get(r["source_size"]) == "s0" else 300), (sources.get(r["source_size"]), r)
+    assert got.where("taken > 3 * size").count() == 0
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert_same(out, con.sql(queries.OP3_SQL))
+
+
 VECTOR = "vec_id long, embedding array<float>, label int"
 
 
