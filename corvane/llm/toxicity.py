@@ -5,7 +5,7 @@ model also sees the probabilities that the chain gave to the earlier categories;
 these come from out-of-fold predictions, so that later models learn how far they can be trusted.
 Models are fitted on a bounded sample of labelled documents (SAMPLE rows of each class, drawn by
 hash, weighted back to the share of their class), each with its whole text, as numbers of the
-VOCABULARY most frequent words; every document is scored whole.
+most frequent words of the sample; every document is scored whole.
 """
 
 from __future__ import annotations
@@ -23,8 +23,6 @@ from corvane.llm._common import extend, materialize
 
 #: Labelled rows of each class of the last category that are fitted at most.
 SAMPLE = 2500
-#: Words that a chain knows at most: the most frequent of the sample, equals by code point.
-VOCABULARY = 65_536
 #: A word is a feature if so many sampled texts have it.
 MIN_TEXTS = 5
 FOLDS, STEPS, RATE, PENALTY = 3, 100, 0.15, 0.5
@@ -128,18 +126,20 @@ def _word_sets(batches):
         yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(words, pa.list_(pa.string()))], ["row", "words"])
 
 
-def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], sample: int = SAMPLE) -> Chain:
+def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], sample: int = SAMPLE, min_texts: int = MIN_TEXTS, vocabulary_size: int | None = 65_536) -> Chain:
     """Fit the chain. categories: name to 0/1 column over labels, in the chain's order; labels has doc_id.
 
     Rows with a null id or a null category, and documents with null or empty text, are left out;
-    repeated rows count once. The sample is drawn by a hash of id and labels, so reruns agree; ties
+    repeated rows count once, in the sample and in the totals that weigh it. A word is a feature
+    if min_texts of the sampled texts have it (all of them, where the sample is smaller), and one
+    of the vocabulary_size most frequent, equals by code point; None takes all of them. The sample is drawn by a hash of id and labels, so reruns agree; ties
     go to the smaller id. The words of the sampled documents, however long, are counted in the
     cluster; the driver gets the vocabulary and the numbers of each sampled row's words. Without
     labelled documents every probability is that of the constant model, 0.
     """
     spark = docs.sparkSession
     names = list(categories)
-    marked = labels.select("doc_id", *[c.cast("int").alias(f"y{i}") for i, c in enumerate(categories.values())]).dropna()
+    marked = labels.select("doc_id", *[c.cast("int").alias(f"y{i}") for i, c in enumerate(categories.values())]).dropna().distinct()
     last = f"y{len(names) - 1}"
     # A top-k for each class: every task keeps `sample` rows at most, so no class is a hot key.
     order = [F.md5(F.concat_ws("|", *marked.columns)), F.col("doc_id")]
@@ -148,8 +148,9 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], sam
     # At most 2 * sample rows: a bounded broadcast.
     texts = docs.where(F.length("text") > 0).select("doc_id", "text").join(F.broadcast(first.union(second)), "doc_id").select(*marked.columns, "text")
     drawn = materialize(extend(texts, {"text": "text"}, "words array<string>", _word_sets, marked.columns).dropDuplicates())
-    counts = drawn.select(F.explode("words").alias("word")).groupBy("word").count().where(F.col("count") >= MIN_TEXTS)
-    vocabulary = {w: i for i, w in enumerate(sorted(r["word"] for r in counts.orderBy(F.desc("count"), "word").limit(VOCABULARY).collect()))}
+    counts = drawn.select(F.explode("words").alias("word")).groupBy("word").count().where(F.col("count") >= min(min_texts, max(1, drawn.count())))
+    ranked = counts.orderBy(F.desc("count"), "word")
+    vocabulary = {w: i for i, w in enumerate(sorted(r["word"] for r in (ranked if vocabulary_size is None else ranked.limit(vocabulary_size)).collect()))}
     known = spark.sparkContext.broadcast(vocabulary)
 
     def number(batches):

@@ -487,3 +487,17 @@ def test_ranks_file():
     with open(PATH, "rb") as f:
         token, rank = f.readline().split()
     assert base64.b64decode(token) and int(rank) == 0
+
+
+def test_repeated_labels_count_once(spark):
+    """A hot label row neither fills the sample nor weighs more than once; few texts still teach."""
+    docs = spark.createDataFrame([(i, f"{'bad' if i % 2 else 'fine'} thing") for i in range(8)], "doc_id long, text string")
+    once = [(i, 1, i % 2) for i in range(8)]
+    labels = spark.createDataFrame(once + [once[0]] * 400 + [once[1]] * 400, "doc_id long, quality int, toxic int")
+    chain = toxicity.train(docs, labels, toxicity.default_categories(), sample=4, min_texts=4)
+    assert set(chain.vocabulary) == {"bad", "fine", "thing"}
+    got = {r["doc_id"]: r["p_toxic"] >= 0.5 for r in toxicity.classify(docs, chain).collect()}
+    assert got == {i: i % 2 == 1 for i in range(8)}
+    every = toxicity.train(docs, labels, toxicity.default_categories(), sample=4, min_texts=50, vocabulary_size=None)
+    assert set(every.vocabulary) == {"thing"}
+    assert set(toxicity.train(docs, labels, toxicity.default_categories(), min_texts=1, vocabulary_size=1).vocabulary) == {"thing"}
