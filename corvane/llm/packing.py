@@ -11,12 +11,16 @@ window is ever padded, and all but a few documents are in as few pieces as their
 
 from __future__ import annotations
 
+import json
 import os
+import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -139,9 +143,14 @@ class Encoder:
     """Ids of whole texts by a tokenizer of words: each distinct word of a block is looked up once.
 
     White space ends a word for this kind of tokenizer (its pattern matches none, and it is not
-    composed with what follows), so the ids of a text are those of its words in order.
+    composed with what follows), so the ids of a text are those of its words in order. New words of
+    plain letters are cut into the pattern's pieces, all at once, and only new pieces are merged.
     """
 
+    #: Letters and marks that composing leaves alone and that have one lower-case letter each.
+    PLAIN = "[!-~\xa1-\u012f\u0131-\u017f]"
+    NORMAL = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+
     def __init__(self, path: str):
         # Spark's tasks are what runs at once; threads of the library would only compete with them.
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -149,16 +158,46 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+        parts = json.loads(self.tokenizer.to_str())
+        cut = parts["pre_tokenizer"].get("pretokenizers") or [{}]
+        self.is_plain = None
+        if parts["normalizer"].get("normalizers") == self.NORMAL and cut[0].get("type") == "Split" and cut[0]["invert"] and [c["type"] for c in cut[1:]] == ["ByteLevel"]:
+            marks = "|".join(re.escape(t["content"]) for t in parts["added_tokens"]) or "(?!)"
+            self.is_plain = re.compile(f"(?!.*(?:{marks})){self.PLAIN}+").fullmatch
+            self.split = regex.compile(cut[0]["pattern"]["Regex"] + "| ").findall
+            # How the merges spell each letter: by the tokenizer itself.
+            spell = self.tokenizer.pre_tokenizer.pre_tokenize_str
+            self.spelling = {c: spell(chr(c))[0][0] for c in range(0x21, 0x180) if re.match(self.PLAIN, chr(c))}
 
     def words(self, words: list[str]) -> list[bytes]:
         """Ids of each of the distinct words."""
         if len(self.known) > MEMORY:
             self.known.clear()
         new = [w for w in words if w not in self.known]
-        found = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-        self.known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(new, found))
+        plain = [w for w in new if self.is_plain(w)] if self.is_plain else []
+        self.known.update(zip(plain, self._plain(plain)))
+        other = [w for w in new if w not in self.known]
+        found = self.tokenizer.encode_batch_fast(other, add_special_tokens=False)
+        self.known.update((w, struct.pack(f"<{len(e.ids)}I", *e.ids)) for w, e in zip(other, found))
         return [self.known[w] for w in words]
 
+    def _plain(self, words: list[str]) -> list[bytes]:
+        if len(self.pieces) > MEMORY:
+            self.pieces.clear()
+        merge = self.tokenizer.model.tokenize
+        out, own = [], []
+        for piece in self.split(" ".join(words).lower()):
+            if piece == " ":
+                out.append(b"".join(own))
+                own = []
+                continue
+            if (ids := self.pieces.get(piece)) is None:
+                merged = merge(piece.translate(self.spelling))
+                ids = self.pieces[piece] = struct.pack(f"<{len(merged)}I", *[t.id for t in merged])
+            own.append(ids)
+        return [*out, b"".join(own)] if words else []
+
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, where those of each text end); a null text has none."""
         split = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))

@@ -247,6 +247,26 @@ def test_packing_odd_rows(spark, tmp_path, parts):
     assert packing.pack(df.limit(0), public_tokenizers.path("word_bpe_49k.json")).count() == 0
 
 
+def test_encoder_equals_the_library():
+    """Every letter below U+0250 beside others, marks, and words of other scripts."""
+    import pyarrow as pa
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer, encode = Tokenizer.from_file(path), packing.Encoder(path)
+    assert encode.is_plain
+    rng = random.Random(1)
+    texts = [f"{chr(c)} a{chr(c)}b {chr(c)}{chr(c)}9{chr(c)}X {chr(c).upper()}'S" for c in range(0x250)]
+    letters = [chr(c) for c in [*range(0x250), 0x300, 0x301, 0x3A3, 0x3C2, 0x1E9E, 0x130, 0x2028, 0xFEFF, 0xAC00, 0x0E01, 0x1F600]]
+    texts += ["".join(rng.choice(letters) for _ in range(60)) for _ in range(3000)]
+    texts += ["".join(rng.choice("abcXYZ'stremvld09.,!<|> éÉß") for _ in range(60)) for _ in range(3000)]
+    texts += [None, "", "<|endoftext|>", "x<|startoftext|>y <|ENDOFTEXT|> <|endoftext|"]
+    ids, ends = encode(pa.array(texts))
+    begin = 0
+    for text, end in zip(texts, ends.tolist()):
+        assert ids[begin:end].tolist() == tokenizer.encode(text or "", add_special_tokens=False).ids, repr(text)
+        begin = end
+
+
 @pytest.mark.parametrize("window", [1, 2, 7, 64, 100])
 def test_pouring_and_open_windows(spark, monkeypatch, window):
     """Any window; many open ones are poured together."""
