@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +11,8 @@ from corvane.llm._common import discard, materialize
 
 #: The rounds needed grow with the logarithm of the nodes; this only guards against errors.
 MAX_ROUNDS = 60
+#: Edges that a task holds before it contracts them.
+HELD = 1 << 21
 
 
 class Forest:
@@ -66,25 +69,50 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of the edges (a, b); the component is its smallest node.
 
     Self-loops, repeated edges and either direction are allowed; rows with a null end are left
-    out. Each round's edges are written to the shared folder, so a lost executor costs one round,
-    and the loop ends when a round changes nothing. Nothing but counts reaches the driver.
+    out. Each task first contracts its own edges, so rounds only join what tasks can't see. Each
+    round's edges are written to the shared folder, so a lost executor costs one round, and the
+    loop ends when the edges are stars. Nothing but counts reaches the driver.
     """
-    now = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    mark = _fingerprint(now)
+    clean = edges.where("a <> b").select(F.col("a").cast("long"), F.col("b").cast("long"))
+    now = materialize(clean.mapInArrow(_contract, "a long, b long").distinct())
     for _ in range(MAX_ROUNDS):
-        if not mark[0]:
+        if not _unsettled(now):
             break
-        after = materialize(_small_star(_large_star(now).distinct()).distinct())
+        after = materialize(_small_star(_large_star(now)).distinct())
         discard(now)
-        seen, mark, now = mark, _fingerprint(after), after
-        if mark == seen:
-            break
+        now = after
     else:
         raise RuntimeError("components did not settle")
     roots = now.select(F.col("b").alias("node")).distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots.select("node", F.col("node").alias("component")))
 
 
-def _fingerprint(edges: DataFrame) -> tuple:
-    """Count and order-free hash of the edges, to see whether a round changed them."""
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+def _contract(batches):
+    """The edges of a task as stars (a > b): each node with the smallest that the task's edges reach.
+
+    After every HELD edges the stars take the place of what they came from.
+    """
+    a, b, held = [], [], 0
+
+    def stars() -> tuple[np.ndarray, np.ndarray]:
+        names, ends = np.unique(np.concatenate([*a, *b]), return_inverse=True)
+        forest = Forest(len(names))
+        forest.link(*np.split(ends, 2))
+        own, root = forest.edges()
+        return names[own], names[root]
+
+    for batch in batches:
+        a.append(batch.column("a").to_numpy())
+        b.append(batch.column("b").to_numpy())
+        held += batch.num_rows
+        if held >= HELD:
+            one, other = stars()
+            a, b, held = [one], [other], 0
+    if a:
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in stars()], ["a", "b"])
+
+
+def _unsettled(edges: DataFrame) -> int:
+    """Nodes that keep the edges from being stars: with two smaller neighbours, or smaller and larger ones."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("b", F.lit(0), F.lit(1)))
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 OR (up > 0 AND down > 0)").count()

@@ -160,6 +160,35 @@ def test_mix_hits_targets(spark):
         assert abs(r["t"] - r["want"]) <= 40
 
 
+def brute_choice(own, rest):
+    """The documents (hash, size, ...) that give rest words: lengths from the longest down, then a prefix."""
+    words, chosen = sum(d[1] for d in own), []
+    share = rest * 4096 // words if words else 0
+    for bits in range(62, -1, -1):
+        here = [d for d in own if d[1].bit_length() == bits]
+        shorter = sum(d[1] for d in own if d[1].bit_length() < bits)
+        drawn = [d for d in here if int(d[0][:3], 16) < share]
+        every = sum(d[1] for d in here)
+        if 0 <= rest - sum(d[1] for d in drawn) <= shorter:
+            chosen += drawn
+            rest -= sum(d[1] for d in drawn)
+        elif rest > shorter:
+            if rest >= every:
+                chosen, rest = chosen + here, rest - every
+            elif rest - shorter <= every - rest and rest - shorter <= 2**bits / 4:
+                rest = shorter
+            elif every - rest <= 2**bits / 4:
+                chosen, rest = chosen + here, 0
+            else:
+                before = 0
+                for d in sorted(d for d in own if d[1].bit_length() <= bits):
+                    if 2 * before + d[1] <= 2 * rest:
+                        chosen.append(d)
+                    before += d[1]
+                break
+    return chosen
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_mix_passes_long_documents_at_the_cut(spark, tmp_path, seed):
     """A document of most of a source's words does not keep the short ones after it out; the SQL agrees."""
@@ -406,11 +435,10 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
     for s in sizes:
         words = min(3 * sizes[s], math.floor(target[s] + 0.5))
         whole, rest = divmod(words, sizes[s]) if sizes[s] else (0, 0)
-        before = 0
-        order = sorted((r for r in left if r[2] == s), key=lambda r: (hashlib.md5(f"mix|{'null' if r[0] is None else r[0]}".encode()).hexdigest(), size(r[1])))
-        for i, t, _ in order:
-            times = whole + (rest > 0 and 2 * before + size(t) <= 2 * rest)
-            before += size(t)
+        own = [(hashlib.md5(f"mix|{'null' if i is None else i}|{size(t)}".encode()).hexdigest(), size(t), i, t) for i, t, src in left if src == s]
+        more = brute_choice(own, rest)
+        for d in own:
+            i, t, times = d[2], d[3], whole + (d in more)
             ids = encoding.encode_ordinary(t or "")
             if times:
                 want[i, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()] += times
