@@ -10,7 +10,7 @@ return the columns of documents, whatever further ones there are and however the
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvane.llm import bpe, minhash, mixing, secrets, toxicity
@@ -21,9 +21,16 @@ def _toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose probability of being toxic is at least one half go; null and empty texts stay."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     chain = toxicity.train(docs, labels, toxicity.default_categories())
-    # The row travels as one structure, so that its columns may bear the names of probabilities.
-    wide = docs.select(packed_row(docs).alias("whole"), "text")
-    return toxicity.classify(wide, chain, keep=["whole"]).where("p_toxic < 0.5").select("whole.*")
+    prefix = _free(docs, "p_")
+    scored = toxicity.classify(docs, chain, prefix=prefix)
+    return scored.where(F.col(f"{prefix}toxic") < 0.5).select(*[quoted(c) for c in docs.columns])
+
+
+def _free(docs: DataFrame, name: str) -> str:
+    """The name, with underscores before it until no column of docs begins with it."""
+    while any(c.lower().startswith(name) for c in docs.columns):
+        name = f"_{name}"
+    return name
 
 
 def _near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,14 +39,16 @@ def _near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows that share an id are one document, which stays or goes as a whole: each of its different
     texts comes out once, with the smallest of the other columns that come with it. Rows without id stay.
     """
-    kept = minhash.near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    named = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi")
-    rest = [quoted(c) for c in docs.columns if c not in ("doc_id", "text")]
-    if rest:
-        once = named.groupBy("doc_id", "text").agg(F.min(F.struct(*rest)).alias("rest")).select("doc_id", "text", "rest.*")
-    else:
-        once = named.distinct()
+    found = minhash.near_duplicates(docs).where("kept AND doc_id IS NOT NULL")
+    times, nth = _free(docs, "times"), _free(docs, "nth")
+    kept = found.groupBy("doc_id").agg(F.count("*").alias(times))
     columns = [quoted(c) for c in docs.columns]
+    named = docs.where("doc_id IS NOT NULL").join(kept, "doc_id")
+    # Texts and other columns are compared only where an id comes more than once.
+    again = lambda c: F.when(F.col(times) > 1, c)
+    rest = [quoted(c) for c in docs.columns if c not in ("doc_id", "text")] or [F.lit(0)]
+    order = Window.partitionBy("doc_id", again(F.col("text"))).orderBy(again(F.struct(*rest)))
+    once = named.withColumn(nth, F.row_number().over(order)).where(F.col(nth) == 1)
     return once.select(*columns).union(docs.where("doc_id IS NULL").select(*columns))
 
 
