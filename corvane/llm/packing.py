@@ -143,7 +143,7 @@ class Encoder:
     """Ids of whole texts by a tokenizer of words: each distinct word of a block is looked up once.
 
     White space ends a word for this kind of tokenizer (its pattern matches none, and it is not
-    composed with what follows), so the ids of a text are those of its words in order. New words of
+    composed with what follows), so the ids of a text are those of its words in order. Words of
     plain letters are cut into the pattern's pieces, all at once, and only new pieces are merged.
     """
 
@@ -161,54 +161,62 @@ class Encoder:
         self.pieces: dict[str, bytes] = {}
         parts = json.loads(self.tokenizer.to_str())
         cut = parts["pre_tokenizer"].get("pretokenizers") or [{}]
-        self.is_plain = None
+        self.marks, self.spelling = "$^", {}
         if parts["normalizer"].get("normalizers") == self.NORMAL and cut[0].get("type") == "Split" and cut[0]["invert"] and [c["type"] for c in cut[1:]] == ["ByteLevel"]:
-            marks = "|".join(re.escape(t["content"]) for t in parts["added_tokens"]) or "(?!)"
-            self.is_plain = re.compile(f"(?!.*(?:{marks})){self.PLAIN}+").fullmatch
+            self.marks = "|".join(re.escape(t["content"]) for t in parts["added_tokens"]) or "$^"
             self.split = regex.compile(cut[0]["pattern"]["Regex"] + "| ").findall
             # How the merges spell each letter: by the tokenizer itself.
             spell = self.tokenizer.pre_tokenizer.pre_tokenize_str
             self.spelling = {c: spell(chr(c))[0][0] for c in range(0x21, 0x180) if re.match(self.PLAIN, chr(c))}
 
-    def words(self, words: list[str]) -> list[bytes]:
-        """Ids of each of the distinct words."""
+    def _plain(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words, number of ids of each): every piece has one id at least, a space none."""
+        cut = self.split(" ".join([*words, ""]).lower())
+        ids = list(map(self.pieces.get, cut))
+        for i in [i for i, x in enumerate(ids) if x is None]:
+            piece = cut[i]
+            if (known := self.pieces.get(piece)) is None:
+                found = self.tokenizer.model.tokenize(piece.translate(self.spelling))
+                known = self.pieces[piece] = struct.pack(f"<{len(found)}I", *[t.id for t in found])
+            ids[i] = known
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        return np.frombuffer(b"".join(ids), "<u4"), np.diff(np.cumsum(sizes)[sizes == 0], prepend=0)
+
+    def _encoded(self, word: str) -> bytes:
+        ids = self.known.get(word)
+        if ids is None:
+            found = self.tokenizer.encode(word, add_special_tokens=False).ids
+            ids = self.known[word] = struct.pack(f"<{len(found)}I", *found)
+        return ids
+
+    def words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, starts in them, lengths) of distinct words."""
         if len(self.known) > MEMORY:
             self.known.clear()
-        new = [w for w in words if w not in self.known]
-        plain = [w for w in new if self.is_plain(w)] if self.is_plain else []
-        self.known.update(zip(plain, self._plain(plain)))
-        other = [w for w in new if w not in self.known]
-        found = self.tokenizer.encode_batch_fast(other, add_special_tokens=False)
-        self.known.update((w, struct.pack(f"<{len(e.ids)}I", *e.ids)) for w, e in zip(other, found))
-        return [self.known[w] for w in words]
-
-    def _plain(self, words: list[str]) -> list[bytes]:
-        if len(self.pieces) > MEMORY:
-            self.pieces.clear()
-        merge = self.tokenizer.model.tokenize
-        out, own = [], []
-        for piece in self.split(" ".join(words).lower()):
-            if piece == " ":
-                out.append(b"".join(own))
-                own = []
-                continue
-            if (ids := self.pieces.get(piece)) is None:
-                merged = merge(piece.translate(self.spelling))
-                ids = self.pieces[piece] = struct.pack(f"<{len(merged)}I", *[t.id for t in merged])
-            own.append(ids)
-        return [*out, b"".join(own)] if words else []
+        if len(self.pieces) > MEMORY or not self.pieces:
+            self.pieces = {" ": b""}
+        plain, pieces = np.zeros(len(words), bool), np.zeros(0, "<u4")
+        if self.spelling:
+            plain = pc.and_not(pc.match_substring_regex(words, f"^{self.PLAIN}+$"), pc.match_substring_regex(words, self.marks)).to_numpy(zero_copy_only=False)
+        lengths = np.zeros(len(words), np.int64)
+        if plain.any():
+            pieces, lengths[plain] = self._plain(words.filter(pa.array(plain)).to_pylist())
+        other = [self._encoded(w) for w in words.filter(pa.array(~plain)).to_pylist()]
+        lengths[~plain] = [len(x) // 4 for x in other]
+        starts = np.empty(len(words), np.int64)
+        order = np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])
+        starts[order] = np.cumsum(lengths[order]) - lengths[order]
+        return np.concatenate([pieces, np.frombuffer(b"".join(other), "<u4")]), starts, lengths
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, where those of each text end); a null text has none."""
         split = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
         coded = split.flatten().dictionary_encode()
-        ids = self.words(coded.dictionary.to_pylist())
-        sizes = np.array([len(x) // 4 for x in ids], np.int64)
-        table = np.frombuffer(b"".join(ids), "<u4")
+        ids, starts, sizes = self.words(coded.dictionary)
         which = coded.indices.to_numpy()
         lengths = sizes[which]
         ends = np.concatenate([[0], np.cumsum(lengths)])[np.cumsum(pc.list_value_length(split).to_numpy())]
-        return table[ragged((np.cumsum(sizes) - sizes)[which], lengths)], ends
+        return ids[ragged(starts[which], lengths)], ends
 
 
 _PIECE = "start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"

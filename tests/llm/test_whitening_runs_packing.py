@@ -253,7 +253,7 @@ def test_encoder_equals_the_library():
 
     path = public_tokenizers.path("word_bpe_49k.json")
     tokenizer, encode = Tokenizer.from_file(path), packing.Encoder(path)
-    assert encode.is_plain
+    assert encode.spelling
     rng = random.Random(1)
     texts = [f"{chr(c)} a{chr(c)}b {chr(c)}{chr(c)}9{chr(c)}X {chr(c).upper()}'S" for c in range(0x250)]
     letters = [chr(c) for c in [*range(0x250), 0x300, 0x301, 0x3A3, 0x3C2, 0x1E9E, 0x130, 0x2028, 0xFEFF, 0xAC00, 0x0E01, 0x1F600]]
