@@ -152,6 +152,25 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
+def cover_density(hits: Column, n: Column) -> Column:
+    """Sum of 0.1 / (1 + other words) over the shortest stretches with all of n terms, at most 1; null without any.
+
+    hits: sorted numbers place * n + term, terms from 0.
+    """
+    start = F.struct(F.array_repeat(F.lit(-1), n).alias("last"), F.lit(-1).alias("p"), F.lit(0.0).alias("total"))
+
+    def step(state: Column, hit: Column) -> Column:
+        # The last place of each term; the stretch from the least of them to here is a cover, and a
+        # new one where that least place moves.
+        q = F.floor(hit / n).cast("int")
+        last = F.transform(state["last"], lambda at, i: F.when(i == hit % n, q).otherwise(at))
+        p = F.array_min(last)
+        more = F.when((p >= 0) & (p != state["p"]), F.lit(0.1) / (q - p + 2 - n)).otherwise(0.0)
+        return F.struct(last.alias("last"), p.alias("p"), (state["total"] + more).alias("total"))
+
+    return F.aggregate(hits, start, step, lambda state: F.when(state["p"] >= 0, F.least(F.lit(1.0), state["total"])))
+
+
 def keyword_matches(blocks: DataFrame, terms: list[str], text: str = "text", normal=lambda c: c) -> DataFrame:
     """keyword_score of every block that has all terms: cover density, at most 1.
 
@@ -171,19 +190,7 @@ def keyword_matches(blocks: DataFrame, terms: list[str], text: str = "text", nor
             found = found.when(t == term, i * n + at)
         return found
 
-    hits = F.array_compact(F.transform(tokens(F.col(text)), place))
-    start = F.struct(F.array_repeat(F.lit(-1), n).alias("last"), F.lit(-1).alias("p"), F.lit(0.0).alias("total"))
-
-    def step(state: Column, hit: Column) -> Column:
-        # The last place of each term; the stretch from the least of them to here is a cover, and a
-        # new one where that least place moves.
-        q = F.floor(hit / n).cast("int")
-        last = F.transform(state["last"], lambda at, i: F.when(i == hit % n, q).otherwise(at))
-        p = F.array_min(last)
-        more = F.when((p >= 0) & (p != state["p"]), F.lit(0.1) / (q - p + 2 - n)).otherwise(0.0)
-        return F.struct(last.alias("last"), p.alias("p"), (state["total"] + more).alias("total"))
-
-    score = F.aggregate(hits, start, step, lambda state: F.when(state["p"] >= 0, F.least(F.lit(1.0), state["total"])))
+    score = cover_density(F.array_compact(F.transform(tokens(F.col(text)), place)), F.lit(n))
     # As a generator the score is computed once; as a filter's condition it would be twice.
     return blocks.select("*", F.explode(F.array_compact(F.array(score))).alias("keyword_score"))
 

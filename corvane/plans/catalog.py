@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from corvane.plans import blocks, conversations, ingestion, layout, relational, retrieval, streams, study, usage
+from corvane.plans import answers, blocks, conversations, ingestion, layout, relational, retrieval, streams, study, usage
 from corvane.plans.registry import QUERIES, SQL, Query
 
-_MODULES = (retrieval, relational, ingestion, blocks, layout, conversations, usage, streams, study)
+_MODULES = (retrieval, answers, relational, ingestion, blocks, layout, conversations, usage, streams, study)
 
 #: Name of the query that entry() runs.
 FLAGSHIP = "retrieval_hybrid"
