@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import scopes
 from corvane.functions.vectors import pad, similarity, valid
+from corvane.operators import ivf
 from corvane.operators import retrieval as R
 from corvane.operators.stem import stem_tokens
 from corvane.plans.registry import query, table
@@ -266,11 +267,14 @@ def coverage_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SCOPE_TEXT = r"trim(regexp_replace(coalesce(text, ''), '[\s\v]+', ' ', 'g'))"
 
 
-@query("query_scope", f"""
-SELECT conv_id, turn, CASE WHEN t = '' THEN 'narrow' WHEN len(t) - len(replace(t, '?', '')) > 1 THEN 'broad'
+_BROAD_SQL = f"""CASE WHEN t = '' THEN 'narrow' WHEN len(t) - len(replace(t, '?', '')) > 1 THEN 'broad'
   WHEN {' OR '.join(f"starts_with(t, '{m}')" for m in scopes.FOLLOW_UPS)} THEN 'broad'
   WHEN {' OR '.join(f"contains(t, '{p}')" for p in scopes.BROAD_PHRASES)} THEN 'broad'
-  WHEN len(string_split(t, ' ')) >= 15 THEN 'broad' ELSE 'narrow' END AS scope, t AS normalized
+  WHEN len(string_split(t, ' ')) >= 15 THEN 'broad' ELSE 'narrow' END"""
+
+
+@query("query_scope", f"""
+SELECT conv_id, turn, {_BROAD_SQL} AS scope, t AS normalized
 FROM (SELECT conv_id, turn, lower(trim(regexp_replace({_SCOPE_TEXT}, '[?.]$', ''))) AS t FROM conversations)""")
 def query_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").withColumn("normalized", F.lower(scopes.normalize_query(F.col("text"))))
@@ -296,3 +300,33 @@ SELECT doc_id, CASE WHEN doc_id % 5 <> 0 THEN (doc_id % 5)::VARCHAR WHEN doc_id
 def source_unit_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = F.col("doc_id")
     return table(spark, sf_dir, "documents").select("doc_id", R.source_unit(d % 5, d % 3, F.col("source")).alias("unit"))
+
+
+#: Lists of the vector index, and lists that a query meets.
+LISTS, PROBES = 24, 16
+
+
+def _vector_index(spark: SparkSession, sf_dir: str) -> tuple[ivf.Index, DataFrame]:
+    """The index of all embeddings, filtered by label, and every tenth row as a query for its label's neighbours."""
+    vectors = table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "block_id")
+    wanted = F.when(F.col("block_id") % 20 == 0, F.col("label")).cast("string")
+    asked = vectors.where(F.col("block_id") % 10 == 0).select(F.col("block_id").alias("query_id"), F.col("embedding").alias("query_vector"), wanted.alias("wanted"))
+    return ivf.build(vectors, LISTS, "label"), asked
+
+
+@query("vector_index_exact", f"""
+WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings WHERE embedding IS NOT NULL),
+scored AS (SELECT q.vec_id AS query_id, b.vec_id AS block_id, {_SIM.format(a='b.v', b='q.v')} AS s FROM e b JOIN e q ON q.vec_id % 10 = 0 AND b.vec_id <> q.vec_id AND (q.vec_id % 20 <> 0 OR b.label = q.label)),
+ranked AS (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY s DESC, block_id))::INTEGER AS rank FROM scored)
+SELECT query_id, block_id, rank, round(s, 6) AS vector_score FROM ranked WHERE rank <= 10""")
+def vector_index_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All lists: what the index holds, half of the queries filtered by label."""
+    index, asked = _vector_index(spark, sf_dir)
+    return index.search(asked, 10).select("query_id", "block_id", "rank", F.round("vector_score", 6).alias("vector_score"))
+
+
+@query("vector_index_probed")
+def vector_index_probed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest lists alone; tests hold its recall at 10."""
+    index, asked = _vector_index(spark, sf_dir)
+    return index.search(asked, 10, PROBES).select("query_id", "block_id", "rank", F.round("vector_score", 6).alias("vector_score"))
