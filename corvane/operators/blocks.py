@@ -3,20 +3,23 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions import text as T
+from corvane.functions.geometry import center_distance
 from corvane.functions.scopes import strip
+from corvane.operators.html import table_rows
 
 # Kinds of page items that are no content, and the fields that hold an item's text.
 SUPPRESSED = ("page_header", "page_footer", "page_number")
 TEXT_FIELDS = ("text", "title_content", "paragraph_content", "page_header_content", "page_footer_content", "page_number_content", "image_caption", "image_footnote", "item_content")
 
-BLOCKS = "path string, page_index int, order_index int, block_type string, text string, text_level int, list_items array<string>, image_path string, caption string, footnotes array<string>, table_html string, bbox array<double>"
+BLOCKS = "path string, page_index int, order_index int, block_type string, text string, text_level int, list_items array<string>, image_path string, caption string, footnotes array<string>, table_html string, table_rows array<array<string>>, bbox array<double>"
 
 
 def said(value) -> str:
@@ -32,57 +35,150 @@ def said(value) -> str:
     return " ".join(filter(None, map(said, parts)))
 
 
-def _page_item(item: dict) -> dict | None:
-    """Fields of a block from one item of a page; None without text, table or image."""
-    kind, content = str(item.get("type") or "").strip().lower(), item.get("content")
+def nested_html(value) -> str:
+    """The first text below a key that ends in html, depth first."""
+    if isinstance(value, dict):
+        for key, inner in value.items():
+            if str(key).lower().endswith("html") and isinstance(inner, str) and inner.strip():
+                return inner
+            if found := nested_html(inner):
+                return found
+    elif isinstance(value, list):
+        return next(filter(None, map(nested_html, value)), "")
+    return ""
+
+
+def _whole(value, default: int) -> int:
+    text = str(value).strip()
+    return int(text) if text.lstrip("-").isdigit() else default
+
+
+def _texts(value) -> list[str]:
+    """The texts of a list's members, or of a single value."""
+    return [t for v in (value if isinstance(value, list) else [value]) if (t := said(v))]
+
+
+def _table(of: dict) -> dict:
+    body = of.get("table_body")
+    html = body.strip() if isinstance(body, str) and "<table" in body.lower() else nested_html(of)
+    rows = table_rows(html) if html else []
+    plain = next(filter(None, (said(of.get(k)) for k in ("table_caption", "table_content", "table_text"))), "") or said(list(of.values()))
+    return {"table_html": html, "table_rows": rows, "caption": said(of.get("table_caption")), "footnotes": _texts(of.get("table_footnote")), "text": None if rows else plain}
+
+
+def _list(of: dict) -> dict:
+    items = of.get("list_items")
+    own = [said(i.get("item_content")) for i in (items if isinstance(items, list) else []) if isinstance(i, dict)]
+    refs = str(of.get("list_type") or "").strip().lower() == "reference_list"
+    return {"block_type": "reference_list" if refs else "list", "list_items": [i for i in own if i]}
+
+
+def _image(of: dict) -> dict:
+    source = of.get("image_source")
+    path = source.get("path") if isinstance(source, dict) else ""
+    return {"image_path": path if isinstance(path, str) else "", "caption": said(of.get("image_caption")), "footnotes": _texts(said(of.get("image_footnote")))}
+
+
+#: What the content of an item of each kind gives a block; the type is the first, unless the reader says another.
+_PAGE_KINDS = {
+    "title": ("heading", lambda of: {"text": said(of.get("title_content")), "text_level": _whole(of.get("level"), 1) or 1}),
+    "paragraph": ("paragraph", lambda of: {"text": said(of.get("paragraph_content"))}),
+    "list": ("list", _list),
+    "image": ("image", _image),
+    "table": ("table", _table),
+}
+#: The same for items of flat lists: they hold their fields themselves.
+_FLAT_KINDS = {
+    "title": ("heading", lambda of: {"text": said(of.get("text")), "text_level": _whole(of.get("text_level"), 1) or 1}),
+    **dict.fromkeys(("text", "paragraph", "ref_text"), ("paragraph", lambda of: {"text": said(of.get("text"))})),
+    **dict.fromkeys(("image", "figure"), ("image", lambda of: {"image_path": of["img_path"] if isinstance(of.get("img_path"), str) else "", "caption": said(of.get("text"))})),
+    "table": ("table", _table),
+    **{k: (f"page_{k.removeprefix('page_')}", lambda of: {"text": said(of.get("text"))}) for k in ("header", "footer", "page_number")},
+}
+
+
+def _box(value) -> list[float] | None:
+    if isinstance(value, list) and len(value) == 4 and all(isinstance(v, (int, float)) and not isinstance(v, bool) and math.isfinite(v) for v in value):
+        return [float(v) for v in value]
+    return None
+
+
+def _block(item, kinds: dict, nested: bool) -> dict | None:
+    """Fields of a block from an item; None for what is no object, and for unknown kinds without text."""
+    if not isinstance(item, dict):
+        return None
+    kind, content = str(item.get("type") or "").strip().lower(), item.get("content") if nested else item
     of = content if isinstance(content, dict) else {}
-    if kind == "title":
-        level = str(of.get("level") or 1)
-        return {"block_type": "heading", "text": said(of.get("title_content")), "text_level": int(level) if level.isdigit() else 1}
-    if kind == "paragraph":
-        return {"block_type": "paragraph", "text": said(of.get("paragraph_content"))}
-    if kind == "list":
-        own = [said(i.get("item_content")) for i in of.get("list_items") or [] if isinstance(i, dict)]
-        refs = str(of.get("list_type") or "").strip().lower() == "reference_list"
-        return {"block_type": "reference_list" if refs else "list", "list_items": [i for i in own if i]}
-    if kind == "image":
-        note = said(of.get("image_footnote"))
-        return {"block_type": "image", "image_path": (of.get("image_source") or {}).get("path") or "", "caption": said(of.get("image_caption")), "footnotes": [note] if note else []}
-    if kind == "table":
-        html = next((v for k, v in of.items() if k.lower().endswith("html") and isinstance(v, str) and v.strip()), "")
-        notes = of.get("table_footnote") or []
-        return {"block_type": "table", "table_html": html, "caption": said(of.get("table_caption")), "footnotes": [t for n in (notes if isinstance(notes, list) else [notes]) if (t := said(n))], "text": said(of.get("table_body")) if not html else None}
-    text = said(list(of.values()) if of else content)
+    if kind in kinds:
+        block_type, read = kinds[kind]
+        return {"block_type": block_type, **read(of), "bbox": _box(item.get("bbox"))}
+    text = said(list(of.values()) if nested and of else content if nested else item.get("text"))
     if kind in SUPPRESSED or text:
-        return {"block_type": kind if kind in SUPPRESSED else "paragraph", "text": text}
+        return {"block_type": kind if kind in SUPPRESSED else "paragraph", "text": text, "bbox": _box(item.get("bbox"))}
     return None
 
 
-def page_blocks(pages: DataFrame) -> DataFrame:
-    """Blocks of nested page lists: path, content (JSON: a list of pages, each a list of items).
+def _paged(found) -> Iterator[tuple[int, int, dict]]:
+    for p, page in enumerate(found):
+        for o, item in enumerate(page if isinstance(page, list) else []):
+            if block := _block(item, _PAGE_KINDS, True):
+                yield p, o, block
+
+
+def _flat(found) -> Iterator[tuple[int, int, dict]]:
+    for o, item in enumerate(found):
+        if block := _block(item, _FLAT_KINDS, False):
+            page = item.get("page_index")
+            yield (page - 1 if isinstance(page, int) and page > 0 else max(0, _whole(item.get("page_idx"), 0))), o, block
 
-    The seven kinds of items that page lists know become blocks; others do if they have text. A
-    row that is no JSON list of lists has no blocks. Order and page count from 0.
-    """
-    names = [f.split()[0] for f in BLOCKS.split(", ")]
+
+def _read(rows: DataFrame, items: Callable) -> DataFrame:
+    fields = [f.split(" ", 1) for f in BLOCKS.split(", ")]
+    strings = pa.list_(pa.string())
+    kinds = {"int": pa.int32(), "string": pa.string(), "array<string>": strings, "array<array<string>>": pa.list_(strings), "array<double>": pa.list_(pa.float64())}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
+            out = []
             for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
                 try:
                     found = json.loads(content or "[]")
-                except ValueError:
+                except (ValueError, RecursionError):
                     continue
-                for p, page in enumerate(found if isinstance(found, list) else []):
-                    for o, item in enumerate(page if isinstance(page, list) else []):
-                        if isinstance(item, dict) and (block := _page_item(item)):
-                            box = item.get("bbox")
-                            rows.append({"path": path, "page_index": p, "order_index": o, "bbox": [float(v) for v in box] if isinstance(box, list) and len(box) == 4 else None, **block})
-            kinds = {"int": pa.int32(), "string": pa.string(), "array<string>": pa.list_(pa.string()), "array<double>": pa.list_(pa.float64())}
-            yield pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], kinds[f.split()[1]]) for n, f in zip(names, BLOCKS.split(", "))], names)
-
-    return pages.select("path", "content").mapInArrow(run, BLOCKS)
+                out += [{"path": path, "page_index": p, "order_index": o, **block} for p, o, block in items(found if isinstance(found, list) else [])]
+            yield pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in out], kinds[t]) for n, t in fields], [n for n, _ in fields])
+
+    read = rows.select("path", F.col("content").cast("string").alias("content")).mapInArrow(run, BLOCKS)
+    table = F.array_compact(F.concat(F.array(F.nullif("caption", F.lit("")), T.markdown_table(F.col("table_rows"))), F.coalesce("footnotes", F.array().cast("array<string>"))))
+    return read.withColumn("text", F.when(F.size("table_rows") > 0, F.array_join(table, "\n")).otherwise(T.clean(F.col("text"))))
+
+
+def page_blocks(pages: DataFrame) -> DataFrame:
+    """Blocks of nested page lists: path, content (JSON: a list of pages, each a list of items).
+
+    The kinds of items that page lists know become blocks; others do if they have text. A table's
+    text is its caption, its rows as markdown and its footnotes. A row that is no JSON list, and
+    items or fields of an unexpected shape, give no block, text or box. Order and page count from 0.
+    """
+    return _read(pages, _paged)
+
+
+def flat_blocks(items: DataFrame) -> DataFrame:
+    """Blocks of flat lists: path, content (JSON: a list of items that name their page, page_idx from 0)."""
+    return _read(items, _flat)
+
+
+def filled_blocks(blocks: DataFrame, flat: DataFrame) -> DataFrame:
+    """Paragraphs without text take that of the nearest flat paragraph of their page that has a box.
+
+    Nearest by the distance of centres (L1), the first of equals. The texts of one page meet in one row.
+    """
+    boxed = flat.where((F.col("block_type") == "paragraph") & (F.col("text") != "") & F.col("bbox").isNotNull())
+    texts = boxed.groupBy("path", "page_index").agg(F.array_sort(F.collect_list(F.struct("order_index", "bbox", "text"))).alias("_near"))
+    blank = (F.col("block_type") == "paragraph") & (F.coalesce("text", F.lit("")) == "") & F.col("bbox").isNotNull()
+    ranked = F.transform("_near", lambda n: F.struct(center_distance(F.col("bbox"), n["bbox"]).alias("d"), n["order_index"].alias("order_index"), n["text"].alias("text")))
+    filled = F.when(blank & F.col("_near").isNotNull(), F.array_min(ranked)["text"]).otherwise(F.col("text"))
+    return blocks.join(texts, ["path", "page_index"], "left").withColumn("text", filled).select(*blocks.columns)
 
 
 def anchor_key(source: Column, page: Column, order: Column) -> Column:

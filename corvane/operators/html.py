@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from html import unescape
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Rows and cells of markup that no parser takes as a table.
+_ROW = re.compile(r"<tr\b[^>]*>(.*?)(?=<tr\b|</tr\b|</table\b|$)", re.I | re.S)
+_CELL = re.compile(r"<t[dh]\b[^>]*>(.*?)(?=<t[dh]\b|</t[dh]\b|$)", re.I | re.S)
+
 GRID = "page_id long, table_index int, matrix array<array<string>>, cells array<struct<row:int,col:int,row_span:int,col_span:int,text:string,is_header:boolean>>, n_merged int"
 
 
@@ -85,6 +91,33 @@ def parse_tables(html: str | None) -> list[tuple[list[list[str]], list[dict]]]:
     return [grid(t) for t in parser.tables if any(t)]
 
 
+def table_rows(html: str | None) -> list[list[str]]:
+    """Texts of the cells of all rows, without spans; rows without cells are left out.
+
+    By the parser, which closes what is left open; markup that it finds no cell in (rows outside of
+    a table, tags cut off) is read by its row and cell tags alone.
+    """
+    parser = _Tables()
+    parser.feed(html or "")
+    parser.close()
+    for t in range(len(parser.tables)):
+        parser._close(t)
+    rows = [[text for text, *_ in row] for table in parser.tables for row in table if row]
+    if not rows:
+        plain = lambda cell: " ".join(unescape(re.sub(r"<[^>]*>?", " ", cell)).split())
+        rows = [cells for row in _ROW.findall(html or "") if (cells := [plain(c) for c in _CELL.findall(row)])]
+    return rows
+
+
+def _rows_of(html: pd.Series) -> pd.Series:
+    return html.map(table_rows, na_action="ignore")
+
+
+def table_matrix(html: Column) -> Column:
+    """The rows of a table's HTML as array<array<string>>; null stays null."""
+    return F.pandas_udf(_rows_of, "array<array<string>>")(html)
+
+
 def page_tables(pages: DataFrame) -> DataFrame:
     """A row a table: grid, cells and number of merged cells. Pages without tables give none."""
 

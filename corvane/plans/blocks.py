@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvane.functions import labels
+from corvane.functions import text as T
 from corvane.functions.text import reference_keys
 from corvane.operators import blocks as B
+from corvane.operators import html as H
 from corvane.operators import structure
 from corvane.plans.registry import query, table
 
@@ -302,3 +304,50 @@ def page_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paragraphs that go on over a page's end, two by two; each line stands for a page."""
     rows = structure.lines(table(spark, sf_dir, "documents")).select("doc_id", F.col("reading_order").alias("page"), B.strip("text").alias("first"), B.strip("text").alias("last"))
     return B.merge_across_pages(rows, "doc_id")
+
+
+@query("archive_blocks", f"""
+WITH i AS (SELECT l_orderkey AS k, l_linenumber AS n, l_partkey AS p, l_suppkey AS s, (l_quantity * 2)::INTEGER AS q FROM {_ONE} WHERE l_linenumber <= 7),
+t AS (SELECT k, max(greatest(3, len(p::VARCHAR))) AS w FROM i GROUP BY k),
+md AS (SELECT k, 'Lines of ' || k || chr(10) || '| ' || rpad('n', 3, ' ') || ' | ' || rpad('p', max(w)::INTEGER, ' ') || ' |' || chr(10) || '|' || repeat('-', 5) || '|' || repeat('-', max(w) + 2) || '|' || chr(10)
+  || string_agg('| ' || rpad(n::VARCHAR, 3, ' ') || ' | ' || rpad(p::VARCHAR, w::INTEGER, ' ') || ' |', chr(10) ORDER BY n) || chr(10) || 'note ' || k AS text FROM i JOIN t USING (k) GROUP BY k)
+SELECT k AS order_id, 0 AS page_index, 0 AS order_index, 'table' AS block_type, text FROM md
+UNION ALL
+SELECT k, 1, (row_number() OVER (PARTITION BY k ORDER BY n) - 1)::INTEGER, 'paragraph', CASE WHEN n % 2 = 0 THEN 'said ' || s ELSE 'flat ' || p END FROM i""")
+def archive_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page lists and flat lists of archives, made of orders: tables with bodies, and paragraphs whose text only the flat list has."""
+    rows = _one(spark, sf_dir).where("l_linenumber <= 7")
+    n, key = F.col("l_linenumber"), F.col("l_orderkey").cast("string")
+    text = lambda word, c: F.concat(F.lit(word), F.col(c).cast("string"))
+    box = F.array((n * 10).cast("double"), F.lit(0.0), (n * 10 + 8).cast("double"), F.lit(5.0))
+    # Cells and rows are left open, as some extractors write them.
+    line = F.concat(F.lit("<tr><td>"), n.cast("string"), F.lit("<td>"), F.col("l_partkey").cast("string"))
+    page = F.struct(F.lit("paragraph").alias("type"), box.alias("bbox"), F.struct(F.when(n % 2 == 0, F.array(F.struct(F.lit("text").alias("type"), text("said ", "l_suppkey").alias("content")))).alias("paragraph_content")).alias("content"))
+    flat = F.struct(F.lit("text").alias("type"), text("flat ", "l_partkey").alias("text"), F.lit(1).alias("page_idx"), F.transform(box, lambda v: v + 1).alias("bbox"))
+    parts = F.array_sort(F.collect_list(F.struct(n.alias("n"), line.alias("line"), page.alias("page"), flat.alias("flat"))))
+    made = rows.groupBy(key.alias("path")).agg(parts.alias("parts"))
+    html = F.concat(F.lit("<table><tr><th>n</th><th>p</th></tr>"), F.array_join(F.transform("parts", lambda r: r["line"]), ""), F.lit("</table>"))
+    grid = F.struct(F.lit("table").alias("type"), F.struct(F.struct(html.alias("body_html")).alias("inner"), F.array(F.concat(F.lit("Lines of "), "path")).alias("table_caption"), F.array(F.concat(F.lit("note "), "path")).alias("table_footnote")).alias("content"))
+    first, second = F.to_json(F.array(grid)), F.to_json(F.transform("parts", lambda r: r["page"]))
+    pages = made.select("path", F.concat(F.lit("["), first, F.lit(","), second, F.lit("]")).alias("content"))
+    found = B.filled_blocks(B.page_blocks(pages), B.flat_blocks(made.select("path", F.to_json(F.transform("parts", lambda r: r["flat"])).alias("content"))))
+    return found.select(F.col("path").cast("long").alias("order_id"), "page_index", "order_index", "block_type", "text")
+
+
+@query("table_markdown", f"""
+WITH c AS (SELECT c_nationkey AS k, c_custkey AS id, c_name AS n, c_mktsegment AS m FROM customer),
+w AS (SELECT k, greatest(3, max(len(n)))::INTEGER AS a, greatest(3, max(len(m)))::INTEGER AS b FROM c GROUP BY k)
+SELECT k AS nation, '| ' || rpad('who', any_value(a), ' ') || ' | ' || rpad('buys', any_value(greatest(b, 4)), ' ') || ' |' || chr(10) || '|' || repeat('-', any_value(a) + 2) || '|' || repeat('-', any_value(greatest(b, 4)) + 2) || '|' || chr(10)
+  || string_agg('| ' || rpad(n, a, ' ') || ' | ' || rpad(m, greatest(b, 4), ' ') || ' |', chr(10) ORDER BY id) AS markdown
+FROM c JOIN w USING (k) GROUP BY k""")
+def table_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """HTML of tables as markdown; for odd nations the rows stand in no table, and only their tags are left to read."""
+    people = table(spark, sf_dir, "customer")
+    odd = F.col("c_nationkey") % 2 == 1
+    row = F.concat(F.lit("<TR class='r'><td><b>"), "c_name", F.lit("</b></td><td>"), "c_mktsegment", F.when(odd, "").otherwise("</td></tr>"))
+    rows = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", row.alias("r")))), lambda x: x["r"]), "\n")
+    made = people.groupBy("c_nationkey").agg(rows.alias("rows"))
+    head = F.lit("<tr><th>who</th><th>buys</th></tr>")
+    html = F.when(F.col("c_nationkey") % 2 == 1, F.concat(head, "rows")).otherwise(F.concat(F.lit("<table>"), head, "rows", F.lit("</table>")))
+    rows = made.select(F.col("c_nationkey").alias("nation"), H.table_matrix(html).alias("matrix"))
+    return rows.select("nation", T.markdown_table(F.col("matrix")).alias("markdown"))

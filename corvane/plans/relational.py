@@ -119,6 +119,23 @@ def interval_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.overlapping_pairs(o, ["o_custkey"], "o_orderkey", "low", "high", 256)
 
 
+_BOXES = "SELECT l_suppkey AS page, l_orderkey * 10 + l_linenumber AS id, l_quantity * 7.0 AS x0, l_discount * 3000.0 AS y0, l_quantity * 7.0 + 12 + l_linenumber AS x1, l_discount * 3000.0 + 8 + l_tax * 100 AS y1, l_returnflag AS f FROM lineitem"
+
+
+@query("box_overlap_join", f"""
+WITH b AS ({_BOXES}),
+p AS (SELECT l.page, l.id AS left_id, r.id AS right_id, round((least(l.x1, r.x1) - greatest(l.x0, r.x0)) * (least(l.y1, r.y1) - greatest(l.y0, r.y0)), 6) AS overlap FROM b l JOIN b r ON l.page = r.page AND l.f = 'R' AND r.f = 'A' AND l.x0 < r.x1 AND r.x0 < l.x1 AND l.y0 < r.y1 AND r.y0 < l.y1)
+SELECT page, left_id, arg_min(right_id, (-overlap, right_id)) AS best, count(*) AS n, round(max(overlap), 4) AS overlap FROM p GROUP BY 1, 2""")
+def box_overlap_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks and the regions of their page that they overlap most: lines that came back against those accepted."""
+    q, d = F.col("l_quantity") * 7.0, F.col("l_discount") * 3000.0
+    box = F.array(q, d, q + 12 + F.col("l_linenumber"), d + 8 + F.col("l_tax") * 100)
+    boxes = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("page"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), box.alias("box"), "l_returnflag")
+    pairs = joins.overlapping_boxes(boxes.where("l_returnflag = 'R'"), boxes.where("l_returnflag = 'A'"), ["page"], 20.0).withColumn("overlap", F.round("overlap", 6))
+    counts = pairs.groupBy("page", "left_id").agg(F.count("*").alias("n"))
+    return joins.best_overlap(pairs, ["page"]).join(counts, ["page", "left_id"]).select("page", "left_id", F.col("right_id").alias("best"), "n", F.round("overlap", 4).alias("overlap"))
+
+
 @query("nearest_box_join", """
 WITH a AS (SELECT l_orderkey AS page, l_linenumber AS n, l_quantity AS x, l_discount * 100 AS y FROM lineitem),
 p AS (SELECT a.page, a.n, b.n AS near, abs(a.x - b.x) + abs(a.y - b.y) AS d FROM a JOIN a b ON a.page = b.page AND a.n <> b.n)

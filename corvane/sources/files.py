@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corvane.functions.text import clean, file_type, paragraphs, title_from_filename
+from corvane.operators.blocks import filled_blocks, flat_blocks, page_blocks
 
 # Encodings tried in this order.
 ENCODINGS = ("utf-8-sig", "utf-8", "utf-16", "utf-16-le", "utf-16-be", "cp1252", "latin-1")
@@ -96,25 +97,18 @@ def manifest(members: DataFrame) -> DataFrame:
     return members.withColumn("kind", kind).where("kind IS NOT NULL")
 
 
-ITEM = "type string, text string, text_level int, page_idx int, bbox array<double>, img_path string, table_body string, table_caption array<string>, table_footnote array<string>, img_caption array<string>"
-
-
 def intermediate_blocks(kinds: DataFrame) -> DataFrame:
-    """Blocks of each archive with page and order: nested pages, else flat items, else markdown."""
-    text = F.decode("content", "UTF-8")
-    pages = kinds.where("kind = 'pages'").select("path", F.posexplode(F.from_json(text, f"array<array<struct<{_ddl(ITEM)}>>>")).alias("page_index", "items")).select("path", "page_index", F.posexplode("items").alias("order_index", "b"))
-    flat = kinds.where("kind = 'flat'").select("path", F.posexplode(F.from_json(text, f"array<struct<{_ddl(ITEM)}>>")).alias("order_index", "b")).select("path", F.coalesce("b.page_idx", F.lit(0)).alias("page_index"), "order_index", "b")
-    found = pages.withColumn("_rank", F.lit(1)).unionByName(flat.withColumn("_rank", F.lit(2)))
-    columns = [F.col(f"b.{f.split()[0]}") for f in ITEM.split(", ")]
-    found = found.select("path", "page_index", "order_index", *columns, "_rank")
-    prose = markdown_blocks(kinds.where("kind = 'markdown'").select("path", text.alias("text"))).withColumn("_rank", F.lit(3))
-    every = found.unionByName(prose, allowMissingColumns=True)
+    """Blocks of each archive with page and order: nested pages, else flat items, else markdown.
+
+    Paragraphs of nested pages without text take it from the flat items of the archive.
+    """
+    text = lambda kind: kinds.where(F.col("kind") == kind).select("path", F.decode("content", "UTF-8").alias("content"))
+    flat = flat_blocks(text("flat"))
+    pages = filled_blocks(page_blocks(text("pages")), flat)
+    prose = markdown_blocks(text("markdown").withColumnRenamed("content", "text"))
+    every = pages.withColumn("_rank", F.lit(1)).unionByName(flat.withColumn("_rank", F.lit(2))).unionByName(prose.withColumn("_rank", F.lit(3)), allowMissingColumns=True)
     best = every.groupBy("path").agg(F.min("_rank").alias("_rank"))
-    return every.join(best, ["path", "_rank"]).drop("_rank", "page_idx")
-
-
-def _ddl(fields: str) -> str:
-    return ", ".join(f"{n}: {t}" for n, t in (f.split(" ", 1) for f in fields.split(", ")))
+    return every.join(best, ["path", "_rank"]).drop("_rank")
 
 
 def markdown_blocks(docs: DataFrame) -> DataFrame:
@@ -122,7 +116,7 @@ def markdown_blocks(docs: DataFrame) -> DataFrame:
     parts = F.filter(F.transform(F.split("text", "\n{2,}"), lambda s: F.trim(s)), lambda s: s != "")
     rows = docs.select("path", F.posexplode(parts).alias("order_index", "raw"))
     marks = F.regexp_extract("raw", r"^(#{1,6})\s", 1)
-    return rows.select("path", F.lit(0).alias("page_index"), "order_index", F.when(marks != "", "heading").otherwise("paragraph").alias("type"), clean(F.regexp_replace("raw", r"^#{1,6}\s+", "")).alias("text"), F.when(marks != "", F.length(marks)).alias("text_level"))
+    return rows.select("path", F.lit(0).alias("page_index"), "order_index", F.when(marks != "", "heading").otherwise("paragraph").alias("block_type"), clean(F.regexp_replace("raw", r"^#{1,6}\s+", "")).alias("text"), F.when(marks != "", F.length(marks)).alias("text_level"))
 
 
 _A = "{http://schemas.openxmlformats.org/drawingml/2006/main}"

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import io
+import json
 import math
 import random
 import zipfile
@@ -11,7 +12,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from corvane.operators import conversation, folds, html, jobs, joins, quota, retrieval, structure
+from corvane.operators import blocks, conversation, folds, html, jobs, joins, quota, retrieval, structure
 from corvane.plans import ingestion, models, study
 from corvane.sources import files, sinks
 from corvane.streaming import usage
@@ -168,14 +169,16 @@ def zipped(members):
 
 
 def test_zip_fallbacks(spark, tmp_path):
-    (tmp_path / "v2.zip").write_bytes(zipped({"x/content_list_v2.json": '[[{"type": "text", "text": "p1"}], [{"type": "text", "text": "p2"}]]', "x/a.md": "# T"}))
+    page = [{"type": "title", "content": {"title_content": [{"content": "T1"}], "level": "2"}}, {"type": "paragraph", "bbox": [0, 0, 10, 10], "content": {}}, {"type": "text", "text": "no content"}]
+    flat = [{"type": "text", "text": "far", "page_idx": 0, "bbox": [50, 50, 60, 60]}, {"type": "text", "text": "near", "page_idx": 0, "bbox": [2, 0, 12, 10]}]
+    (tmp_path / "v2.zip").write_bytes(zipped({"x/content_list_v2.json": json.dumps([page, [{"type": "paragraph", "content": {"paragraph_content": [{"type": "text", "content": "p2"}]}}]]), "x/content_list.json": json.dumps(flat), "x/a.md": "# T"}))
     (tmp_path / "flat.zip").write_bytes(zipped({"content_list.json": '[{"type": "text", "text": "f", "page_idx": 3}]'}))
     (tmp_path / "md.zip").write_bytes(zipped({"full.md": "## Head\n\nbody text"}))
     (tmp_path / "deck.pptx").write_bytes(zipped({"ppt/slides/slide1.xml": '<r xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main"><a:p><a:r><a:t>Hi</a:t></a:r></a:p></r>'}))
     archives = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(str(tmp_path))
     blocks = files.intermediate_blocks(files.manifest(files.zip_members(archives)))
-    got = sorted((r["path"].rsplit("/", 1)[1], r["page_index"], r["order_index"], r["type"], r["text"]) for r in blocks.collect())
-    assert got == [("flat.zip", 3, 0, "text", "f"), ("md.zip", 0, 0, "heading", "Head"), ("md.zip", 0, 1, "paragraph", "body text"), ("v2.zip", 0, 0, "text", "p1"), ("v2.zip", 1, 0, "text", "p2")]
+    got = sorted((r["path"].rsplit("/", 1)[1], r["page_index"], r["order_index"], r["block_type"], r["text"]) for r in blocks.collect())
+    assert got == [("flat.zip", 3, 0, "paragraph", "f"), ("md.zip", 0, 0, "heading", "Head"), ("md.zip", 0, 1, "paragraph", "body text"), ("v2.zip", 0, 0, "heading", "T1"), ("v2.zip", 0, 1, "paragraph", "near"), ("v2.zip", 1, 0, "paragraph", "p2")]
     assert [(r["slide"], r["text"]) for r in files.slides(files.binary(spark, str(tmp_path))).collect()] == [(1, "Hi")]
 
 
@@ -325,3 +328,41 @@ def test_covers_against_brute_force(spark):
         assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
         expected = {i: s for i, t in docs if (s := covers((t or "").split(), terms)) is not None}
         assert {r["block_id"]: round(r["keyword_score"], 9) for r in got.collect()} == expected
+
+
+def test_odd_page_items_give_no_crash(spark):
+    """Items and fields of any shape: no text or box instead of an error; html at any depth; tables left open."""
+    odd = [3, None, "x", [], {}, {"type": 5}, {"type": "image", "content": {"image_source": "a.png"}}, {"type": "image", "content": {"image_source": {"path": 4}}}, {"type": "list", "content": {"list_items": 7}}, {"type": "list", "content": {"list_items": [1, {"item_content": "i"}]}}, {"type": "paragraph", "content": "text", "bbox": [1, 2, 3, "a"]}, {"type": "paragraph", "content": {"paragraph_content": {"deep": 1}}, "bbox": "box"}, {"type": "title", "content": {"title_content": "t", "level": None}}, {"type": "other", "content": ["a", {"text": "b"}]}, {"type": "table", "content": {"x": [{"body_HTML": "<tr><td>1<td>2"}], "table_footnote": "f"}}, {"type": "table", "content": {"table_body": None}}]
+    rows = [("a", json.dumps([odd, 5, None])), ("b", "not json"), ("c", None), ("d", "{}"), ("e", "[" * 5000), ("f", json.dumps([[{"type": "page_number", "content": {"page_number_content": "7"}}]]))]
+    df = spark.createDataFrame(rows, "path string, content string")
+    got = {(r["path"], r["order_index"]): r for r in blocks.page_blocks(df).collect()}
+    assert got["a", 9]["list_items"] == ["i"] and got["a", 8]["list_items"] == [] and got["a", 6]["image_path"] == ""
+    assert got["a", 10]["bbox"] is None and got["a", 13]["text"] == "a b" and got["a", 12]["text_level"] == 1
+    assert got["a", 14]["text"] == "| 1   | 2   |\n|-----|-----|\nf" and got["f", 0]["block_type"] == "page_number"
+    assert not {("a", i) for i in range(6)} & set(got)
+    flat = blocks.flat_blocks(spark.createDataFrame([("a", json.dumps([*odd, {"type": "footer", "text": "end", "page_index": 2}, {"type": "figure", "img_path": 3, "text": "cap"}]))], "path string, content string")).collect()
+    assert ("page_footer", "end", 1) in {(r["block_type"], r["text"], r["page_index"]) for r in flat}
+    assert blocks.page_blocks(df.limit(0)).count() == 0
+
+
+def test_boxes_overlap_once(spark):
+    """Each pair once whatever the cells; edges that touch, turned boxes and nulls share nothing."""
+    rng = random.Random(6)
+    boxes = lambda n: [(rng.randint(0, 2), i, [x := rng.uniform(-20, 20), y := rng.uniform(-20, 20), x + rng.uniform(0, 9), y + rng.uniform(0, 9)]) for i in range(n)]
+    a, b = boxes(80), boxes(80)
+    a += [(0, 900, [0.0, 0.0, 5.0, 5.0]), (0, 901, None), (0, 902, [5.0, 0.0, 1.0, 5.0])]
+    b += [(0, 900, [5.0, 0.0, 9.0, 5.0])]
+    want = {}
+    for p, i, u in a:
+        for q, j, v in b:
+            if p == q and u and v and u[0] < u[2]:
+                w, h = (min(u[k + 2], v[k + 2]) - max(u[k], v[k]) for k in (0, 1))
+                if w > 0 and h > 0:
+                    want[p, i, j] = w * h
+    left, right = (spark.createDataFrame(x, "page int, id int, box array<double>") for x in (a, b))
+    for cell in (1.5, 7.0, 100.0):
+        got = joins.overlapping_boxes(left, right, ["page"], cell).collect()
+        assert len(got) == len(want) and {(r["page"], r["left_id"], r["right_id"]): pytest.approx(r["overlap"]) for r in got} == want
+    best = {(r["page"], r["left_id"]): r["right_id"] for r in joins.best_overlap(joins.overlapping_boxes(left, right, ["page"], 7.0), ["page"]).collect()}
+    assert best == {k: min((j for p, i, j in want if (p, i) == k), key=lambda j: (-want[*k, j], j)) for k in {(p, i) for p, i, _ in want}}
+    assert joins.overlapping_boxes(left.limit(0), right, ["page"], 7.0).count() == 0
