@@ -64,7 +64,7 @@ class _Tables(HTMLParser):
 
     def _close(self, t):
         if cell := self.open.pop(t, None):
-            self.tables[t][-1].append((" ".join("".join(cell[0]).split()), *cell[1:]))
+            self.tables[t][-1].append((" ".join(" ".join(cell[0]).split()), *cell[1:]))
 
 
 def grid(rows: list[list[tuple]]) -> tuple[list[list[str]], list[dict]]:

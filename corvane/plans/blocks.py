@@ -12,6 +12,7 @@ from corvane.operators import blocks as B
 from corvane.operators import html as H
 from corvane.operators import structure
 from corvane.plans.registry import query, table
+from corvane.sources import archives
 
 #: The white space that the tables hold, for SQL's trim.
 _WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -342,6 +343,11 @@ SELECT k AS nation, '| ' || rpad('who', any_value(a), ' ') || ' | ' || rpad('buy
 FROM c JOIN w USING (k) GROUP BY k""")
 def table_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """HTML of tables as markdown; for odd nations the rows stand in no table, and only their tags are left to read."""
+    rows = _nation_tables(spark, sf_dir).select("nation", H.table_matrix(F.col("html")).alias("matrix"))
+    return rows.select("nation", T.markdown_table(F.col("matrix")).alias("markdown"))
+
+
+def _nation_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     people = table(spark, sf_dir, "customer")
     odd = F.col("c_nationkey") % 2 == 1
     row = F.concat(F.lit("<TR class='r'><td><b>"), "c_name", F.lit("</b></td><td>"), "c_mktsegment", F.when(odd, "").otherwise("</td></tr>"))
@@ -349,5 +355,29 @@ def table_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = people.groupBy("c_nationkey").agg(rows.alias("rows"))
     head = F.lit("<tr><th>who</th><th>buys</th></tr>")
     html = F.when(F.col("c_nationkey") % 2 == 1, F.concat(head, "rows")).otherwise(F.concat(F.lit("<table>"), head, "rows", F.lit("</table>")))
-    rows = made.select(F.col("c_nationkey").alias("nation"), H.table_matrix(html).alias("matrix"))
-    return rows.select("nation", T.markdown_table(F.col("matrix")).alias("markdown"))
+    return made.select(F.col("c_nationkey").alias("nation"), html.alias("html"))
+
+
+@query("parse_file_html", """
+WITH r AS (SELECT c_nationkey AS nation, (row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey))::INTEGER AS row_index, c_name AS who, c_mktsegment AS buys FROM customer)
+SELECT * FROM r UNION ALL SELECT DISTINCT nation, 0, 'who', 'buys' FROM r""")
+def parse_file_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table function over HTML files, in SQL."""
+    archives.register(spark)
+    files = _nation_tables(spark, sf_dir).select(F.col("nation").cast("string").alias("path"), F.encode("html", "UTF-8").alias("content"))
+    parsed = spark.sql("SELECT t.* FROM {files} f, LATERAL parse_file(f.path, f.content, 'html') t", files=files)
+    return parsed.select(F.col("path").cast("int").alias("nation"), F.col("row").alias("row_index"), F.get("cells", F.lit(0)).alias("who"), F.get("cells", F.lit(1)).alias("buys"))
+
+
+@query("archive_kinds", """
+SELECT o_orderkey AS archive, CASE WHEN bool_or(l_linenumber = 1) THEN 'pages' WHEN bool_or(l_linenumber = 2) THEN 'flat' WHEN bool_or(l_linenumber = 3) THEN 'markdown' ELSE 'none' END AS source, count(*)::INTEGER AS members, (count(*) FILTER (l_linenumber > 4))::INTEGER AS images
+FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderstatus = 'P' GROUP BY 1""")
+def archive_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each archive's blocks come from, by a table function over its members (an order's lines)."""
+    archives.register(spark)
+    n = F.col("l_linenumber")
+    member = F.when(n == 1, "a/x_content_list_v2.json").when(n == 2, "a/x_content_list.json").when(n == 3, "Full.MD").when(n == 4, "layout.json").otherwise(F.concat(F.lit("images/"), n.cast("string"), F.lit(".PNG")))
+    orders = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("l_orderkey"))
+    members = table(spark, sf_dir, "lineitem").select("l_orderkey", member.alias("member")).join(orders, "l_orderkey").select(F.col("l_orderkey").cast("string").alias("path"), "member")
+    found = spark.sql("SELECT * FROM archive_kinds(TABLE(SELECT path, member FROM {members}) PARTITION BY path)", members=members)
+    return found.select(F.col("path").cast("long").alias("archive"), "source", "members", "images")
