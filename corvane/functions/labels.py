@@ -24,14 +24,14 @@ def ordered_ids(ids: Column) -> Column:
 
 
 def jaccard(a: Column, b: Column) -> Column:
-    """Share of common members of two arrays; 0 if both are empty."""
+    """Share of common members of two arrays; 1 if both are empty."""
     both = F.size(F.array_union(a, b))
-    return F.when(both > 0, F.size(F.array_intersect(a, b)) / both).otherwise(0.0)
+    return F.when(both > 0, F.size(F.array_intersect(a, b)) / both).otherwise(1.0)
 
 
 def tokens(x: Column) -> Column:
-    """Distinct lower-cased runs of letters and digits."""
-    return F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(x, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0)))
+    """Distinct lower-cased runs of letters and digits, and of the marks that stand for numbers (<n>)."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(x, F.lit(""))), F.lit("[a-z0-9<>]+"), F.lit(0)))
 
 
 def date_label(t: Column) -> Column:
@@ -48,7 +48,9 @@ def retry_after(value: Column, now: Column) -> Column:
     raw = strip(F.coalesce(value, F.lit("")))
     # The day's name says nothing more and is left out.
     date = F.try_to_timestamp(F.regexp_extract(raw, r"^[A-Za-z]{3},\s*(\d{1,2} [A-Za-z]{3} \d{4} \d{2}:\d{2}:\d{2}) GMT$", 1), F.lit("d MMM yyyy HH:mm:ss"))
-    seconds = F.coalesce(raw.try_cast("double"), (F.unix_micros(date) - F.unix_micros(now.cast("timestamp"))) / 1e6)
+    # Only digits are a number: NaN and Infinity, which a cast takes, say nothing.
+    plain = F.when(F.rlike(raw, F.lit(r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d{1,2})?$")), raw.try_cast("double"))
+    seconds = F.coalesce(plain, (F.unix_micros(date) - F.unix_micros(now.cast("timestamp"))) / 1e6)
     return F.when(seconds.isNotNull(), F.greatest(F.lit(0.0), seconds))
 
 

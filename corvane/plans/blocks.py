@@ -204,9 +204,9 @@ def block_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("token_jaccard", """
-WITH t AS (SELECT conv_id, turn, list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')) AS t FROM conversations),
+WITH t AS (SELECT conv_id, turn, list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9<>]+')) AS t FROM conversations),
 p AS (SELECT conv_id, turn, t, lead(t) OVER (PARTITION BY conv_id ORDER BY turn) AS u FROM t)
-SELECT conv_id, turn, CASE WHEN len(list_distinct(list_concat(t, u))) > 0 THEN round(len(list_intersect(t, u)) / len(list_distinct(list_concat(t, u))), 6) ELSE 0.0 END AS similarity FROM p WHERE u IS NOT NULL""")
+SELECT conv_id, turn, CASE WHEN len(list_distinct(list_concat(t, u))) > 0 THEN round(len(list_intersect(t, u)) / len(list_distinct(list_concat(t, u))), 6) ELSE 1.0 END AS similarity FROM p WHERE u IS NOT NULL""")
 def token_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How similar the words of each message are to those of the next."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", labels.tokens(F.col("text")).alias("t"))

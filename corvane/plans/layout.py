@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.operators import layout
+from corvane.operators import layout, pages
 from corvane.plans.registry import query, table
 
 
@@ -41,3 +41,35 @@ def outside_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _blocks(spark, sf_dir)
     boxes = rows.where("n = 1").select("page", (F.col("x") - 2).alias("x0"), (F.col("y") - 20).alias("y0"), (F.col("x") + 12).alias("x1"), (F.col("y") + 40).alias("y1"))
     return layout.outside_boxes(rows, boxes, "page").select("page", "n", "p")
+
+
+_LINES = """
+l AS (SELECT doc_id, i AS pos, lines[i] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS lines, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents) WHERE regexp_matches(lines[i], '[A-Za-z]')),
+g AS (SELECT doc_id, pos, line, (10 + (pos * 7 % 5) * 5 + CASE WHEN pos % 11 = 0 THEN 100 ELSE 0 END)::DOUBLE AS x0, (pos * 12 + (pos // 4) * 15)::DOUBLE AS y0, CASE WHEN pos % 9 = 1 THEN 14.0 ELSE 10.0 END::DOUBLE AS s, pos % 9 = 1 AS b FROM l)"""
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of documents with letters, laid out by their numbers: gaps, indents, columns and large bold ones."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("_p", "text")).where(F.rlike("text", F.lit("[A-Za-z]")))
+    n = F.col("_p") + 1
+    x, y = (10 + n * 7 % 5 * 5 + F.when(n % 11 == 0, 100).otherwise(0)).cast("double"), (n * 12 + F.floor(n / 4) * 15).cast("double")
+    large = n % 9 == 1
+    return rows.select("doc_id", n.alias("order_index"), "text", x.alias("x0"), y.alias("y0"), (x + 50).alias("x1"), (y + 10).alias("y1"), F.when(large, 14.0).otherwise(10.0).alias("font_size"), large.alias("bold"), F.lit(False).alias("italic"), F.lit(800.0).alias("page_height"))
+
+
+@query("page_paragraphs", f"""
+WITH {_LINES}, m AS (SELECT *, median(s) OVER (PARTITION BY doc_id) AS body, trim(regexp_replace(line, '\\s+', ' ', 'g')) AS t, regexp_matches(line, '^\\s*([-*•]|\\d+[.)]|[A-Za-z][.)])\\s+') AS item FROM g),
+h AS (SELECT *, len(t) <= 120 AND (regexp_matches(t, '^(\\d+\\.\\d+\\b|\\d+\\.\\s*[A-Z]|\\d+\\s+[A-Z]|(?i:chapter|section))') OR (upper(t) = t AND lower(t) <> t AND len(string_split(t, ' ')) <= 12) OR (b AND s >= body * 1.04 AND NOT regexp_matches(t, '[.!?]$'))) AS head FROM m),
+p AS (SELECT *, lag(x0) OVER w AS px, lag(y0) OVER w + 10 AS py, lag(s) OVER w AS ps, lag(item) OVER w AS pitem, lag(t) OVER w AS pt FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+f AS (SELECT *, px IS NULL OR y0 - py > greatest(ps, s, 8) OR abs(x0 - px) > 80 OR (item AND NOT pitem) OR head OR (regexp_matches(pt, '[.!?]$') AND regexp_matches(t, '^[A-Z]') AND abs(x0 - px) > 12) AS fresh FROM p),
+n AS (SELECT *, (sum(fresh::INT) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING))::INTEGER AS k FROM f)
+SELECT doc_id, k AS paragraph_index, count(*) AS n_lines, min(x0) AS x0, min(y0) AS y0, max(y0) + 10 AS y1 FROM n GROUP BY 1, 2""")
+def page_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pages.paragraphs(_lines(spark, sf_dir), "doc_id")
+    return found.select("doc_id", "paragraph_index", "n_lines", F.get("bbox", F.lit(0)).alias("x0"), F.get("bbox", F.lit(1)).alias("y0"), F.get("bbox", F.lit(3)).alias("y1"))
+
+
+@query("first_page_titles")
+def first_page_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Title, authors and identifiers of each document, its lines laid out as a first page."""
+    return pages.first_pages(_lines(spark, sf_dir), "doc_id")
