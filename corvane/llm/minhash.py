@@ -36,6 +36,8 @@ from corvane.llm.components import Forest, connected_components
 BANDS, ROWS, EXTRA = 32, 5, 32
 HASHES = BANDS * ROWS + EXTRA
 SEED = 20240
+#: Words whose hash a task remembers: beyond the frequent ones, hashing costs what a look-up does.
+MEMORY = 1 << 16
 #: Standard deviations that a sketch may fall below the threshold before it rules a pair out.
 MARGIN = 4.5
 #: Classes of a bucket that meet in one group.
@@ -58,7 +60,7 @@ class Shingler:
     def __call__(self, text: str | None) -> np.ndarray:
         tokens = self.find(text.translate(ASCII_LOWER)) if text else []
         known = self.known
-        if len(known) > 400_000:
+        if len(known) > MEMORY:
             known.clear()
         out = []
         for t in tokens:
@@ -95,7 +97,8 @@ def _signer(words: int):
         shingle, (a, b) = Shingler(words), _family(HASHES)
         for batch in batches:
             sizes, high, low, bands, sketches = [], [], [], [], []
-            for text in batch.column("text").to_pylist():
+            # One text at a time: as Python strings a batch would take its memory twice.
+            for text in map(pa.Scalar.as_py, batch.column("text")):
                 s = shingle(text)
                 sizes.append(len(s))
                 if not len(s):
@@ -317,7 +320,7 @@ def _sliced(rows: DataFrame, counts: DataFrame, turn: int) -> DataFrame:
 
 def _compressor(batches):
     for batch in batches:
-        texts = [squeeze((t or "").encode()) for t in batch.column("text").to_pylist()]
+        texts = [squeeze((t.as_py() or "").encode()) for t in batch.column("text")]
         yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(texts, pa.binary())], ["id", "packed"])
 
 
@@ -326,7 +329,7 @@ def _verifier(words: int, percent: int):
         shingle, last, own = Shingler(words), None, np.zeros(0, np.uint64)
         for batch in batches:
             a, b = [], []
-            for x, y, left, right in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "left", "right"))):
+            for x, y, left, right in zip(*(map(pa.Scalar.as_py, batch.column(c)) for c in ("a", "b", "left", "right"))):
                 if left != last:
                     last, own = left, shingle(expand(left).decode())
                 other = shingle(expand(right).decode())
