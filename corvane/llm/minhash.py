@@ -92,13 +92,17 @@ def _minima(shingles: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return least
 
 
+def _values(column: pa.Array) -> Iterator:
+    """Python values one at a time: all of a batch's texts at once would take its memory twice."""
+    return (v.as_py() for v in column)
+
+
 def _signer(words: int):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle, (a, b) = Shingler(words), _family(HASHES)
         for batch in batches:
             sizes, high, low, bands, sketches = [], [], [], [], []
-            # One text at a time: as Python strings a batch would take its memory twice.
-            for text in map(pa.Scalar.as_py, batch.column("text")):
+            for text in _values(batch.column("text")):
                 s = shingle(text)
                 sizes.append(len(s))
                 if not len(s):
@@ -320,7 +324,7 @@ def _sliced(rows: DataFrame, counts: DataFrame, turn: int) -> DataFrame:
 
 def _compressor(batches):
     for batch in batches:
-        texts = [squeeze((t.as_py() or "").encode()) for t in batch.column("text")]
+        texts = [squeeze((t or "").encode()) for t in _values(batch.column("text"))]
         yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(texts, pa.binary())], ["id", "packed"])
 
 
@@ -329,7 +333,7 @@ def _verifier(words: int, percent: int):
         shingle, last, own = Shingler(words), None, np.zeros(0, np.uint64)
         for batch in batches:
             a, b = [], []
-            for x, y, left, right in zip(*(map(pa.Scalar.as_py, batch.column(c)) for c in ("a", "b", "left", "right"))):
+            for x, y, left, right in zip(*(_values(batch.column(c)) for c in ("a", "b", "left", "right"))):
                 if left != last:
                     last, own = left, shingle(expand(left).decode())
                 other = shingle(expand(right).decode())
