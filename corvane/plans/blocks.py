@@ -284,6 +284,11 @@ SELECT k AS order_id, o AS block_index, 1 AS paragraph_index, CASE t WHEN 'title
 UNION ALL SELECT k, o, unnest([1, 2]), 'list_item', unnest([a, b]) FROM i WHERE t = 'list'""")
 def page_item_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Page items of seven kinds, as archives hold them in JSON, as segments; headers and page numbers go."""
+    return B.segments(_page_items(spark, sf_dir)).select(F.col("path").cast("long").alias("order_id"), "block_index", "paragraph_index", "role", "text")
+
+
+def _page_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of an order's page: its lines as items of the seven kinds."""
     rows = _one(spark, sf_dir).where("l_linenumber <= 7")
     kind = F.element_at(F.array(*map(F.lit, _ITEMS)), F.col("l_linenumber"))
     a, b = (F.concat(F.lit(word), F.col(c).cast("string")) for word, c in (("part ", "l_partkey"), ("from ", "l_suppkey")))
@@ -293,7 +298,45 @@ def page_item_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = rows.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", kind.alias("type"), content.alias("content")))).alias("items"))
     page = F.transform("items", lambda i: F.struct(i["type"].alias("type"), i["content"].alias("content")))
     made = items.select(F.col("l_orderkey").cast("string").alias("path"), F.to_json(F.array(page)).alias("content"))
-    return B.segments(B.page_blocks(made)).select(F.col("path").cast("long").alias("order_id"), "block_index", "paragraph_index", "role", "text")
+    return B.page_blocks(made)
+
+
+@query("suppressed_items", f"""
+SELECT l_orderkey AS order_id, count(*) FILTER (l_linenumber = 1) AS page_header, 0::BIGINT AS page_footer, count(*) FILTER (l_linenumber = 7) AS page_number FROM {_ONE} WHERE l_linenumber <= 7 GROUP BY 1""")
+def suppressed_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many headers, footers and page numbers each page leaves out."""
+    return B.suppressed_counts(_page_items(spark, sf_dir)).select(F.col("path").cast("long").alias("order_id"), *B.SUPPRESSED)
+
+
+@query("segments_markdown", f"""
+WITH i AS (SELECT l_orderkey AS k, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS o, ['page_header', 'title', 'paragraph', 'list', 'table', 'image', 'page_number'][l_linenumber] AS t, 'part ' || l_partkey AS a, 'from ' || l_suppkey AS b FROM {_ONE} WHERE l_linenumber <= 7),
+s AS (SELECT k, o, 1 AS p, CASE t WHEN 'title' THEN '# ' || a WHEN 'list' THEN '- ' || a ELSE a END AS line FROM i WHERE t NOT IN ('page_header', 'page_number') UNION ALL SELECT k, o, 2, '- ' || b FROM i WHERE t = 'list')
+SELECT k AS order_id, string_agg(line, chr(10) || chr(10) ORDER BY o, p) AS markdown FROM s GROUP BY 1""")
+def segments_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One markdown text a page."""
+    rows = B.segments(_page_items(spark, sf_dir))
+    return B.markdown(rows, "path", ["page_index", "block_index", "paragraph_index"]).select(F.col("path").cast("long").alias("order_id"), "markdown")
+
+
+@query("table_text_parts", """
+SELECT o_orderkey AS order_id, o_orderpriority AS caption, ['| key | date |', '| ' || o_orderkey || ' | ' || o_custkey || ' |'] AS rows, CASE WHEN o_custkey % 2 = 0 THEN ['seen by ' || o_custkey, 'end'] ELSE ['end'] END AS footnotes FROM orders""")
+def table_text_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Caption, rows and footnotes of raw table texts."""
+    key, by = F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string")
+    note = F.when(F.col("o_custkey") % 2 == 0, F.concat(F.lit("seen by "), by, F.lit("\n\n"))).otherwise("")
+    raw = F.concat(F.lit("\n  "), "o_orderpriority", F.lit(" \n| key | date |\n\n | "), key, F.lit(" | "), by, F.lit(" |\t\n"), note, F.lit("end"))
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("order_id"), B.table_parts(raw).alias("p")).select("order_id", "p.*")
+
+
+@query("persisted_answers", """
+SELECT conv_id * 1000 + turn AS answer_id, CASE WHEN turn % 3 = 0 THEN 0 ELSE 2 END::INTEGER AS n_citations, CASE WHEN conv_id % 2 = 0 THEN 'default' ELSE 'study' END AS prompt_profile, CASE WHEN turn % 4 = 1 THEN 'insufficient' ELSE 'high' END AS confidence, CASE WHEN turn % 3 = 0 THEN 'insufficient_evidence' ELSE 'grounded' END AS grounding_status
+FROM conversations WHERE role = 'assistant'""")
+def persisted_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is kept of each assistant turn as an answer."""
+    t, c = F.col("turn"), F.col("conv_id")
+    cited = F.when(t % 3 == 0, F.array().cast("array<long>")).otherwise(F.array(c.cast("long"), t.cast("long")))
+    rows = table(spark, sf_dir, "conversations").where("role = 'assistant'").select((c * 1000 + t).alias("answer_id"), cited.alias("citation_block_ids"), F.when(c % 2 == 0, "").otherwise("study").alias("prompt_profile"), F.when(t % 4 != 1, "high").alias("confidence"))
+    return B.persisted_payload(rows)
 
 
 @query("page_merges", f"""
