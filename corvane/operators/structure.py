@@ -106,12 +106,26 @@ def running_text(page_lines: DataFrame, doc: str, page: str, line: str, y: str)
     return kept.select(doc, "canonical", "n_pages", F.when(F.col("mean_y") < 0.15, "header").otherwise("footer").alias("place"))
 
 
-def remove_running_text(page_lines: DataFrame, found: DataFrame, doc: str, page: str, line: str, order: str) -> DataFrame:
-    """Page texts without running lines: an anti join on the canonical line, then lines in order."""
+def remove_running_text(page_lines: DataFrame, found: DataFrame, doc: str, page: str, line: str, order: str, y: str | None = None, protected: DataFrame | None = None) -> DataFrame:
+    """Page texts without running lines (found, from running_text); pages that lose all lines give none.
+
+    y: where lines stand (0 to 1): those in the middle of a page stay. protected (doc, line): titles
+    and the like; lines of the same canonical form stay on a document's first page, and where they
+    come first. Lines keep their order; null and blank lines are no running lines.
+    """
     marked = page_lines.withColumn("canonical", canonical_running_line(F.col(line)))
-    kept = marked.join(found.select(doc, "canonical"), [doc, "canonical"], "left_anti")
-    rows = kept.groupBy(doc, page).agg(F.array_sort(F.collect_list(F.struct(order, line))).alias("_l"))
-    return rows.select(doc, page, F.array_join(F.transform("_l", lambda x: x[line]), "\n").alias("text"))
+    rows = marked.join(found.select(doc, "canonical").distinct().withColumn("_hit", F.lit(True)), [doc, "canonical"], "left")
+    gone = F.coalesce("_hit", F.lit(False))
+    if y is not None:
+        gone = gone & ~F.coalesce(F.col(y).between(0.15, 0.85), F.lit(False))
+    if protected is not None:
+        kept = protected.select(doc, canonical_running_line(F.col(line)).alias("canonical")).where("canonical <> ''").distinct().withColumn("_safe", F.lit(True))
+        nth = F.row_number().over(Window.partitionBy(doc, "canonical").orderBy(page, order))
+        first = F.min(page).over(Window.partitionBy(doc))
+        rows = rows.join(kept, [doc, "canonical"], "left").withColumns({"_nth": nth, "_first": first})
+        gone = gone & ~(F.coalesce("_safe", F.lit(False)) & ((F.col("_nth") == 1) | (F.col(page) == F.col("_first"))))
+    lines = rows.where(~gone).groupBy(doc, page).agg(F.array_sort(F.collect_list(F.struct(order, line))).alias("_l"))
+    return lines.select(doc, page, F.array_join(F.transform("_l", lambda x: x[line]), "\n").alias("text"))
 
 
 def first_by_key(rows: DataFrame, key: list[str], *order: Column) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.operators import layout, pages
+from corvane.operators import layout, pages, structure
 from corvane.plans.registry import query, table
 
 
@@ -73,3 +73,37 @@ def page_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def first_page_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Title, authors and identifiers of each document, its lines laid out as a first page."""
     return pages.first_pages(_lines(spark, sf_dir), "doc_id")
+
+
+#: Pages of five lines of a document, each with a header and a footer.
+_PAGED = """
+b AS (SELECT doc_id, source, i AS pos, (i - 1) // 5 AS page, lines[i] AS line FROM (SELECT doc_id, source, string_split(text, chr(10)) AS lines, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents WHERE source IS NOT NULL)),
+n AS (SELECT doc_id, any_value(source) AS source, count(DISTINCT page) AS pages FROM b GROUP BY 1)"""
+
+
+def _paged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").where("source IS NOT NULL").select("doc_id", "source", F.posexplode(F.split("text", "\n")).alias("_p", "line"))
+    body = rows.select("doc_id", "source", F.floor(F.col("_p") / 5).alias("page"), (F.col("_p") + 1).alias("pos"), "line", F.lit(0.5).alias("y"))
+    number = (F.col("page") + 1).cast("string")
+    edge = body.select("doc_id", "source", "page").distinct()
+    head = edge.select("doc_id", "source", "page", F.lit(0).alias("pos"), F.concat(F.lit("Report of "), "source", F.lit(" "), number).alias("line"), F.lit(0.05).alias("y"))
+    foot = edge.select("doc_id", "source", "page", F.lit(10_000_000).alias("pos"), F.concat(F.lit("Page "), number).alias("line"), F.lit(0.95).alias("y"))
+    return body.union(head).union(foot)
+
+
+@query("running_lines", f"""
+WITH {_PAGED} SELECT doc_id, 'report of ' || lower(source) AS canonical, pages AS n_pages, 'header' AS place FROM n WHERE pages >= 3 UNION ALL SELECT doc_id, 'page', pages, 'footer' FROM n WHERE pages >= 3""")
+def running_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headers and footers of documents of three pages and more."""
+    return structure.running_text(_paged(spark, sf_dir), "doc_id", "page", "line", "y")
+
+
+@query("pages_without_running_lines", f"""
+WITH {_PAGED}, t AS (SELECT doc_id, page, string_agg(line, chr(10) ORDER BY pos) AS body FROM b GROUP BY 1, 2)
+SELECT doc_id, page, CASE WHEN pages < 3 OR page = 0 THEN 'Report of ' || source || ' ' || page + 1 || chr(10) ELSE '' END || body || CASE WHEN pages < 3 THEN chr(10) || 'Page ' || page + 1 ELSE '' END AS text FROM t JOIN n USING (doc_id)""")
+def pages_without_running_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of pages; the header is the document's title too, so the first page keeps it."""
+    rows = _paged(spark, sf_dir)
+    found = structure.running_text(rows, "doc_id", "page", "line", "y")
+    titles = rows.where("pos = 0 AND page = 0").select("doc_id", "line")
+    return structure.remove_running_text(rows, found, "doc_id", "page", "line", "pos", "y", titles)

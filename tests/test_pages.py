@@ -8,7 +8,7 @@ import statistics
 
 import pytest
 
-from corvane.operators import pages
+from corvane.operators import pages, structure
 
 LINE = "doc long, order_index int, text string, x0 double, y0 double, x1 double, y1 double, font_size double, bold boolean, italic boolean, page_height double"
 
@@ -116,3 +116,20 @@ def test_first_pages(spark, lines, title, authors):
 
 def test_first_pages_empty(spark):
     assert pages.first_pages(spark.createDataFrame([], LINE), "doc").count() == 0
+
+
+def test_running_lines_that_are_protected(spark):
+    """A title that runs through all pages stays on the first and where it first stands; lines in the middle stay."""
+    rows = []
+    for page in range(1, 5):
+        rows += [(1, page, 0, f"Deep Learning {page}", 0.05), (1, page, 1, f"body {'abcd'[page - 1]}", 0.5), (1, page, 2, f"Page {page}", 0.95)]
+    rows += [(1, 2, 5, "Deep Learning 9", 0.5), (1, 3, 6, None, 0.01), (2, 1, 0, "Page 1", 0.95), (2, 1, 1, "alone", 0.5)]
+    lines = spark.createDataFrame(rows, "doc long, page int, pos int, line string, y double")
+    found = structure.running_text(lines.where("y < 0.5 OR y > 0.5 OR pos = 1"), "doc", "page", "line", "y")
+    title = spark.createDataFrame([(1, "Deep Learning"), (1, " "), (1, None)], "doc long, line string")
+    text = lambda **more: {(r["doc"], r["page"]): r["text"].split("\n") for r in structure.remove_running_text(lines, found, "doc", "page", "line", "pos", **more).collect()}
+    got = text(y="y", protected=title)
+    assert got[1, 1] == ["Deep Learning 1", "body a"] and got[1, 2] == ["body b", "Deep Learning 9"] and got[1, 3] == ["body c"] and got[2, 1] == ["Page 1", "alone"]
+    assert text()[1, 2] == ["body b"] and text(y="y")[1, 1] == ["body a"]
+    late = spark.createDataFrame([(1, "page")], "doc long, line string")
+    assert text(protected=late)[1, 1] == ["body a", "Page 1"]
