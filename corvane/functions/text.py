@@ -121,7 +121,7 @@ def starts_like_continuation(x: Column) -> Column:
 # What marks a line as running (of a journal, a volume), and months as they begin.
 RUNNING = r"\b(?:issn|isbn|volume|vol\.|number|no\.|journal|conference|proceedings|procedia)\b"
 MONTHS = "jan|feb|mar|apr|may|jun|jul|aug|sep|sept|oct|nov|dec"
-#: What changes from page to page in a running line, and what stands for it, in this order.
+# What changes from page to page in a running line, and what stands for it, in this order.
 CHANGING = (
     (r"\bissn\s*[:#]?\s*[\d\-x]+\b", "issn <id>"),
     (r"\bisbn\s*[:#]?\s*[\d\-x]+\b", "isbn <id>"),

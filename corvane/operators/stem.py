@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from corvane.operators.retrieval import tokens
 
-# Words that carry no meaning of their own.
+#: Words that carry no meaning of their own: a choice of this engine.
 STOP_WORDS = frozenset("a an and are as at be but by for from had has have he her his i if in into is it its no not of on or our she so such that the their then there these they this to was we were will with you your".split())
 
 # Suffix, replacement; the stem before the suffix needs measure > 0.

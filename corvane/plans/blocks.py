@@ -266,12 +266,12 @@ def parser_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("reference_mentions", r"""
-WITH t AS (SELECT doc_id, 'See Table ' || doc_id % 9 || ' and Fig ' || doc_id % 7 || ' in Section ' || doc_id % 5 || '.2; ' || left(text, 200) AS x FROM documents)
+WITH t AS (SELECT doc_id, 'See Table ' || doc_id % 9 || ' and Fig ' || doc_id % 7 || ' in Section ' || doc_id % 5 || '.2; ' || text AS x FROM documents)
 SELECT doc_id, array_to_string(list_concat(list_concat(list_transform(regexp_extract_all(x, '(?i)\b(?:table)\s+(\d+)\b', 1), lambda n: 'table:' || n), list_transform(regexp_extract_all(x, '(?i)\b(?:figure|fig)\s+(\d+)\b', 1), lambda n: 'figure:' || n)), list_transform(regexp_extract_all(x, '(?i)\b(?:section)\s+(\d+(?:\.\d+)*)\b', 1), lambda n: 'section:' || n)), ' ') AS keys FROM t""")
 def reference_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys of the tables, figures and sections that a text mentions."""
     d = F.col("doc_id")
-    text = F.concat(F.lit("See Table "), (d % 9).cast("string"), F.lit(" and Fig "), (d % 7).cast("string"), F.lit(" in Section "), (d % 5).cast("string"), F.lit(".2; "), F.left("text", F.lit(200)))
+    text = F.concat(F.lit("See Table "), (d % 9).cast("string"), F.lit(" and Fig "), (d % 7).cast("string"), F.lit(" in Section "), (d % 5).cast("string"), F.lit(".2; "), "text")
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(reference_keys(text), " ").alias("keys"))
 
 

@@ -348,13 +348,13 @@ def continuation_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("title_tokens", """
-WITH t AS (SELECT source, doc_id, regexp_extract_all(left(text, 120), '[A-Za-z][A-Za-z0-9+.-]{2,}') AS ws FROM documents),
+WITH t AS (SELECT source, doc_id, regexp_extract_all(text, '[A-Za-z][A-Za-z0-9+.-]{2,}') AS ws FROM documents),
 d AS (SELECT source, doc_id, unnest(list_distinct([lower(w) FOR w IN ws])) AS token FROM t),
 c AS (SELECT source, token, count(*) AS n FROM d GROUP BY 1, 2 HAVING count(*) >= 2)
 SELECT source, token, n, rank FROM (SELECT *, (row_number() OVER (PARTITION BY source ORDER BY n DESC, len(token) DESC, token))::INTEGER AS rank FROM c) WHERE rank <= 3""")
 def title_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The three tokens that most titles of a group share."""
-    words = F.array_distinct(F.transform(F.regexp_extract_all(F.left("text", F.lit(120)), F.lit(r"[A-Za-z][A-Za-z0-9+.-]{2,}"), F.lit(0)), F.lower))
+    """The three tokens that most texts of a group share."""
+    words = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(r"[A-Za-z][A-Za-z0-9+.-]{2,}"), F.lit(0)), F.lower))
     counts = table(spark, sf_dir, "documents").select("source", F.explode(words).alias("token")).groupBy("source", "token").agg(F.count("*").alias("n")).where("n >= 2")
     rank = F.row_number().over(Window.partitionBy("source").orderBy(F.desc("n"), F.desc(F.length("token")), "token"))
     return counts.withColumn("rank", rank).where("rank <= 3")

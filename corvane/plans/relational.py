@@ -150,12 +150,13 @@ def nearest_box_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("prefix_match_join", """
-SELECT n.n_nationkey, min(c.c_custkey) AS first_customer FROM nation n LEFT JOIN customer c ON c.c_nationkey = n.n_nationkey AND starts_with(lower(c.c_name), 'customer') GROUP BY 1""")
+SELECT n.n_nationkey, min(c.c_custkey) AS first_customer FROM nation n LEFT JOIN customer c ON c.c_nationkey = n.n_nationkey AND starts_with(lower(c.c_name), lower('CUSTOMER#00000' || n.n_nationkey % 2)) GROUP BY 1""")
 def prefix_match_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Captions by label: equal unit, text starts with the label, the first in order."""
-    people = table(spark, sf_dir, "customer").withColumn("label", F.lit("Customer"))
-    hit = people.where(F.startswith(F.lower("c_name"), F.lower("label"))).groupBy("c_nationkey").agg(F.min("c_custkey").alias("first_customer"))
-    return table(spark, sf_dir, "nation").join(hit, F.col("n_nationkey") == F.col("c_nationkey"), "left").select("n_nationkey", "first_customer")
+    labels = table(spark, sf_dir, "nation").select("n_nationkey", F.concat(F.lit("CUSTOMER#00000"), (F.col("n_nationkey") % 2).cast("string")).alias("label"))
+    people = table(spark, sf_dir, "customer").select("c_nationkey", "c_custkey", "c_name")
+    met = labels.join(people, (F.col("n_nationkey") == F.col("c_nationkey")) & F.startswith(F.lower("c_name"), F.lower("label")), "left")
+    return met.groupBy("n_nationkey").agg(F.min("c_custkey").alias("first_customer"))
 
 
 @query("path_or_name_join", """
