@@ -10,7 +10,7 @@ from corvane.functions import text as T
 from corvane.functions.text import reference_keys
 from corvane.operators import blocks as B
 from corvane.operators import html as H
-from corvane.operators import structure
+from corvane.operators import structure, typed
 from corvane.plans.registry import query, table
 from corvane.sources import archives
 
@@ -360,6 +360,12 @@ UNION ALL
 SELECT k, 1, (row_number() OVER (PARTITION BY k ORDER BY n) - 1)::INTEGER, 'paragraph', CASE WHEN n % 2 = 0 THEN 'said ' || s ELSE 'flat ' || p END FROM i""")
 def archive_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Page lists and flat lists of archives, made of orders: tables with bodies, and paragraphs whose text only the flat list has."""
+    found = _archives(spark, sf_dir)
+    return found.select(F.col("path").cast("long").alias("order_id"), "page_index", "order_index", "block_type", "text")
+
+
+def _archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of archives that are made of orders."""
     rows = _one(spark, sf_dir).where("l_linenumber <= 7")
     n, key = F.col("l_linenumber"), F.col("l_orderkey").cast("string")
     text = lambda word, c: F.concat(F.lit(word), F.col(c).cast("string"))
@@ -374,8 +380,8 @@ def archive_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     grid = F.struct(F.lit("table").alias("type"), F.struct(F.struct(html.alias("body_html")).alias("inner"), F.array(F.concat(F.lit("Lines of "), "path")).alias("table_caption"), F.array(F.concat(F.lit("note "), "path")).alias("table_footnote")).alias("content"))
     first, second = F.to_json(F.array(grid)), F.to_json(F.transform("parts", lambda r: r["page"]))
     pages = made.select("path", F.concat(F.lit("["), first, F.lit(","), second, F.lit("]")).alias("content"))
-    found = B.filled_blocks(B.page_blocks(pages), B.flat_blocks(made.select("path", F.to_json(F.transform("parts", lambda r: r["flat"])).alias("content"))))
-    return found.select(F.col("path").cast("long").alias("order_id"), "page_index", "order_index", "block_type", "text")
+    return B.filled_blocks(B.page_blocks(pages), B.flat_blocks(made.select("path", F.to_json(F.transform("parts", lambda r: r["flat"])).alias("content"))))
+
 
 
 @query("table_markdown", f"""
@@ -424,3 +430,25 @@ def archive_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     members = table(spark, sf_dir, "lineitem").select("l_orderkey", member.alias("member")).join(orders, "l_orderkey").select(F.col("l_orderkey").cast("string").alias("path"), "member")
     found = spark.sql("SELECT * FROM archive_kinds(TABLE(SELECT path, member FROM {members}) PARTITION BY path)", members=members)
     return found.select(F.col("path").cast("long").alias("archive"), "source", "members", "images")
+
+
+@query("table_blocks", f"""
+WITH i AS (SELECT l_orderkey AS k, l_linenumber AS n, l_partkey AS p FROM {_ONE} WHERE l_linenumber <= 7)
+SELECT k AS order_id, 'Lines of ' || k AS caption, count(*)::INTEGER AS n_body, (2 * count(*) + 2)::INTEGER AS n_cells, sum(p)::BIGINT AS parts, 'native' AS quality,
+  'Table: Lines of ' || k || '. Headers: n | p. ' || string_agg('Row ' || r || ': n=' || n || '; p=' || p || '.', ' ' ORDER BY n) || ' Footnote: note ' || k || '.' AS linearized
+FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY n) AS r FROM i) GROUP BY k""")
+def table_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables of archives as blocks: header, body, row objects and text."""
+    found = typed.table_blocks(_archives(spark, sf_dir))
+    parts = F.aggregate(F.transform("row_objects", lambda r: F.element_at(r, "p").cast("long")), F.lit(0).cast("long"), lambda a, x: a + x)
+    return found.select(F.col("path").cast("long").alias("order_id"), "caption", F.size("body").alias("n_body"), F.size("cells").alias("n_cells"), parts.alias("parts"), "quality", "linearized")
+
+
+@query("diagram_blocks", f"""
+WITH i AS (SELECT l_orderkey AS k, l_linenumber AS n, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1)::INTEGER AS o, 'part ' || l_partkey AS a FROM {_ONE} WHERE l_linenumber <= 7),
+t AS (SELECT k, arg_max(a, n) AS near FROM i WHERE n IN (2, 3) GROUP BY k)
+SELECT k AS order_id, o AS order_index, 'figure' AS kind, a AS caption, near, 'Caption: ' || a || '. ' || CASE WHEN near IS NOT NULL THEN 'Nearby Context: ' || near || ' ' ELSE '' END || 'Diagram semantic interpretation pending vision analysis.' AS retrieval_text
+FROM i LEFT JOIN t USING (k) WHERE n = 6""")
+def diagram_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images of pages as diagram blocks, with the text before them."""
+    return typed.diagram_blocks(_page_items(spark, sf_dir)).select(F.col("path").cast("long").alias("order_id"), "order_index", "kind", "caption", "near", "retrieval_text")

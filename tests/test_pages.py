@@ -8,7 +8,7 @@ import statistics
 
 import pytest
 
-from corvane.operators import pages, structure
+from corvane.operators import pages, structure, typed
 
 LINE = "doc long, order_index int, text string, x0 double, y0 double, x1 double, y1 double, font_size double, bold boolean, italic boolean, page_height double"
 
@@ -133,3 +133,31 @@ def test_running_lines_that_are_protected(spark):
     assert text()[1, 2] == ["body b"] and text(y="y")[1, 1] == ["body a"]
     late = spark.createDataFrame([(1, "page")], "doc long, line string")
     assert text(protected=late)[1, 1] == ["body a", "Page 1"]
+
+
+def test_typed_blocks(spark):
+    """Tables from markup and from bars, malformed ones, blank headers; diagrams with the text beside them."""
+    rows = [
+        ("d", 0, 0, "paragraph", "before", None, None, None, None, None),
+        ("d", 0, 1, "table", "x", " Table 3: sums ", ["n1", " "], "<table>", [["a", "", "b"], ["1", "2", "3"], ["4"]], None),
+        ("d", 0, 2, "table", "Bars\n| h | k |\n|---|---|\n| 1 | 2 |\nnote", None, None, "", [], None),
+        ("d", 0, 3, "table", "only words", "", None, None, None, None),
+        ("d", 0, 4, "table", " ", None, None, None, None, None),
+        ("d", 0, 5, "image", None, "Figure 2 a chart of x", None, None, None, "i.png"),
+        ("d", 1, 0, "page_header", "head", None, None, None, None, None),
+        ("d", 1, 1, "image", None, None, None, None, None, "j.png"),
+        ("d", 1, 2, "heading", "after", None, None, None, None, None),
+        ("d", 1, 3, "image", None, "", None, None, None, " "),
+    ]
+    df = spark.createDataFrame([(*r, None) for r in rows], "path string, page_index int, order_index int, block_type string, text string, caption string, footnotes array<string>, table_html string, table_rows array<array<string>>, image_path string, bbox array<double>")
+    got = {r["order_index"]: r for r in typed.table_blocks(df).collect()}
+    assert set(got) == {1, 2, 3}
+    assert got[1]["title"] == "Table 3" and got[1]["caption"] == "Table 3: sums" and got[1]["footnotes"] == ["n1"] and got[1]["quality"] == "native"
+    assert got[1]["row_objects"][1] == {"a": "4"} and len(got[1]["cells"]) == 7 and [c["is_header"] for c in got[1]["cells"]][:4] == [True] * 3 + [False]
+    assert got[2]["caption"] == "Bars" and got[2]["footnotes"] == ["note"] and got[2]["row_objects"] == [{"h": "1", "k": "2"}]
+    assert got[3]["quality"] == "malformed" and got[3]["row_objects"] == [] and got[3]["display_text"] == "only words"
+    seen = {(r["page_index"], r["order_index"]): r for r in typed.diagram_blocks(df).collect()}
+    assert set(seen) == {(0, 5), (1, 1)}
+    assert (seen[0, 5]["kind"], seen[0, 5]["title"], seen[0, 5]["near"]) == ("chart", "Figure 2", "before")
+    assert (seen[1, 1]["kind"], seen[1, 1]["near"]) == ("unknown", "after") and "Nearby Context: after" in seen[1, 1]["retrieval_text"]
+    assert typed.table_blocks(df.limit(0)).count() == 0 and typed.diagram_blocks(df.limit(0)).count() == 0
