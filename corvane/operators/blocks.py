@@ -58,12 +58,22 @@ def _texts(value) -> list[str]:
     return [t for v in (value if isinstance(value, list) else [value]) if (t := said(v))]
 
 
+def _table_text(caption: str, rows: list[list[str]], footnotes: list[str]) -> str:
+    """Caption, the rows as T.markdown_table writes them, and footnotes, a line each."""
+    n = max(map(len, rows))
+    full = [[c.strip() for c in r] + [""] * (n - len(r)) for r in rows]
+    widths = [max(3, *(len(r[j]) for r in full)) for j in range(n)]
+    lines = ["| " + " | ".join(c.ljust(w) for c, w in zip(r, widths)) + " |" for r in full]
+    lines.insert(1, "|" + "|".join("-" * (w + 2) for w in widths) + "|")
+    return "\n".join([*([caption] if caption else []), *lines, *footnotes])
+
+
 def _table(of: dict) -> dict:
     body = of.get("table_body")
     html = body.strip() if isinstance(body, str) and "<table" in body.lower() else nested_html(of)
     rows = table_rows(html) if html else []
     plain = next(filter(None, (said(of.get(k)) for k in ("table_caption", "table_content", "table_text"))), "") or said(list(of.values()))
-    return {"table_html": html, "table_rows": rows, "caption": said(of.get("table_caption")), "footnotes": _texts(of.get("table_footnote")), "text": None if rows else plain}
+    return {"table_html": html, "table_rows": rows, "caption": said(of.get("table_caption")), "footnotes": _texts(of.get("table_footnote")), "text": _table_text(said(of.get("table_caption")), rows, _texts(of.get("table_footnote"))) if rows else plain}
 
 
 def _list(of: dict) -> dict:
@@ -149,8 +159,7 @@ def _read(rows: DataFrame, items: Callable) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in out], kinds[t]) for n, t in fields], [n for n, _ in fields])
 
     read = rows.select("path", F.col("content").cast("string").alias("content")).mapInArrow(run, BLOCKS)
-    table = F.array_compact(F.concat(F.array(F.nullif("caption", F.lit("")), T.markdown_table(F.col("table_rows"))), F.coalesce("footnotes", F.array().cast("array<string>"))))
-    return read.withColumn("text", F.when(F.size("table_rows") > 0, F.array_join(table, "\n")).otherwise(T.clean(F.col("text"))))
+    return read.withColumn("text", F.when(F.size("table_rows") > 0, F.col("text")).otherwise(T.clean(F.col("text"))))
 
 
 def page_blocks(pages: DataFrame) -> DataFrame:
