@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import math
 import re
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -95,6 +96,15 @@ def test_tables(spark):
     assert one(spark, text.pipe_matrix(F.lit("| a | b |\n|---|---|\n| 1 | |"))) == [["a", "b"], ["1"]]
 
 
+def test_markdown_of_a_long_table(spark):
+    """Widths are taken once a table: 20,000 rows are a matter of seconds, not of the rows squared."""
+    m = F.transform(F.sequence(F.lit(1), F.lit(20_000)), lambda i: F.array(i.cast("string"), F.lit(" x ")))
+    began = time.monotonic()
+    lines = one(spark, text.markdown_table(m)).split("\n")
+    assert time.monotonic() - began < 30
+    assert lines[:3] == ["| 1     | x   |", "|-------|-----|", "| 2     | x   |"] and lines[-1] == "| 20000 | x   |" and len(lines) == 20_001
+
+
 def test_bounded_list_ignores_case(spark):
     assert one(spark, text.bounded_list(F.array(*map(F.lit, ("A b", "a B", " ", "c d e"))), 5, 4)) == ["A b", "c d"]
 
