@@ -38,18 +38,25 @@ def next_local_midnight(ts: Column, zone: str = DAY_ZONE) -> Column:
 def sliding_counts(usage: DataFrame, key: list[str], ts: str, seconds: int, out: str) -> DataFrame:
     """Add the number of events of the last `seconds`, the row's own included and the far end excluded.
 
-    Time is cut into slices of twice the window (an hour at least), each counted on its own: events
-    from which a window of the next slice may begin are counted there as well. Few keys, or one
-    that holds most events, still make many groups. Events without time count among themselves.
+    An event counts +1 from its time on, and -1 from the moment it leaves the window: what a row
+    sees is the running sum. Time is cut into slices of an hour, each summed on its own on top of
+    what the slices before it leave, so few keys still make many groups, and the work is two rows
+    an event however dense the events are. Events without time count among themselves.
     """
-    window = seconds * 1_000_000
-    width = max(2 * window, 3_600_000_000)
+    width = 3_600_000_000
     at = F.unix_micros(F.col(ts).cast("timestamp"))
-    into = F.pmod(at, F.lit(width))
-    late = into > width - window
-    dealt = usage.withColumns({"_at": at, "_own": at - into}).withColumn("_slice", F.explode(F.when(late, F.array("_own", F.col("_own") + width)).otherwise(F.array("_own"))))
-    w = Window.partitionBy(*key, "_slice").orderBy("_at").rangeBetween(-window + 1, 0)
-    return dealt.withColumn(out, F.count("*").over(w)).where(F.col("_slice").eqNullSafe(F.col("_own"))).drop("_at", "_own", "_slice")
+    enters = F.struct(at.alias("at"), F.lit(1).alias("n"))
+    leaves = F.struct((at + seconds * 1_000_000).alias("at"), F.lit(-1).alias("n"))
+    moves = F.explode(F.when(at.isNull(), F.array(enters)).otherwise(F.array(enters, leaves)))
+    slice_of = (F.col("_m.at") - F.pmod(F.col("_m.at"), F.lit(width))).alias("_slice")
+    left = usage.select(*key, moves.alias("_m")).groupBy(*key, slice_of).agg(F.sum("_m.n").alias("_net"))
+    earlier = Window.partitionBy(*key).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    held = left.where("_slice IS NOT NULL").select(*[F.col(k).alias(f"_k_{k}") for k in key], F.col("_slice").alias("_s"), F.coalesce(F.sum("_net").over(earlier), F.lit(0)).alias("_held"))
+    upto = Window.partitionBy(*key, "_slice").orderBy("_m.at").rangeBetween(Window.unboundedPreceding, 0)
+    seen = usage.select("*", moves.alias("_m")).select("*", slice_of).withColumn("_in", F.sum("_m.n").over(upto)).where("_m.n = 1")
+    same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in key]
+    met = seen.join(held, [*same, F.col("_slice") == F.col("_s")], "left")
+    return met.select(*usage.columns, (F.col("_in") + F.coalesce("_held", F.lit(0))).alias(out))
 
 
 def exhausted(used: Column, limit: Column, reset_at: Column, now: Column) -> Column:

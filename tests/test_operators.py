@@ -4,6 +4,7 @@ import io
 import json
 import math
 import random
+import time
 import zipfile
 from collections import Counter
 from datetime import datetime, timedelta
@@ -280,6 +281,15 @@ def test_sliding_counts_over_slices(spark):
         assert got == {i: sum(k == q and within(t, ts) for _, q, t in rows) for i, k, ts in rows}
 
 
+def test_sliding_counts_of_dense_events(spark):
+    """Every event of a minute sees all before it: the work is by event, not by the events in its window."""
+    df = spark.range(200_000).select("id", F.lit("k").alias("k"), F.timestamp_micros(F.col("id") * 100).alias("ts"))
+    began = time.monotonic()
+    got = quota.sliding_counts(df, ["k"], "ts", 10, "n").agg(F.max("n"), F.sum("n")).first()
+    assert tuple(got) == (100_000, 100_000 * 100_001 // 2 + 100_000 * 100_000)
+    assert time.monotonic() - began < 60
+
+
 def test_packing_goes_on_over_batches(spark):
     rng = random.Random(5)
     rows = [(g, i, rng.randint(0, 6)) for g, n in ((None, 40), (1, 3000), (2, 1)) for i in range(n)] + [(3, 0, None)]
