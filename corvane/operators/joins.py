@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.shared import written
+
 
 def _buckets(low: Column, high: Column, width: float) -> Column:
     return F.explode(F.sequence(F.floor(low / width), F.floor(high / width)))
@@ -64,9 +66,10 @@ def best_overlap(pairs: DataFrame, keys: list[str]) -> DataFrame:
 def positions(rows: DataFrame, order: list[Column], out: str) -> DataFrame:
     """Number all rows from 1 in an order: range partitions are numbered apart, then shifted by the counts before them.
 
-    Only one count a partition meets in one place.
+    Only one count a partition meets in one place. The partitions are written, as two passes over
+    a range shuffle may be cut at different bounds.
     """
-    parts = rows.repartitionByRange(*order).withColumn("_p", F.spark_partition_id())
+    parts = written(rows.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()))
     numbered = parts.withColumn("_n", F.row_number().over(Window.partitionBy("_p").orderBy(*order)))
     counts = parts.groupBy("_p").agg(F.count("*").alias("_c"))
     shift = counts.withColumn("_s", F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_p", "_s")

@@ -74,3 +74,15 @@ def test_polls_bear_a_restart(spark, tmp_path):
 
 def test_poll_of_an_empty_queue(spark, tmp_path):
     assert polls.poll_until_empty(queue(spark, 1).limit(0), 10, str(tmp_path / "q")).count() == 0
+
+
+def test_polls_of_jobs_that_succeed_are_claimed_at_once(spark, tmp_path, monkeypatch):
+    """The results of the stream's polls, tick by tick, without a tick for each."""
+    done = {"ok": F.lit(True), "retryable": F.lit(False), "retry_after_seconds": F.lit(None).cast("double")}
+    streamed = polls.poll_until_empty(queue(spark, 20), 6, str(tmp_path / "q"), lambda work: work.withColumns(done))
+    monkeypatch.setattr(polls, "poll", None)
+    at_once = polls.poll_until_empty(queue(spark, 20), 6, str(tmp_path / "p"))
+    assert at_once.columns == streamed.columns and at_once.dtypes == streamed.dtypes
+    assert sorted(at_once.collect()) == sorted(streamed.collect())
+    many = polls.poll_until_empty(queue(spark, 2000), 1, str(tmp_path / "p"))
+    assert many.select("batch").distinct().count() == 1999
