@@ -9,12 +9,13 @@ import zipfile
 from collections import Counter
 from datetime import datetime, timedelta
 
+import duckdb
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from corvane.operators import blocks, conversation, folds, html, jobs, joins, quota, retrieval, structure
-from corvane.plans import ingestion, models, study
+from corvane.plans import catalog, ingestion, models, study
 from corvane.sources import files, sinks
 from corvane.streaming import usage
 from tests.conftest import DATA
@@ -290,6 +291,13 @@ def test_sliding_counts_of_dense_events(spark):
     assert time.monotonic() - began < 60
 
 
+def test_merges_by_the_word_ends_of_sql(spark, tmp_path):
+    spark.createDataFrame([(1, "open\nAsñ x"), (2, "open\nAsn x"), (3, "open\nAs x")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r["merged"] for r in catalog.queries()["page_merges"](spark, str(tmp_path)).where("page = 1").collect()}
+    want = duckdb.sql(catalog.oracle_sql()["page_merges"].replace("FROM documents", f"FROM '{tmp_path}/documents.parquet/*.parquet'"))
+    assert got == {d: m for d, p, m in want.fetchall() if p == 1} == {1: "open Asñ x", 2: None, 3: "open As x"}
+
+
 def test_packing_goes_on_over_batches(spark):
     rng = random.Random(5)
     rows = [(g, i, rng.randint(0, 6)) for g, n in ((None, 40), (1, 3000), (2, 1)) for i in range(n)] + [(3, 0, None)]
