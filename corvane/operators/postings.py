@@ -9,12 +9,15 @@ Queries of the same terms are answered once.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from decimal import ROUND_HALF_UP, Decimal
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
+from corvane.operators.joins import positions
 from corvane.operators.retrieval import cover_density, tokens
 from corvane.shared import written
 
@@ -80,6 +83,117 @@ def matches(index: DataFrame, terms: DataFrame) -> DataFrame:
     return members.join(classes, "terms").select("query_id", "class").join(scored, "class").select("query_id", "block_id", "keyword_score")
 
 
+#: Blocks in a tile, parts that a tile's queries are cut into, and blocks that are scored first.
+TILE, PARTS, FIRST = 16384, 2, 256
+
+
+def _rounded(x: np.ndarray) -> np.ndarray:
+    """At nine places, halves up by the decimal form, as round() gives it."""
+    y = x * 1e9
+    whole = np.floor(y + 0.5)
+    for i in np.flatnonzero(np.abs(y - np.floor(y) - 0.5) < 1e-4):
+        whole[i] = int(Decimal(repr(float(x[i]))).scaleb(9).quantize(Decimal(1), ROUND_HALF_UP))
+    return whole / 1e9
+
+
+def _best(k: int, kind: pa.DataType):
+    def run(key: tuple[pa.Scalar, ...], held: pa.Table, asked: pa.Table) -> pa.Table:
+        rows = []
+        if len(held) and len(asked):
+            order = np.lexsort((held["ord"].to_numpy(), held["tid"].to_numpy()))
+            tid, block = held["tid"].to_numpy()[order], held["ord"].to_numpy()[order]
+            base = int(block.min())
+            lists = held["positions"].combine_chunks().take(pa.array(order))
+            sizes = lists.value_lengths().to_numpy()
+            ends = np.concatenate([[0], np.cumsum(sizes)])
+            block = block.astype(np.int64) - base
+            places = (np.repeat(block, sizes) << 32) | lists.flatten().to_numpy().astype(np.int64)
+            del held, lists
+            names, first = np.unique(tid, return_index=True)
+            first = np.append(first, len(tid))
+
+            def scores(docs: np.ndarray, own: list[int]) -> np.ndarray:
+                n = len(own)
+                bits = (n - 1).bit_length()
+                parts = []
+                for no, t in enumerate(own):
+                    row = first[t] + np.searchsorted(block[first[t] : first[t + 1]], docs)
+                    size = sizes[row]
+                    at = np.repeat(ends[row] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+                    parts.append((places[at] << bits) | no)
+                hits = np.concatenate(parts)
+                hits.sort(kind="stable")
+                no, at = hits & ((1 << bits) - 1), hits >> bits
+                p = at
+                for t in range(n):
+                    p = np.minimum(p, np.maximum.accumulate(np.where(no == t, at, -1)))
+                # A cover where the least of the last places moves, within the block.
+                cover = np.flatnonzero((p >= (at >> 32) << 32) & (p != np.concatenate([[-1], p[:-1]])))
+                at, p = at[cover], p[cover]
+                return _rounded(np.minimum(1.0, np.bincount(at >> 32, 0.1 / (at - p + 2 - n), int(docs[-1]) + 1)[docs]))
+
+            for i, terms in enumerate(asked["tids"].to_pylist()):
+                own = np.searchsorted(names, terms)
+                if (own == len(names)).any() or (names[own] != terms).any():
+                    continue
+                own = sorted(own.tolist(), key=lambda t: first[t + 1] - first[t])
+                docs = block[first[own[0]] : first[own[0] + 1]]
+                least = np.full(len(docs), np.iinfo(np.int64).max)
+                for t in own:
+                    there = block[first[t] : first[t + 1]]
+                    row = np.minimum(np.searchsorted(there, docs), len(there) - 1)
+                    good = there[row] == docs
+                    docs, least = docs[good], np.minimum(least[good], sizes[first[t] + row[good]])
+                if not len(docs):
+                    continue
+                # Between two places of the rarest term the least last place moves once a term at most.
+                bound = 0.1 * len(own) * least
+                if len(docs) > max(k, FIRST):
+                    high = np.sort(np.argpartition(-bound, max(k, FIRST))[: max(k, FIRST)])
+                    reached = np.partition(scores(docs[high], own), -k)[-k]
+                    docs = docs[bound >= reached - 1e-8]
+                score = scores(docs, own)
+                top = np.lexsort((docs, -score))[:k]
+                rows.append((np.full(len(top), i), docs[top] + base, score[top]))
+        if not rows:
+            return pa.table([pa.array([], kind), pa.array([], pa.int32()), pa.array([], pa.float64())], names=["class", "ord", "keyword_score"])
+        i, found, score = (np.concatenate(c) for c in zip(*rows))
+        return pa.table([asked["class"].take(pa.array(i)).combine_chunks(), pa.array(found.astype(np.int32)), score], names=["class", "ord", "keyword_score"])
+
+    return run
+
+
+def best(index: DataFrame, terms: DataFrame, blocks: DataFrame, order: list[Column], k: int, scope: DataFrame | None = None, rank: str = "sparse_rank") -> DataFrame:
+    """(query_id, block_id, keyword_score, rank): of the blocks that matches finds, the k best of each query.
+
+    By score (nine places), then by the order of blocks: block_id, document_id and what the order
+    reads. scope (query_id, document_id): a query sees those documents alone. A tile of blocks
+    meets all classes of equal terms, and leaves k rows a class: no match is shuffled. What is
+    left out has a bound below the k best of its tile.
+    """
+    members = written(terms.where("term IS NOT NULL AND query_id IS NOT NULL").groupBy("query_id").agg(F.array_sort(F.collect_set("term")).alias("terms")))
+    classes = written(members.groupBy("terms").agg(F.min("query_id").alias("class")))
+    of = members.join(classes, "terms").select("query_id", "class")
+    held_by = F.lit(0) if scope is None else F.col("document_id")
+    placed = positions(blocks.where("block_id IS NOT NULL"), order, "ord").select("block_id", held_by.alias("_g"), "ord", F.floor(F.col("ord") / TILE).alias("_tile"))
+    placed = written(placed.where("_g IS NOT NULL"))
+    sees = of.withColumn("_g", F.lit(0)) if scope is None else of.join(scope.select("query_id", F.col("document_id").alias("_g")), "query_id")
+    need = classes.select("class", F.explode("terms").alias("term"))
+    words = written(need.select("term").distinct().join(index, "term", "left_semi").select("term", F.monotonically_increasing_id().alias("tid")))
+    known = need.join(words, "term").groupBy("class").agg(F.array_sort(F.collect_list("tid")).alias("tids"))
+    known = known.join(classes, "class").where(F.size("terms") == F.size("tids")).select("class", "tids")
+    part = F.pmod(F.xxhash64("class"), F.lit(PARTS)).cast("int")
+    tiles = placed.select(F.col("_g").alias("_in"), F.col("_tile").alias("_t")).distinct()
+    asked = sees.select("class", F.col("_g").alias("_in")).distinct().join(known, "class").join(tiles, "_in").select("class", "tids", "_in", "_t", part.alias("_p"))
+    held = index.join(words, "term").join(placed, "block_id").select("_g", "_tile", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("_part"), "tid", "ord", "positions")
+    kind = classes.schema["class"].dataType
+    found = held.groupBy("_g", "_tile", "_part").cogroup(asked.groupBy("_in", "_t", "_p")).applyInArrow(_best(k, to_arrow_type(kind)), f"class {kind.simpleString()}, ord int, keyword_score double")
+    found = found.join(placed, "ord").select("class", "_g", "ord", "block_id", "keyword_score")
+    nth = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("keyword_score"), "ord"))
+    found = written(found.withColumn("_n", nth("class", "_g")).where(F.col("_n") <= k).drop("_n"))
+    return sees.join(found, ["class", "_g"]).withColumn(rank, nth("query_id")).where(F.col(rank) <= k).select("query_id", "block_id", "keyword_score", rank)
+
+
 def topk(scored: DataFrame, k: int, order: list[Column], rank: str = "sparse_rank") -> DataFrame:
     """The k first rows of each query, with their rank."""
     return scored.withColumn(rank, F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col(rank) <= k)

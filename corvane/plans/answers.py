@@ -83,8 +83,7 @@ def keyword_topk_of_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best keyword matches of every user turn, from one index."""
     texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("block_id"), F.concat("source", F.lit(".txt")).alias("document_name"), "text")
     index = written(postings.build(texts))
-    found = postings.matches(index, _terms(_turns(spark, sf_dir), index)).withColumn("keyword_score", F.round("keyword_score", 9)).join(texts.drop("text"), "block_id")
-    return postings.topk(found, R.SPARSE_N, [F.desc("keyword_score"), F.asc_nulls_last("document_name"), F.asc("block_id")]).drop("document_name")
+    return postings.best(index, _terms(_turns(spark, sf_dir), index), texts.drop("text"), [F.asc_nulls_last("document_name"), F.asc("block_id")], R.SPARSE_N)
 
 
 _REASON = f"CASE WHEN {_ROLE_SQL} = 'note' THEN 'reference_note' WHEN doc_id % 13 = 0 THEN 'abstract' WHEN doc_id % 17 = 0 THEN 'works_cited' ELSE '' END"
