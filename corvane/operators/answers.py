@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions import scopes
-from corvane.functions.vectors import similarity
 from corvane.operators import postings
 from corvane.operators import retrieval as R
 from corvane.shared import written
@@ -42,14 +41,10 @@ def lanes(queries: DataFrame, scope: DataFrame, blocks: DataFrame, index: DataFr
     queries: query_id, query_vector (null: no dense lane). blocks: block_id, document_id,
     document_name, embedding; only those that may be seen. terms: query_id, term.
     """
-    seen = blocks.select("block_id", "document_id", "document_name")
-    hits = postings.matches(index, terms).withColumn("keyword_score", F.round("keyword_score", 9)).join(seen, "block_id").join(scope, ["query_id", "document_id"], "left_semi")
-    sparse = postings.topk(hits, R.SPARSE_N, [F.desc("keyword_score"), F.asc_nulls_last("document_name"), F.asc("block_id")])
-    asked = scope.join(queries.where("query_vector IS NOT NULL").select("query_id", "query_vector"), "query_id")
-    pairs = asked.join(blocks.where("embedding IS NOT NULL").select("block_id", "document_id", "embedding"), "document_id")
-    scored = pairs.select("query_id", "block_id", "document_id", similarity(F.col("embedding"), F.col("query_vector")).alias("vector_score"))
-    dense = postings.topk(scored, R.DENSE_N, [F.desc_nulls_last("vector_score"), F.asc("block_id")], "dense_rank")
-    return dense.select("query_id", "block_id", "vector_score", "dense_rank"), sparse.select("query_id", "block_id", "keyword_score", "sparse_rank")
+    order = [F.asc_nulls_last("document_name"), F.asc("block_id")]
+    sparse = postings.best(index, terms, blocks.select("block_id", "document_id", "document_name"), order, R.SPARSE_N, scope)
+    dense = R.dense_topk_in(blocks, queries.select("query_id", "query_vector"), scope, R.DENSE_N)
+    return dense, sparse
 
 
 def fused(dense: DataFrame, sparse: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions.vectors import clamp01, cosine, similarity, valid
+from corvane.shared import written
 
 # Defaults of the ranking.
 DEFAULT_K, MAX_K = 5, 20
@@ -83,7 +84,9 @@ def dense_topk(blocks: DataFrame, query: list[float], k: int, vector: str = "emb
 TILE, CELLS = 4096, 1 << 20
 
 
-def _tile(k: int):
+def _tile(k: int, others: bool = True):
+    """others: a query does not find the block of its own id."""
+
     def run(key: tuple[pa.Scalar, ...], queries: pa.Table, blocks: pa.Table) -> pa.Table:
         out = []
         if len(queries) and len(blocks):
@@ -97,7 +100,8 @@ def _tile(k: int):
             for at in range(0, len(q), step):
                 own = slice(at, at + step)
                 rough = (q[own] / q_len[own, None]) @ near
-                rough[q_id[own, None] == b_id[None, :]] = -np.inf
+                if others:
+                    rough[q_id[own, None] == b_id[None, :]] = -np.inf
                 limit = np.partition(rough, -k, axis=1)[:, -k] if len(b) >= k else np.full(len(rough), -np.inf)
                 # Rounding of the product is far below 1e-9: nothing that belongs to the k is left out.
                 i, j = np.nonzero((rough >= limit[:, None] - 1e-9) & (rough > -np.inf))
@@ -132,6 +136,38 @@ def _topk_of_all(blocks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", rank).where(F.col("rank") <= k).drop("_row")
 
 
+def dense_topk_in(blocks: DataFrame, queries: DataFrame, scope: DataFrame, k: int, rank: str = "dense_rank") -> DataFrame:
+    """(query_id, block_id, vector_score, rank): the k blocks of largest similarity in the documents of each query.
+
+    blocks: block_id, document_id, embedding; queries: query_id, query_vector; scope: query_id,
+    document_id. Tiles of a document's queries meet tiles of its blocks. Vectors without a length,
+    or of another than the first query's, meet one by one; their null scores come last.
+    """
+    held = blocks.where("embedding IS NOT NULL AND block_id IS NOT NULL").select("document_id", F.col("block_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+    asked = scope.join(queries.where("query_vector IS NOT NULL"), "query_id").select("document_id", F.col("query_id").cast("long").alias("id"), F.col("query_vector").cast("array<double>").alias("v"))
+    some = asked.select(F.size("v")).first()
+    dim = some[0] if some else 0
+    plain = lambda rows: rows.withColumn("_plain", valid(F.col("v"), dim) & F.exists("v", lambda x: x != 0))
+    held, asked = written(plain(held)), written(plain(asked))
+
+    def tiles(rows: DataFrame) -> int:
+        return -(-(rows.groupBy("document_id").count().agg(F.max("count")).first()[0] or 1) // TILE)
+
+    n, m = tiles(asked), tiles(held)
+
+    def dealt(rows: DataFrame, own: str, n: int, other: str, m: int) -> DataFrame:
+        return rows.where("_plain").select(F.monotonically_increasing_id().alias("row"), "document_id", "id", "v", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias(other))
+
+    keys = ("document_id", "_q", "_b")
+    found = dealt(asked, "_q", n, "_b", m).groupBy(*keys).cogroup(dealt(held, "_b", m, "_q", n).groupBy(*keys)).applyInArrow(_tile(k, False), "_row long, query_id long, block_id long, vector_score double")
+    q, b = asked.toDF("document_id", "query_id", "_qv", "_qp"), held.toDF("document_id", "block_id", "_bv", "_bp")
+    score = similarity(F.col("_bv"), F.col("_qv")).alias("vector_score")
+    odd = q.where("NOT _qp").join(b, "document_id").union(q.where("_qp").join(b.where("NOT _bp"), "document_id")).select("query_id", "block_id", score)
+    every = found.drop("_row").union(odd)
+    nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc_nulls_last("vector_score"), F.asc("block_id")))
+    return every.withColumn(rank, nth).where(F.col(rank) <= k)
+
+
 def dense_topk_per_query(blocks: DataFrame, queries: DataFrame, k: int, scope: str | None = None) -> DataFrame:
     """Top k for each row of queries (query_id, query_vector); a query never finds itself.
 

@@ -126,3 +126,40 @@ def test_vector_index_odd_rows(spark, monkeypatch, probes):
         assert sorted(got[7]) == sorted(2 * exact(7, v, None))
     empty = ivf.build(spark.createDataFrame([], VECTOR), 4)
     assert empty.search(spark.createDataFrame(asked[:1], "query_id long, query_vector array<float>, wanted string"), 3).count() == 0
+
+
+def lanes_data(spark):
+    rng = random.Random(9)
+    texts = [(i, f"d{i % 3}", rng.choice(["b", "a", None]), " ".join(rng.choice("tuvwxyz") for _ in range(rng.randint(0, 30)))) for i in range(700)]
+    blocks = spark.createDataFrame(texts, "block_id long, document_id string, document_name string, text string")
+    terms = spark.createDataFrame([(q, t) for q in range(12) for t in rng.sample("tuvwxyz", 1 + q % 4)] + [(90, "t"), (90, "none")], "query_id long, term string")
+    scope = spark.createDataFrame([(q, f"d{d}") for q in range(12) for d in range(q % 4)], "query_id long, document_id string")
+    return blocks, terms, scope
+
+
+def test_best_of_tiles_equal_all_matches(spark, monkeypatch):
+    """The k best by tiles, with bounds that leave blocks out, are the k best of all matches; no match is gathered."""
+    monkeypatch.setattr(postings, "TILE", 128)
+    monkeypatch.setattr(postings, "FIRST", 16)
+    blocks, terms, scope = lanes_data(spark)
+    index, order = postings.build(blocks).cache(), [F.asc_nulls_last("document_name"), F.asc("block_id")]
+    every = postings.matches(index, terms).withColumn("keyword_score", F.round("keyword_score", 9)).join(blocks.drop("text"), "block_id").cache()
+    with monkeypatch.context() as m:
+        m.setattr(postings, "matches", None)
+        got = [postings.best(index, terms, blocks.drop("text"), order, 10, s) for s in (None, scope)]
+    for found, hits in zip(got, (every, every.join(scope, ["query_id", "document_id"], "left_semi"))):
+        want = postings.topk(hits, 10, [F.desc("keyword_score"), *order]).select("query_id", "block_id", "keyword_score", "sparse_rank")
+        assert sorted(found.collect()) == sorted(want.collect())
+
+
+def test_dense_tiles_equal_pairs(spark, monkeypatch):
+    """Tiles of queries and blocks of a document leave what all pairs do, vectors without a length last."""
+    monkeypatch.setattr(R, "TILE", 64)
+    blocks, _, scope = lanes_data(spark)
+    vector = F.array(*[(F.xxhash64("block_id", F.lit(j)) % 3).cast("double") for j in range(3)])
+    blocks = blocks.withColumn("embedding", F.when(F.col("block_id") % 7 != 0, vector))
+    asked = spark.range(12).select(F.col("id").alias("query_id"), F.when(F.col("id") != 5, F.array(*[((F.col("id") + j) % 3).cast("double") for j in range(3)])).alias("query_vector"))
+    pairs = asked.where("query_vector IS NOT NULL").join(scope, "query_id").join(blocks.where("embedding IS NOT NULL"), "document_id").withColumn("vector_score", R.similarity(F.col("embedding"), F.col("query_vector")))
+    want = postings.topk(pairs, 210, [F.desc_nulls_last("vector_score"), F.asc("block_id")], "dense_rank").select("query_id", "block_id", "vector_score", "dense_rank")
+    key = lambda r: (r[0], r[3])
+    assert sorted(R.dense_topk_in(blocks, asked, scope, 210).collect(), key=key) == sorted(want.collect(), key=key)
