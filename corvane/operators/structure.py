@@ -100,7 +100,9 @@ def running_text(page_lines: DataFrame, doc: str, page: str, line: str, y: str)
     (deviation up to 0.06) and in the outer 15 % of the page.
     """
     pages = page_lines.groupBy(doc).agg(F.count_distinct(page).alias("pages")).where("pages >= 3")
-    marked = page_lines.withColumn("canonical", canonical_running_line(F.col(line))).where("canonical <> ''")
+    # As a generator the form of a line is computed once; as a filter's condition it would be twice.
+    own = F.filter(F.array(canonical_running_line(F.col(line))), lambda c: c != "")
+    marked = page_lines.select("*", F.explode(own).alias("canonical"))
     found = marked.groupBy(doc, "canonical").agg(F.count_distinct(page).alias("n_pages"), F.coalesce(F.stddev_samp(y), F.lit(0.0)).alias("spread"), F.avg(y).alias("mean_y"))
     kept = found.join(pages, doc).where((F.col("n_pages") >= F.greatest(F.lit(2), F.ceil(F.col("pages") * 0.25))) & (F.col("spread") <= 0.06) & ((F.col("mean_y") < 0.15) | (F.col("mean_y") > 0.85)))
     return kept.select(doc, "canonical", "n_pages", F.when(F.col("mean_y") < 0.15, "header").otherwise("footer").alias("place"))

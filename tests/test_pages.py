@@ -7,7 +7,9 @@ import re
 import statistics
 
 import pytest
+from pyspark.sql import functions as F
 
+from corvane.functions import text as T
 from corvane.operators import pages, structure, typed
 
 LINE = "doc long, order_index int, text string, x0 double, y0 double, x1 double, y1 double, font_size double, bold boolean, italic boolean, page_height double"
@@ -161,3 +163,12 @@ def test_typed_blocks(spark):
     assert (seen[0, 5]["kind"], seen[0, 5]["title"], seen[0, 5]["near"]) == ("chart", "Figure 2", "before")
     assert (seen[1, 1]["kind"], seen[1, 1]["near"]) == ("unknown", "after") and "Nearby Context: after" in seen[1, 1]["retrieval_text"]
     assert typed.table_blocks(df.limit(0)).count() == 0 and typed.diagram_blocks(df.limit(0)).count() == 0
+
+
+def test_running_forms_compute_each_step_once(spark):
+    """The plan of a canonical line holds each of its patterns once, not once for each place that reads it."""
+    plan = spark.range(1).select(T.canonical_running_line(F.col("id").cast("string")).alias("c"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("month-year") == 1 and plan.count("volume <n>") == 1 and plan.count("et al") == 1
+    rows = spark.createDataFrame([("Vol. 3, No. 7",), ("  Page 12 ",), ("17",), ("Plain; text 4 of",), (None,), (" ",)], "x string")
+    got = [r[0] for r in rows.select(T.canonical_running_line(F.col("x"))).collect()]
+    assert got == ["vol <n> no", "page", "<n>", "plain text 4 of", "", ""]
