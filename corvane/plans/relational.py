@@ -142,11 +142,13 @@ p AS (SELECT a.page, a.n, b.n AS near, abs(a.x - b.x) + abs(a.y - b.y) AS d FROM
 SELECT page, n, min_by(near, (round(d, 6), near)) AS nearest FROM p GROUP BY page, n""")
 def nearest_box_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nearest other box of a page by L1 distance of centres; the first of equals."""
-    q, d = F.col("l_quantity"), F.col("l_discount") * 100
-    boxes = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("n"), F.array(q, d, q, d).alias("box"))
-    pairs = boxes.join(boxes.toDF("page", "near", "other"), "page").where("n <> near")
-    distance = F.round(geometry.center_distance(F.col("box"), F.col("other")), 6)
-    return pairs.groupBy("page", "n").agg(F.min_by("near", F.struct(distance.alias("d"), "near")).alias("nearest"))
+    n, q, d = F.col("l_linenumber"), F.col("l_quantity"), F.col("l_discount") * 100
+    # Numbers, not arrays, are what the join sorts and holds.
+    boxes = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("page"), n.alias("n"), q.alias("x"), d.alias("y"))
+    pairs = boxes.join(boxes.toDF("page", "near", "x2", "y2"), "page").where("n <> near")
+    box = lambda x, y: F.array(x, y, x, y)
+    distance = F.round(geometry.center_distance(box("x", "y"), box("x2", "y2")), 6)
+    return pairs.select("page", "n", "near", distance.alias("d")).groupBy("page", "n").agg(F.min_by("near", F.struct("d", "near")).alias("nearest"))
 
 
 @query("prefix_match_join", """
