@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import random
 import re
 import statistics
@@ -10,7 +11,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from corvane.functions import text as T
-from corvane.operators import pages, structure, typed
+from corvane.operators import blocks as B
+from corvane.operators import html, pages, structure, typed
+from corvane.plans import catalog
+from corvane.shared import dealt
+from tests.conftest import DATA
 
 LINE = "doc long, order_index int, text string, x0 double, y0 double, x1 double, y1 double, font_size double, bold boolean, italic boolean, page_height double"
 
@@ -172,3 +177,40 @@ def test_running_forms_compute_each_step_once(spark):
     rows = spark.createDataFrame([("Vol. 3, No. 7",), ("  Page 12 ",), ("17",), ("Plain; text 4 of",), (None,), (" ",)], "x string")
     got = [r[0] for r in rows.select(T.canonical_running_line(F.col("x"))).collect()]
     assert got == ["vol <n> no", "page", "<n>", "plain text 4 of", "", ""]
+
+
+def test_archives_are_filled_as_they_are_read(spark):
+    """archive_blocks gives the rows of filled_blocks, from odd lists too, and deals no block out."""
+    box = lambda x: [x, 0.0, x + 8.0, 5.0]
+    item = lambda x, text=None: {"type": "paragraph", "bbox": box(x), "content": {"paragraph_content": text}}
+    flat = [{"type": "text", "text": t, "page_idx": p, "bbox": b} for t, p, b in (("near", 0, box(1)), ("same distance", 0, box(1)), (" ", 0, box(2)), ("far", 0, box(50)), ("no box", 0, None), ("next", 1, box(9)))]
+    cells = {"type": "table", "bbox": box(0), "content": {"table_caption": " T\t1 ", "table_body": "<table><tr><td>a<td>b c<tr><td>1</table>"}}
+    pages = [[item(2.0), item(48.0), item(3.0, "own  text"), item(3.0) | {"bbox": [1, True, 2, 3]}, cells], [item(9.0)], [item(9.0)], "odd"]
+    rows = [("a", json.dumps(pages), json.dumps(flat)), ("b", json.dumps(pages), "no json"), ("c", json.dumps(pages), None), ("d", "{", json.dumps(flat)), ("e", None, None)]
+    df = spark.createDataFrame(rows, "path string, pages string, flat string")
+    made = B.page_blocks(df.select("path", F.col("pages").alias("content")))
+    want = B.filled_blocks(made, B.flat_blocks(df.select("path", F.col("flat").alias("content"))))
+    got = B.archive_blocks(df)
+    assert got.columns == want.columns and sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+    assert [r["text"] for r in got.where("path = 'a'").orderBy("page_index", "order_index").collect()][:3] == ["near", "far", "own text"]
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(repr, B.page_tables(df.select("path", F.col("pages").alias("content"))).collect())) == sorted(map(repr, made.where("block_type = 'table'").collect()))
+    assert B.archive_blocks(df, "path", "text").columns == ["path", "text"]
+
+
+def test_bare_markup_is_read_as_the_parser_reads_it(monkeypatch):
+    rng = random.Random(3)
+    marks = ["<table>", "</table>", "<tr>", "</TR>", "<td>", "</td>", "<TH>", "</th>", "<b>", "</b>", "x", "  a b\n", "é", "<br>", "<p>"]
+    texts = ["".join(rng.choice(marks) for _ in range(rng.randrange(25))) for _ in range(500)]
+    got = [(html.table_rows(t), html.parse_tables(t)) for t in texts]
+    monkeypatch.setattr(html, "_BARE", re.compile(r"(?!)"))
+    assert got == [(html.table_rows(t), html.parse_tables(t)) for t in texts]
+
+
+def test_lines_of_an_order_are_shuffled_once(spark):
+    """A shuffle by order for its lines, its blocks and its tables, and no partition of more than some 100,000 lines."""
+    for name in ("table_blocks", "archive_blocks", "block_orders"):
+        plan = catalog.queries()[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange ") == plan.count("REPARTITION_BY_NUM") == 1, name
+    many = dealt(spark.range(1_000_000).withColumn("k", F.col("id") % 1000), "k")
+    assert many.rdd.getNumPartitions() == 11
