@@ -214,3 +214,14 @@ def test_lines_of_an_order_are_shuffled_once(spark):
         assert plan.count("Exchange ") == plan.count("REPARTITION_BY_NUM") == 1, name
     many = dealt(spark.range(1_000_000).withColumn("k", F.col("id") % 1000), "k")
     assert many.rdd.getNumPartitions() == 11
+
+
+def test_payloads_of_all_keys_compute_the_found_ones_once(spark):
+    rows = spark.createDataFrame([(1, 5, 7, 2), (1, 6, 7, 2), (1, 4, None, 9), (3, 1, 8, 1)], "q long, block_id int, document_id int, score int")
+    keys, found = spark.createDataFrame([(1,), (2,)], "q long"), B.payload(rows, "q", 3)
+    got = B.payloads(keys, found, "q")
+    want = found.where("q = 1").union(B.empty_payload(keys, found, "q"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert '"documents_covered":1,' in got.where("q = 1").first()["payload"]
+    plan = catalog.queries()["retrieval_payloads"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("l_linenumber") and plan.count("RepartitionByExpression") == 1 and "Expand" not in plan
