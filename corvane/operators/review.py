@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def apply_edits(blocks: DataFrame, edits: DataFrame, key: str = "block_id", text: str = "text") -> DataFrame:
@@ -19,19 +22,26 @@ def impacted(links: DataFrame, changed: DataFrame) -> DataFrame:
     """(doc_id, block_id) of what must be prepared again: changed blocks, and those whose context holds one.
 
     One pass in order of pos: a block also counts if its context holds an earlier block that came
-    in during the pass. links: doc_id, block_id, pos, context_id; changed: doc_id, block_id. The
-    pass runs on one document at a time, and only on documents that have a change.
+    in during the pass. links: doc_id, block_id, pos, context_id; changed: doc_id, block_id. Only
+    documents that have a change are walked, one after the other in the order of a partition; a task
+    remembers the blocks of one document.
     """
     marks = changed.select("doc_id", F.col("block_id"), F.lit(-1).alias("pos"), F.lit(None).cast(links.schema["context_id"].dataType).alias("context_id"))
     rows = links.join(changed.select("doc_id"), "doc_id", "left_semi").select("doc_id", "block_id", "pos", "context_id").unionByName(marks)
-    kinds = dict(links.dtypes)
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos", kind="stable")
-        seen: dict = {}
-        for block, pos, context in zip(pdf["block_id"], pdf["pos"], pdf["context_id"]):
-            if pos < 0 or context in seen:
-                seen[block] = None
-        return pd.DataFrame({"doc_id": pdf["doc_id"].iloc[0], "block_id": list(seen)})
-
-    return rows.groupBy("doc_id").applyInPandas(walk, f"doc_id {kinds['doc_id']}, block_id {kinds['block_id']}")
+    schema = T.StructType([T.StructField(n, links.schema[n].dataType) for n in ("doc_id", "block_id")])
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        document, seen = object(), set()
+        for batch in batches:
+            docs, blocks = [], []
+            for doc, block, pos, context in zip(*[c.to_pylist() for c in batch.columns]):
+                if doc != document:
+                    document, seen = doc, set()
+                if block not in seen and ((pos is not None and pos < 0) or (context is not None and context in seen)):
+                    seen.add(block)
+                    docs.append(doc)
+                    blocks.append(block)
+            yield pa.RecordBatch.from_arrays([pa.array(docs, batch.schema.field(0).type), pa.array(blocks, batch.schema.field(1).type)], ["doc_id", "block_id"])
+
+    dealt = rows.repartition("doc_id").sortWithinPartitions("doc_id", F.asc_nulls_last("pos"))
+    return dealt.mapInArrow(walk, schema)

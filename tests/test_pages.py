@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import text as T
 from corvane.operators import blocks as B
-from corvane.operators import html, pages, structure, typed
+from corvane.operators import html, pages, review, structure, typed
 from corvane.plans import catalog
 from corvane.shared import dealt
 from tests.conftest import DATA
@@ -225,3 +225,13 @@ def test_payloads_of_all_keys_compute_the_found_ones_once(spark):
     assert '"documents_covered":1,' in got.where("q = 1").first()["payload"]
     plan = catalog.queries()["retrieval_payloads"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("l_linenumber") and plan.count("RepartitionByExpression") == 1 and "Expand" not in plan
+
+
+def test_review_walks_many_documents_in_one_pass(spark):
+    """Chains over batches of rows, blocks out of order, null contexts, a change of an unknown block; no call for each document."""
+    links = spark.createDataFrame([(d, b, b, b - 2 if b > 2 else None) for d in range(50) for b in range(400, 0, -1)], "doc_id int, block_id int, pos int, context_id int")
+    changed = spark.createDataFrame([(d, 3) for d in range(0, 50, 2)] + [(4, 3), (6, 1000)], "doc_id int, block_id int")
+    got = review.impacted(links, changed)
+    want = sorted([(d, b) for d in range(0, 50, 2) for b in range(3, 401, 2)] + [(6, 1000)])
+    assert sorted(map(tuple, got.collect())) == want and got.dtypes == [("doc_id", "int"), ("block_id", "int")]
+    assert "FlatMapGroups" not in got._jdf.queryExecution().executedPlan().toString()
