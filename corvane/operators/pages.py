@@ -18,6 +18,8 @@ LEAST_SIZE, COLUMN_SHIFT, INDENT, NO_SIZE = 8.0, 80.0, 12.0, 11.0
 LIST_ITEM = r"^\s*(?:[-*•]|\d+[.)]|[A-Za-z][.)])\s+"
 NUMBERED_HEADING = r"^(?:\d+\.\d+\b|\d+\.\s*[A-Z]|\d+\s+[A-Z]|(?i:chapter|section))"
 HEADING_CHARS, HEADING_WORDS, LARGER = 120, 12, 1.04
+# A sentence's end, a capital at the start, and anything but white space and separators of lines.
+SENTENCE_END, CAPITAL, WRITTEN = r"(?U)[.!?]\s*\z", r"(?U)^\s*[A-Z]", r"(?U)[^\s\x1C\x1D\x1E]"
 
 # What marks identifiers, and lines that belong to a journal rather than to a paper.
 DOI = r"(?i)\b10\.\d{4,9}/[-._;()/:A-Za-z0-9]+\b"
@@ -34,10 +36,22 @@ def is_list_item(text: Column) -> Column:
 
 def is_heading(text: Column, size: Column, emphatic: Column, body: Column) -> Column:
     """Numbered, in capitals, or emphatic and larger than the body without an end mark; at most 120 characters."""
-    t = collapse(text)
-    capitals = (F.upper(t) == t) & (F.lower(t) != t) & (F.size(F.split(t, " ")) <= HEADING_WORDS)
-    large = emphatic & (size >= body * LARGER) & ~F.rlike(t, F.lit(r"[.!?]$"))
-    return (t != "") & (F.length(t) <= HEADING_CHARS) & (F.rlike(t, F.lit(NUMBERED_HEADING)) | capitals | large)
+    return T.bound(_title_marks(text), lambda m: _heads(m, size, emphatic, body))
+
+
+def _heads(marks: Column, size: Column, emphatic: Column, body: Column) -> Column:
+    return marks["titled"] | (marks["large"] & emphatic & (size >= body * LARGER))
+
+
+def _title_marks(text: Column) -> Column:
+    """titled: a heading by its words alone; large: one where it is emphatic and larger than the body."""
+
+    def marks(t: Column) -> Column:
+        capitals = (F.upper(t) == t) & (F.lower(t) != t) & (F.size(F.split(t, " ")) <= HEADING_WORDS)
+        short = (t != "") & (F.length(t) <= HEADING_CHARS)
+        return F.struct((short & (F.rlike(t, F.lit(NUMBERED_HEADING)) | capitals)).alias("titled"), (short & ~F.rlike(t, F.lit(r"[.!?]$"))).alias("large"))
+
+    return T.bound(collapse(text), marks)
 
 
 def paragraphs(lines: DataFrame, *page: str, order: str = "order_index") -> DataFrame:
@@ -46,28 +60,31 @@ def paragraphs(lines: DataFrame, *page: str, order: str = "order_index") -> Data
     A new paragraph starts where the gap exceeds the larger font size, the left edge moves by a
     column, a list or a heading begins, or an indented capital follows the end of a sentence.
     Words split over lines are joined again. Blank paragraphs give no row but keep their number;
-    lines of equal order come by their text; null texts are blank, null sizes count as 0.
+    lines of equal order come by their text; null texts are blank, null sizes count as 0. A reader
+    that leaves text and role out has them neither made nor their lines collected.
     """
     w = Window.partitionBy(*page).orderBy(order, "text")
     size = F.coalesce("font_size", F.lit(0.0))
-    body = F.coalesce(F.median(F.when(size > 0, size)).over(Window.partitionBy(*page)), F.lit(NO_SIZE))
-    rows = lines.withColumns({"text": F.coalesce("text", F.lit("")), "_size": size, "_emphatic": F.coalesce(F.col("bold") | F.col("italic"), F.lit(False))}).withColumn("_body", body)
-    before = F.lag(F.struct("text", "x0", "y1", "_size", F.lit(True).alias("is"))).over(w)
-    rows = rows.withColumn("_b", before)
+    rows = lines.withColumns({"text": F.coalesce("text", F.lit("")), "_size": size, "_emphatic": F.coalesce(F.col("bold") | F.col("italic"), F.lit(False))})
+    # What a line's text says is computed once a line; the windows hand on flags, not texts.
+    flags = {"_item": is_list_item(F.col("text")), "_ends": F.rlike("text", F.lit(SENTENCE_END)), "_opens": F.rlike("text", F.lit(CAPITAL)), "_written": F.rlike("text", F.lit(WRITTEN)), "_title": _title_marks(F.col("text"))}
+    rows = rows.withColumns(flags)
+    # The ordered window comes first: those after it need no sort of their own.
+    rows = rows.withColumn("_b", F.lag(F.struct("x0", "y1", "_size", "_item", "_ends")).over(w))
+    rows = rows.withColumn("_body", F.coalesce(F.median(F.when(F.col("_size") > 0, F.col("_size"))).over(Window.partitionBy(*page)), F.lit(NO_SIZE)))
     p, shift = F.col("_b"), F.abs(F.col("x0") - F.col("_b.x0"))
-    sentence = F.rlike(strip(p["text"]), F.lit(r"[.!?]\s*$")) & F.rlike(strip(F.col("text")), F.lit("^[A-Z]")) & (shift > INDENT)
     parts = any_of([
         F.col("y0") - p["y1"] > F.greatest(p["_size"], "_size", F.lit(LEAST_SIZE)),
         shift > COLUMN_SHIFT,
-        is_list_item(F.col("text")) & ~is_list_item(p["text"]),
-        is_heading(F.col("text"), F.col("_size"), F.col("_emphatic"), F.col("_body")),
-        sentence,
+        F.col("_item") & ~p["_item"],
+        _heads(F.col("_title"), F.col("_size"), F.col("_emphatic"), F.col("_body")),
+        p["_ends"] & F.col("_opens") & (shift > INDENT),
     ])
     starts = p.isNull() | F.coalesce(parts, F.lit(False))
     rows = rows.withColumn("_n", F.row_number().over(w)).withColumn("paragraph_index", F.sum(starts.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
     # The lines of one paragraph meet, as its text is one value.
     line = F.struct("_n", "text", "_size", "_emphatic", "_body")
-    got = rows.groupBy(*page, "paragraph_index").agg(F.array_sort(F.collect_list(line)).alias("l"), F.array(F.min("x0"), F.min("y0"), F.max("x1"), F.max("y1")).alias("bbox"), F.count("*").alias("n_lines"))
+    got = rows.groupBy(*page, "paragraph_index").agg(F.array_sort(F.collect_list(line)).alias("l"), F.array(F.min("x0"), F.min("y0"), F.max("x1"), F.max("y1")).alias("bbox"), F.count("*").alias("n_lines"), F.max("_written").alias("_written")).where("_written")
     own = F.filter(F.flatten(F.transform("l", lambda r: F.transform(F.split(r["text"], r"\r\n|[\n\r\x0B\f\x1C\x1D\x1E\x85  ]"), strip))), lambda s: s != "")
 
     def join(text: Column, s: Column) -> Column:
@@ -76,7 +93,7 @@ def paragraphs(lines: DataFrame, *page: str, order: str = "order_index") -> Data
 
     whole, first = F.array_join(F.filter(F.transform("l", lambda r: strip(r["text"])), lambda s: s != ""), " "), F.get("l", F.lit(0))
     role = F.when(is_list_item(whole), "list").when(is_heading(whole, first["_size"], first["_emphatic"], first["_body"]), "heading").otherwise("paragraph")
-    return got.select(*page, "paragraph_index", T.clean(F.aggregate(own, F.lit(""), join)).alias("text"), role.alias("role"), "bbox", "n_lines").where("text <> ''")
+    return got.select(*page, "paragraph_index", T.clean(F.aggregate(own, F.lit(""), join)).alias("text"), role.alias("role"), "bbox", "n_lines")
 
 
 def _identified(text: Column) -> Column:

@@ -80,6 +80,19 @@ def page_of(rng, doc):
     return lines
 
 
+def test_paragraphs_read_each_line_once(spark):
+    """A line's patterns stand in the plan once; without text and role, lines are neither joined nor collected."""
+    made = pages.paragraphs(spark.createDataFrame([], LINE), "doc")
+    lean = made.select("doc", "paragraph_index", "bbox", "n_lines")._jdf.queryExecution().optimizedPlan().toString()
+    assert lean.count(pages.NUMBERED_HEADING) == 1 and lean.count(pages.LIST_ITEM) == 1 and "collect_list" not in lean
+    # Lines of separators only make a paragraph that has no text, and so no row.
+    odd = ["\x1c", " \u3000\x1e", "\n\x85\u2028", None, "\x1f", "-", "\u200b"]
+    rows = [(i, 0, t, 0.0, 0.0, 1.0, 1.0, 10.0, False, False, 100.0) for i, t in enumerate(odd)]
+    found = pages.paragraphs(spark.createDataFrame(rows, LINE), "doc")
+    assert sorted(r["doc"] for r in found.collect()) == [4, 5, 6] == sorted(r["doc"] for r in found.where("text <> ''").collect())
+    assert found.select("doc", "n_lines").count() == 3
+
+
 def test_paragraphs_equal_a_walk(spark):
     rng = random.Random(12)
     every = {d: page_of(rng, d) for d in range(60)}
