@@ -168,9 +168,21 @@ def _shard_encoder(ranks):
     return encode
 
 
-def _assemble(key: tuple[pa.Scalar, ...], streams: pa.Table, encoded: pa.Table) -> pa.Table:
-    """A block's documents from its positions and the ids of its words."""
-    (head,) = streams.to_pylist()
+def _assembler(pieces, out_col: str | None):
+    """A block's documents from its positions and the ids of its words; with pieces, their bytes too."""
+
+    def assemble(key: tuple[pa.Scalar, ...], streams: pa.Table, encoded: pa.Table) -> pa.Table:
+        (head,) = streams.to_pylist()
+        out = _documents(head, encoded)
+        columns = {"doc_id": pa.array(head["ids"], pa.int64()), "token_ids": pa.array(out, pa.binary())}
+        if out_col is not None:
+            columns[out_col] = _bytes_of(out, pieces.value)
+        return pa.table(columns)
+
+    return assemble
+
+
+def _documents(head: dict, encoded: pa.Table) -> list[bytes]:
     parts = sorted(encoded.to_pylist(), key=lambda r: r["shard"])
     # Shards list their words in order of rank: the stable sort that sent them finds them again.
     order = np.argsort(unpack(head["homes"]), kind="stable")
@@ -186,12 +198,21 @@ def _assemble(key: tuple[pa.Scalar, ...], streams: pa.Table, encoded: pa.Table)
         own = stream[at : at + n]
         at += n
         out.append(ids[ragged(starts[own], sizes[own])].astype("<u4").tobytes() if n else b"")
-    return pa.table({"doc_id": pa.array(head["ids"], pa.int64()), "token_ids": pa.array(out, pa.binary())})
+    return out
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, shards: int | None = None, replayable: bool = True) -> DataFrame:
+def _bytes_of(packed: list[bytes | None], pieces: dict[int, bytes]) -> pa.Array:
+    """What ids stand for, null for null."""
+    piece = pieces.__getitem__
+    return pa.array((None if x is None else b"".join(map(piece, np.frombuffer(x, "<u4").tolist())) for x in packed), pa.binary())
+
+
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, shards: int | None = None, replayable: bool = True, decoded: str | None = None) -> DataFrame:
     """Token ids of every document: doc_id, token_ids (little-endian unsigned 32-bit integers).
 
+    decoded: the name of a further column, the bytes that decode() makes of the ids. They are made where
+    the ids are, so a task holds one Python worker instead of one for each of the two steps.
+
     One row comes out for each row that goes in, also for repeated rows and null ids. A null or
     empty text has no ids. Other columns are ignored, whatever their names. Ids are integers: a
     text id that is none is an error. Every single byte must have a rank. replayable: docs reads
@@ -209,7 +230,14 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
     encoded = words.repartition(parts, "shard").groupBy("shard").applyInArrow(_shard_encoder(table), _WORDS)
     streams = source.mapInArrow(_splitter(pattern, shards, block_bytes, True), _STREAM)
     both = streams.repartition(parts, "block").groupBy("block").cogroup(encoded.repartition(parts, "block").groupBy("block"))
-    return both.applyInArrow(_assemble, "doc_id long, token_ids binary")
+    pieces = None if decoded is None else _pieces(spark, ranks)
+    return both.applyInArrow(_assembler(pieces, decoded), "doc_id long, token_ids binary" + (f", `{decoded}` binary" if decoded else ""))
+
+
+def _pieces(spark: SparkSession, ranks: dict[bytes, int]):
+    if len(ranks) > MAX_TOKENS:
+        raise ValueError(f"{len(ranks)} tokens; at most {MAX_TOKENS} are broadcast")
+    return spark.sparkContext.broadcast({i: b for b, i in ranks.items()})
 
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int], ids_col: str = "token_ids", out_col: str = "decoded") -> DataFrame:
@@ -219,15 +247,11 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int], ids_col: str = "token_id
     Null ids give null, no ids no bytes; an id outside the table is an error. Repeated rows each
     come out; an input column of the added name is replaced.
     """
-    if len(ranks) > MAX_TOKENS:
-        raise ValueError(f"{len(ranks)} tokens; at most {MAX_TOKENS} are broadcast")
-    table = encoded.sparkSession.sparkContext.broadcast({i: b for b, i in ranks.items()})
+    table = _pieces(encoded.sparkSession, ranks)
 
     def run(batches):
-        piece = table.value.__getitem__
         for batch in _slices(batches):
-            out = [None if x is None else b"".join(map(piece, np.frombuffer(x, "<u4").tolist())) for x in batch.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(out, pa.binary())], ["row", out_col])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), _bytes_of(batch.column("ids").to_pylist(), table.value)], ["row", out_col])
 
     return extend(encoded, {"ids": F.col(ids_col)}, f"`{out_col}` binary", run)
 
@@ -255,5 +279,5 @@ def digest(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
     Null and empty texts have no ids and the digests of nothing; repeated rows and null ids each
     come out, one row for one.
     """
-    both = decode(encode(docs, ranks, pattern), ranks)
+    both = encode(docs, ranks, pattern, decoded="decoded")
     return both.select("doc_id", (F.length("token_ids") / 4).cast("long").alias("n_tokens"), F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -56,6 +56,18 @@ def test_bpe_equals_the_library(docs, ranks):
     assert bag(both.collect()) == Counter(expected)
 
 
+def test_digest_decodes_where_the_ids_are(docs, ranks, spark, tmp_path):
+    """The digests equal those of encode and decode; their last stage holds one Python step a task, not two."""
+    path = f"file://{tmp_path}/docs"
+    docs.select("doc_id", "text").write.parquet(path)
+    stored = spark.read.parquet(path)
+    found = bpe.digest(stored, ranks, public_tokenizers.PATTERN)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 2
+    apart = bpe.decode(bpe.encode(stored, ranks, public_tokenizers.PATTERN), ranks)
+    expected = apart.select("doc_id", (F.length("token_ids") / 4).cast("long"), F.sha2("token_ids", 256), F.sha2("decoded", 256))
+    assert bag(found.collect()) == bag(expected.collect())
+
+
 def test_added_columns_replace_those_of_their_name(docs, ranks):
     chain = toxicity.Chain(("low_quality", "toxic"), {}, [(np.zeros(0), np.zeros(0), -40.0), (np.zeros(0), np.zeros(1), -40.0)])
     for out, names in (
