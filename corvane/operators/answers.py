@@ -62,9 +62,10 @@ def _best() -> list[Column]:
 def limited(rows: DataFrame, asked: DataFrame) -> DataFrame:
     """The diversity limits of each query (target_k, per_document, per_unit of asked), and the rank that results get.
 
-    Rows without document are not limited by it; rows without unit only by document.
+    Rows without document are not limited by it; rows without unit only by document. Rows of a
+    query meet in one shuffle, which serves the join and all windows.
     """
-    rows = rows.join(asked.select("query_id", "target_k", "per_document", "per_unit"), "query_id")
+    rows = rows.repartition("query_id").join(asked.select("query_id", "target_k", "per_document", "per_unit"), "query_id")
     blank = lambda c: F.coalesce(F.trim(F.col(c)) == "", F.lit(True))
     for keys, most, free in ((["document_id", "unit"], "per_unit", blank("document_id") | blank("unit")), (["document_id"], "per_document", blank("document_id"))):
         n = F.row_number().over(Window.partitionBy("query_id", *keys).orderBy(*_best()))
@@ -78,7 +79,9 @@ def retrieve(queries: DataFrame, links: DataFrame, documents: DataFrame, blocks:
 
     documents: document_id, is_deleted. blocks: block_id, document_id, document_name, unit, text,
     block_type, subtype, role, section_path, embedding. asked has each query with its limits,
-    strategy and candidate counts; results the rows that come back, by rank.
+    strategy and candidate counts; results the rows that come back, by rank, with snippets of their
+    texts. Candidates carry ids, ranks and scores alone: what a block says is cut to its snippet
+    once, and meets only rows that come back.
     """
     k = R.parse_k(k)
     normal = queries.withColumn("query", scopes.normalize_query(F.col("query")))
@@ -96,15 +99,16 @@ def retrieve(queries: DataFrame, links: DataFrame, documents: DataFrame, blocks:
     strategy = F.when(F.col("query") == "", "empty_query").when(F.col("documents") == 0, "empty_scope").when(F.col("query_vector").isNull(), "keyword_fallback").otherwise("rrf")
     asked = written(asked.withColumn("strategy", strategy).drop("query_vector"))
     live = asked.where("query <> '' AND documents > 0")
-    rows = fused(dense, sparse).join(shown.drop("embedding"), "block_id")
-    return asked, limited(rows, live)
+    said = written(shown.withColumns({"snippet": scopes.snippet(F.col("text")), "_row": F.monotonically_increasing_id()}).drop("embedding", "text"))
+    rows = fused(dense, sparse).join(said.select("block_id", "document_id", "unit", "_row"), "block_id")
+    return asked, limited(rows, live).join(said.drop("block_id", "document_id", "unit"), "_row").drop("_row")
 
 
 def serialized(rows: DataFrame) -> DataFrame:
-    """Results with snippet, is_filtered and relevance_reason, as answers carry them."""
+    """Results with is_filtered and relevance_reason, as answers carry them."""
     kind, subtype, role = (F.lower(F.trim(F.coalesce(c, F.lit("")))) for c in ("block_type", "subtype", "role"))
     path = F.filter(F.transform(F.coalesce("section_path", F.array().cast("array<string>")), scopes.strip), lambda s: s != "")
-    rows = rows.withColumns({"block_type": kind, "subtype": subtype, "text_role": role, "section_path": path, "snippet": scopes.snippet(F.col("text")), "is_filtered": F.col("filter_reason") != ""})
+    rows = rows.withColumns({"block_type": kind, "subtype": subtype, "text_role": role, "section_path": path, "is_filtered": F.col("filter_reason") != ""})
     return rows.withColumn("relevance_reason", scopes.relevance_reason(F.col("block_type"), F.col("subtype"), F.col("text_role"), F.col("section_path"), F.col("filter_reason")))
 
 

@@ -79,6 +79,16 @@ def test_answers_of_odd_queries(spark):
     assert {r["relevance_reason"] for r in every["results"] if r["is_filtered"]} <= {"filtered reference note", "filtered references"}
 
 
+def test_answers_shuffle_no_text(spark, monkeypatch):
+    """What a block says does not travel with candidates: limits see ids, ranks and scores; snippets meet what comes back."""
+    seen = []
+    limited = answers.limited
+    monkeypatch.setattr(answers, "limited", lambda rows, asked: seen.append(set(rows.columns)) or limited(rows, asked))
+    got = answered(spark, [(1, 1, "common", [1.0, 0.5])])[1]
+    assert not seen[0] & {"text", "snippet", "section_path", "embedding"} and {"query_id", "block_id", "document_id", "unit", "rrf_score"} <= seen[0]
+    assert len(got["results"]) == 10 and all(r["snippet"] == f"common word{r['block_id']}" for r in got["results"])
+
+
 VECTOR = "block_id long, embedding array<float>, label string"
 
 
