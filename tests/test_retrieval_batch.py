@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+import os
 import random
+import tempfile
 
 import numpy as np
 import pytest
@@ -162,6 +164,33 @@ def test_best_of_tiles_equal_all_matches(spark, monkeypatch):
         assert sorted(found.collect()) == sorted(want.collect())
 
 
+def test_best_goes_in_waves(spark, monkeypatch, tmp_path):
+    """A class with k blocks of the highest score meets no later tiles; one without does. No terms or no blocks give no rows."""
+    monkeypatch.setattr(postings, "TILE", 64)
+    real, seen = postings._best, str(tmp_path)
+
+    def spied(*args):
+        run = real(*args)
+
+        def noted(key, held, asked):
+            if len(held) and len(asked):
+                tempfile.NamedTemporaryFile(dir=seen, delete=False, suffix=f".{len(asked)}").close()
+            return run(key, held, asked)
+
+        return noted
+
+    monkeypatch.setattr(postings, "_best", spied)
+    blocks = spark.createDataFrame([(i, "d", "n", "a b " * 12 + "c" * (i == 290)) for i in range(300)], "block_id long, document_id string, document_name string, text string")
+    index, order, terms = postings.build(blocks).cache(), [F.asc("block_id")], "query_id long, term string"
+    best = lambda asked: sorted(map(tuple, postings.best(index, spark.createDataFrame(asked, terms), blocks.drop("text"), order, 10).collect()))
+    assert best([(1, "a"), (1, "b"), (2, "b"), (2, "a")]) == [(q, b, 1.0, b + 1) for q in (1, 2) for b in range(10)]
+    assert len(os.listdir(seen)) == 1
+    assert best([(1, "c"), (1, "a")]) == [(1, 290, 0.05, 1)]
+    assert len(os.listdir(seen)) > 5
+    assert postings.best(index, spark.createDataFrame([], terms), blocks.drop("text"), order, 10).count() == 0
+    assert postings.best(index, spark.createDataFrame([(1, "a")], terms), blocks.drop("text").limit(0), order, 10).count() == 0
+
+
 def test_dense_tiles_equal_pairs(spark, monkeypatch):
     """Tiles of queries and blocks of a document leave what all pairs do, vectors without a length last."""
     monkeypatch.setattr(R, "TILE", 64)
