@@ -150,16 +150,15 @@ def dense_topk_in(blocks: DataFrame, queries: DataFrame, scope: DataFrame, k: in
     plain = lambda rows: rows.withColumn("_plain", valid(F.col("v"), dim) & F.exists("v", lambda x: x != 0))
     held, asked = written(plain(held)), written(plain(asked))
 
-    def tiles(rows: DataFrame) -> int:
-        return -(-(rows.groupBy("document_id").count().agg(F.max("count")).first()[0] or 1) // TILE)
+    # A row is copied as often as its own document has tiles on the other side.
+    tiles = lambda rows, name: rows.where("_plain").groupBy("document_id").agg(F.ceil(F.count("*") / TILE).cast("int").alias(name))
+    sizes = written(tiles(asked, "_n").join(tiles(held, "_m"), "document_id"))
 
-    n, m = tiles(asked), tiles(held)
-
-    def dealt(rows: DataFrame, own: str, n: int, other: str, m: int) -> DataFrame:
-        return rows.where("_plain").select(F.monotonically_increasing_id().alias("row"), "document_id", "id", "v", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias(other))
+    def dealt(rows: DataFrame, own: str, n: str, other: str, m: str) -> DataFrame:
+        return rows.where("_plain").join(sizes, "document_id").select(F.monotonically_increasing_id().alias("row"), "document_id", "id", "v", F.pmod(F.xxhash64("id"), F.col(n)).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.col(m) - 1)).alias(other))
 
     keys = ("document_id", "_q", "_b")
-    found = dealt(asked, "_q", n, "_b", m).groupBy(*keys).cogroup(dealt(held, "_b", m, "_q", n).groupBy(*keys)).applyInArrow(_tile(k, False), "_row long, query_id long, block_id long, vector_score double")
+    found = dealt(asked, "_q", "_n", "_b", "_m").groupBy(*keys).cogroup(dealt(held, "_b", "_m", "_q", "_n").groupBy(*keys)).applyInArrow(_tile(k, False), "_row long, query_id long, block_id long, vector_score double")
     q, b = asked.toDF("document_id", "query_id", "_qv", "_qp"), held.toDF("document_id", "block_id", "_bv", "_bp")
     score = similarity(F.col("_bv"), F.col("_qv")).alias("vector_score")
     odd = q.where("NOT _qp").join(b, "document_id").union(q.where("_qp").join(b.where("NOT _bp"), "document_id")).select("query_id", "block_id", score)
